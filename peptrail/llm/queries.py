@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from peptrail.llm.fingerprints import edit_stability
 from peptrail.llm.mixing import mix_sources
 from peptrail.llm.substring_dedup import substring_dedup
 
@@ -22,8 +23,13 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(spark, _read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_stability(spark, _read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op5_fingerprints": op5_fingerprints,
     "op10_mix_sources": op10_mix_sources,
 }
 
