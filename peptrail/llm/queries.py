@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from peptrail.llm import scratch
 from peptrail.llm.fingerprints import edit_stability
 from peptrail.llm.mixing import mix_sources
 from peptrail.llm.substring_dedup import substring_dedup
+from peptrail.llm.token_output import read_tokens, write_tokens
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,9 +29,17 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_stability(spark, _read(spark, sf_dir, "documents"))
 
 
+def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = scratch.new_path(spark, "tokens")
+    return read_tokens(write_tokens(spark, _read(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op5_fingerprints": op5_fingerprints,
+    "op8_token_output": op8_token_output,
     "op10_mix_sources": op10_mix_sources,
 }
 

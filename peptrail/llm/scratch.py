@@ -34,3 +34,10 @@ def drop(spark: SparkSession, *frames: DataFrame) -> None:
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             target = spark._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def open_fs(uri: str):
+    """``(file system, path)`` for a URI, in a driver or a task; also for stores other than disks."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
