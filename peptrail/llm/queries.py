@@ -11,6 +11,7 @@ from peptrail.llm.fingerprints import edit_stability
 from peptrail.llm.mixing import mix_sources
 from peptrail.llm.substring_dedup import substring_dedup
 from peptrail.llm.token_output import read_tokens, write_tokens
+from peptrail.llm.warc import read_warc, write_warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,10 +37,15 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(spark, _read(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_warc(write_warc(spark, _read(spark, sf_dir, "pages"), scratch.new_path(spark, "warc")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op5_fingerprints": op5_fingerprints,
     "op8_token_output": op8_token_output,
+    "op9_warc": op9_warc,
     "op10_mix_sources": op10_mix_sources,
 }
 
@@ -53,6 +59,10 @@ word AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM d
 kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS t FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)""",
+    "op9_warc": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS f FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN f = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN f <> page_id THEN f END AS refers_to FROM f""",
     "op10_mix_sources": r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
   CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
