@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from peptrail.llm import scratch
+from peptrail.llm.embedding_dedup import near_vectors
 from peptrail.llm.fingerprints import edit_stability
 from peptrail.llm.mixing import mix_sources
 from peptrail.llm.substring_dedup import substring_dedup
@@ -41,8 +42,13 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(write_warc(spark, _read(spark, sf_dir, "pages"), scratch.new_path(spark, "warc")))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(spark, _read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_fingerprints": op5_fingerprints,
     "op8_token_output": op8_token_output,
     "op9_warc": op9_warc,
@@ -59,6 +65,15 @@ word AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM d
 kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS t FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)""",
+    "op4_embedding_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+u AS (SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, x -> x * x))) AS n FROM v),
+l AS (SELECT a.vec_id AS i, b.vec_id AS j FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.n > 0 AND b.n > 0 AND list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.98),
+r(i, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.j, r.c FROM r JOIN l ON l.i = r.i),
+g AS (SELECT i, min(c) AS component_id FROM r GROUP BY i),
+k AS (SELECT i, count(*) AS n_links FROM l GROUP BY i)
+SELECT e.vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN g ON g.i = e.vec_id LEFT JOIN k ON k.i = e.vec_id""",
     "op9_warc": """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS f FROM p)
