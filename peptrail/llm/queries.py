@@ -10,6 +10,7 @@ from peptrail.llm import scratch
 from peptrail.llm.embedding_dedup import near_vectors
 from peptrail.llm.fingerprints import edit_stability
 from peptrail.llm.mixing import mix_sources
+from peptrail.llm.quality import classify
 from peptrail.llm.substring_dedup import substring_dedup
 from peptrail.llm.token_output import read_tokens, write_tokens
 from peptrail.llm.warc import read_warc, write_warc
@@ -46,8 +47,13 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark, _read(spark, sf_dir, "embeddings"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_quality": op3_quality,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_fingerprints": op5_fingerprints,
     "op8_token_output": op8_token_output,
