@@ -10,6 +10,7 @@ from peptrail.llm import scratch
 from peptrail.llm.embedding_dedup import near_vectors
 from peptrail.llm.fingerprints import edit_stability
 from peptrail.llm.mixing import mix_sources
+from peptrail.llm.near_dedup import near_duplicates
 from peptrail.llm.quality import classify
 from peptrail.llm.substring_dedup import substring_dedup
 from peptrail.llm.token_output import read_tokens, write_tokens
@@ -51,11 +52,16 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(spark, _read(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_quality": op3_quality,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_fingerprints": op5_fingerprints,
+    "op7_near_dedup": op7_near_dedup,
     "op8_token_output": op8_token_output,
     "op9_warc": op9_warc,
     "op10_mix_sources": op10_mix_sources,
