@@ -39,7 +39,12 @@ ROWS_A_BATCH = 256
 #: Distinct words that a task remembers; beyond it, it starts anew.
 REMEMBERED = 2_000_000
 GROUP = 256
-LETTERS_MARKS = re.compile(r"([A-Za-z]+)([!-&(-/:-@\[-`{-~]+)")
+LETTERS_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
+
+
+def hashes_of(words: list[str]) -> np.ndarray:
+    """The hashes that these words, none of them with white space, have in a text."""
+    return np.concatenate([np.empty(0, textscan.U), *(b.hashes() for b in textscan.blocks(pa.array(words, pa.string())))])
 
 
 class WordEncoder:
@@ -72,39 +77,80 @@ class WordEncoder:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word. Runs of letters, and letters before marks, go through in groups;
-        a group whose number of word ends is not the expected one is encoded word by word."""
+        """Ids of each word. Runs of letters go through in groups; a group whose number of word
+        ends is not the number of its words is encoded word by word."""
         out: list = [None] * len(words)
         plain, single = [], []
         for i, w in enumerate(words):
             if w.isalpha():
-                plain.append((i, w, 1))
-            elif m := LETTERS_MARKS.fullmatch(w):
-                plain.append((i, f"{m[1]} {m[2]}", 2))
+                plain.append((i, w))
             else:
                 single.append(i)
         groups = [plain[k : k + GROUP] for k in range(0, len(plain), GROUP)]
         for group, ids in zip(groups, self.encode([" ".join(x[1] for x in g) for g in groups]), strict=True):
             ids = np.array(ids, dtype=self.width)
             stops = np.flatnonzero(self.ends[ids]) + 1
-            upto = np.cumsum([x[2] for x in group])
-            if len(stops) != upto[-1]:
+            if len(stops) != len(group):
                 single += [x[0] for x in group]
                 continue
-            cuts = stops[upto - 1]
-            for (i, _, _), a, b in zip(group, np.concatenate([[0], cuts[:-1]]), cuts, strict=True):
+            for (i, _), a, b in zip(group, [0, *stops[:-1].tolist()], stops.tolist(), strict=True):
                 out[i] = ids[a:b]
         for i, ids in zip(single, self.encode([words[i] for i in single]), strict=True):
             out[i] = np.array(ids, dtype=self.width)
         return out
 
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each hash stands among the known ones, and whether it does."""
+        place = np.searchsorted(self.known, hashes)
+        there = np.zeros(len(hashes), dtype=bool)
+        inside = place < len(self.known)
+        there[inside] = self.known[place[inside]] == hashes[inside]
+        return place, there
+
+    def add(self, hashes: np.ndarray, at: np.ndarray, count: np.ndarray) -> None:
+        known, first = np.unique(np.concatenate([self.known, hashes]), return_index=True)
+        self.known, self.at, self.count = known, np.concatenate([self.at, at])[first], np.concatenate([self.count, count])[first]
+
     def learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        found = self.words(words)
+        """Encode new words. Capitals and the marks behind a word change neither each other's
+        ids nor the word's, so a word of Latin letters is encoded once, in lower case."""
+        parts: dict[str, int] = {}
+        head, tail = np.empty(len(words), np.int64), np.full(len(words), -1, np.int64)
+        for i, w in enumerate(words):
+            if w.isalpha():
+                base, marks = w, None
+            elif (m := LETTERS_MARKS.fullmatch(w)) and m[1].isalpha():
+                base, marks = m[1], m[2]
+            else:
+                base, marks = w, None
+            if max(base) < "\u0100" and base.isalpha():
+                base = base.lower()
+            head[i] = parts.setdefault(base, len(parts))
+            if marks:
+                tail[i] = parts.setdefault(marks, len(parts))
+        names = list(parts)
+        keys = hashes_of(names)
+        place, there = self.find(keys)
+        new = np.flatnonzero(~there)
+        found = self.words([names[i] for i in new])
         count = np.array([len(x) for x in found], dtype=np.int64)
         at = len(self.ids) + np.cumsum(count) - count
         self.ids = np.concatenate([self.ids, *found])
-        order = np.argsort(known := np.concatenate([self.known, hashes]), kind="stable")
-        self.known, self.at, self.count = known[order], np.concatenate([self.at, at])[order], np.concatenate([self.count, count])[order]
+        self.add(keys[new], at, count)
+        place, _ = self.find(keys)
+        at, count = self.at[place], self.count[place]
+        # A word with marks has the ids of both, one after the other.
+        two = tail >= 0
+        word_at, word_count = at[head], count[head]
+        a, b = count[head[two]], count[tail[two]]
+        begin = np.cumsum(a + b) - (a + b)
+        joined = np.empty((a + b).sum(), dtype=self.width)
+        for start, n, source in ((begin, a, at[head[two]]), (begin + a, b, at[tail[two]])):
+            steps = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            joined[np.repeat(start, n) + steps] = self.ids[np.repeat(source, n) + steps]
+        word_at[two], word_count[two] = len(self.ids) + begin, a + b
+        self.ids = np.concatenate([self.ids, joined])
+        self.add(hashes, word_at, word_count)
 
     def block(self, block: textscan.Block) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block's rows one after another, each row closed by the end id, and their counts."""
@@ -114,14 +160,11 @@ class WordEncoder:
         distinct, where, inverse = np.unique(block.hashes(), return_index=True, return_inverse=True)
         if len(self.known) > REMEMBERED:
             self.clear()
-        place = np.searchsorted(self.known, distinct)
-        new = np.ones(len(distinct), dtype=bool)
-        inside = place < len(self.known)
-        new[inside] = self.known[place[inside]] != distinct[inside]
-        if new.any():
+        place, there = self.find(distinct)
+        if not there.all():
             raw = block.data.tobytes()
-            self.learn(distinct[new], [raw[block.starts[i] : block.ends[i]].decode() for i in where[new]])
-            place = np.searchsorted(self.known, distinct)
+            self.learn(distinct[~there], [raw[block.starts[i] : block.ends[i]].decode() for i in where[~there]])
+            place, _ = self.find(distinct)
         at, count = self.at[place][inverse], self.count[place][inverse]
         total = np.concatenate([[0], np.cumsum(count)])
         per_row = total[block.first[1:]] - total[block.first[:-1]] + 1
