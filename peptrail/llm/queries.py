@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from peptrail.llm import scratch
 from peptrail.llm.embedding_dedup import near_vectors
 from peptrail.llm.fingerprints import edit_stability
+from peptrail.llm.license_scan import scan_licenses
 from peptrail.llm.mixing import mix_sources
 from peptrail.llm.near_dedup import near_duplicates
+from peptrail.llm.packing import pack
 from peptrail.llm.quality import classify
 from peptrail.llm.substring_dedup import substring_dedup
 from peptrail.llm.token_output import read_tokens, write_tokens
@@ -56,11 +58,21 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, _read(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(spark, _read(spark, sf_dir, "documents"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(spark, _read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_license_scan": op2_license_scan,
     "op3_quality": op3_quality,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_fingerprints": op5_fingerprints,
+    "op6_packing": op6_packing,
     "op7_near_dedup": op7_near_dedup,
     "op8_token_output": op8_token_output,
     "op9_warc": op9_warc,
