@@ -19,12 +19,15 @@ empty result; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHINGLE = 5
 WINDOW, STRIDE, BANDS = 4, 2, 16
 CONTAINMENT = 0.8
+MASK = (1 << 31) - 1
 
 # Public license notices and their SPDX identifiers.
 TEMPLATES = {
@@ -62,9 +65,16 @@ def shingles(text: Column) -> Column:
     return _let(words, lambda w: F.when(F.size(w) >= SHINGLE, each(w)).otherwise(F.array().cast("array<bigint>")))
 
 
-def _sketch(sh: list[Column]) -> list[Column]:
-    """The least hash of a window's shingles under each function; nulls (beyond the end) do not count."""
-    return [F.least(*(F.when(x.isNotNull(), F.xxhash64(x, F.lit(k))) for x in sh)) for k in range(BANDS)]
+def _sketch(w: str) -> list[Column]:
+    """The least of a window's shingles under each function, ``(a * x + b) mod 2 ** 31`` with odd
+    ``a``, and the function's number in the last four bits: the keys of the bands.
+
+    Short arithmetic on purpose: the generated code stays small enough for the JVM to compile.
+    """
+    draw = random.Random(31)
+    low = [F.coalesce(F.col(f"{w}.s{i}"), F.col(f"{w}.s0"), F.lit(0)).bitwiseAND(MASK) for i in range(WINDOW)]
+    factors = [(draw.randrange(1, MASK, 2), draw.randrange(MASK)) for _ in range(BANDS)]
+    return [F.shiftleft(F.least(*((x * F.lit(a).cast("long") + F.lit(b).cast("long")).bitwiseAND(MASK) for x in low)), 4).bitwiseOR(F.lit(k).cast("long")) for k, (a, b) in enumerate(factors)]
 
 
 def _windows(sh: Column, stride: int) -> Column:
@@ -81,24 +91,18 @@ def templates(spark: SparkSession) -> DataFrame:
 def scan_licenses(spark: SparkSession, docs: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """Per document and license found: doc_id, license, containment, at_word, passages."""
     known = templates(spark)
-    cut = known.select("license", "sh", "n", F.explode(_windows(F.col("sh"), 1)).alias("w"))
-    bands = cut.select("license", F.explode(F.array(*(F.struct(F.lit(k).alias("band"), m.alias("value")) for k, m in enumerate(_sketch([F.col(f"w.s{i}") for i in range(WINDOW)]))))).alias("b")).select("license", "b.band", "b.value").distinct()
-    table = [(r.license, r.band, r.value) for r in bands.collect()]  # of the fixed templates
+    cut = known.select("license", F.explode(_windows(F.col("sh"), 1)).alias("w"))
+    bands = cut.select("license", F.explode(F.array(*_sketch("w"))).alias("band")).distinct()  # of the fixed templates
     longest = max(r.n for r in known.select("n").collect())
 
-    # explode_outer: for explode the optimizer would compute the windows once more, to look for empty ones.
+    # explode_outer: for explode the optimizer would compute the array once more, to look for empty ones.
     both = _let(shingles(docs["text"]), lambda x: F.struct(x.alias("sh"), _windows(x, STRIDE).alias("ws")))
     each = docs.select(docs["doc_id"].cast("long").alias("doc_id"), both.alias("x")).select("doc_id", F.col("x.sh").alias("sh"), F.explode_outer("x.ws").alias("w"))
-    values = _sketch([F.col(f"w.s{i}") for i in range(WINDOW)])
-    named = each.select("doc_id", "sh", F.col("w.at").alias("at"), *(v.alias(f"m{k}") for k, v in enumerate(values)))
-    hit = F.lit(False)
-    for k in range(BANDS):
-        hit = hit | F.expr(f"m{k} in ({', '.join(sorted({f'{v}L' for _, b, v in table if b == k}))})")
+    sketched = each.select("doc_id", "sh", F.col("w.at").alias("at"), F.explode_outer(F.array(*_sketch("w"))).alias("band"))
     # Only windows that share a band take the shingles around them along.
     reach = longest + WINDOW
-    found = named.where(hit).select("doc_id", "at", F.slice("sh", F.greatest(F.col("at") - reach, F.lit(1)), 2 * reach).alias("near"), F.explode(F.array(*(F.struct(F.lit(k).alias("band"), F.col(f"m{k}").alias("value")) for k in range(BANDS)))).alias("b"))
-    bands_of = spark.createDataFrame(table, "license string, band int, value long")
-    retrieved = found.join(F.broadcast(bands_of), (F.col("b.band") == F.col("band")) & (F.col("b.value") == F.col("value"))).select("doc_id", "at", "near", "license").dropDuplicates(["doc_id", "at", "license"])
+    found = sketched.join(F.broadcast(bands), "band").select("doc_id", "at", "license", F.slice("sh", F.greatest(F.col("at") - reach, F.lit(1)), 2 * reach).alias("near"))
+    retrieved = found.dropDuplicates(["doc_id", "at", "license"])
     part = F.size(F.array_intersect("near", "sh")) / F.col("n")
     checked = retrieved.join(F.broadcast(known), "license").withColumn("containment", part).where(F.col("containment") >= containment)
     passages = F.count_distinct(F.floor(F.col("at") / (F.col("n") + WINDOW)))

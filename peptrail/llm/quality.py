@@ -224,7 +224,8 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, quantile:
     """Per row: doc_id, lang, perplexity, most (the threshold), kept."""
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].cast("string").alias("lang"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     good = labels.where(labels["quality"] == 1).select(labels["doc_id"].cast("long").alias("doc_id")).distinct()
-    folder, shards = train(spark, rows.select("doc_id", "text").join(good, "doc_id", "left_semi"))
+    # A merge join at every size: labels grow with the documents.
+    folder, shards = train(spark, rows.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left_semi"))
     if not shards:
         return rows.select("doc_id", "lang", F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("most"), F.lit(True).alias("kept"))
     scored = scratch.save(spark, score(rows, folder, shards, "doc_id", "lang"), "scores")
