@@ -53,17 +53,20 @@ def _near(df: DataFrame, small: DataFrame, rows: int) -> DataFrame:
     return df.join(F.broadcast(small) if rows <= BROADCAST_SOURCES else small, "sid")
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, times, taken.
-
-    ``times`` is how often the document is taken and ``taken`` its words counted so often.
-    A source whose target is its size or more takes every document once (or twice) whole,
-    and the hash threshold deals out the rest.
-    """
+def _marked(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_sid`` (the source made non-null) and ``_hash`` (60 bits of the doc_id's digest)."""
     hashed = F.conv(F.substring(F.md5(F.coalesce(docs["doc_id"].cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
     source = docs["source"]
     sid = F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source.cast("string")))
-    sized = scratch.save(spark, docs.select("doc_id", source.cast("string").alias("source"), sid.alias("sid"), F.regexp_count(F.coalesce(docs["text"], F.lit("")), F.lit(WORD)).cast("long").alias("size"), hashed.alias("hash")), "sized")
+    return docs.select(*(docs[c] for c in docs.columns if c not in ("_sid", "_hash")), sid.alias("_sid"), hashed.alias("_hash"))
+
+
+def thresholds(spark: SparkSession, sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> tuple[DataFrame, int]:
+    """``(plan, rows)``: one row per source of ``sized(source, sid, size, hash)``.
+
+    plan: sid, source_size, target, whole (times that every document is taken), bound (documents
+    with a smaller hash are taken once more).
+    """
     totals = scratch.save(spark, sized.groupBy("source", "sid").agg(F.sum("size").alias("source_size")), "totals")
     rows = totals.count()
     goal = targets(totals, weights, share, most).drop("source")
@@ -82,6 +85,34 @@ def mix_sources(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] =
         state = scratch.save(spark, first.select("sid", F.col("x.rest").alias("rest"), F.col("x.bin").alias("prefix"), (F.col("x.run") - F.col("x.words")).alias("before"), F.col("x.words").alias("words")), f"bound{left}")
     # The document in which the budget ends is taken if that brings the sum nearer.
     bound = state.select("sid", F.when(F.col("before") + F.col("words") / 2 > F.col("rest"), F.col("prefix")).otherwise(F.col("prefix") + 1).alias("bound"))
-    plan = goal.join(bound, "sid", "left").select("sid", "source_size", "target", "whole", F.coalesce("bound", F.lit(1 << BITS)).alias("bound"))
+    return goal.join(bound, "sid", "left").select("sid", "source_size", "target", "whole", F.coalesce("bound", F.lit(1 << BITS)).alias("bound")), rows
+
+
+def _sized(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
+    marked = _marked(docs.select("doc_id", "source", "text"))
+    return scratch.save(spark, marked.select("doc_id", F.col("source").cast("string").alias("source"), F.col("_sid").alias("sid"), size.alias("size"), F.col("_hash").alias("hash")), "sized")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """Per document: doc_id, source, size, source_size, target, times, taken.
+
+    ``times`` is how often the document is taken and ``taken`` its words counted so often.
+    A source whose target is its size or more takes every document once (or twice) whole,
+    and the hash threshold deals out the rest.
+    """
+    sized = _sized(spark, docs)
+    plan, rows = thresholds(spark, sized, weights, share, most)
     times = F.col("whole") + F.when((F.col("hash") < F.col("bound")) & (F.col("whole") < most), 1).otherwise(0)
     return _near(sized, plan, rows).select("doc_id", "source", "size", "source_size", "target", times.alias("times"), (F.col("size") * times).alias("taken"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them; no text is shuffled."""
+    plan, rows = thresholds(spark, _sized(spark, docs), weights, share, most)
+    limits = plan.select(F.col("sid").alias("_sid"), F.col("whole").alias("_whole"), F.col("bound").alias("_bound"))
+    marked = _marked(docs)
+    taken = marked.join(F.broadcast(limits) if rows <= BROADCAST_SOURCES else limits, "_sid")
+    times = F.col("_whole") + F.when((F.col("_hash") < F.col("_bound")) & (F.col("_whole") < most), 1).otherwise(0)
+    kept = taken.withColumn("_times", times.cast("int")).where("_times > 0")
+    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)

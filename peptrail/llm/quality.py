@@ -220,18 +220,41 @@ def thresholds(scores: DataFrame, quantile: float) -> DataFrame:
     return scores.where("lang is not null").groupBy("lang").agg(q).union(scores.agg(F.lit(None).cast("string").alias("lang"), q))
 
 
+def _trusted(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    good = labels.where(labels["quality"] == 1).select(labels["doc_id"].cast("long").alias("doc_id")).distinct()
+    # A merge join at every size: labels grow with the documents.
+    return rows.join(good.hint("merge"), "doc_id", "left_semi")
+
+
+def _limited(scored: DataFrame, limits: DataFrame) -> DataFrame:
+    """``scored`` with ``most``, its language's threshold or else that of all trusted documents."""
+    rest = limits.where("lang is null").select(F.col("most").alias("overall"))  # one row
+    own = limits.where("lang is not null").select(F.col("lang").alias("_lang"), F.col("most").alias("own"))
+    return scored.join(own, F.col("lang") == F.col("_lang"), "left").join(F.broadcast(rest)).withColumn("most", F.coalesce("own", "overall")).drop("_lang", "own", "overall")
+
+
 def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """Per row: doc_id, lang, perplexity, most (the threshold), kept."""
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].cast("string").alias("lang"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    good = labels.where(labels["quality"] == 1).select(labels["doc_id"].cast("long").alias("doc_id")).distinct()
-    # A merge join at every size: labels grow with the documents.
-    folder, shards = train(spark, rows.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left_semi"))
+    folder, shards = train(spark, _trusted(rows.select("doc_id", "text"), labels))
     if not shards:
         return rows.select("doc_id", "lang", F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("most"), F.lit(True).alias("kept"))
     scored = scratch.save(spark, score(rows, folder, shards, "doc_id", "lang"), "scores")
-    limits = scratch.save(spark, thresholds(scored.join(good, "doc_id", "left_semi"), quantile), "limits")
-    rest = limits.where("lang is null").select(F.col("most").alias("overall"))  # one row
-    own = limits.where("lang is not null")
-    out = scored.join(own, "lang", "left").join(F.broadcast(rest))
-    most = F.coalesce("most", "overall")
-    return out.select("doc_id", "lang", "perplexity", most.alias("most"), F.coalesce(F.col("perplexity") <= most, F.lit(True)).alias("kept"))
+    limits = scratch.save(spark, thresholds(_trusted(scored, labels), quantile), "limits")
+    return _limited(scored, limits).select("doc_id", "lang", "perplexity", "most", F.coalesce(F.col("perplexity") <= F.col("most"), F.lit(True)).alias("kept"))
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """The rows of ``docs`` that are not rejected; their texts pass through the scorer, not through a shuffle."""
+    ids = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].cast("string").alias("lang"), docs["text"])
+    trusted = scratch.save(spark, _trusted(ids, labels), "trusted")
+    folder, shards = train(spark, trusted)
+    if not shards:
+        return docs
+    limits = scratch.save(spark, thresholds(score(trusted, folder, shards, "lang"), quantile), "limits")
+    # Other columns travel in one struct under names of their own, so that none clashes.
+    others = [c for c in docs.columns if c != "text"]
+    row = F.struct(*(docs[c].alias(f"c{i}") for i, c in enumerate(others)))
+    scored = score(docs.select(docs["lang"].cast("string").alias("lang"), docs["text"], row.alias("row")), folder, shards)
+    kept = _limited(scored, limits).where(F.coalesce(F.col("perplexity") <= F.col("most"), F.lit(True)))
+    return kept.select(*(F.col("text") if c == "text" else F.col(f"row.c{others.index(c)}").alias(c) for c in docs.columns))

@@ -91,7 +91,7 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0)
 FROM d LEFT JOIN kept USING (doc_id)""",
     "op4_embedding_dedup": """
 WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
-u AS (SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, x -> x * x))) AS n FROM v),
+u AS (SELECT vec_id, label, e, sqrt(list_inner_product(e, e)) AS n FROM v),
 l AS (SELECT a.vec_id AS i, b.vec_id AS j FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.n > 0 AND b.n > 0 AND list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.98),
 r(i, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.j, r.c FROM r JOIN l ON l.i = r.i),
 g AS (SELECT i, min(c) AS component_id FROM r GROUP BY i),
