@@ -1,10 +1,287 @@
-"""Registered queries of the peptide engine and the equivalent DuckDB SQL."""
+"""Registered queries over the driver's tables and their DuckDB SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from peptrail.functions import annotations
+from peptrail.operators import functional, index, search
+from peptrail.operators.settle import running_sum, settle
+from peptrail.operators.taxonomy import lowest_common_ancestor
+from peptrail.plans import tables
+from peptrail.plans.engine import PeptideEngine, as_json
+from peptrail.sources.files import requests
+
+BOUNDS = ("BOLT", "I", "LL", "WIDGET", "S", "ZZZZ")
+MARKED = ("E-S", "L-", "-", "$", "K-B", "T-S")
+REQUESTS = ('{"peptides": ["BOLT", "LL"]}', '{"peptides": ["I"], "cutoff": 7, "equalize_I_and_L": true}', '{"peptides": [], "clean_taxa": true}')
+
+_engines: dict[tuple, PeptideEngine] = {}
+
+
+def engine(spark: SparkSession, sf_dir: str, sparseness: int = 1) -> PeptideEngine:
+    """The prepared database of a folder: built once in a session, then searched many times."""
+    key = (spark.sparkContext.applicationId, sf_dir, sparseness)
+    if key not in _engines:
+        _engines[key] = PeptideEngine(tables.proteins(spark, sf_dir), tables.taxonomy(spark, sf_dir), sparseness)
+    return _engines[key]
+
+
+def _flat(df: DataFrame) -> DataFrame:
+    """Analysis rows with arrays and maps as ordered text."""
+    data = F.array_join(F.transform(F.array_sort(F.map_entries("fa.data")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), " ")
+    count = lambda k: F.element_at("fa.counts", F.lit(k))
+    return df.select("ord", "sequence", "lca", F.array_join(F.transform("taxa", lambda x: x.cast("string")), " ").alias("taxa"), F.array_join("uniprot_accession_numbers", " ").alias("accessions"), count("all").alias("n_all"), count("EC").alias("n_ec"), count("GO").alias("n_go"), count("IPR").alias("n_ipr"), data.alias("data"), "cutoff_used")
+
+
+def occurrences_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine(spark, sf_dir).occurrences(tables.peptides(spark).select(F.col("sequence").alias("pep")), True)
+
+
+def occurrences_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine(spark, sf_dir).occurrences(tables.peptides(spark).select(F.col("sequence").alias("pep")), False)
+
+
+def occurrences_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepared = engine(spark, sf_dir).proteins
+    return search.indexed_occurrences(index.seed_index(prepared), prepared, tables.peptides(spark).select(F.col("sequence").alias("pep")), False)
+
+
+def occurrences_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = search.occurrences(engine(spark, sf_dir).proteins, tables.peptides(spark, MARKED).select(F.col("sequence").alias("pep")), True)
+    return hits.groupBy("pep").agg(F.count(F.lit(1)).alias("hits"), F.count("protein_idx").alias("in_protein"), F.min(F.col("start_pos") + F.col("off")).alias("first_pos"))
+
+
+def analyse_peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(engine(spark, sf_dir).analyse(tables.peptides(spark), equalize=True))
+
+
+def analyse_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(engine(spark, sf_dir, 3).analyse(tables.peptides(spark), cutoff=40))
+
+
+def analyse_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(engine(spark, sf_dir).analyse(tables.peptides(spark), equalize=True, clean_taxa=True))
+
+
+def search_peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = engine(spark, sf_dir).search(tables.peptides(spark), cutoff=25, clean_taxa=True)
+    text = lambda p: F.concat_ws(":", p["taxon"].cast("string"), p["uniprot_accession"], F.array_join(p["functional_annotations"], ";"))
+    return found.select("ord", "sequence", F.array_join(F.transform("proteins", text), " ").alias("proteins"), "cutoff_used")
+
+
+def search_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_json(engine(spark, sf_dir).search(tables.peptides(spark), cutoff=2))
+
+
+def peptide_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine(spark, sf_dir).exists(tables.peptides(spark))
+
+
+def tree_taxon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine(spark, sf_dir).taxon(tables.peptides(spark))
+
+
+def taxonomy_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = engine(spark, sf_dir).paths
+    return paths.select("id", F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"), F.col("depth").cast("long").alias("depth"), "snapped")
+
+
+def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of taxa of all ranks, some of them ancestors of others."""
+    part = tables.read(spark, sf_dir, "part").select((F.col("p_partkey") % 200).alias("g"), "p_partkey", "p_size")
+    nations = part.where("p_partkey % 7 < 3").select("g", (100 + F.col("g") % 25 + F.col("p_size") % 2 * (F.col("g") % 3)).alias("t")).where("t < 125")
+    regions = part.where("g % 3 = 0").select("g", (10 + F.col("p_size") % 5).alias("t"))
+    suppliers = part.where("g % 4 = 1").select("g", (1001 + F.col("g") % 10).alias("t"))
+    return nations.union(regions).union(suppliers).select(F.col("g").cast("long"), F.col("t").cast("long").alias("taxon_id"))
+
+
+def lca_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lowest_common_ancestor(_groups(spark, sf_dir), engine(spark, sf_dir).paths, "g")
+
+
+def lca_star_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lowest_common_ancestor(_groups(spark, sf_dir), engine(spark, sf_dir).paths, "g", star=True)
+
+
+def _branded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    brand = tables.read(spark, sf_dir, "part").select((F.col("p_partkey") - 1).alias("protein_idx"), "p_brand")
+    return tables.proteins(spark, sf_dir).join(brand, "protein_idx")
+
+
+def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return functional.category_counts(_branded(spark, sf_dir), "p_brand").withColumnRenamed("all", "n_all")
+
+
+def annotation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return functional.annotation_counts(_branded(spark, sf_dir), "p_brand")
+
+
+def pack_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = tables.proteins(spark, sf_dir).withColumn("packed", annotations.pack(F.col("fa")))
+    return packed.select("uniprot_id", F.hex("packed").alias("packed"), annotations.unpack(F.col("packed")).alias("unpacked"))
+
+
+def code_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables.proteins(spark, sf_dir)
+    names = rows.select(F.explode(annotations.split(F.col("fa"))).alias("annotation")).distinct()
+    dictionary = settle(running_sum(names, ["annotation"], F.lit(1).cast("long"), "code").select(F.col("code").cast("int").alias("code"), "annotation"))
+    codes = annotations.encode_codes(rows, "uniprot_id", "fa", dictionary)
+    return codes.select("uniprot_id", F.hex("codes").alias("codes")).join(annotations.decode_codes(codes, "uniprot_id", "codes", dictionary), "uniprot_id")
+
+
+def suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.suffix_array(engine(spark, sf_dir).proteins, 7)
+
+
+def suffix_to_protein(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepared = engine(spark, sf_dir).proteins
+    end = prepared.agg(F.max(F.col("start_pos") + F.length("closed")).alias("end"))
+    return index.protein_at(end.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("end") - 1, F.lit(7).cast("long"))).alias("pos")), prepared)
+
+
+def search_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepared = engine(spark, sf_dir).proteins
+    return search.search_bounds(index.suffix_array(prepared, 7), prepared, tables.peptides(spark, BOUNDS))
+
+
+def seed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seeds = index.seed_index(engine(spark, sf_dir).proteins)
+    return seeds.groupBy(F.col("seed").cast("string").alias("seed")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("protein_idx").alias("proteins"))
+
+
+def prefix_lca(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir)
+    return index.prefix_lca(e.proteins, e.paths, 2)
+
+
+def protein_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slice ``(begin, size)`` of each protein in the text."""
+    return engine(spark, sf_dir).proteins.select("protein_idx", "uniprot_id", F.col("start_pos").alias("begin"), F.length("sequence").cast("long").alias("size"))
+
+
+def request_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.createDataFrame([(x,) for x in REQUESTS], "value string")
+    return requests(lines).select(F.array_join("peptides", " ").alias("peptides"), "cutoff", "equalize", "clean")
+
+
+def benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences of every benchmark text in every document: the same search over long texts."""
+    docs = tables.read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("exact")).withColumn("text", F.translate("exact", "L", "I"))
+    items = tables.read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("pep")).where(F.length("pep") > 0)
+    hits = search._join(docs.withColumnRenamed("doc_id", "protein_idx"), F.octet_length("exact") - 1, items.select("pep").distinct(), False, 24, ["protein_idx"])
+    return hits.join(items, "pep").groupBy("item_id", F.col("protein_idx").alias("doc_id")).agg(F.count(F.lit(1)).alias("hits"), F.min("off").cast("long").alias("first_byte"))
+
+
+_QUERIES = (
+    occurrences_folded, occurrences_exact, occurrences_indexed, occurrences_marked, analyse_peptides, analyse_cutoff, analyse_clean,
+    search_peptides, search_json, peptide_exists, tree_taxon, taxonomy_lineage, lca_groups, lca_star_groups, category_counts, annotation_counts,
+    pack_annotations, code_annotations, suffix_array, suffix_to_protein, search_bounds, seed_index, prefix_lca, protein_starts, request_defaults, benchmark_passages,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _QUERIES}
+
+_PROT = """
+prot AS (SELECT CAST(p_partkey - 1 AS BIGINT) AS idx, 'P' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS uniprot_id, CAST(100 + p_partkey % 25 AS BIGINT) AS taxon_id, upper(replace(p_name, ' ', '')) AS s,
+  'EC:1.' || CAST(p_size % 7 AS VARCHAR) || '.1.-;GO:' || lpad(CAST(p_partkey % 50 AS VARCHAR), 7, '0') || ';IPR:IPR' || lpad(CAST(p_size AS VARCHAR), 6, '0') AS fa, p_brand FROM part),
+txt AS (SELECT string_agg(s, '-' ORDER BY idx) || '$' AS t, translate(string_agg(s, '-' ORDER BY idx) || '$', 'L', 'I') AS ti FROM prot),
+st AS (SELECT *, CAST(sum(length(s) + 1) OVER (ORDER BY idx) - length(s) - 1 AS BIGINT) AS start FROM prot)"""
+
+_TAX = """
+tax AS (SELECT 1::BIGINT AS id, 'no rank' AS rnk, 1::BIGINT AS parent, true AS valid
+  UNION ALL SELECT 10 + r_regionkey, 'superkingdom', 1, true FROM region
+  UNION ALL SELECT 100 + n_nationkey, 'genus', 10 + n_regionkey, n_nationkey % 7 <> 0 FROM nation
+  UNION ALL SELECT 1000 + s_suppkey, 'species', 100 + s_nationkey, true FROM supplier),
+lin(id, path, depth, snapped) AS (SELECT id, [id], 0::BIGINT, id FROM tax WHERE id = parent
+  UNION ALL SELECT tax.id, list_append(path, tax.id), depth + 1, CASE WHEN valid AND rnk <> 'no rank' THEN tax.id ELSE snapped END FROM tax JOIN lin ON tax.parent = lin.id WHERE tax.id <> tax.parent)"""
+
+_PEPTIDES = "pep(ord, sequence, pep) AS (VALUES " + ", ".join(f"({i}::BIGINT, '{x}', '{x.strip().upper()}')" for i, x in enumerate(tables.PEPTIDES)).replace("\n", "' || chr(10) || '") + ")"
+
+
+def _hits(equalize: bool, k: int = 1) -> str:
+    fold = (lambda x: f"translate({x}, 'L', 'I')") if equalize else (lambda x: x)
+    return f"""spot AS (SELECT *, unnest(range(0, length(s))) AS off FROM st),
+raw AS (SELECT ord, sequence, pep, idx, uniprot_id, taxon_id, fa, start + off AS pos, CAST(({k} - (start + off) % {k}) % {k} AS BIGINT) AS skip FROM pep JOIN spot ON {fold("substr(s, CAST(off AS INT) + 1, length(pep))")} = {fold("pep")}),
+hit AS (SELECT raw.*, row_number() OVER (PARTITION BY ord ORDER BY skip, substr(ti, CAST(pos + skip AS INT) + 1)) AS rn FROM raw, txt)"""
+
+
+def _occurrences(equalize: bool, columns: str = "sequence AS pep, idx AS protein_idx, uniprot_id, taxon_id, pos") -> str:
+    return f"WITH {_PROT}, {_PEPTIDES.replace('.strip().upper()', '')}, {_hits(equalize)} SELECT DISTINCT {columns} FROM hit WHERE sequence = pep"
+
+
+def _lca(members: str, star: bool = False) -> str:
+    """CTE ``lca(g, ancestor, lca)`` of CTE ``mem(g, taxon_id)``."""
+    inner = "m AS (SELECT a.* FROM m0 a WHERE NOT EXISTS (SELECT 1 FROM m0 b WHERE b.g = a.g AND b.taxon_id <> a.taxon_id AND list_contains(b.path, a.taxon_id)))" if star else "m AS (SELECT * FROM m0)"
+    return f"""m0 AS (SELECT DISTINCT g, taxon_id, path FROM ({members}) x JOIN lin ON lin.id = x.taxon_id), {inner},
+up AS (SELECT g, unnest(path) AS ancestor FROM m), cnt AS (SELECT g, ancestor, count(*) AS n FROM up GROUP BY ALL),
+lca AS (SELECT g, arg_max(ancestor, depth) AS ancestor, arg_max(snapped, depth) AS lca FROM cnt JOIN lin ON lin.id = ancestor WHERE n = (SELECT count(*) FROM m WHERE m.g = cnt.g) GROUP BY g)"""
+
+
+def _analyse(cutoff: int, equalize: bool, k: int = 1, cleaned: bool = False) -> str:
+    keep = "JOIN tax ON tax.id = taxon_id AND valid" if cleaned else ""
+    return f"""WITH RECURSIVE {_PROT}, {_TAX}, {_PEPTIDES}, {_hits(equalize, k)},
+cut AS (SELECT * FROM hit WHERE rn <= {max(cutoff, 1)} AND octet_length(CAST(pep AS BLOB)) >= {k}), fnd AS (SELECT ord, sequence, max(rn) >= {cutoff} AS cutoff_used FROM cut GROUP BY ALL),
+kept AS (SELECT cut.* FROM cut {keep}), {_lca("SELECT ord AS g, taxon_id FROM kept", True)},
+agg AS (SELECT ord, string_agg(CAST(taxon_id AS VARCHAR), ' ' ORDER BY rn) AS taxa, string_agg(uniprot_id, ' ' ORDER BY rn) AS accessions, count(*) AS n_all, count(DISTINCT uniprot_id) AS n FROM kept GROUP BY ord),
+ann AS (SELECT ord, a, count(*) AS n FROM (SELECT ord, unnest(string_split(fa, ';')) AS a FROM kept) GROUP BY ALL),
+dat AS (SELECT ord, string_agg(a || '=' || CAST(n AS VARCHAR), ' ' ORDER BY a) AS data FROM ann GROUP BY ord)
+SELECT fnd.ord, fnd.sequence, CASE WHEN cutoff_used THEN 1 ELSE lca END AS lca, coalesce(taxa, '') AS taxa, coalesce(accessions, '') AS accessions, coalesce(n_all, 0) AS n_all, coalesce(n, 0) AS n_ec, coalesce(n, 0) AS n_go, coalesce(n, 0) AS n_ipr, coalesce(data, '') AS data, cutoff_used
+FROM fnd LEFT JOIN agg USING (ord) LEFT JOIN dat USING (ord) LEFT JOIN lca ON lca.g = fnd.ord WHERE cutoff_used OR lca IS NOT NULL"""
+
+
+_GROUPS = """SELECT g, 100 + g % 25 + p_size % 2 * (g % 3) AS taxon_id FROM part0 WHERE p_partkey % 7 < 3 AND 100 + g % 25 + p_size % 2 * (g % 3) < 125
+  UNION ALL SELECT g, 10 + p_size % 5 FROM part0 WHERE g % 3 = 0 UNION ALL SELECT g, 1001 + g % 10 FROM part0 WHERE g % 4 = 1"""
+_PART0 = "part0 AS (SELECT CAST(p_partkey % 200 AS BIGINT) AS g, p_partkey, p_size FROM part)"
+
+
+def _packed(fa: str) -> str:
+    part = lambda p: f"array_to_string(list_transform(list_filter(string_split({fa}, ';'), lambda x: starts_with(x, '{p}')), lambda x: substr(x, {len(p) + 1})), ';')"
+    return f"{part('EC:')} || ',' || {part('GO:')} || ',' || {part('IPR:IPR')}"
+
+
+_DICT = "names AS (SELECT DISTINCT unnest(string_split(fa, ';')) AS a FROM prot), dict AS (SELECT a, row_number() OVER (ORDER BY a) - 1 AS code FROM names)"
+
+ORACLE: dict[str, str] = {
+    "occurrences_folded": _occurrences(True),
+    "occurrences_exact": _occurrences(False),
+    "occurrences_indexed": _occurrences(False, "sequence AS pep, idx AS protein_idx, off").replace("start + off AS pos", "CAST(off AS INT) AS off, start + off AS pos"),
+    "occurrences_marked": f"""WITH {_PROT}, pep AS (SELECT unnest([{", ".join(f"'{x}'" for x in MARKED)}]) AS pep),
+spot AS (SELECT unnest(range(0, length(ti))) AS pos, ti FROM txt),
+hit AS (SELECT pep, pos, substr(ti, CAST(pos AS INT) + 1, 1) AS c FROM pep JOIN spot ON substr(ti, CAST(pos AS INT) + 1, length(pep)) = translate(pep, 'L', 'I'))
+SELECT pep, count(*) AS hits, count(*) FILTER (WHERE c NOT IN ('-', '$')) AS in_protein, min(pos) AS first_pos FROM hit GROUP BY pep""",
+    "analyse_peptides": _analyse(10_000, True),
+    "analyse_cutoff": _analyse(40, False, 3),
+    "analyse_clean": _analyse(10_000, True, cleaned=True),
+    "search_peptides": f"""WITH RECURSIVE {_PROT}, {_TAX}, {_PEPTIDES}, {_hits(False)}, cut AS (SELECT * FROM hit WHERE rn <= 25),
+fnd AS (SELECT ord, sequence, max(rn) >= 25 AS cutoff_used FROM cut GROUP BY ALL),
+agg AS (SELECT ord, string_agg(CAST(taxon_id AS VARCHAR) || ':' || uniprot_id || ':' || fa, ' ' ORDER BY rn) AS proteins FROM cut JOIN tax ON tax.id = taxon_id AND valid GROUP BY ord)
+SELECT ord, sequence, coalesce(proteins, '') AS proteins, cutoff_used FROM fnd LEFT JOIN agg USING (ord)""",
+    "search_json": f"""WITH {_PROT}, {_PEPTIDES}, {_hits(False)}, cut AS (SELECT * FROM hit WHERE rn <= 2),
+agg AS (SELECT ord, sequence, max(rn) >= 2 AS used, string_agg('{{"taxon":' || CAST(taxon_id AS VARCHAR) || ',"uniprot_accession":"' || uniprot_id || '","functional_annotations":["' || replace(fa, ';', '","') || '"]}}', ',' ORDER BY rn) AS p FROM cut GROUP BY ALL)
+SELECT ord, '{{"sequence":"' || replace(sequence, chr(10), '\\n') || '","proteins":[' || p || '],"cutoff_used":' || CAST(used AS VARCHAR) || '}}' AS json FROM agg""",
+    "peptide_exists": f"WITH {_PROT}, {_PEPTIDES} SELECT ord, sequence, EXISTS (SELECT 1 FROM prot WHERE contains(s, pep)) AS found FROM pep",
+    "tree_taxon": f"WITH RECURSIVE {_PROT}, {_TAX}, {_PEPTIDES}, {_lca('SELECT DISTINCT pep AS g, taxon_id FROM pep JOIN prot ON contains(s, pep)')} SELECT ord, sequence, lca AS taxon FROM pep LEFT JOIN lca ON g = pep",
+    "taxonomy_lineage": f"WITH RECURSIVE {_TAX} SELECT id, array_to_string(path, '/') AS path, depth, snapped FROM lin",
+    "lca_groups": f"WITH RECURSIVE {_TAX}, {_PART0}, {_lca(_GROUPS)} SELECT * FROM lca",
+    "lca_star_groups": f"WITH RECURSIVE {_TAX}, {_PART0}, {_lca(_GROUPS, True)} SELECT * FROM lca",
+    "category_counts": f"WITH {_PROT} SELECT p_brand, count(*) AS n_all, count(DISTINCT CASE WHEN contains(fa, 'EC:') THEN uniprot_id END) AS ec, count(DISTINCT CASE WHEN contains(fa, 'GO:') THEN uniprot_id END) AS go, count(DISTINCT CASE WHEN contains(fa, 'IPR:') THEN uniprot_id END) AS ipr FROM prot GROUP BY p_brand",
+    "annotation_counts": f"WITH {_PROT}, a AS (SELECT p_brand, unnest(string_split(fa, ';')) AS annotation FROM prot) SELECT p_brand, annotation, count(*) AS n FROM a GROUP BY ALL",
+    "pack_annotations": f"WITH {_PROT}, p AS (SELECT uniprot_id, fa, {_packed('fa')} AS x FROM prot) SELECT uniprot_id, translate(CASE WHEN length(x) % 2 = 1 THEN x || '$' ELSE x END, '$0123456789-.,;', '0123456789ABCDE') AS packed, fa AS unpacked FROM p",
+    "code_annotations": f"""WITH {_PROT}, {_DICT}, e AS (SELECT uniprot_id, fa, unnest(string_split(fa, ';')) AS a, unnest(range(0, len(string_split(fa, ';')))) AS i FROM prot)
+SELECT uniprot_id, string_agg(printf('%02X%02X%02X', code % 256, code // 256 % 256, code // 65536), '' ORDER BY i) AS codes, any_value(fa) AS text FROM e JOIN dict USING (a) GROUP BY uniprot_id""",
+    "suffix_array": f"""WITH {_PROT}, spot AS (SELECT unnest(range(0, length(ti), 7)) AS pos, ti FROM txt), r AS (SELECT row_number() OVER (ORDER BY substr(ti, CAST(pos AS INT) + 1)) - 1 AS rank, pos FROM spot)
+SELECT rank, pos, idx AS protein_idx FROM r LEFT JOIN st ON pos >= start AND pos < start + length(s)""",
+    "suffix_to_protein": f"WITH {_PROT}, spot AS (SELECT unnest(range(0, length(ti), 7)) AS pos FROM txt) SELECT pos, idx AS protein_idx FROM spot LEFT JOIN st ON pos >= start AND pos < start + length(s)",
+    "search_bounds": f"""WITH {_PROT}, spot AS (SELECT unnest(range(0, length(ti), 7)) AS pos, ti FROM txt), r AS (SELECT row_number() OVER (ORDER BY substr(ti, CAST(pos AS INT) + 1)) - 1 AS rank, substr(ti, CAST(pos AS INT) + 1, 20) AS h FROM spot)
+SELECT pep, min(rank) AS lo, max(rank) + 1 AS hi FROM r JOIN (SELECT unnest([{", ".join(f"'{x}'" for x in BOUNDS)}]) AS pep) ON starts_with(h, translate(pep, 'L', 'I')) GROUP BY pep""",
+    "seed_index": f"WITH {_PROT}, spot AS (SELECT idx, s, unnest(range(1, length(s) + 1)) AS i FROM prot) SELECT translate(substr(s, CAST(i AS INT), 5), 'L', 'I') AS seed, count(*) AS n, count(DISTINCT idx) AS proteins FROM spot GROUP BY ALL",
+    "prefix_lca": f"""WITH RECURSIVE {_PROT}, {_TAX}, spot AS (SELECT taxon_id, s, unnest(range(1, length(s) + 1)) AS i FROM prot),
+pre AS (SELECT taxon_id, substr(s, CAST(i AS INT), 1) AS g FROM spot UNION ALL SELECT taxon_id, substr(s, CAST(i AS INT), 2) FROM spot WHERE i < length(s)), {_lca("SELECT DISTINCT g, taxon_id FROM pre")}
+SELECT g AS prefix, count(*) AS n, any_value(lca) AS lca FROM pre JOIN lca USING (g) GROUP BY g""",
+    "protein_starts": f"WITH {_PROT} SELECT idx AS protein_idx, uniprot_id, start AS begin, length(s) AS size FROM st",
+    "request_defaults": "SELECT * FROM (VALUES ('BOLT LL', 10000::BIGINT, false, false), ('I', 7, true, false), ('', 10000, false, true)) AS t(peptides, cutoff, equalize, clean)",
+    "benchmark_passages": """WITH d AS (SELECT doc_id, coalesce(text, '') AS s FROM documents), i AS (SELECT item_id, text AS p FROM benchmark WHERE length(text) > 0)
+SELECT item_id, doc_id, CAST((strlen(s) - strlen(replace(s, p, ''))) / strlen(p) AS BIGINT) AS hits, CAST(strlen(split_part(s, p, 1)) AS BIGINT) AS first_byte FROM d JOIN i ON contains(s, p)""",
+}
