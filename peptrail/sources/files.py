@@ -17,7 +17,7 @@ REQUEST = "peptides array<string>, cutoff bigint, equalize_I_and_L boolean, clea
 
 def _fields(spark: SparkSession, path: str, n: int, encoding: str = "UTF-8") -> DataFrame:
     """``(line, f)`` of a tab-separated file without a header; a row with another number of fields is an error."""
-    raw = spark.read.option("encoding", encoding).csv(path, sep="\x00", quote="", schema="value string", mode="FAILFAST", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    raw = spark.read.option("encoding", encoding).csv(path, sep="\x03", quote="\x02", schema="value string", mode="FAILFAST", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     lines = ordered_lines(raw, [F.col("value")], "line")
     f = F.split(F.col("value"), "\t", -1)
     wrong = F.raise_error(F.concat(F.lit(f"expected {n} fields: "), F.col("value")))
