@@ -44,7 +44,7 @@ def targets(totals: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: floa
     ahead = F.sum("weight").over(steps.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     level = ranked.withColumn("level", (F.sum("source_size").over(everything) * F.lit(float(share)) - before) / ahead)
     cut = level.withColumn("cut", F.col("top") <= F.col("level") * F.col("weight"))
-    free = F.min(F.when(~F.col("cut"), F.col("level"))).over(everything)
+    free = F.max(F.when(~F.col("cut"), F.col("level"))).over(everything)
     return cut.select(*totals.columns, F.when(F.col("cut"), F.col("top")).otherwise(F.col("weight") * free).alias("target"))
 
 

@@ -37,6 +37,8 @@ SHARDS_HELD = 16
 #: Rows of counts that a task holds before it passes them on.
 COUNTS_HELD = 2_000_000
 QUANTILE = 0.995
+#: Without any discount nothing would be left for what was never seen.
+LEAST_DISCOUNT = 0.05
 TRIGRAM, TRIGRAM_REST, BIGRAM, BIGRAM_REST, UNIGRAM = range(5)
 
 
@@ -78,7 +80,7 @@ def _discounts(grams: DataFrame, n: str) -> dict[int, float]:
     if not all(some):
         return {1: 0.5, 2: 1.0, 3: 1.5}
     y = some[0] / (some[0] + 2 * some[1])
-    return {k: min(max(k - (k + 1) * y * some[k] / some[k - 1], 0.0), float(k)) for k in (1, 2, 3)}
+    return {k: min(max(k - (k + 1) * y * some[k] / some[k - 1], LEAST_DISCOUNT), float(k)) for k in (1, 2, 3)}
 
 
 def train(spark: SparkSession, trusted: DataFrame) -> tuple[str, int]:

@@ -109,7 +109,7 @@ s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY so
 w AS (SELECT *, CAST([5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS DOUBLE) AS w, 2.0::DOUBLE * source_size AS top FROM s),
 l AS (SELECT *, ((SELECT sum(source_size) FROM s)::DOUBLE * 1.5::DOUBLE - coalesce(sum(top) OVER (ORDER BY top / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / sum(w) OVER (ORDER BY top / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
-t AS (SELECT source, source_size, CASE WHEN top <= level * w THEN top ELSE w * (SELECT min(level) FROM l WHERE top > level * w) END AS target FROM l),
+t AS (SELECT source, source_size, CASE WHEN top <= level * w THEN top ELSE w * (SELECT max(level) FROM l WHERE top > level * w) END AS target FROM l),
 g AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
 c AS (SELECT d.*, source_size, target, whole, target - whole * source_size AS rest,
   sum(size) OVER (PARTITION BY d.source ORDER BY h) AS run, sum(size) OVER (PARTITION BY d.source, h) AS own
