@@ -9,8 +9,8 @@ that share a bucket are compared exactly.
 Document frequencies are counted over all documents in ``2 ** DF_BITS`` hash bins: a table of
 fixed size, whose bins of frequent shingles stand out; shingles rarer than ``RARE`` weigh alike.
 
-Copies of one text are one candidate. In a bucket every document is compared with one pivot,
-so work is linear in the bucket; buckets whose members are by then of one class are settled,
+Copies of one text are one candidate. In a bucket every document is compared with one pivot, at
+first the one that meets the most documents in all its buckets, so work is linear in the bucket; buckets whose members are by then of one class are settled,
 the others take another pivot, ``PIVOT_ROUNDS`` times. What is left, documents of different
 classes that share a bucket and were not compared, is compared pair by pair: no candidate
 pair of different classes goes unverified, whatever the bucket's size.
@@ -183,7 +183,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SI
 
     each = texts_of.select("id", F.explode("bands").alias("bucket"))
     shared = each.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket")
-    members = scratch.save(spark, each.join(shared, "bucket", "left_semi"), "members")
+    met = scratch.save(spark, each.join(shared, "bucket", "left_semi"), "met")
+    # How many documents a document meets in its buckets: the original of a group of copies
+    # meets more of them than its copies do, which differ from each other twice as much.
+    degrees = met.join(met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket").groupBy("id").agg(F.sum("n").alias("degree"))
+    members = scratch.save(spark, met.join(degrees, "id"), "members")
     wanted = texts_of.select("id", "key").join(members.select("id").distinct(), "id", "left_semi")
     texts = scratch.save(spark, keyed.join(wanted, ["id", "key"], "left_semi").dropDuplicates(["id", "key"]).select("id", "text"), "texts")
 
@@ -196,7 +200,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SI
     unsettled = members.withColumn("class", F.col("id"))
     for step in range(PIVOT_ROUNDS + 1):
         if step < PIVOT_ROUNDS:
-            pivot = F.min(F.struct((F.col("id") if step == 0 else F.xxhash64("id", F.lit(step))).alias("turn"), "id", "class"))
+            pivot = F.min(F.struct((-F.col("degree") if step == 0 else F.xxhash64("id", F.lit(step))).alias("turn"), "id", "class"))
             pivots = unsettled.groupBy("bucket").agg(pivot.alias("p")).select("bucket", F.col("p.id").alias("pivot"), F.col("p.class").alias("of"))
             pairs = unsettled.join(pivots, "bucket").where("class <> of").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
         else:
