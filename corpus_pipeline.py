@@ -15,8 +15,8 @@ from peptrail.llm import scratch
 from peptrail.llm.mixing import mixed
 from peptrail.llm.near_dedup import near_duplicates
 from peptrail.llm.packing import pack
-from peptrail.llm.quality import keep_good
 from peptrail.llm.substring_dedup import substring_dedup
+from peptrail.llm.word_quality import keep_good_held_out
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language model of trusted text does not reject."""
-    return keep_good(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return keep_good_held_out(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,142 @@
+"""Quality classifier: an interpolated modified Kneser-Ney model of words, scored on held-out folds.
+
+Trigrams of words are counted over every trusted text (label quality 1), so the model grows
+with the corpus. A text belongs to one of ``FOLDS`` folds by its hash; each fold's model is
+counted on the trusted texts of the other folds. Every document, trusted or not, is scored by
+the model of its own fold, which has not seen its text; thresholds are quantiles of these
+held-out perplexities per word. Nothing is sampled: all trusted texts train and all set thresholds.
+
+Counts, contexts and probabilities are tables joined by shuffles; no task holds the model and no
+row of it reaches the driver. An n-gram is named by the 64-bit hashes of its words.
+
+Edge cases: a text without words has no perplexity and is kept, and so is one whose fold has no
+model, for want of trusted text in the others; a null or untrusted language takes the quantile
+over all trusted documents; rows that share a doc_id share its label; repeated labels count
+once; empty tables give an empty result; other columns are ignored, whatever their names.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from peptrail.llm import scratch, textscan
+from peptrail.llm.quality import LEAST_DISCOUNT, QUANTILE, _limited, _trusted, thresholds
+
+FOLDS = 2
+START = 0  # stands for the two words before a text
+GRAM = ["a", "b", "c"]
+SCHEMA = pa.schema([("key", pa.int64()), *((c, pa.int64()) for c in GRAM), ("n", pa.int64())])
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct trigrams of each text and their counts, from ``(key, text)``."""
+    for batch in batches:
+        keys = batch.column("key").to_numpy(zero_copy_only=False)
+        for block in textscan.blocks(batch.column("text")):
+            row, words = block.row, block.hashes()
+            padded = np.insert(words, np.repeat(block.first[:-1], 2), textscan.U(START))
+            at = np.arange(len(words)) + 2 * (row + 1)
+            gram = [padded[at - 2], padded[at - 1], words]
+            name = row.astype(textscan.U)
+            for word in gram:
+                name = textscan.mix(name * textscan.U(textscan.MULTIPLIER) + word)
+            _, where, n = np.unique(name, return_index=True, return_counts=True)
+            columns = [pa.array(keys[block.row0 + row[where]]), *(textscan.signed(word[where]) for word in gram), pa.array(n.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, schema=SCHEMA)
+
+
+def grams(texts: DataFrame) -> DataFrame:
+    """``(key, a, b, c, n)`` of ``texts(key, text)``."""
+    return texts.select("key", "text").mapInArrow(_grams, "key long, a long, b long, c long, n long")
+
+
+def fold(key: str = "key") -> Column:
+    return F.pmod(F.col(key), F.lit(FOLDS)).cast("int")
+
+
+def _discounts(counts: DataFrame) -> Column:
+    """The discount of a row by its fold and count; 0.5, 1 and 1.5 where the counts of counts are too thin."""
+    found = counts.groupBy("fold").agg(*(F.count(F.when(F.col("n") == k, 1)).alias(f"n{k}") for k in range(1, 5))).collect()  # one row a fold
+    out = F.lit(None).cast("double")
+    for row in found:
+        some = [row[f"n{k}"] for k in range(1, 5)]
+        d = [0.5, 1.0, 1.5]
+        if all(some):
+            y = some[0] / (some[0] + 2 * some[1])
+            d = [min(max(k - (k + 1) * y * some[k] / some[k - 1], LEAST_DISCOUNT), float(k)) for k in (1, 2, 3)]
+        mine = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+        out = F.when(F.col("fold") == row["fold"], mine).otherwise(out)
+    return out
+
+
+def train(spark: SparkSession, trusted: DataFrame) -> dict[str, DataFrame]:
+    """The tables of the models of ``trusted(key, text)``, by fold of the texts they score."""
+    others = F.expr(f"filter(sequence(0, {FOLDS - 1}), f -> f <> pmod(key, {FOLDS}))")
+    counted = grams(trusted).select(F.explode(others).alias("fold"), *GRAM, "n")
+    tri = scratch.save(spark, counted.groupBy("fold", *GRAM).agg(F.sum("n").alias("n")), "word_trigrams")
+    bi = scratch.save(spark, tri.groupBy("fold", "b", "c").agg(F.count(F.lit(1)).alias("n")), "word_bigrams")
+    uni = scratch.save(spark, bi.groupBy("fold", "c").agg(F.count(F.lit(1)).alias("n")), "words")
+    d3, d2, d1 = _discounts(tri), _discounts(bi), _discounts(uni)
+
+    def contexts(counts: DataFrame, d: Column, *by: str) -> DataFrame:
+        """Per context: the sum of its counts and the mass that goes to the lower order."""
+        return counts.groupBy("fold", *by).agg(F.sum("n").alias("total"), F.sum(d).alias("mass")).select("fold", *by, "total", (F.col("mass") / F.col("total")).alias("rest"))
+
+    def seen(counts: DataFrame, d: Column, lower: Column) -> Column:
+        return (F.greatest(F.col("n") - d, F.lit(0.0)) / F.col("total") + F.col("rest") * lower).alias("p")
+
+    sums = uni.groupBy("fold").agg(F.sum("n").alias("total"), F.sum(d1).alias("mass"), F.count(F.lit(1)).alias("kinds"))
+    floors = scratch.save(spark, sums.select("fold", "total", (F.col("mass") / F.col("total") / (F.col("kinds") + 1)).alias("floor")), "floors")  # the one more is any unseen word
+    p1 = scratch.save(spark, uni.join(F.broadcast(floors), "fold").select("fold", "c", (F.greatest(F.col("n") - d1, F.lit(0.0)) / F.col("total") + F.col("floor")).alias("p1")), "p1")
+    c2 = scratch.save(spark, contexts(bi, d2, "b"), "contexts2")
+    p2 = scratch.save(spark, bi.join(c2, ["fold", "b"]).join(p1, ["fold", "c"]).select("fold", "b", "c", seen(bi, d2, F.col("p1")).alias("p2")), "p2")
+    c3 = scratch.save(spark, contexts(tri, d3, "a", "b"), "contexts3")
+    p3 = scratch.save(spark, tri.join(c3, ["fold", "a", "b"]).join(p2, ["fold", "b", "c"]).select("fold", *GRAM, seen(tri, d3, F.col("p2")).alias("p3")), "p3")
+    scratch.drop(spark, tri, bi, uni)
+    return {"floors": floors.select("fold", "floor"), "p1": p1, "rest2": c2.select("fold", "b", F.col("rest").alias("rest2")), "p2": p2, "rest3": c3.select("fold", "a", "b", F.col("rest").alias("rest3")), "p3": p3}
+
+
+def score(spark: SparkSession, texts: DataFrame, model: dict[str, DataFrame]) -> DataFrame:
+    """``(key, perplexity)`` of each distinct text of ``texts(key, text)`` with words and a model.
+
+    Copies of a text add alike to the sum of logarithms and to the number of words.
+    """
+    each = grams(texts).withColumn("fold", fold())
+    looked = each.join(model["p3"], ["fold", *GRAM], "left")
+    known = looked.where("p3 is not null").select("key", "n", F.log("p3").alias("log"))
+    unknown = looked.where("p3 is null").select("key", "fold", *GRAM, "n")
+    pairs = unknown.select("fold", "b", "c").distinct().join(model["p2"], ["fold", "b", "c"], "left").join(model["rest2"], ["fold", "b"], "left").join(model["p1"], ["fold", "c"], "left")
+    pairs = pairs.join(F.broadcast(model["floors"]), "fold")  # folds without a model go
+    lower = pairs.select("fold", "b", "c", F.coalesce("p2", F.coalesce("rest2", F.lit(1.0)) * F.coalesce("p1", "floor")).alias("lower"))
+    rest = unknown.join(lower, ["fold", "b", "c"]).join(model["rest3"], ["fold", "a", "b"], "left")
+    sums = known.union(rest.select("key", "n", F.log(F.coalesce("rest3", F.lit(1.0)) * F.col("lower")).alias("log"))).groupBy("key")
+    return scratch.save(spark, sums.agg(F.exp(-F.sum(F.col("n") * F.col("log")) / F.sum("n")).alias("perplexity")), "word_scores")
+
+
+def _scored(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Per row: doc_id, lang, key, perplexity."""
+    text = F.coalesce(docs["text"], F.lit(""))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].cast("string").alias("lang"), F.xxhash64(text).alias("key"), text.alias("text"))
+    scores = score(spark, rows, train(spark, _trusted(rows.select("doc_id", "key", "text"), labels)))
+    return scratch.save(spark, rows.select("doc_id", "lang", "key").join(scores, "key", "left"), "word_scored")
+
+
+def classify_held_out(spark: SparkSession, docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """Per row: doc_id, lang, perplexity, most (the threshold), kept, text_key."""
+    scored = _scored(spark, docs, labels)
+    limits = scratch.save(spark, thresholds(_trusted(scored, labels), quantile), "word_limits")
+    kept = F.coalesce(F.col("perplexity") <= F.col("most"), F.lit(True))
+    return _limited(scored, limits).select("doc_id", "lang", "perplexity", "most", kept.alias("kept"), F.col("key").alias("text_key"))
+
+
+def keep_good_held_out(spark: SparkSession, docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """The rows of ``docs`` that are not rejected."""
+    bad = classify_held_out(spark, docs, labels, quantile).where("not kept").select(F.col("text_key").alias("_bad_text"), F.col("lang").alias("_bad_lang")).distinct()
+    bad = scratch.save(spark, bad, "rejected")
+    same = (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["_bad_text"]) & docs["lang"].cast("string").eqNullSafe(bad["_bad_lang"])
+    return docs.join(bad, same, "left_anti")
