@@ -17,8 +17,9 @@ pair of different classes goes unverified, whatever the bucket's size.
 
 Edge cases: a null text or one without words is in no class but its own; documents of one to
 four words are one shingle of all their words; copies of any number are one class; rows that
-share a doc_id are one document; a null doc_id counts as the largest; an empty table gives an
-empty result; other columns are ignored, whatever their names.
+share a doc_id and a text are one document, different texts under one doc_id are documents of
+their own; a null doc_id counts as the largest; an empty table gives an empty result; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -169,7 +170,10 @@ def _classed(members: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Per input row: doc_id, class_id (smallest doc_id of its class), kept, text_key."""
+    """Per input row: doc_id, class_id (smallest doc_id of its class), kept, text_key.
+
+    In buckets, pairs and classes ``id`` is a text's key, as a doc_id may name several texts.
+    """
     text = F.coalesce(docs["text"], F.lit(""))
     keyed = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
     df = keyed.select("text").mapInArrow(_frequencies(size), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()  # 2 ** DF_BITS rows at most
@@ -179,7 +183,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SI
     idf = (1 + np.log((1 + total) / (1 + np.clip(counts, total * RARE, total)))).astype(np.float32)
 
     signed = scratch.save(spark, keyed.mapInArrow(_signatures(size, bands, rows, idf), "id long, key long, digest binary, bands array<long>"), "signatures")
-    texts_of = scratch.save(spark, signed.where(F.size("bands") > 0).groupBy("digest").agg(F.min(F.struct("id", "key")).alias("x"), F.first("bands").alias("bands")).select("digest", F.col("x.id").alias("id"), F.col("x.key").alias("key"), "bands"), "distinct")
+    texts_of = scratch.save(spark, signed.where(F.size("bands") > 0).groupBy("digest").agg(F.min(F.struct("id", "key")).alias("x"), F.first("bands").alias("bands")).select("digest", F.col("x.id").alias("doc"), F.col("x.key").alias("id"), "bands"), "distinct")
 
     each = texts_of.select("id", F.explode("bands").alias("bucket"))
     shared = each.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket")
@@ -188,8 +192,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SI
     # meets more of them than its copies do, which differ from each other twice as much.
     degrees = met.join(met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket").groupBy("id").agg(F.sum("n").alias("degree"))
     members = scratch.save(spark, met.join(degrees, "id"), "members")
-    wanted = texts_of.select("id", "key").join(members.select("id").distinct(), "id", "left_semi")
-    texts = scratch.save(spark, keyed.join(wanted, ["id", "key"], "left_semi").dropDuplicates(["id", "key"]).select("id", "text"), "texts")
+    wanted = texts_of.select("doc", "id").join(members.select("id").distinct(), "id", "left_semi").select(F.col("doc").alias("id"), F.col("id").alias("key"))
+    texts = scratch.save(spark, keyed.join(wanted, ["id", "key"], "left_semi").dropDuplicates(["key"]).select(F.col("key").alias("id"), "text"), "texts")
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:
         a, b = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
@@ -222,6 +226,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SI
                 unsettled = scratch.save(spark, unsettled.join(several, "bucket", "left_semi"), "several")
             if unsettled.isEmpty():
                 break
-    of = texts_of.select("digest", F.col("id").alias("rep")).join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("class"))
-    out = signed.drop("bands").join(of, "digest", "left").withColumn("class", F.coalesce("class", "id"))
-    return out.select(F.when(F.col("id") != LAST, F.col("id")).alias("doc_id"), F.when(F.col("class") != LAST, F.col("class")).alias("class_id"), (F.col("id") == F.col("class")).alias("kept"), F.col("key").alias("text_key"))
+    names = texts_of.join(classes, "id").groupBy("component").agg(F.min(F.struct("doc", "id")).alias("least"))
+    least = F.coalesce("least", F.struct("doc", "id"))
+    of = texts_of.join(classes, "id", "left").join(names, "component", "left").select("digest", least["doc"].alias("class"), least["id"].alias("class_key"))
+    out = signed.drop("bands").join(of, "digest", "left").withColumns({"class": F.coalesce("class", "id"), "class_key": F.coalesce("class_key", "key")})
+    kept = (F.col("id") == F.col("class")) & (F.col("key") == F.col("class_key"))
+    return out.select(F.when(F.col("id") != LAST, F.col("id")).alias("doc_id"), F.when(F.col("class") != LAST, F.col("class")).alias("class_id"), kept.alias("kept"), F.col("key").alias("text_key"))

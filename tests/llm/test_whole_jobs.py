@@ -8,6 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+from peptrail.llm.near_dedup import near_duplicates
 from peptrail.llm.word_quality import FOLDS, classify_held_out, keep_good_held_out
 
 draw = random.Random(11)
@@ -76,3 +78,18 @@ def test_quality_scores_words_on_held_out_folds(spark):
     kept = keep_good_held_out(spark, docs, labels, 0.9)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i in got if got[i].kept)
     assert any(not g.kept for g in got.values())
+
+
+def test_near_dedup_tells_texts_under_one_id_apart(spark):
+    base, other, clean, more = prose(200), prose(200), prose(200), prose(200)
+    rows = [(1, base), (7, base + " end"), (7, clean), (None, other), (None, other + " end"), (None, more), (9, "a b c d e f"), (9, "a b c d e f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    keys = {r.k: r.text for r in docs.select(F.xxhash64("text").alias("k"), "text").collect()}
+    got = near_duplicates(spark, docs).collect()
+    one = {keys[r.text_key]: (r.doc_id, r.class_id, r.kept) for r in got}
+    assert len(got) == len(rows)
+    assert one[base] == (1, 1, True) and one[base + " end"] == (7, 1, False)
+    assert one[clean] == (7, 7, True) and one[more] == (None, None, True)
+    assert sorted(one[t][2] for t in (other, other + " end")) == [False, True] and one[other][1] is None
+    kept = sorted(r.text for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert kept == sorted([base, clean, more, "a b c d e f", next(t for t in (other, other + " end") if one[t][2])])
