@@ -90,10 +90,10 @@ def taxonomy_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.select("id", F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"), F.col("depth").cast("long").alias("depth"), "snapped")
 
 
-def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of taxa of all ranks, some of them ancestors of others."""
+def _groups(spark: SparkSession, sf_dir: str, parts: str = "p_partkey % 7 < 3") -> DataFrame:
+    """Groups of taxa of all ranks, some of them ancestors of others; genera of some ``parts``."""
     part = tables.read(spark, sf_dir, "part").select((F.col("p_partkey") % 200).alias("g"), "p_partkey", "p_size")
-    nations = part.where("p_partkey % 7 < 3").select("g", (100 + F.col("g") % 25 + F.col("p_size") % 2 * (F.col("g") % 3)).alias("t")).where("t < 125")
+    nations = part.where(parts).select("g", (100 + F.col("g") % 25 + F.col("p_size") % 2 * (F.col("g") % 3)).alias("t")).where("t < 125")
     regions = part.where("g % 3 = 0").select("g", (10 + F.col("p_size") % 5).alias("t"))
     suppliers = part.where("g % 4 = 1").select("g", (1001 + F.col("g") % 10).alias("t"))
     return nations.union(regions).union(suppliers).select(F.col("g").cast("long"), F.col("t").cast("long").alias("taxon_id"))
@@ -107,6 +107,14 @@ def lca_star_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lowest_common_ancestor(_groups(spark, sf_dir), engine(spark, sf_dir).paths, "g", star=True)
 
 
+def lca_groups_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lowest_common_ancestor(_groups(spark, sf_dir, "true"), engine(spark, sf_dir).paths, "g")
+
+
+def lca_star_groups_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lowest_common_ancestor(_groups(spark, sf_dir, "true"), engine(spark, sf_dir).paths, "g", star=True)
+
+
 def _branded(spark: SparkSession, sf_dir: str) -> DataFrame:
     brand = tables.read(spark, sf_dir, "part").select((F.col("p_partkey") - 1).alias("protein_idx"), "p_brand")
     return tables.proteins(spark, sf_dir).join(brand, "protein_idx")
@@ -148,6 +156,23 @@ def search_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_bounds(index.suffix_array(prepared, 7), prepared, tables.peptides(spark, BOUNDS))
 
 
+def suffix_array_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every suffix, as at the reference's default sparseness."""
+    return index.suffix_array(engine(spark, sf_dir).proteins)
+
+
+def suffix_to_protein_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepared = engine(spark, sf_dir).proteins
+    # The positions of each protein and of the mark after it, so no array spans the whole text.
+    each = F.sequence(F.col("start_pos"), F.col("start_pos") + F.length("closed") - 1)
+    return index.protein_at(prepared.select(F.explode(each).alias("pos")), prepared)
+
+
+def search_bounds_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepared = engine(spark, sf_dir).proteins
+    return search.search_bounds(index.suffix_array(prepared), prepared, tables.peptides(spark, BOUNDS))
+
+
 def seed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = index.seed_index(engine(spark, sf_dir).proteins)
     return seeds.groupBy(F.col("seed").cast("string").alias("seed")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("protein_idx").alias("proteins"))
@@ -180,6 +205,7 @@ _QUERIES = (
     occurrences_folded, occurrences_exact, occurrences_indexed, occurrences_marked, analyse_peptides, analyse_cutoff, analyse_clean,
     search_peptides, search_json, peptide_exists, tree_taxon, taxonomy_lineage, lca_groups, lca_star_groups, category_counts, annotation_counts,
     pack_annotations, code_annotations, suffix_array, suffix_to_protein, search_bounds, seed_index, prefix_lca, protein_starts, request_defaults, benchmark_passages,
+    suffix_array_whole, suffix_to_protein_whole, search_bounds_whole, lca_groups_whole, lca_star_groups_whole,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _QUERIES}
 
@@ -285,3 +311,6 @@ SELECT g AS prefix, count(*) AS n, any_value(lca) AS lca FROM pre JOIN lca USING
     "benchmark_passages": """WITH d AS (SELECT doc_id, coalesce(text, '') AS s FROM documents), i AS (SELECT item_id, text AS p FROM benchmark WHERE length(text) > 0)
 SELECT item_id, doc_id, CAST((strlen(s) - strlen(replace(s, p, ''))) / strlen(p) AS BIGINT) AS hits, CAST(strlen(split_part(s, p, 1)) AS BIGINT) AS first_byte FROM d JOIN i ON contains(s, p)""",
 }
+#: Over every position and part row, beside the sparse queries of the same name.
+ORACLE |= {f"{name}_whole": ORACLE[name].replace("range(0, length(ti), 7)", "range(0, length(ti))") for name in ("suffix_array", "suffix_to_protein", "search_bounds")}
+ORACLE |= {f"{name}_whole": ORACLE[name].replace("p_partkey % 7 < 3 AND ", "") for name in ("lca_groups", "lca_star_groups")}

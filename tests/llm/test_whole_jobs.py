@@ -2,6 +2,7 @@
 
 import collections
 import math
+import os
 import random
 
 import numpy as np
@@ -11,6 +12,10 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from peptrail.llm.near_dedup import near_duplicates
 from peptrail.llm.word_quality import FOLDS, classify_held_out, keep_good_held_out
+from peptrail.operators import search
+from peptrail.plans import registry
+
+FOLDER = "/root/testdata/sf0.001"
 
 draw = random.Random(11)
 VOCABULARY = ["".join(draw.choices("abcdefghijklmnop", k=draw.randrange(2, 9))) for _ in range(60)]
@@ -93,3 +98,13 @@ def test_near_dedup_tells_texts_under_one_id_apart(spark):
     assert sorted(one[t][2] for t in (other, other + " end")) == [False, True] and one[other][1] is None
     kept = sorted(r.text for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
     assert kept == sorted([base, clean, more, "a b c d e f", next(t for t in (other, other + " end") if one[t][2])])
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the test tables")
+def test_registered_suffixes_are_every_position(spark):
+    starts = registry.QUERIES["protein_starts"](spark, FOLDER).collect()
+    size = max(r.begin + r.size for r in starts) + 1
+    for name in ("suffix_array_whole", "suffix_to_protein_whole"):
+        assert sorted(r.pos for r in registry.QUERIES[name](spark, FOLDER).collect()) == list(range(size))
+    hits = collections.Counter(r.pep for r in search.occurrences(registry.engine(spark, FOLDER).proteins, spark.createDataFrame([(x,) for x in registry.BOUNDS], "pep string"), True).collect())
+    assert {r.pep: r.hi - r.lo for r in registry.QUERIES["search_bounds_whole"](spark, FOLDER).collect()} == dict(hits)
