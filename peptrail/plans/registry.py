@@ -183,6 +183,12 @@ def prefix_lca(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.prefix_lca(e.proteins, e.paths, 2)
 
 
+def prefix_lca_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefixes up to the seed length."""
+    e = engine(spark, sf_dir)
+    return index.prefix_lca(e.proteins, e.paths, index.SEED)
+
+
 def protein_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The slice ``(begin, size)`` of each protein in the text."""
     return engine(spark, sf_dir).proteins.select("protein_idx", "uniprot_id", F.col("start_pos").alias("begin"), F.length("sequence").cast("long").alias("size"))
@@ -205,7 +211,7 @@ _QUERIES = (
     occurrences_folded, occurrences_exact, occurrences_indexed, occurrences_marked, analyse_peptides, analyse_cutoff, analyse_clean,
     search_peptides, search_json, peptide_exists, tree_taxon, taxonomy_lineage, lca_groups, lca_star_groups, category_counts, annotation_counts,
     pack_annotations, code_annotations, suffix_array, suffix_to_protein, search_bounds, seed_index, prefix_lca, protein_starts, request_defaults, benchmark_passages,
-    suffix_array_whole, suffix_to_protein_whole, search_bounds_whole, lca_groups_whole, lca_star_groups_whole,
+    suffix_array_whole, suffix_to_protein_whole, search_bounds_whole, lca_groups_whole, lca_star_groups_whole, prefix_lca_whole,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _QUERIES}
 
@@ -314,3 +320,6 @@ SELECT item_id, doc_id, CAST((strlen(s) - strlen(replace(s, p, ''))) / strlen(p)
 #: Over every position and part row, beside the sparse queries of the same name.
 ORACLE |= {f"{name}_whole": ORACLE[name].replace("range(0, length(ti), 7)", "range(0, length(ti))") for name in ("suffix_array", "suffix_to_protein", "search_bounds")}
 ORACLE |= {f"{name}_whole": ORACLE[name].replace("p_partkey % 7 < 3 AND ", "") for name in ("lca_groups", "lca_star_groups")}
+ORACLE["prefix_lca_whole"] = f"""WITH RECURSIVE {_PROT}, {_TAX}, spot AS (SELECT taxon_id, s, unnest(range(1, length(s) + 1)) AS i FROM prot),
+pre AS (SELECT taxon_id, substr(s, CAST(i AS INT), CAST(k AS INT)) AS g FROM spot JOIN range(1, {index.SEED + 1}) AS lengths(k) ON i + k - 1 <= length(s)), {_lca("SELECT DISTINCT g, taxon_id FROM pre")}
+SELECT g AS prefix, count(*) AS n, any_value(lca) AS lca FROM pre JOIN lca USING (g) GROUP BY g"""
