@@ -6,20 +6,26 @@ step per document, such that two documents pick the same with a probability equa
 weighted Jaccard similarity; bands of ``rows`` picks are hashed to buckets, and documents
 that share a bucket are compared exactly.
 
-Document frequencies are counted over all documents in ``2 ** DF_BITS`` hash bins: a table of
-fixed size, whose bins of frequent shingles stand out; shingles rarer than ``RARE`` weigh alike.
-
-Copies of one text are one candidate. In a bucket every document is compared with one pivot, at
-first the one that meets the most documents in all its buckets, so work is linear in the bucket; buckets whose members are by then of one class are settled,
-the others take another pivot, ``PIVOT_ROUNDS`` times. What is left, documents of different
-classes that share a bucket and were not compared, is compared pair by pair: no candidate
-pair of different classes goes unverified, whatever the bucket's size.
+Rows of one text are one candidate from the start, and document frequencies count distinct
+texts, so a group of copies does not make its own shingles common. They are counted over all
+of them in ``2 ** DF_BITS`` hash bins, a table of fixed size: a shingle's frequency includes
+that of the shingles that share its bin, which is about one text in a thousand at any input size.
+
+In a bucket every document is compared with one pivot, at first the one that meets the most
+documents in all its buckets, so work is linear in the bucket; buckets whose members are by
+then of one class are settled, the others take another pivot. Documents of different classes
+that still share a bucket meet once more on their rarest shingles (a prefix filter). Let W be a
+document's weight and R its weight from a shingle on, rarest first. Two documents of similarity
+t have t / (1 + t) of their joint weight in common, so the first shingle they share lies where
+R >= 2t / (1 + t) W in the lighter and R >= t W in the heavier, and no candidate pair that
+reaches the threshold is lost, whatever the bucket's size. Edits that few documents share fill
+these prefixes, so copies that resemble each other only through their original do not meet.
 
 Edge cases: a null text or one without words is in no class but its own; documents of one to
 four words are one shingle of all their words; copies of any number are one class; rows that
 share a doc_id and a text are one document, different texts under one doc_id are documents of
 their own; a null doc_id counts as the largest; an empty table gives an empty result; other
-columns are ignored, whatever their names.
+columns are ignored, whatever their names. Texts are told apart by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -28,7 +34,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,11 +46,9 @@ BANDS, ROWS = 10, 3  # a pair at the threshold shares a bucket with probability
 DF_BITS = 18
 ID_BITS = 44  # of a shingle's hash
 TABLE_BITS = 16
-#: Shingles in fewer than this part of the documents weigh alike. Else a group of copies would
-#: make its own shingles common, and each copy's few edits would outweigh what they share.
-RARE = 0.05
-PIVOT_ROUNDS = 4
+PIVOT_ROUNDS = 2
 BLOCK = 1 << 18
+EPS = 1e-6
 LAST = 2**63 - 1
 
 
@@ -115,7 +118,7 @@ class Sampler:
 
 
 def _signatures(size: int, bands: int, rows: int, idf: np.ndarray):
-    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("id", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(bands * rows, idf)
@@ -130,8 +133,7 @@ def _signatures(size: int, bands: int, rows: int, idf: np.ndarray):
                 some = np.diff(first) > 0
                 lists = textscan.lists(np.where(some, bands, 0), textscan.signed(np.ascontiguousarray(keys.T[some]).ravel()))
                 part = batch.slice(block.row0, block.rows)
-                digests = pa.array([xxhash.xxh3_128_digest(block.text(i)) for i in range(block.rows)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), digests, lists], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column("id"), lists], schema=schema)
 
     return run
 
@@ -162,6 +164,44 @@ def _similar(size: int, idf: np.ndarray):
     return run
 
 
+def _weighted(size: int, idf: np.ndarray):
+    """``(id, total, found)``: a text's weight and its shingles with theirs."""
+    schema = pa.schema([("id", pa.int64()), ("total", pa.float64()), ("found", pa.list_(pa.struct([("s", pa.int64()), ("w", pa.float64())])))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sampler = Sampler(0, idf)
+        for batch in batches:
+            for block in textscan.blocks(batch.column("text"), BLOCK):
+                ids, tf, first = shingles(block, size)
+                w = sampler.weights(ids, tf).astype(np.float64)
+                sums = np.concatenate([[0.0], np.cumsum(w)])
+                values = pa.StructArray.from_arrays([textscan.signed(ids), pa.array(w)], ["s", "w"])
+                part = batch.slice(block.row0, block.rows)
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(sums[first])), textscan.lists(np.diff(first), values)], schema=schema)
+
+    return run
+
+
+def _prefix_pairs(spark: SparkSession, texts: DataFrame, open_: DataFrame, similarity: float, size: int, idf: np.ndarray) -> DataFrame:
+    """``(a, b)``: the pairs of different classes of ``open_(id, class)`` that can reach the similarity."""
+    found = scratch.save(spark, texts.join(open_, "id").select("id", "text").mapInArrow(_weighted(size, idf), "id long, total double, found array<struct<s:long,w:double>>"), "weighted")
+    each = found.select("id", F.explode("found").alias("x")).select("id", "x.s", "x.w")
+    common = scratch.save(spark, each.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "common")
+    held = each.join(common, "s").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "s", "w"))).alias("held"))
+    # The weight from each shared shingle on, rarest first; what no other document has lies before them all.
+    shared = F.aggregate("held", F.lit(0.0), lambda a, x: a + x["w"])
+    start = F.struct(shared.alias("rest"), F.array().cast("array<struct<s:bigint,rest:double>>").alias("out"))
+    most = similarity * F.col("total") - EPS
+    step = lambda a, x: F.struct((a["rest"] - x["w"]).alias("rest"), F.when(a["rest"] >= most, F.concat(a["out"], F.array(F.struct(x["s"].alias("s"), a["rest"].alias("rest"))))).otherwise(a["out"]).alias("out"))
+    prefix = held.join(found.select("id", "total"), "id").select("id", "total", F.explode(F.aggregate("held", start, step)["out"]).alias("x")).select("id", "total", "x.s", "x.rest")
+    prefix = scratch.save(spark, prefix.join(open_, "id"), "prefixes")
+    light, heavy = prefix.where(F.col("rest") >= 2 * similarity / (1 + similarity) * F.col("total") - EPS).alias("x"), prefix.alias("y")
+    order = (F.col("x.total") < F.col("y.total")) | ((F.col("x.total") == F.col("y.total")) & (F.col("x.id") < F.col("y.id")))
+    reach = F.least("x.rest", "y.rest", "x.total") >= similarity / (1 + similarity) * (F.col("x.total") + F.col("y.total")) - EPS
+    met = light.join(heavy, (F.col("x.s") == F.col("y.s")) & (F.col("x.class") != F.col("y.class")) & order & reach)
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+
+
 def _classed(members: DataFrame, classes: DataFrame) -> DataFrame:
     """``members`` with the class of each document, and only buckets of several classes."""
     known = members.drop("class").join(classes.withColumnRenamed("component", "class"), "id", "left").withColumn("class", F.coalesce("class", "id"))
@@ -175,25 +215,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SI
     In buckets, pairs and classes ``id`` is a text's key, as a doc_id may name several texts.
     """
     text = F.coalesce(docs["text"], F.lit(""))
-    keyed = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
-    df = keyed.select("text").mapInArrow(_frequencies(size), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()  # 2 ** DF_BITS rows at most
-    total = keyed.count()
+    keyed = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("id"), text.alias("text"))
+    distinct = scratch.save(spark, keyed.groupBy("id").agg(F.min("doc").alias("doc"), F.first("text").alias("text")), "distinct")
+    df = distinct.select("text").mapInArrow(_frequencies(size), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()  # 2 ** DF_BITS rows at most
+    total = distinct.count()
     counts = np.zeros(1 << DF_BITS)
     counts[df["bin"].to_numpy()] = df["n"].to_numpy()
-    idf = (1 + np.log((1 + total) / (1 + np.clip(counts, total * RARE, total)))).astype(np.float32)
-
-    signed = scratch.save(spark, keyed.mapInArrow(_signatures(size, bands, rows, idf), "id long, key long, digest binary, bands array<long>"), "signatures")
-    texts_of = scratch.save(spark, signed.where(F.size("bands") > 0).groupBy("digest").agg(F.min(F.struct("id", "key")).alias("x"), F.first("bands").alias("bands")).select("digest", F.col("x.id").alias("doc"), F.col("x.key").alias("id"), "bands"), "distinct")
+    idf = (1 + np.log((1 + total) / (1 + np.minimum(counts, total)))).astype(np.float32)
 
-    each = texts_of.select("id", F.explode("bands").alias("bucket"))
-    shared = each.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket")
-    met = scratch.save(spark, each.join(shared, "bucket", "left_semi"), "met")
+    signed = scratch.save(spark, distinct.select("id", "text").mapInArrow(_signatures(size, bands, rows, idf), "id long, bands array<long>"), "signatures")
+    each = signed.select("id", F.explode("bands").alias("bucket"))
+    shared = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = scratch.save(spark, each.join(shared, "bucket"), "met")
     # How many documents a document meets in its buckets: the original of a group of copies
     # meets more of them than its copies do, which differ from each other twice as much.
-    degrees = met.join(met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket").groupBy("id").agg(F.sum("n").alias("degree"))
-    members = scratch.save(spark, met.join(degrees, "id"), "members")
-    wanted = texts_of.select("doc", "id").join(members.select("id").distinct(), "id", "left_semi").select(F.col("doc").alias("id"), F.col("id").alias("key"))
-    texts = scratch.save(spark, keyed.join(wanted, ["id", "key"], "left_semi").dropDuplicates(["key"]).select(F.col("key").alias("id"), "text"), "texts")
+    members = scratch.save(spark, met.join(met.groupBy("id").agg(F.sum("n").alias("degree")), "id").drop("n"), "members")
+    texts = scratch.save(spark, distinct.select("id", "text").join(members.select("id").distinct(), "id", "left_semi"), "texts")
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:
         a, b = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
@@ -208,8 +245,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SI
             pivots = unsettled.groupBy("bucket").agg(pivot.alias("p")).select("bucket", F.col("p.id").alias("pivot"), F.col("p.class").alias("of"))
             pairs = unsettled.join(pivots, "bucket").where("class <> of").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
         else:
-            x, y = unsettled.alias("x"), unsettled.alias("y")
-            pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.class") != F.col("y.class"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+            pairs = _prefix_pairs(spark, texts, scratch.save(spark, unsettled.select("id", "class").distinct(), "open"), similarity, size, idf)
         pairs = pairs.distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
@@ -226,9 +262,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SI
                 unsettled = scratch.save(spark, unsettled.join(several, "bucket", "left_semi"), "several")
             if unsettled.isEmpty():
                 break
-    names = texts_of.join(classes, "id").groupBy("component").agg(F.min(F.struct("doc", "id")).alias("least"))
-    least = F.coalesce("least", F.struct("doc", "id"))
-    of = texts_of.join(classes, "id", "left").join(names, "component", "left").select("digest", least["doc"].alias("class"), least["id"].alias("class_key"))
-    out = signed.drop("bands").join(of, "digest", "left").withColumns({"class": F.coalesce("class", "id"), "class_key": F.coalesce("class_key", "key")})
-    kept = (F.col("id") == F.col("class")) & (F.col("key") == F.col("class_key"))
-    return out.select(F.when(F.col("id") != LAST, F.col("id")).alias("doc_id"), F.when(F.col("class") != LAST, F.col("class")).alias("class_id"), kept.alias("kept"), F.col("key").alias("text_key"))
+    scratch.drop(spark, texts)
+    docs_of = distinct.select("id", "doc")
+    names = docs_of.join(classes, "id").groupBy("component").agg(F.min(F.struct("doc", "id")).alias("least"))
+    of = classes.join(names, "component").select("id", F.col("least.doc").alias("class"), F.col("least.id").alias("class_key"))
+    first = docs_of.join(of, "id", "left").select("id", F.coalesce("class", "doc").alias("class"), F.coalesce("class_key", "id").alias("class_key"))
+    out = keyed.select("doc", "id").join(first, "id")
+    kept = (F.col("doc") == F.col("class")) & (F.col("id") == F.col("class_key"))
+    return out.select(F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"), F.when(F.col("class") != LAST, F.col("class")).alias("class_id"), kept.alias("kept"), F.col("id").alias("text_key"))
