@@ -118,7 +118,7 @@ class Sampler:
 
 
 def _signatures(size: int, bands: int, rows: int, idf: np.ndarray):
-    schema = pa.schema([("id", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("id", pa.int64()), ("doc", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(bands * rows, idf)
@@ -133,7 +133,7 @@ def _signatures(size: int, bands: int, rows: int, idf: np.ndarray):
                 some = np.diff(first) > 0
                 lists = textscan.lists(np.where(some, bands, 0), textscan.signed(np.ascontiguousarray(keys.T[some]).ravel()))
                 part = batch.slice(block.row0, block.rows)
-                yield pa.RecordBatch.from_arrays([part.column("id"), lists], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("doc"), lists], schema=schema)
 
     return run
 
@@ -223,14 +223,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SI
     counts[df["bin"].to_numpy()] = df["n"].to_numpy()
     idf = (1 + np.log((1 + total) / (1 + np.minimum(counts, total)))).astype(np.float32)
 
-    signed = scratch.save(spark, distinct.select("id", "text").mapInArrow(_signatures(size, bands, rows, idf), "id long, bands array<long>"), "signatures")
+    signed = scratch.save(spark, distinct.mapInArrow(_signatures(size, bands, rows, idf), "id long, doc long, bands array<long>"), "signatures")
     each = signed.select("id", F.explode("bands").alias("bucket"))
     shared = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = scratch.save(spark, each.join(shared, "bucket"), "met")
     # How many documents a document meets in its buckets: the original of a group of copies
     # meets more of them than its copies do, which differ from each other twice as much.
     members = scratch.save(spark, met.join(met.groupBy("id").agg(F.sum("n").alias("degree")), "id").drop("n"), "members")
-    texts = scratch.save(spark, distinct.select("id", "text").join(members.select("id").distinct(), "id", "left_semi"), "texts")
+    # A merge join at every size: the members grow with the documents.
+    texts = scratch.save(spark, distinct.select("id", "text").join(members.select("id").distinct().hint("merge"), "id", "left_semi"), "texts")
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:
         a, b = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
@@ -263,10 +264,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SI
             if unsettled.isEmpty():
                 break
     scratch.drop(spark, texts)
-    docs_of = distinct.select("id", "doc")
+    docs_of = signed.where(F.size("bands") > 0).select("id", "doc")
     names = docs_of.join(classes, "id").groupBy("component").agg(F.min(F.struct("doc", "id")).alias("least"))
     of = classes.join(names, "component").select("id", F.col("least.doc").alias("class"), F.col("least.id").alias("class_key"))
     first = docs_of.join(of, "id", "left").select("id", F.coalesce("class", "doc").alias("class"), F.coalesce("class_key", "id").alias("class_key"))
-    out = keyed.select("doc", "id").join(first, "id")
+    out = keyed.select("doc", "id").join(first, "id", "left").withColumns({"class": F.coalesce("class", "doc"), "class_key": F.coalesce("class_key", "id")})
     kept = (F.col("doc") == F.col("class")) & (F.col("id") == F.col("class_key"))
     return out.select(F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"), F.when(F.col("class") != LAST, F.col("class")).alias("class_id"), kept.alias("kept"), F.col("id").alias("text_key"))

@@ -207,18 +207,44 @@ def test_packing(spark, docs, rows):
         assert len(batch) == 1 or len(batch) * batch[0].bucket_len <= 300
 
 
+def near_pairs(texts):
+    """The pairs of texts with a weighted Jaccard similarity of 0.8 or more, TF-IDF over distinct texts."""
+    shingles = [collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := words(t)) else collections.Counter() for t in texts]
+    df = collections.Counter(s for x in dict(zip(texts, shingles, strict=True)).values() for s in x)
+    n = len({t or "" for t in texts})
+    idf = {s: 1 + math.log((1 + n) / (1 + k)) for s, k in df.items()}
+    weigh = lambda c: sum(k * idf[s] for s, k in c.items())
+    return [(i, j) for i in range(len(texts)) for j in range(i) if shingles[i] and shingles[j] and weigh(shingles[i] & shingles[j]) >= 0.8 * weigh(shingles[i] | shingles[j])]
+
+
+def least_ids(n, pairs):
+    least = list(range(n))
+    for _ in range(n):
+        for i, j in pairs:
+            least[i] = least[j] = min(least[i], least[j])
+    return least
+
+
 def test_near_dedup(spark, docs, rows):
     got = {r.doc_id: r.class_id for r in near_duplicates(spark, docs).collect()}
-    shingles = [collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := words(r[1])) else collections.Counter() for r in rows]
-    df = collections.Counter(s for x in shingles for s in x)
-    idf = {s: 1 + math.log((1 + len(rows)) / (1 + max(n, len(rows) * 0.05))) for s, n in df.items()}
-    weigh = lambda c: sum(n * idf[s] for s, n in c.items())
-    least = list(range(len(rows)))
-    near = [(i, j) for i in range(len(rows)) for j in range(i) if shingles[i] and shingles[j] and weigh(shingles[i] & shingles[j]) >= 0.8 * weigh(shingles[i] | shingles[j])]
-    for _ in rows:
-        for i, j in near:
-            least[i] = least[j] = min(least[i], least[j])
-    assert near and [got[i] for i in range(len(rows))] == least
+    near = near_pairs([r[1] for r in rows])
+    assert near and [got[i] for i in range(len(rows))] == least_ids(len(rows), near)
+
+
+def test_near_dedup_of_a_group_of_edited_copies(spark):
+    """Copies around the threshold, that resemble each other less than their original, with and without it."""
+    texts = []
+    for with_original in (True, False):
+        base = prose(400).split()
+        texts += [" ".join(base)] * with_original
+        for k in range(45):
+            edit = list(base)
+            for at in draw.sample(range(400), 1 + k % 6):
+                edit[at] = f"edit{draw.randrange(10_000)}"
+            texts.append(" ".join(edit))
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    near = near_pairs(texts)
+    assert len(near) > 60 and [got[i] for i in range(len(texts))] == least_ids(len(texts), near)
 
 
 def test_token_files(spark, docs, rows):
