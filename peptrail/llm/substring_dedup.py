@@ -2,9 +2,15 @@
 
 Windows of ``length / 2`` words are the first level; only windows repeated in different
 documents are extended to ``length``, those repeated there to ``2 * length``, and so on
-until no candidate survives. Level one needs no row per window: every ``length``-window
-names as its anchor the half-length window with the smallest hash inside it, equal windows
-name equal anchors, so about one window in thirteen is dealt out and nothing is lost.
+until no candidate survives. No level needs a row per window: every ``length``-window names
+as its anchor the half-length window with the smallest hash inside it, equal windows name
+equal anchors, and the windows of all levels start at anchors, about one word in thirteen.
+
+The levels carry the answer. A long window that a smaller document holds removes all its
+words, so only ``length``-windows that lie in no such window and whose anchor is repeated are
+dealt out one by one at the end. The smallest document with a window always deals it out,
+since a window of a still smaller one would else cover it, so nothing is lost; a passage with
+many copies costs its words once and a few windows at the ends of each copy.
 
 Edge cases: a null text has no words and nothing removed; documents shorter than a window
 keep everything; a null doc_id counts as larger than any other and stays null; rows that
@@ -19,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,31 +74,58 @@ def _units(length: int):
     return run
 
 
-def _extend(length: int, level: int):
-    """Hashes of the windows of ``level`` words whose shorter windows survived (column ``at``)."""
-    pair = pa.struct([("h", pa.int64()), ("g", pa.int64()), ("at", pa.int32())])
-    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("found", pa.list_(pair))])
+def _marks(own: pa.Array, *fields: str) -> tuple[np.ndarray, ...]:
+    """The row of each element of a list column, and the elements or their fields."""
+    lengths = pc.fill_null(own.value_lengths(), 0).to_numpy(zero_copy_only=False)
+    flat = own.flatten()
+    columns = flat.flatten() if fields else [flat]
+    return np.repeat(np.arange(len(own)), lengths), *(c.to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+
+
+def _levels(length: int):
+    """``(id, key, at, keys)``: for each anchor ``at`` the hashes of the windows of ``length``, ``2 * length``, … words from it."""
+    pair = pa.struct([("h", pa.int64()), ("g", pa.int64())])
+    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("at", pa.int32()), ("keys", pa.list_(pair))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            alive = batch.column("at")
             for block in textscan.blocks(batch.column("text")):
-                hashes = block.hashes()
-                part = batch.slice(block.row0, block.rows)
-                own = alive.slice(block.row0, block.rows)
+                part, hashes = batch.slice(block.row0, block.rows), block.hashes()
+                rows, at = _marks(part.column("at"))
+                starts = block.first[rows] + at
+                room = block.first[rows + 1] - starts
+                some = room >= length
+                rows, at, starts, room = rows[some], at[some], starts[some], room[some]
+                depth = np.floor(np.log2(room / length)).astype(np.int64) + 1
+                each = np.repeat(starts, depth)
+                n = length << (np.arange(len(each)) - np.repeat(np.cumsum(depth) - depth, depth))
+                h, g = (textscan.Rolling(hashes, seed).at(each, n) for seed in SEEDS)
+                keys = textscan.lists(depth, pa.StructArray.from_arrays([textscan.signed(h), textscan.signed(g)], ["h", "g"]))
+                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(rows)), part.column("key").take(pa.array(rows)), pa.array(at.astype(np.int32)), keys], schema=schema)
+
+    return run
+
+
+def _open_windows(length: int):
+    """``(id, key, at, h, g)``: the windows whose anchor survived and that lie in no cover."""
+    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("at", pa.int32()), ("h", pa.int64()), ("g", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in textscan.blocks(batch.column("text")):
+                part, hashes = batch.slice(block.row0, block.rows), block.hashes()
                 held = np.zeros(len(hashes) + 1, dtype=bool)
-                flat, counts = own.flatten().to_numpy(zero_copy_only=False), own.value_lengths().to_numpy(zero_copy_only=False)
-                held[flat + np.repeat(block.first[:-1], counts)] = True
-                if level == length:
-                    starts, named, _ = _anchored(block, hashes, length)
-                    starts = starts[held[named]]
-                else:
-                    starts = np.flatnonzero(block.left >= level)
-                    starts = starts[held[starts] & held[starts + level // 2]]
-                h, g = (textscan.windows(hashes, level, s) for s in SEEDS)
+                rows, at = _marks(part.column("at"))
+                held[block.first[rows] + at] = True
+                covers = np.zeros(len(hashes) + 2, dtype=np.int64)
+                rows, at, n = _marks(part.column("covers"), "at", "n")
+                np.add.at(covers, block.first[rows] + at, 1)
+                np.add.at(covers, block.first[rows] + at + n - length + 1, -1)
+                starts, named, _ = _anchored(block, hashes, length)
+                starts = starts[held[named] & (np.cumsum(covers)[starts] == 0)]
+                h, g = (textscan.Rolling(hashes, seed).at(starts, np.full(len(starts), length)) for seed in SEEDS)
                 rows = np.searchsorted(block.first, starts, "right") - 1
-                values = pa.StructArray.from_arrays([textscan.signed(h[starts]), textscan.signed(g[starts]), pa.array((starts - block.first[rows]).astype(np.int32))], ["h", "g", "at"])
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), textscan.lists(np.bincount(rows, minlength=block.rows), values)], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(rows)), part.column("key").take(pa.array(rows)), pa.array((starts - block.first[rows]).astype(np.int32)), textscan.signed(h), textscan.signed(g)], schema=schema)
 
     return run
 
@@ -102,12 +136,13 @@ def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, at in zip(batch.column("text").to_pylist(), batch.column("at"), strict=True):
-                words = (text or "").encode().split()
+            for i, text in enumerate(batch.column("text")):
+                words = (text.as_py() or "").encode().split()
                 edge = np.zeros(len(words) + 1, dtype=np.int64)
-                starts = at.values.to_numpy(zero_copy_only=False)
-                np.add.at(edge, starts, 1)
-                np.add.at(edge, starts + length, -1)
+                _, starts = _marks(batch.column("later").slice(i, 1))
+                _, at, n = _marks(batch.column("covers").slice(i, 1), "at", "n")
+                np.add.at(edge, np.concatenate([starts, at]), 1)
+                np.add.at(edge, np.concatenate([starts + length, at + n]), -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 kept = b" ".join([w for w, x in zip(words, gone, strict=True) if not x])
                 out.append((int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode()))
@@ -126,7 +161,8 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = 50) -> tu
 
     units: id, key, n_words, whole_sha256, copy_of (smallest id with the same words, where
     that is another document). edits: id, key, n_removed, kept_sha256, kept_text,
-    longest_repeat (the longest level, in words, at which a window of it is repeated).
+    longest_repeat (the longest level, in words, at which a window of it that starts at an
+    anchor is repeated, ``length`` at least).
     """
     if length < 2 or length % 2:
         raise ValueError("length must be even")
@@ -139,31 +175,37 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = 50) -> tu
 
     # Level one: anchors that several different documents share.
     anchors = originals.select("id", "key", F.explode("anchors").alias("x")).select("id", "key", "x.a", "x.at")
-    shared = anchors.groupBy("a").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("a")
+    shared = scratch.save(spark, anchors.groupBy("a").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("a"), "anchors")
     alive = anchors.join(shared, "a", "left_semi").groupBy("id", "key").agg(F.collect_set("at").alias("at"))
-    texts = scratch.save(spark, keyed.join(alive, ["id", "key"]), "texts")
-
-    level, deeper, cuts = length, texts, None
-    depth = None
-    while True:
-        found = scratch.save(spark, deeper.dropDuplicates(["id", "key"]).mapInArrow(_extend(length, level), "id long, key long, found array<struct<h:long,g:long,at:int>>"), f"level{level}")
-        each = found.select("id", "key", F.explode("found").alias("x")).select("id", "key", "x.h", "x.g", "x.at")
-        first = each.groupBy("h", "g").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h", "g", "lo")
-        shared = each.join(first, ["h", "g"])
-        alive = scratch.save(spark, shared.groupBy("id", "key").agg(F.collect_set("at").alias("at"), F.collect_set(F.when(F.col("id") > F.col("lo"), F.col("at"))).alias("later")), f"alive{level}")
-        scratch.drop(spark, found)
-        reached = alive.select("id", "key", F.lit(level).alias("level"))
-        depth = reached if depth is None else depth.union(reached)
-        if level == length:
-            cuts = alive.where(F.size("later") > 0).select("id", "key", F.col("later").alias("at"))
-        longer = alive.where(F.size("at") > level)  # two windows that lie one level apart
-        if longer.isEmpty():
-            break
+    texts = scratch.save(spark, keyed.join(alive, ["id", "key"]).dropDuplicates(["id", "key"]), "texts")
+    scratch.drop(spark, shared)
+
+    def repeated(windows: DataFrame, name: str) -> DataFrame:
+        """``windows(id, h, g, …)`` that several documents hold, with ``later``: whether a smaller one does.
+
+        The keys are counted in partial groups and written first, so that a window with many
+        copies is one row on that side and the join may split the other.
+        """
+        keys = scratch.save(spark, windows.groupBy("h", "g").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h", "g", "lo"), f"{name}_keys")
+        return windows.join(keys, ["h", "g"]).withColumn("later", F.col("id") > F.col("lo")).drop("h", "g", "lo")
+
+    level, windows = length, scratch.save(spark, texts.mapInArrow(_levels(length), "id long, key long, at int, keys array<struct<h:long,g:long>>"), "windows")
+    spans = windows.select("id", "key", "at", F.lit(0).alias("n"), F.lit(False).alias("later")).limit(0)
+    while not windows.isEmpty():
+        each = windows.select("id", "key", "at", F.col("keys")[0]["h"].alias("h"), F.col("keys")[0]["g"].alias("g"), F.slice("keys", 2, F.size("keys")).alias("keys"))
+        found = scratch.save(spark, repeated(each, f"level{level}"), f"level{level}")
+        spans = spans.union(found.select("id", "key", "at", F.lit(level).alias("n"), "later"))
+        windows = found.where(F.size("keys") > 0).drop("later")
         level *= 2
-        deeper = texts.drop("at").join(longer.select("id", "key", "at"), ["id", "key"])
-    edits = texts.drop("at").dropDuplicates(["id", "key"]).join(cuts, ["id", "key"]).mapInArrow(_cut(length), "id long, key long, n_removed long, kept_sha256 string, kept_text string")
-    longest = depth.groupBy("id", "key").agg(F.max("level").alias("longest_repeat"))
-    return units_of, edits.join(longest, ["id", "key"])
+    cover = F.collect_list(F.when(F.col("later"), F.struct("at", "n")))
+    spans = scratch.save(spark, spans.groupBy("id", "key").agg(cover.alias("covers"), F.max("n").alias("longest")), "spans")
+
+    covered = texts.join(spans.where(F.size("covers") > 0).drop("longest"), ["id", "key"], "left")
+    ends = scratch.save(spark, covered.mapInArrow(_open_windows(length), "id long, key long, at int, h long, g long"), "open_windows")
+    later = repeated(ends, "ends").where("later").groupBy("id", "key").agg(F.collect_list("at").alias("later"))
+    losing = spans.where(F.size("covers") > 0).join(scratch.save(spark, later, "later"), ["id", "key"], "full")
+    edits = texts.drop("at").join(losing.select("id", "key", "covers", "later"), ["id", "key"]).mapInArrow(_cut(length), "id long, key long, n_removed long, kept_sha256 string, kept_text string")
+    return units_of, edits.join(spans.select("id", "key", "longest"), ["id", "key"], "left").withColumn("longest_repeat", F.coalesce("longest", F.lit(length))).drop("longest")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, length: int = 50) -> DataFrame:

@@ -89,14 +89,24 @@ class Block:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
 
+class Rolling:
+    """Hashes of runs of words from any start and of any length."""
+
+    def __init__(self, hashes: np.ndarray, seed: int = 0):
+        up, self.down = powers(len(hashes) + 1)
+        self.sums = np.zeros(len(hashes) + 1, dtype=U)
+        np.cumsum(mix(hashes ^ U(seed)) * up[:-1], out=self.sums[1:])
+
+    def at(self, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return mix((self.sums[starts + n] - self.sums[starts]) * self.down[starts] + n.astype(U))
+
+
 def windows(hashes: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     """Hash of the ``n`` words from each word on; callers mask starts with fewer words left."""
     if len(hashes) < n:
         return np.empty(0, dtype=U)
-    up, down = powers(len(hashes) + 1)
-    sums = np.zeros(len(hashes) + 1, dtype=U)
-    np.cumsum(mix(hashes ^ U(seed)) * up[:-1], out=sums[1:])
-    return mix((sums[n:] - sums[:-n]) * down[: len(hashes) - n + 1] + U(n))
+    whole = Rolling(hashes, seed)
+    return mix((whole.sums[n:] - whole.sums[:-n]) * whole.down[: len(hashes) - n + 1] + U(n))
 
 
 def blocks(texts: pa.Array, limit: int = BLOCK) -> Iterator[Block]:
