@@ -39,6 +39,10 @@ ROWS_A_BATCH = 256
 #: Distinct words that a task remembers; beyond it, it starts anew.
 REMEMBERED = 2_000_000
 GROUP = 256
+LATIN = "\u0250"  # the letters below are letters in every version of Unicode
+# The steps under which a word's ids depend on nothing beyond its white space.
+WORD_STEPS = ["NFC", "Replace", "Lowercase"]
+WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 LETTERS_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 
 
@@ -59,7 +63,9 @@ class WordEncoder:
         steps = [x.get("type") for x in (form.get("normalizer") or {}).get("normalizers", [])]
         model = form["model"]
         suffix = model.get("end_of_word_suffix")
-        self.by_word = bool(suffix) and steps == ["NFC", "Replace", "Lowercase"] and not form.get("post_processor")
+        splits = (form.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        words = [x.get("type") for x in splits] == ["Split", "ByteLevel"] and splits[0].get("pattern") == {"Regex": WORD_SPLIT} and not splits[1].get("add_prefix_space")
+        self.by_word = bool(suffix) and steps == WORD_STEPS and words and not form.get("post_processor")
         size = self.tokenizer.get_vocab_size()
         self.ends = np.zeros(size, dtype=bool)
         if suffix:
@@ -113,13 +119,14 @@ class WordEncoder:
 
     def learn(self, hashes: np.ndarray, words: list[str]) -> None:
         """Encode new words. Capitals and the marks behind a word change neither each other's
-        ids nor the word's, so a word of Latin letters is encoded once, in lower case."""
+        ids nor the word's, so a word of Latin letters is encoded once, in lower case. A letter
+        whose small form is more than letters (a dotted capital I) would take the marks along."""
         parts: dict[str, int] = {}
         head, tail = np.empty(len(words), np.int64), np.full(len(words), -1, np.int64)
         for i, w in enumerate(words):
             if w.isalpha():
                 base, marks = w, None
-            elif (m := LETTERS_MARKS.fullmatch(w)) and m[1].isalpha():
+            elif (m := LETTERS_MARKS.fullmatch(w)) and max(m[1]) < LATIN and m[1].lower().isalpha():
                 base, marks = m[1], m[2]
             else:
                 base, marks = w, None

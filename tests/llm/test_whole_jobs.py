@@ -117,3 +117,27 @@ def test_registered_prefixes_reach_the_seed_length(spark):
     for r in registry.engine(spark, FOLDER).proteins.select("sequence").collect():
         want.update(r.sequence[i : i + k] for i in range(len(r.sequence)) for k in range(1, SEED + 1) if i + k <= len(r.sequence))
     assert {r.prefix: r.n for r in registry.QUERIES["prefix_lca_whole"](spark, FOLDER).collect()} == dict(want)
+
+
+def test_words_have_the_ids_of_whole_texts():
+    """Random texts of capitals, combining marks, special tokens and Unicode spaces against the library."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    from peptrail.llm import textscan
+    from peptrail.llm.token_output import END_ID, WordEncoder
+
+    encoder = WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert encoder.by_word
+    draw = random.Random(11)
+    parts = ["a", "Z", "İ", "ı", "ß", "ſ", "É", "é", "́", "̇", "Ǆ", "K", "ﬁ", "中", "'s", "'", "--", ",", ".", "9", "½", "_", " ", " ", " ", "\n", "\t", "<|endoftext|>", "<|", "word", "WORD,", "AHMEDİ,", "GİRİŞİ.", "ΑΣ", "‍", "😀", "ª", "ʼn"]
+    texts = ["".join(draw.choices(parts, k=draw.randrange(1, 12))) for _ in range(6000)] + ["İ--", "", " "]
+    expected = [[*x.ids, END_ID] for x in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    got = []
+    for block in textscan.blocks(pa.array(texts)):
+        ids, counts = encoder.block(block)
+        at = 0
+        for n in counts.tolist():
+            got.append(ids[at : at + n].tolist())
+            at += n
+    assert [t for t, x, y in zip(texts, got, expected, strict=True) if x != y] == []
