@@ -6,15 +6,18 @@ with ``BANDS`` MinHash functions, one row a band. A template's windows are sketc
 every start, and a text window that shares a band with one retrieves the template. Retrieved
 templates are verified by the part of their shingles that the text around the window holds.
 
-A one-shingle template has Jaccard similarity 1/4 with a window around it and lies in two
-windows: a window misses all bands with probability 0.75 ** 16 = 0.01. Windows that lie
-wholly in a longer template's text have similarity 1 with one of its windows and never miss.
+A window that lies wholly in a template's text has similarity 1 with one of its windows and
+never misses. A template of so few shingles that all of them are needed has its first one as
+a band of its own, of windows one shingle wide, and never misses either. A longer template
+reaches the containment only if runs of its shingles are whole; a window that shares half of
+its shingles with a template's misses all bands with probability 0.5 ** 16.
 
 Built-in functions only; sketches are computed and tested row by row in generated code, so
 only windows that share a band ever leave their task. Edge cases: a null text or one of fewer
 than five words matches nothing; repeated passages of a document count in ``passages``; rows
-that share a doc_id are one document; a null doc_id is kept as such; an empty table gives an
-empty result; other columns are ignored, whatever their names.
+of one doc_id and text are one document, different texts under one doc_id (or none) are
+documents of their own; a null doc_id is kept as such; an empty table gives an empty result;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ SHINGLE = 5
 WINDOW, STRIDE, BANDS = 4, 2, 16
 CONTAINMENT = 0.8
 MASK = (1 << 31) - 1
+#: A table of templates of up to this many shingles is broadcast; a larger one is joined by shuffles.
+BROADCAST_SHINGLES = 50_000
 
 # Public license notices and their SPDX identifiers.
 TEMPLATES = {
@@ -67,14 +72,19 @@ def shingles(text: Column) -> Column:
 
 def _sketch(w: str) -> list[Column]:
     """The least of a window's shingles under each function, ``(a * x + b) mod 2 ** 31`` with odd
-    ``a``, and the function's number in the last four bits: the keys of the bands.
+    ``a``, and the function's number in the last five bits: the keys of the bands.
 
     Short arithmetic on purpose: the generated code stays small enough for the JVM to compile.
     """
     draw = random.Random(31)
     low = [F.coalesce(F.col(f"{w}.s{i}"), F.col(f"{w}.s0"), F.lit(0)).bitwiseAND(MASK) for i in range(WINDOW)]
     factors = [(draw.randrange(1, MASK, 2), draw.randrange(MASK)) for _ in range(BANDS)]
-    return [F.shiftleft(F.least(*((x * F.lit(a).cast("long") + F.lit(b).cast("long")).bitwiseAND(MASK) for x in low)), 4).bitwiseOR(F.lit(k).cast("long")) for k, (a, b) in enumerate(factors)]
+    return [F.shiftleft(F.least(*((x * F.lit(a).cast("long") + F.lit(b).cast("long")).bitwiseAND(MASK) for x in low)), 5).bitwiseOR(F.lit(k).cast("long")) for k, (a, b) in enumerate(factors)]
+
+
+def _single(shingle: Column) -> Column:
+    """The band of a window one shingle wide."""
+    return F.shiftleft(shingle.bitwiseAND(MASK), 5).bitwiseOR(F.lit(BANDS).cast("long"))
 
 
 def _windows(sh: Column, stride: int) -> Column:
@@ -82,28 +92,39 @@ def _windows(sh: Column, stride: int) -> Column:
     return F.transform(starts, lambda i: F.struct(i.alias("at"), *(F.get(sh, i - 1 + k).alias(f"s{k}") for k in range(WINDOW))))
 
 
-def templates(spark: SparkSession) -> DataFrame:
-    """``(license, sh, n)``: every template's distinct shingles."""
-    df = spark.createDataFrame(sorted(TEMPLATES.items()), "license string, text string").withColumn("sh", shingles(F.col("text")))
-    return df.select("license", "sh", F.size(F.array_distinct("sh")).alias("n"))
+def templates(spark: SparkSession, texts: DataFrame | None = None) -> DataFrame:
+    """``(license, sh, n)``: the distinct shingles of every template of ``texts(license, text)``."""
+    if texts is None:
+        texts = spark.createDataFrame(sorted(TEMPLATES.items()), "license string, text string")
+    df = texts.select("license", shingles(texts["text"]).alias("sh")).withColumn("n", F.size(F.array_distinct("sh")))
+    return df.where("n > 0")
 
 
-def scan_licenses(spark: SparkSession, docs: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
-    """Per document and license found: doc_id, license, containment, at_word, passages."""
-    known = templates(spark)
+def scan_licenses(spark: SparkSession, docs: DataFrame, containment: float = CONTAINMENT, texts: DataFrame | None = None) -> DataFrame:
+    """Per document and license found: doc_id, license, containment, at_word, passages, text_key.
+
+    ``texts(license, text)`` are the templates, by default those above.
+    """
+    known = templates(spark, texts)
+    total, longest = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    near = F.broadcast if total <= BROADCAST_SHINGLES else lambda df: df
     cut = known.select("license", F.explode(_windows(F.col("sh"), 1)).alias("w"))
-    bands = cut.select("license", F.explode(F.array(*_sketch("w"))).alias("band")).distinct()  # of the fixed templates
-    longest = max(r.n for r in known.select("n").collect())
+    short = known.where(F.col("n") - 1 < F.col("n") * containment).select("license", _single(F.col("sh")[0]).alias("band"))
+    bands = cut.select("license", F.explode(F.array(*_sketch("w"))).alias("band")).union(short).distinct()
 
     # explode_outer: for explode the optimizer would compute the array once more, to look for empty ones.
     both = _let(shingles(docs["text"]), lambda x: F.struct(x.alias("sh"), _windows(x, STRIDE).alias("ws")))
-    each = docs.select(docs["doc_id"].cast("long").alias("doc_id"), both.alias("x")).select("doc_id", F.col("x.sh").alias("sh"), F.explode_outer("x.ws").alias("w"))
-    sketched = each.select("doc_id", "sh", F.col("w.at").alias("at"), F.explode_outer(F.array(*_sketch("w"))).alias("band"))
+    text_key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    each = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_key.alias("text_key"), both.alias("x")).select("doc_id", "text_key", F.col("x.sh").alias("sh"), F.explode_outer("x.ws").alias("w"))
+    singles = [_single(F.coalesce(F.col(f"w.s{k}"), F.lit(0))) for k in range(STRIDE)]
+    sketched = each.select("doc_id", "text_key", "sh", F.col("w.at").alias("at"), F.explode_outer(F.array(*_sketch("w"), *singles)).alias("band"))
     # Only windows that share a band take the shingles around them along.
     reach = longest + WINDOW
-    found = sketched.join(F.broadcast(bands), "band").select("doc_id", "at", "license", F.slice("sh", F.greatest(F.col("at") - reach, F.lit(1)), 2 * reach).alias("near"))
-    retrieved = found.dropDuplicates(["doc_id", "at", "license"])
+    found = sketched.join(near(bands), "band").select("doc_id", "text_key", "at", "license", F.slice("sh", F.greatest(F.col("at") - reach, F.lit(1)), 2 * reach).alias("near"))
+    row = ["doc_id", "text_key", "license"]
+    retrieved = found.dropDuplicates([*row, "at"])  # equal rows and several bands of one window
     part = F.size(F.array_intersect("near", "sh")) / F.col("n")
-    checked = retrieved.join(F.broadcast(known), "license").withColumn("containment", part).where(F.col("containment") >= containment)
+    checked = retrieved.join(near(known), "license").withColumn("containment", part).where(F.col("containment") >= containment)
     passages = F.count_distinct(F.floor(F.col("at") / (F.col("n") + WINDOW)))
-    return checked.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), (F.min("at") - 1).cast("long").alias("at_word"), passages.alias("passages"))
+    out = checked.groupBy(*row).agg(F.max("containment").alias("containment"), (F.min("at") - 1).cast("long").alias("at_word"), passages.alias("passages"))
+    return out.select("doc_id", "license", "containment", "at_word", "passages", "text_key")

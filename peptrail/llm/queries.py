@@ -59,7 +59,7 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(spark, _read(spark, sf_dir, "documents"))
+    return scan_licenses(spark, _read(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

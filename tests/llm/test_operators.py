@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -91,6 +92,47 @@ def test_license_scan(spark, rows):
     assert not any(i >= 100 for i in found)
 
 
+def license_shingles(text):
+    tokens = [w.lower() for w in regex.findall(r"[\p{L}\p{N}]+", text or "")]
+    return {tuple(tokens[i : i + 5]) for i in range(len(tokens) - 4)}
+
+
+def test_license_scan_against_brute_force(spark):
+    """Every template whole, at every offset of the stride, and damaged around the threshold; null and repeated ids."""
+    texts = []
+    for template in TEMPLATES.values():
+        tokens = template.split()
+        for before in (0, 1, 2, 3, 40):
+            texts.append(" ".join([prose(before), template, prose(20)]))
+        for k in range(12):
+            broken = list(tokens)
+            for at in draw.sample(range(len(broken)), 1 + k % 3):
+                broken[at] = "other"
+            texts.append(" ".join([prose(k), *broken, prose(9)]))
+        for k in (1, 2, 3, 5, 8):  # cut at an end
+            texts.append(" ".join([prose(7), *tokens[k:], prose(9)]))
+            texts.append(" ".join([prose(7), *tokens[:-k], prose(9)]))
+    known = {name: license_shingles(t) for name, t in TEMPLATES.items()}
+    ids = [None if i % 3 == 0 else i // 5 for i in range(len(texts))]
+    df = spark.createDataFrame([(i, t, "x", "x") for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, sh string, license string")
+    expected = {}
+    for i, t in zip(ids, texts, strict=True):
+        own = license_shingles(t)
+        for name, sh in known.items():
+            if len(own & sh) >= 0.8 * len(sh):
+                expected[i, t, name] = len(own & sh) / len(sh)
+    keys = {r.k: r.text for r in df.select("text", F.xxhash64("text").alias("k")).collect()}
+    for rows in (df, df.union(df)):  # equal rows are one document
+        got = [((r.doc_id, keys[r.text_key], r.license), r.containment) for r in scan_licenses(spark, rows).collect()]
+        assert len(got) == len(dict(got)) and dict(got).keys() == expected.keys()
+        assert all(abs(v - expected[k]) < 1e-12 for k, v in got)
+
+
+def test_license_scan_of_other_templates(spark):
+    found = scan_licenses(spark, spark.createDataFrame([(1, "we say that all of this is ours alone now")], "doc_id long, text string"), texts=spark.createDataFrame([("own", "all of this is ours"), ("none", "too short")], "license string, text string"))
+    assert [(r.doc_id, r.license, r.containment, r.passages) for r in found.collect()] == [(1, "own", 1.0, 1)]
+
+
 def kneser_ney(texts):
     """A plain interpolated modified model of character trigrams: returns the perplexity of a text."""
     grams = [collections.Counter() for _ in range(3)]
