@@ -14,7 +14,7 @@ columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from peptrail.llm import scratch
@@ -53,12 +53,11 @@ def _near(df: DataFrame, small: DataFrame, rows: int) -> DataFrame:
     return df.join(F.broadcast(small) if rows <= BROADCAST_SOURCES else small, "sid")
 
 
-def _marked(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_sid`` (the source made non-null) and ``_hash`` (60 bits of the doc_id's digest)."""
+def _marks(docs: DataFrame) -> tuple[Column, Column]:
+    """The source made non-null, and 60 bits of the doc_id's digest."""
     hashed = F.conv(F.substring(F.md5(F.coalesce(docs["doc_id"].cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
     source = docs["source"]
-    sid = F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source.cast("string")))
-    return docs.select(*(docs[c] for c in docs.columns if c not in ("_sid", "_hash")), sid.alias("_sid"), hashed.alias("_hash"))
+    return F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source.cast("string"))), hashed
 
 
 def thresholds(spark: SparkSession, sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> tuple[DataFrame, int]:
@@ -89,9 +88,9 @@ def thresholds(spark: SparkSession, sized: DataFrame, weights: tuple[int, ...] =
 
 
 def _sized(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    marked = _marked(docs.select("doc_id", "source", "text"))
-    return scratch.save(spark, marked.select("doc_id", F.col("source").cast("string").alias("source"), F.col("_sid").alias("sid"), size.alias("size"), F.col("_hash").alias("hash")), "sized")
+    size = F.regexp_count(F.coalesce(docs["text"], F.lit("")), F.lit(WORD)).cast("long")
+    sid, hashed = _marks(docs)
+    return scratch.save(spark, docs.select(docs["doc_id"], docs["source"].cast("string").alias("source"), sid.alias("sid"), size.alias("size"), hashed.alias("hash")), "sized")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -110,9 +109,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] =
 def mixed(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them; no text is shuffled."""
     plan, rows = thresholds(spark, _sized(spark, docs), weights, share, most)
-    limits = plan.select(F.col("sid").alias("_sid"), F.col("whole").alias("_whole"), F.col("bound").alias("_bound"))
-    marked = _marked(docs)
-    taken = marked.join(F.broadcast(limits) if rows <= BROADCAST_SOURCES else limits, "_sid")
-    times = F.col("_whole") + F.when((F.col("_hash") < F.col("_bound")) & (F.col("_whole") < most), 1).otherwise(0)
-    kept = taken.withColumn("_times", times.cast("int")).where("_times > 0")
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    sid, hashed = _marks(docs)
+    # The columns of docs travel in one struct under names of their own, so that none clashes.
+    row = F.struct(*(docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    taken = _near(docs.select(row.alias("row"), sid.alias("sid"), hashed.alias("hash")), plan.select("sid", "whole", "bound"), rows)
+    times = F.col("whole") + F.when((F.col("hash") < F.col("bound")) & (F.col("whole") < most), 1).otherwise(0)
+    kept = taken.withColumn("times", times.cast("int")).where("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return kept.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)))
