@@ -141,3 +141,50 @@ def test_words_have_the_ids_of_whole_texts():
             got.append(ids[at : at + n].tolist())
             at += n
     assert [t for t, x, y in zip(texts, got, expected, strict=True) if x != y] == []
+
+
+CLASHING = ["_id", "_text", "_hash", "_times", "_sid", "_copy", "_whole", "_bound", "id", "row", "c0", "key", "text_key", "kept_text", "kept", "class", "times", "hash"]
+
+
+def test_pipeline_stages_keep_odd_rows_and_columns(spark, tmp_path):
+    """Null and repeated ids, a very long text, repeated rows, and columns named as those within."""
+    long, other = prose(30_000), [prose(80) for _ in range(3)]
+    near = other[0].split()
+    near[40] = "changed"
+    texts = [(1, long), (1, prose(60)), (None, other[0]), (None, " ".join(near)), (None, other[1]), (None, None), (None, ""), (2, other[2]), (2, other[2]), (3, ""), (4, long + " end")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING)
+    docs = spark.createDataFrame([(i, t, "en", None, len(t or ""), *(f"{c}{n}" for c in CLASHING)) for n, (i, t) in enumerate(texts)], schema)
+    folder = str(tmp_path)
+    spark.createDataFrame([(1, 1, 0), (2, 1, 0), (4, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    mine = {n: tuple(f"{c}{n}" for c in CLASHING) for n in range(len(texts))}
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns and stage(spark, docs.where("false"), folder).count() == 0
+        rows = out.collect()
+        numbers = [int(r["_id"].removeprefix("_id")) for r in rows]
+        assert all(tuple(r[c] for c in CLASHING) == mine[n] for r, n in zip(rows, numbers, strict=True))
+        kept[name] = dict(zip(numbers, rows, strict=True))
+    assert corpus_pipeline.STAGES[4][1](spark, docs, folder).count() == len(texts)
+    assert corpus_pipeline.STAGES[4][1](spark, docs.where("false"), folder).count() == 0
+    assert {5, 6, 9} <= kept["quality"].keys()
+    near_kept = kept["near_dedup"].keys()
+    assert {1, 4, 9} <= near_kept and len(near_kept & {2, 3}) == 1 and len(near_kept & {7, 8}) == 1 and len(near_kept & {0, 10}) == 1 and near_kept & {5, 6}
+    assert kept["passages"].keys() == mine.keys() and kept["passages"][10]["text"] == "end"
+    assert kept["passages"][0]["text"] == long and kept["passages"][2]["text"] == other[0] and kept["passages"][5]["text"] is None
+
+
+def test_entry_without_the_training_data_half(tmp_path):
+    """A left-over cache folder is not the package."""
+    import shutil
+    import subprocess
+    import sys
+
+    for name in ("__spark_entry__.py", "peptrail"):
+        source = os.path.join(os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), name)
+        (shutil.copytree if os.path.isdir(source) else shutil.copy)(source, tmp_path / name)
+    for f in (tmp_path / "peptrail/llm").glob("*.py"):
+        f.unlink()
+    (tmp_path / "peptrail/llm/__pycache__").mkdir(exist_ok=True)
+    said = subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__ as e; print(len(e.queries()), any(k.startswith('op') for k in e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True)
+    assert said.returncode == 0 and " False " in said.stdout, said.stderr
