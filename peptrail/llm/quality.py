@@ -1,225 +1,313 @@
-"""Quality classifier: an interpolated modified Kneser-Ney model of characters.
-
-Trigrams of characters are counted over every trusted text (label quality 1), smoothed with
-interpolated modified Kneser-Ney discounts, and give each document's perplexity per
-character. A document is rejected if its perplexity exceeds its language's quantile of the
-trusted documents' perplexities. Nothing is sampled: counts and quantiles cover all rows.
-
-The model's rows are written to the shared folder in shards of about ``SHARD`` rows by key.
-A task joins the distinct n-grams of a block of text with the shards one after another and
-holds a bounded number of them, so memory does not grow with the model.
-
-Edge cases: a null or empty text has no perplexity and is kept; a null or untrusted language
-takes the quantile over all trusted documents; without trusted text everything is kept; rows
-that share a doc_id share its label; repeated labels count once and any quality of 1 makes a
-document trusted; empty tables give an empty result; other columns are ignored, whatever
-their names.
+"""Quality classifier: an interpolated modified Kneser-Ney model of characters, scored on held-out folds.
+
+N-grams of ``ORDER`` characters are counted over every trusted text (label quality 1), with
+interpolated modified Kneser-Ney discounts at every order. A text belongs to one of ``FOLDS``
+folds by its hash; each fold's model is counted on the trusted texts of the other folds, and
+every document, trusted or not, is scored by the model of its own fold, which has not seen its
+text. A document is rejected if its perplexity per character exceeds its language's quantile of
+the trusted documents' held-out perplexities. Nothing is sampled: all trusted texts train and
+all set thresholds.
+
+Counts, contexts and probabilities are tables of n-grams joined by shuffles. The model is then
+written to the shared folder in shards of about ``SHARD`` rows by key. A task looks up the
+distinct n-grams of ``GROUP`` blocks of text at once, in the order of shards, so each shard is
+read once for them and a bounded number is held: memory does not grow with the model. Quantiles
+are found by counts of ever narrower ranges of the perplexity's bits, with no group of all rows.
+
+Edge cases: a null or empty text has no perplexity and is kept, and so is one whose fold has no
+model, for want of trusted text in the others; a null or untrusted language takes the quantile
+over all trusted documents; rows that share a doc_id share its label; repeated labels count
+once and any quality of 1 makes a document trusted; empty tables give an empty result; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections import OrderedDict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from peptrail.llm import scratch, textscan
 
-SHIFT = 21  # bits of a character; the start of a text is one above the last character
-START = 0x110000
-MASK = (1 << SHIFT) - 1
+ORDER = 5
+FOLDS = 2
+START = 0x10FFFF  # no character; stands before a text
+GONE = 0xFFFD  # stands for a NUL, at which arrays of strings end
 SHARD = 250_000
 SHARDS_HELD = 16
+#: Blocks of text whose n-grams are looked up together.
+GROUP = 16
 #: Rows of counts that a task holds before it passes them on.
-COUNTS_HELD = 2_000_000
+COUNTS_HELD = 1_000_000
 QUANTILE = 0.995
 #: Without any discount nothing would be left for what was never seen.
 LEAST_DISCOUNT = 0.05
-TRIGRAM, TRIGRAM_REST, BIGRAM, BIGRAM_REST, UNIGRAM = range(5)
+#: Bits by which the levels of the quantile search tell perplexities apart.
+BITS = (44, 22, 0)
+EVERY = "*"  # the group of all languages
+FACTORS = textscan.mix(np.arange(1, ORDER + 1, dtype=textscan.U)) | textscan.U(1)
 
 
-def trigrams(block: textscan.Block) -> tuple[np.ndarray, np.ndarray]:
-    """A key for every character with the two before it, and where each row's keys begin."""
-    chars = np.frombuffer(block.data.tobytes().decode().encode("utf-32-le"), dtype="<u4")
-    begins = np.concatenate([[0], np.cumsum((block.data & 0xC0) != 0x80)])[block.offsets]
-    padded = np.insert(chars, np.repeat(begins[:-1], 2), START).astype(np.int64)
-    keys = (padded[:-2] << (2 * SHIFT)) | (padded[1:-1] << SHIFT) | padded[2:]
-    return keys[padded[2:] != START], begins
+def _salt(kind: int, order: int, fold: np.ndarray) -> np.ndarray:
+    """What tells the keys of n-grams (0) and contexts (1), of orders and of folds apart."""
+    return textscan.mix(((np.asarray(fold, dtype=textscan.U) << textscan.U(8)) + textscan.U(order * 2 + kind)))
+
+
+class Grams:
+    """The n-grams that end at each character of a block, by rolling sums of their characters."""
+
+    def __init__(self, block: textscan.Block):
+        chars = np.frombuffer(block.data.tobytes().decode().encode("utf-32-le"), dtype="<u4")
+        self.begins = np.concatenate([[0], np.cumsum((block.data & 0xC0) != 0x80)])[block.offsets]
+        counts = np.diff(self.begins)
+        self.row = np.repeat(np.arange(block.rows), counts)
+        self.padded = np.insert(np.where(chars == 0, GONE, chars), np.repeat(self.begins[:-1], ORDER - 1), START).astype(textscan.U)
+        self.at = np.arange(len(chars)) + (ORDER - 1) * (self.row + 1)
+        self.sums = [np.zeros(len(self.padded), textscan.U)]
+        for k in range(ORDER):
+            far = np.zeros(len(self.padded), textscan.U)
+            far[k:] = self.padded[: len(self.padded) - k] + textscan.U(1)
+            self.sums.append(self.sums[-1] + far * FACTORS[k])
+
+    def of(self, order: int, at: np.ndarray) -> np.ndarray:
+        return self.sums[order][at]
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+    """``(fold, gram, n)`` of ``(fold, text)``: the n-grams of the highest order."""
+    keys, counts, chars, folds = np.empty(0, textscan.U), np.empty(0, np.int64), np.empty((0, ORDER), np.uint32), np.empty(0, np.int32)
 
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "n"])
+        names = np.ascontiguousarray(chars).view(f"<U{ORDER}").ravel() if len(chars) else np.empty(0, "<U1")
+        return pa.RecordBatch.from_arrays([pa.array(folds), pa.array(names, pa.string()), pa.array(counts)], ["fold", "gram", "n"])
 
     for batch in batches:
+        fold = batch.column("fold").to_numpy()
         for block in textscan.blocks(batch.column("text")):
-            found, n = np.unique(trigrams(block)[0], return_counts=True)
-            both, inverse = np.unique(np.concatenate([keys, found]), return_inverse=True)
+            grams = Grams(block)
+            mine = fold[block.row0 + grams.row]
+            found, where, n = np.unique(textscan.mix(grams.of(ORDER, grams.at) ^ _salt(0, ORDER, mine)), return_index=True, return_counts=True)
+            ends = grams.at[where][:, None] - np.arange(ORDER - 1, -1, -1)
+            both, first, inverse = np.unique(np.concatenate([keys, found]), return_index=True, return_inverse=True)
             counts = np.bincount(inverse, weights=np.concatenate([counts, n]), minlength=len(both)).astype(np.int64)
+            chars = np.concatenate([chars, grams.padded[ends].astype(np.uint32)])[first]
+            folds = np.concatenate([folds, mine[where].astype(np.int32)])[first]
             keys = both
             if len(keys) > COUNTS_HELD:
                 yield out()
-                keys, counts = keys[:0], counts[:0]
+                keys, counts, chars, folds = keys[:0], counts[:0], chars[:0], folds[:0]
     yield out()
 
 
-def _discount(n: str, d: dict[int, float]):
-    return F.when(F.col(n) == 1, d[1]).when(F.col(n) == 2, d[2]).otherwise(d[3])
-
-
-def _discounts(grams: DataFrame, n: str) -> dict[int, float]:
-    """The three discounts from the counts of counts; where these are too thin, 0.5, 1 and 1.5."""
-    row = grams.agg(*(F.count(F.when(F.col(n) == k, 1)).alias(f"n{k}") for k in range(1, 5))).first()
-    some = [row[f"n{k}"] for k in range(1, 5)]
-    if not all(some):
-        return {1: 0.5, 2: 1.0, 3: 1.5}
-    y = some[0] / (some[0] + 2 * some[1])
-    return {k: min(max(k - (k + 1) * y * some[k] / some[k - 1], LEAST_DISCOUNT), float(k)) for k in (1, 2, 3)}
-
-
-def train(spark: SparkSession, trusted: DataFrame) -> tuple[str, int]:
-    """Write the model of ``trusted(text)``; returns its folder and number of shards (0: no text)."""
-    counted = trusted.select("text").mapInArrow(_counts, "key long, n long")
-    tri = scratch.save(spark, counted.groupBy("key").agg(F.sum("n").alias("n")), "trigrams")
-    if tri.isEmpty():
-        return "", 0
-    context = F.shiftright("key", SHIFT).alias("context")
-    lower = F.col("key").bitwiseAND((1 << (2 * SHIFT)) - 1)
-
-    def level(grams: DataFrame, d: dict[int, float]) -> DataFrame:
-        """Per context: the sum of its counts and the mass that goes to the lower order."""
-        return grams.groupBy(context).agg(F.sum("n").alias("total"), F.sum(_discount("n", d)).alias("mass")).select("context", "total", (F.col("mass") / F.col("total")).alias("rest"))
-
-    d3 = _discounts(tri, "n")
-    bi = scratch.save(spark, tri.groupBy(lower.alias("key")).agg(F.count(F.lit(1)).alias("n")), "bigrams")
-    d2 = _discounts(bi, "n")
-    uni = scratch.save(spark, bi.groupBy(F.col("key").bitwiseAND(MASK).alias("key")).agg(F.count(F.lit(1)).alias("n")), "unigrams")
-    d1 = _discounts(uni, "n")
-    sums = uni.agg(F.sum("n").alias("total"), F.sum(_discount("n", d1)).alias("mass"), F.count(F.lit(1)).alias("kinds")).first()
-    floor = sums["mass"] / sums["total"] / (sums["kinds"] + 1)  # the one more is any unseen character
-    p1 = uni.select("key", (F.greatest(F.col("n") - _discount("n", d1), F.lit(0.0)) / sums["total"] + floor).alias("value"))
-    c2, c3 = level(bi, d2), level(tri, d3)
-    p2 = bi.withColumn("context", context).join(c2, "context").join(p1.select(F.col("key").alias("low"), F.col("value").alias("lower")), F.col("key").bitwiseAND(MASK) == F.col("low"))
-    p2 = p2.select("key", (F.greatest(F.col("n") - _discount("n", d2), F.lit(0.0)) / F.col("total") + F.col("rest") * F.col("lower")).alias("value"))
-    p3 = tri.withColumn("context", context).join(c3, "context").join(p2.select(F.col("key").alias("low"), F.col("value").alias("lower")), lower == F.col("low"))
-    p3 = p3.select("key", (F.greatest(F.col("n") - _discount("n", d3), F.lit(0.0)) / F.col("total") + F.col("rest") * F.col("lower")).alias("value"))
-    kinds = [(TRIGRAM, p3), (TRIGRAM_REST, c3.select(F.col("context").alias("key"), F.col("rest").alias("value"))), (BIGRAM, p2), (BIGRAM_REST, c2.select(F.col("context").alias("key"), F.col("rest").alias("value"))), (UNIGRAM, p1)]
-    rows = None
-    for kind, part in kinds:
-        part = part.select(F.lit(kind).alias("kind"), "key", "value")
-        rows = part if rows is None else rows.union(part)
-    rows = rows.union(spark.createDataFrame([(UNIGRAM, -1, floor)], "kind int, key long, value double"))
-    shards = 1 + tri.count() * 2 // SHARD
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(key, value)`` of ``(kind, fold, gram, value)``."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        chars = np.array(batch.column("gram").to_pylist(), dtype=f"<U{ORDER}").view(np.uint32).reshape(-1, ORDER)
+        size = (chars != 0).sum(axis=1)
+        total = np.zeros(len(size), textscan.U)
+        for k in range(ORDER):
+            there = size > k
+            total[there] += (chars[there, size[there] - 1 - k].astype(textscan.U) + textscan.U(1)) * FACTORS[k]
+        kind, fold = batch.column("kind").to_numpy(), batch.column("fold").to_numpy()
+        salt = np.zeros(len(size), textscan.U)
+        for k in (0, 1):
+            for order in range(1, ORDER + 1):
+                some = (kind == k) & (size == order)
+                salt[some] = _salt(k, order, fold[some])
+        yield pa.RecordBatch.from_arrays([textscan.signed(textscan.mix(total ^ salt)), batch.column("value")], ["key", "value"])
+
+
+def fold_of(text: Column) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(FOLDS)).cast("int")
+
+
+def _discounts(counts: DataFrame) -> Column:
+    """The discount of a row by its fold and count; 0.5, 1 and 1.5 where the counts of counts are too thin."""
+    found = counts.groupBy("fold").agg(*(F.count(F.when(F.col("n") == k, 1)).alias(f"n{k}") for k in range(1, 5))).collect()  # one row a fold
+    out = F.lit(None).cast("double")
+    for row in found:
+        some = [row[f"n{k}"] for k in range(1, 5)]
+        d = [0.5, 1.0, 1.5]
+        if all(some):
+            y = some[0] / (some[0] + 2 * some[1])
+            d = [min(max(k - (k + 1) * y * some[k] / some[k - 1], LEAST_DISCOUNT), float(k)) for k in (1, 2, 3)]
+        mine = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+        out = F.when(F.col("fold") == row["fold"], mine).otherwise(out)
+    return out
+
+
+def train(spark: SparkSession, trusted: DataFrame) -> tuple[str, int, dict[int, float]]:
+    """Write the models of ``trusted(fold, text)``; returns their folder, the number of shards
+    and, by fold, the probability of a character never seen (none: no model)."""
+    others = F.expr(f"filter(sequence(0, {FOLDS - 1}), f -> f <> fold)")
+    counted = trusted.select("fold", "text").mapInArrow(_counts, "fold int, gram string, n long").select(F.explode(others).alias("fold"), "gram", "n")
+    grams = scratch.save(spark, counted.groupBy("fold", "gram").agg(F.sum("n").alias("n")), f"grams{ORDER}")
+    levels = [grams]
+    for k in range(ORDER - 1, 0, -1):  # how many characters stand before each shorter n-gram
+        levels.insert(0, scratch.save(spark, levels[0].groupBy("fold", F.substring("gram", 2, k).alias("gram")).agg(F.count(F.lit(1)).alias("n")), f"grams{k}"))
+    unigrams, d = levels[0], _discounts(levels[0])
+    sums = unigrams.groupBy("fold").agg(F.sum("n").alias("total"), F.sum(d).alias("mass"), F.count(F.lit(1)).alias("kinds")).collect()  # one row a fold
+    if not sums:
+        return "", 0, {}
+    floors = {r.fold: r.mass / r.total / (r.kinds + 1) for r in sums}  # the one more is any unseen character
+    of_fold = lambda values: reduce(lambda out, f: F.when(F.col("fold") == f, F.lit(values[f])).otherwise(out), values, F.lit(None).cast("double"))
+    totals = of_fold({r.fold: float(r.total) for r in sums})
+    lower = scratch.save(spark, unigrams.select("fold", "gram", (F.greatest(F.col("n") - d, F.lit(0.0)) / totals + of_fold(floors)).alias("value")), "p1")
+    tables = [lower.withColumn("kind", F.lit(0))]
+    for k, counts in enumerate(levels[1:], 2):
+        d = _discounts(counts)
+        context = F.substring("gram", 1, k - 1)
+        contexts = counts.groupBy("fold", context.alias("context")).agg(F.sum("n").alias("total"), F.sum(d).alias("mass"))
+        contexts = scratch.save(spark, contexts.select("fold", "context", "total", (F.col("mass") / F.col("total")).alias("rest")), f"contexts{k}")
+        below = lower.select("fold", F.col("gram").alias("suffix"), F.col("value").alias("below"))
+        seen = counts.withColumns({"context": context, "suffix": F.substring("gram", 2, k - 1)}).join(contexts, ["fold", "context"]).join(below, ["fold", "suffix"])
+        lower = scratch.save(spark, seen.select("fold", "gram", (F.greatest(F.col("n") - d, F.lit(0.0)) / F.col("total") + F.col("rest") * F.col("below")).alias("value")), f"p{k}")
+        tables += [lower.withColumn("kind", F.lit(0)), contexts.select("fold", F.col("context").alias("gram"), F.col("rest").alias("value"), F.lit(1).alias("kind"))]
+    shards = 1 + sum(t.count() for t in tables) // SHARD
+    rows = reduce(DataFrame.union, (t.select("kind", "fold", "gram", "value") for t in tables)).mapInArrow(_keys, "key long, value double")
     folder = scratch.new_path(spark, "model")
-    keyed = rows.withColumn("shard", F.when(F.col("key") < 0, 0).otherwise(F.pmod("key", F.lit(shards))))
-    keyed.repartition("shard").sortWithinPartitions("shard", "kind", "key").write.partitionBy("shard").parquet(folder)
-    return folder, shards
+    rows.withColumn("shard", F.pmod("key", F.lit(shards))).repartition("shard").sortWithinPartitions("shard", "key").write.partitionBy("shard").parquet(folder)
+    scratch.drop(spark, *levels, *tables)
+    return folder, shards, floors
 
 
 class Model:
-    """Lookups in the shards of a model."""
+    """Lookups in the shards of the models."""
 
-    def __init__(self, folder: str, shards: int):
+    def __init__(self, folder: str, shards: int, floors: dict[int, float]):
         self.folder, self.shards, self.held = folder, shards, OrderedDict()
-        self.floor = self.shard(0)[UNIGRAM][1][0]
+        self.floors = np.array([floors.get(f, np.nan) for f in range(FOLDS)])
 
-    def shard(self, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    def shard(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         if k not in self.held:
-            fs, path = scratch.open_fs(f"{self.folder}/shard={k}")
-            files = [x.path for x in fs.get_file_info(_selector(path)) if x.path.endswith(".parquet")]
+            from pyarrow import fs
+
+            store, path = scratch.open_fs(f"{self.folder}/shard={k}")
+            files = [x.path for x in store.get_file_info(fs.FileSelector(path, allow_not_found=True)) if x.path.endswith(".parquet")]
+            key, value = np.empty(0, np.int64), np.empty(0)
             if files:
-                table = pa.concat_tables([pq.read_table(f, filesystem=fs, partitioning=None) for f in files])
-                kind, key, value = (table.column(c).to_numpy() for c in ("kind", "key", "value"))
-            else:
-                kind, key, value = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0)
-            order = np.lexsort((key, kind))
-            kind, key, value = kind[order], key[order], value[order]
-            ends = np.searchsorted(kind, np.arange(6))
-            self.held[k] = [(key[a:b], value[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+                table = pa.concat_tables([pq.read_table(f, filesystem=store, partitioning=None) for f in files])
+                key, value = table.column("key").to_numpy(), table.column("value").to_numpy()
+            order = np.argsort(key, kind="stable")
+            self.held[k] = key[order], value[order]
             if len(self.held) > SHARDS_HELD:
                 self.held.popitem(last=False)
         self.held.move_to_end(k)
         return self.held[k]
 
-    def get(self, kind: int, keys: np.ndarray, default: float = np.nan) -> np.ndarray:
-        out = np.full(len(keys), default)
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key, NaN where there is none."""
+        keys, out = keys.view(np.int64), np.full(len(keys), np.nan)
         of = keys % self.shards
         order = np.argsort(of, kind="stable")
         cuts = np.searchsorted(of[order], np.arange(self.shards + 1))
         for k in range(self.shards):
             rows = order[cuts[k] : cuts[k + 1]]
             if len(rows):
-                known, values = self.shard(k)[kind]
+                known, values = self.shard(k)
                 at = np.searchsorted(known, keys[rows])
                 at[at == len(known)] = 0
                 hit = known[at] == keys[rows] if len(known) else np.zeros(len(rows), dtype=bool)
                 out[rows[hit]] = values[at[hit]]
         return out
 
-    def probability(self, keys: np.ndarray) -> np.ndarray:
-        """Of each trigram's last character after the two before it."""
-        out = self.get(TRIGRAM, keys)
-        rest = np.flatnonzero(np.isnan(out))
-        if len(rest):
-            k = keys[rest]
-            pair = k & ((1 << (2 * SHIFT)) - 1)
-            p2 = self.get(BIGRAM, pair)
-            low = np.flatnonzero(np.isnan(p2))
-            p2[low] = self.get(UNIGRAM, pair[low] & MASK, self.floor) * self.get(BIGRAM_REST, pair[low] >> SHIFT, 1.0)
-            out[rest] = p2 * self.get(TRIGRAM_REST, k >> SHIFT, 1.0)
+    def probability(self, fold: np.ndarray, sums: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+        """Of each n-gram's last character after those before it; row k - 1 of ``sums`` is of order k."""
+        out, rest, left = np.full(len(fold), np.nan), np.ones(len(fold)), np.arange(len(fold))
+        for k in range(ORDER, 0, -1):
+            found = self.get(textscan.mix(sums[k - 1][left] ^ _salt(0, k, fold[left])))
+            hit = ~np.isnan(found)
+            out[left[hit]] = rest[left[hit]] * found[hit]
+            left = left[~hit]
+            if k > 1 and len(left):
+                more = self.get(textscan.mix(contexts[k - 2][left] ^ _salt(1, k - 1, fold[left])))
+                rest[left] *= np.where(np.isnan(more), 1.0, more)
+        out[left] = rest[left] * self.floors[fold[left]]
         return out
 
 
-def _selector(path: str):
-    from pyarrow import fs
-
-    return fs.FileSelector(path, allow_not_found=True)
-
-
 _models: dict[str, Model] = {}
 
 
-def _score(folder: str, shards: int):
-    """Adds ``perplexity`` to rows that have ``text``."""
+def _perplexities(model: Model, folds: np.ndarray, group: list[textscan.Block]) -> list[np.ndarray]:
+    """Of the rows of each block of a group, whose distinct n-grams are looked up together."""
+    keys, folded, sums, contexts, inverse, begins = [], [], [], [], [], []
+    for block in group:
+        grams = Grams(block)
+        fold = folds[block.row0 + grams.row]
+        found, where, back = np.unique(textscan.mix(grams.of(ORDER, grams.at) ^ _salt(0, ORDER, fold)), return_index=True, return_inverse=True)
+        at = grams.at[where]
+        keys.append(found)
+        folded.append(fold[where])
+        sums.append(np.stack([grams.of(k, at) for k in range(1, ORDER + 1)]))
+        contexts.append(np.stack([grams.of(k, at - 1) for k in range(1, ORDER)]))
+        inverse.append(back.astype(np.int32))
+        begins.append(grams.begins)
+    _, where, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    p = model.probability(np.concatenate(folded)[where], np.concatenate(sums, axis=1)[:, where], np.concatenate(contexts, axis=1)[:, where])
+    logs, out, used = np.log(p), [], 0
+    for found, own, begin in zip(keys, inverse, begins, strict=True):
+        each = logs[back[used : used + len(found)]][own]
+        used += len(found)
+        total = np.concatenate([[0.0], np.cumsum(each)])
+        with np.errstate(invalid="ignore", divide="ignore"):
+            out.append(np.exp(-np.diff(total[begin]) / np.diff(begin)))
+    return out
+
+
+def _score(folder: str, shards: int, floors: dict[int, float]):
+    """``(doc_id, lang, text_key, perplexity, bits)``; bits are in the order of perplexities."""
+    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("text_key", pa.int64()), ("perplexity", pa.float64()), ("bits", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if folder not in _models:
             _models.clear()
-            _models[folder] = Model(folder, shards)
-        model = _models[folder]
+            _models[folder] = Model(folder, shards, floors)
         for batch in batches:
-            out = []
+            folds, waiting, out = batch.column("fold").to_numpy(), [], []
             for block in textscan.blocks(batch.column("text")):
-                keys, begins = trigrams(block)
-                distinct, inverse = np.unique(keys, return_inverse=True)
-                logs = np.concatenate([[0], np.cumsum(np.log(model.probability(distinct))[inverse])])
-                n = np.diff(begins)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    out.append(np.exp(-np.diff(logs[begins]) / n))
+                waiting.append(block)
+                if len(waiting) == GROUP:
+                    out += _perplexities(_models[folder], folds, waiting)
+                    waiting = []
+            if waiting:
+                out += _perplexities(_models[folder], folds, waiting)
             worth = np.concatenate(out) if out else np.empty(0)
-            column = pa.array(worth, pa.float64(), mask=~np.isfinite(worth))
-            yield pa.RecordBatch.from_arrays([*(c for c, name in zip(batch.columns, batch.schema.names, strict=True)), column], [*batch.schema.names, "perplexity"])
+            none = ~np.isfinite(worth)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "lang", "text_key")), pa.array(worth, pa.float64(), mask=none), pa.array(worth.view(np.int64), pa.int64(), mask=none)], schema=schema)
 
     return run
 
 
-def score(docs: DataFrame, folder: str, shards: int, *columns: str) -> DataFrame:
-    """``docs`` with ``perplexity``; only ``columns`` (default all) come back."""
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = docs.mapInArrow(_score(folder, shards), f"{kinds}, perplexity double")
-    return out.select(*columns, "perplexity") if columns else out
-
-
-def thresholds(scores: DataFrame, quantile: float) -> DataFrame:
-    """``(lang, most)`` for every language of trusted ``scores(lang, perplexity)``; null: all of them."""
-    q = F.percentile("perplexity", F.lit(quantile)).alias("most")
-    return scores.where("lang is not null").groupBy("lang").agg(q).union(scores.agg(F.lit(None).cast("string").alias("lang"), q))
+def thresholds(spark: SparkSession, scores: DataFrame, quantile: float) -> DataFrame:
+    """``(lang, most)`` for every language of ``scores(lang, perplexity, bits)`` and for ``EVERY``.
+
+    The least perplexity that at least the quantile of the scores do not exceed. Scores are
+    counted by the leading bits, and only the range in which the rank falls is counted further.
+    """
+    own = scores.where("bits is not null and lang is not null").select("lang", "perplexity", "bits")
+    each = scratch.save(spark, own.union(scores.where("bits is not null").select(F.lit(EVERY), "perplexity", "bits")), "trusted_scores")
+    ranks = each.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) * F.lit(quantile)).alias("rank"))
+    state = ranks.select("lang", F.greatest("rank", F.lit(1)).alias("rank"), F.lit(None).cast("long").alias("within"), F.lit(0).cast("long").alias("before"))
+    width = 64
+    for bits in BITS:
+        inside = each.join(state, "lang").where(F.col("within").isNull() | (F.shiftright("bits", width % 64) == F.col("within")))
+        bins = inside.groupBy("lang", "rank", "before", F.shiftright("bits", bits).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("perplexity").alias("most"))
+        run = F.col("before") + F.sum("n").over(Window.partitionBy("lang").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        first = bins.withColumn("run", run).where("run >= rank").groupBy("lang").agg(F.min(F.struct("bin", "run", "n", "rank", "most")).alias("x"))
+        state = scratch.save(spark, first.select("lang", F.col("x.rank").alias("rank"), F.col("x.bin").alias("within"), (F.col("x.run") - F.col("x.n")).alias("before"), F.col("x.most").alias("most")), f"quantile{bits}")
+        width = bits
+        each_state = state.select("lang", "most")
+        state = state.drop("most")
+    return each_state
 
 
 def _trusted(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -228,35 +316,24 @@ def _trusted(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(good.hint("merge"), "doc_id", "left_semi")
 
 
-def _limited(scored: DataFrame, limits: DataFrame) -> DataFrame:
-    """``scored`` with ``most``, its language's threshold or else that of all trusted documents."""
-    rest = limits.where("lang is null").select(F.col("most").alias("overall"))  # one row
-    own = limits.where("lang is not null").select(F.col("lang").alias("_lang"), F.col("most").alias("own"))
-    return scored.join(own, F.col("lang") == F.col("_lang"), "left").join(F.broadcast(rest)).withColumn("most", F.coalesce("own", "overall")).drop("_lang", "own", "overall")
-
-
 def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """Per row: doc_id, lang, perplexity, most (the threshold), kept."""
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].cast("string").alias("lang"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    folder, shards = train(spark, _trusted(rows.select("doc_id", "text"), labels))
-    if not shards:
-        return rows.select("doc_id", "lang", F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("most"), F.lit(True).alias("kept"))
-    scored = scratch.save(spark, score(rows, folder, shards, "doc_id", "lang"), "scores")
-    limits = scratch.save(spark, thresholds(_trusted(scored, labels), quantile), "limits")
-    return _limited(scored, limits).select("doc_id", "lang", "perplexity", "most", F.coalesce(F.col("perplexity") <= F.col("most"), F.lit(True)).alias("kept"))
+    """Per row: doc_id, lang, perplexity, most (the threshold), kept, text_key."""
+    text = F.coalesce(docs["text"], F.lit(""))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].cast("string").alias("lang"), F.xxhash64(text).alias("text_key"), fold_of(text).alias("fold"), text.alias("text"))
+    folder, shards, floors = train(spark, _trusted(rows.select("doc_id", "fold", "text"), labels))
+    if not floors:
+        return rows.select("doc_id", "lang", F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("most"), F.lit(True).alias("kept"), "text_key")
+    scored = scratch.save(spark, rows.mapInArrow(_score(folder, shards, floors), "doc_id long, lang string, text_key long, perplexity double, bits long"), "scores")
+    limits = thresholds(spark, _trusted(scored, labels), quantile)
+    overall = limits.where(F.col("lang") == EVERY).select(F.col("most").alias("overall"))  # one row, or none
+    own = limits.where(F.col("lang") != EVERY).select(F.col("lang").alias("of"), F.col("most").alias("own"))
+    limited = scored.join(own, F.col("lang") == F.col("of"), "left").join(F.broadcast(overall), F.lit(True), "left").withColumn("most", F.coalesce("own", "overall"))
+    return limited.select("doc_id", "lang", "perplexity", "most", F.coalesce(F.col("perplexity") <= F.col("most"), F.lit(True)).alias("kept"), "text_key")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """The rows of ``docs`` that are not rejected; their texts pass through the scorer, not through a shuffle."""
-    ids = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].cast("string").alias("lang"), docs["text"])
-    trusted = scratch.save(spark, _trusted(ids, labels), "trusted")
-    folder, shards = train(spark, trusted)
-    if not shards:
-        return docs
-    limits = scratch.save(spark, thresholds(score(trusted, folder, shards, "lang"), quantile), "limits")
-    # Other columns travel in one struct under names of their own, so that none clashes.
-    others = [c for c in docs.columns if c != "text"]
-    row = F.struct(*(docs[c].alias(f"c{i}") for i, c in enumerate(others)))
-    scored = score(docs.select(docs["lang"].cast("string").alias("lang"), docs["text"], row.alias("row")), folder, shards)
-    kept = _limited(scored, limits).where(F.coalesce(F.col("perplexity") <= F.col("most"), F.lit(True)))
-    return kept.select(*(F.col("text") if c == "text" else F.col(f"row.c{others.index(c)}").alias(c) for c in docs.columns))
+    """The rows of ``docs`` that are not rejected."""
+    bad = classify(spark, docs, labels, quantile).where("not kept").select("text_key", F.col("lang").alias("bad_lang")).distinct()
+    bad = scratch.save(spark, bad, "rejected")
+    same = (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["text_key"]) & docs["lang"].cast("string").eqNullSafe(bad["bad_lang"])
+    return docs.join(bad, same, "left_anti")

@@ -13,10 +13,10 @@ from peptrail.llm.license_scan import scan_licenses
 from peptrail.llm.mixing import mix_sources
 from peptrail.llm.near_dedup import near_duplicates
 from peptrail.llm.packing import pack
+from peptrail.llm.quality import classify
 from peptrail.llm.substring_dedup import substring_dedup
 from peptrail.llm.token_output import read_tokens, write_tokens
 from peptrail.llm.warc import read_warc, write_warc
-from peptrail.llm.word_quality import classify_held_out
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -51,7 +51,7 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify_held_out(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).drop("text_key")
+    return classify(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).drop("text_key")
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -133,63 +133,6 @@ def test_license_scan_of_other_templates(spark):
     assert [(r.doc_id, r.license, r.containment, r.passages) for r in found.collect()] == [(1, "own", 1.0, 1)]
 
 
-def kneser_ney(texts):
-    """A plain interpolated modified model of character trigrams: returns the perplexity of a text."""
-    grams = [collections.Counter() for _ in range(3)]
-    for t in texts:
-        c = ["^", "^", *t]
-        grams[0].update(tuple(c[i - 2 : i + 1]) for i in range(2, len(c)))
-    for i in (1, 2):
-        grams[i].update(g[1:] for g in grams[i - 1])
-
-    def discounts(counts):
-        n = [sum(v == k for v in counts.values()) for k in range(1, 5)]
-        if not all(n):
-            return [0, 0.5, 1, 1.5]
-        y = n[0] / (n[0] + 2 * n[1])
-        return [0] + [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.05), k) for k in (1, 2, 3)]
-
-    d = [discounts(g) for g in grams]
-    context = [collections.defaultdict(lambda: [0, 0.0]) for _ in grams]
-    for i, g in enumerate(grams):
-        for k, v in g.items():
-            context[i][k[:-1]][0] += v
-            context[i][k[:-1]][1] += d[i][min(v, 3)]
-
-    def p(i, gram):
-        if i == 3:
-            return 1 / (len(grams[2]) + 1)
-        total, mass = context[i].get(gram[:-1], (0, 0))
-        lower = p(i + 1, gram[1:])
-        if not total:
-            return lower
-        v = grams[i][gram]
-        return max(v - d[i][min(v, 3)], 0) / total + mass / total * lower
-
-    def perplexity(t):
-        c = ["^", "^", *t]
-        return math.exp(-sum(math.log(p(0, tuple(c[i - 2 : i + 1]))) for i in range(2, len(c))) / len(t))
-
-    return perplexity
-
-
-def test_quality(spark, docs, rows):
-    labels = spark.createDataFrame([(i, int(i % 2 == 0), 0) for i in range(0, 40)] + [(4, 0, 0)], "doc_id long, quality int, toxic int")
-    model = kneser_ney([r[1] or "" for r in rows if r[0] < 40 and r[0] % 2 == 0])
-    got = {r.doc_id: r for r in classify(spark, docs, labels, 0.5).collect()}
-    trusted = collections.defaultdict(list)
-    for d, t, lang, *_ in rows:
-        want = model(t) if t else None
-        assert got[d].perplexity == (pytest.approx(want, rel=1e-9) if t else None)
-        if t and d < 40 and d % 2 == 0:
-            trusted[lang].append(want)
-            trusted["all"].append(want)
-    for d, t, lang, *_ in rows:
-        most = np.quantile(trusted[lang if lang else "all"], 0.5)
-        assert got[d].most == pytest.approx(most) and (not t or abs(got[d].perplexity - most) < 1e-9 or got[d].kept == (got[d].perplexity <= most))
-        assert t or got[d].kept
-
-
 def test_embedding_dedup(spark):
     random_ = np.random.default_rng(3)
     centers = random_.normal(size=(6, 8))

@@ -10,8 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from peptrail.llm import quality
 from peptrail.llm.near_dedup import near_duplicates
-from peptrail.llm.word_quality import FOLDS, classify_held_out, keep_good_held_out
+from peptrail.llm.quality import FOLDS, ORDER, classify, keep_good
 from peptrail.operators import search
 from peptrail.operators.index import SEED
 from peptrail.plans import registry
@@ -26,13 +27,13 @@ def prose(n):
     return " ".join(draw.choices(VOCABULARY, k=n))
 
 
-def word_model(texts):
-    """A plain interpolated modified Kneser-Ney model of word trigrams: returns the perplexity of a text."""
-    grams = [collections.Counter() for _ in range(3)]
+def kneser_ney(texts):
+    """A plain interpolated modified model of characters: returns the perplexity of a text."""
+    grams = [collections.Counter() for _ in range(ORDER)]
     for t in texts:
-        c = ["^", "^", *t.split()]
-        grams[0].update(tuple(c[i - 2 : i + 1]) for i in range(2, len(c)))
-    for i in (1, 2):
+        c = ["^"] * (ORDER - 1) + list(t)
+        grams[0].update(tuple(c[i - ORDER : i]) for i in range(ORDER, len(c) + 1))
+    for i in range(1, ORDER):
         grams[i].update(g[1:] for g in grams[i - 1])
 
     def discounts(counts):
@@ -50,38 +51,40 @@ def word_model(texts):
             context[i][k[:-1]][1] += d[i][min(v, 3)]
 
     def p(i, gram):
-        if i == 3:
-            return 1 / (len(grams[2]) + 1)
+        if i == ORDER:
+            return 1 / (len(grams[-1]) + 1)
         total, mass = context[i].get(gram[:-1], (0, 0))
         lower = p(i + 1, gram[1:])
         return max(grams[i][gram] - d[i][min(grams[i][gram], 3)], 0) / total + mass / total * lower if total else lower
 
     def perplexity(t):
-        c = ["^", "^", *t.split()]
-        return math.exp(-sum(math.log(p(0, tuple(c[i - 2 : i + 1]))) for i in range(2, len(c))) / (len(c) - 2))
+        c = ["^"] * (ORDER - 1) + list(t)
+        return math.exp(-sum(math.log(p(0, tuple(c[i - ORDER : i]))) for i in range(ORDER, len(c) + 1)) / len(t))
 
     return perplexity
 
 
-def test_quality_scores_words_on_held_out_folds(spark):
-    texts = [None, "", prose(3), *(prose(draw.randrange(1, 60)) for _ in range(60)), "never seen words here", "aa aa aa aa aa"]
-    texts += [texts[5], texts[-1]]  # copies, one trusted
+@pytest.mark.parametrize("shard", [250_000, 40])
+def test_quality_scores_held_out_folds(spark, shard, monkeypatch):
+    monkeypatch.setattr(quality, "SHARD", shard)
+    texts = [None, "", " ", prose(3), *(prose(draw.randrange(1, 60)) for _ in range(60)), "never seen Größe here", "aa aa aa aa aa", "nul \0 inside \0", "ab"]
+    texts += [texts[5], texts[-1], texts[20], texts[20]]  # copies, some trusted
     rows = [(i, t, ["en", "fr", None][i % 3], "x", "x") for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, key string, fold string").repartition(3)
     good = {i for i in range(56) if i % 3}
-    labels = spark.createDataFrame([(i, int(i in good), 0) for i in range(56)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(i, int(i in good), 0) for i in range(56)] + [(4, 0, 0)], "doc_id long, quality int, toxic int")
     of = {r.doc_id: r.f for r in docs.select("doc_id", F.expr(f"pmod(xxhash64(coalesce(text, '')), {FOLDS})").alias("f")).collect()}
-    models = [word_model([t for i, t in enumerate(texts) if i in good and t and of[i] != f]) for f in range(FOLDS)]
-    want = {i: models[of[i]](t) if t else None for i, t in enumerate(texts)}
-    got = {r.doc_id: r for r in classify_held_out(spark, docs, labels, 0.9).collect()}
+    models = [kneser_ney([t for i, t in enumerate(texts) if i in good and t and of[i] != f]) for f in range(FOLDS)]
+    want = {i: models[of[i]](t.replace("\0", "\ufffd")) if t else None for i, t in enumerate(texts)}
+    got = {r.doc_id: r for r in classify(spark, docs, labels, 0.9).collect()}
     assert len(got) == len(rows)
     for i, _, lang, *_ in rows:
         assert got[i].perplexity == (pytest.approx(want[i], rel=1e-9) if texts[i] else None)
         own = [want[j] for j, t, other, *_ in rows if j in good and t and lang and other == lang]  # none in en
-        most = np.quantile(own or [want[j] for j in good if texts[j]], 0.9)
-        assert got[i].most == pytest.approx(most)
+        scores = sorted(own or [want[j] for j in good if texts[j]])
+        assert got[i].most == pytest.approx(scores[math.ceil(0.9 * len(scores)) - 1])
         assert got[i].kept == (not texts[i] or got[i].perplexity <= got[i].most)
-    kept = keep_good_held_out(spark, docs, labels, 0.9)
+    kept = keep_good(spark, docs, labels, 0.9)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i in got if got[i].kept)
     assert any(not g.kept for g in got.values())
 
