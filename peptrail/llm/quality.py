@@ -42,9 +42,10 @@ GONE = 0xFFFD  # stands for a NUL, at which arrays of strings end
 SHARD = 250_000
 SHARDS_HELD = 16
 #: Blocks of text whose n-grams are looked up together.
-GROUP = 16
+GROUP = 8
+BLOCK = 1 << 19
 #: Rows of counts that a task holds before it passes them on.
-COUNTS_HELD = 1_000_000
+COUNTS_HELD = 400_000
 QUANTILE = 0.995
 #: Without any discount nothing would be left for what was never seen.
 LEAST_DISCOUNT = 0.05
@@ -59,24 +60,31 @@ def _salt(kind: int, order: int, fold: np.ndarray) -> np.ndarray:
     return textscan.mix(((np.asarray(fold, dtype=textscan.U) << textscan.U(8)) + textscan.U(order * 2 + kind)))
 
 
+def _sum(chars: np.ndarray, size: int) -> np.ndarray:
+    """The key, before its salt, of the last ``size`` columns of characters."""
+    total = np.zeros(len(chars), textscan.U)
+    for k in range(size):
+        total += (chars[:, chars.shape[1] - 1 - k].astype(textscan.U) + textscan.U(1)) * FACTORS[k]
+    return total
+
+
 class Grams:
-    """The n-grams that end at each character of a block, by rolling sums of their characters."""
+    """The n-grams of the highest order that end at each character of a block."""
 
-    def __init__(self, block: textscan.Block):
+    def __init__(self, block: textscan.Block, folds: np.ndarray):
         chars = np.frombuffer(block.data.tobytes().decode().encode("utf-32-le"), dtype="<u4")
         self.begins = np.concatenate([[0], np.cumsum((block.data & 0xC0) != 0x80)])[block.offsets]
-        counts = np.diff(self.begins)
-        self.row = np.repeat(np.arange(block.rows), counts)
-        self.padded = np.insert(np.where(chars == 0, GONE, chars), np.repeat(self.begins[:-1], ORDER - 1), START).astype(textscan.U)
-        self.at = np.arange(len(chars)) + (ORDER - 1) * (self.row + 1)
-        self.sums = [np.zeros(len(self.padded), textscan.U)]
+        row = np.repeat(np.arange(block.rows, dtype=np.int32), np.diff(self.begins))
+        padded = np.insert(np.where(chars == 0, np.uint32(GONE), chars), np.repeat(self.begins[:-1], ORDER - 1), np.uint32(START))
+        windows = np.lib.stride_tricks.sliding_window_view(padded, ORDER) if len(padded) >= ORDER else np.empty((0, ORDER), np.uint32)
+        at = np.arange(len(chars)) + (ORDER - 1) * row
+        fold = folds[block.row0 + row].astype(np.int32)
+        total = np.zeros(len(windows), textscan.U)
         for k in range(ORDER):
-            far = np.zeros(len(self.padded), textscan.U)
-            far[k:] = self.padded[: len(self.padded) - k] + textscan.U(1)
-            self.sums.append(self.sums[-1] + far * FACTORS[k])
-
-    def of(self, order: int, at: np.ndarray) -> np.ndarray:
-        return self.sums[order][at]
+            total += (windows[:, ORDER - 1 - k].astype(textscan.U) + textscan.U(1)) * FACTORS[k]
+        keys = textscan.mix(total[at] ^ _salt(0, ORDER, np.arange(FOLDS))[fold])
+        self.keys, first, self.inverse, self.counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+        self.inverse, self.chars, self.folds = self.inverse.astype(np.int32), windows[at[first]].copy(), fold[first]
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,16 +97,11 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         fold = batch.column("fold").to_numpy()
-        for block in textscan.blocks(batch.column("text")):
-            grams = Grams(block)
-            mine = fold[block.row0 + grams.row]
-            found, where, n = np.unique(textscan.mix(grams.of(ORDER, grams.at) ^ _salt(0, ORDER, mine)), return_index=True, return_counts=True)
-            ends = grams.at[where][:, None] - np.arange(ORDER - 1, -1, -1)
-            both, first, inverse = np.unique(np.concatenate([keys, found]), return_index=True, return_inverse=True)
-            counts = np.bincount(inverse, weights=np.concatenate([counts, n]), minlength=len(both)).astype(np.int64)
-            chars = np.concatenate([chars, grams.padded[ends].astype(np.uint32)])[first]
-            folds = np.concatenate([folds, mine[where].astype(np.int32)])[first]
-            keys = both
+        for block in textscan.blocks(batch.column("text"), BLOCK):
+            found = Grams(block, fold)
+            both, first, inverse = np.unique(np.concatenate([keys, found.keys]), return_index=True, return_inverse=True)
+            counts = np.bincount(inverse, weights=np.concatenate([counts, found.counts]), minlength=len(both)).astype(np.int64)
+            chars, folds, keys = np.concatenate([chars, found.chars])[first], np.concatenate([folds, found.folds])[first], both
             if len(keys) > COUNTS_HELD:
                 yield out()
                 keys, counts, chars, folds = keys[:0], counts[:0], chars[:0], folds[:0]
@@ -219,16 +222,16 @@ class Model:
                 out[rows[hit]] = values[at[hit]]
         return out
 
-    def probability(self, fold: np.ndarray, sums: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-        """Of each n-gram's last character after those before it; row k - 1 of ``sums`` is of order k."""
+    def probability(self, fold: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """Of each n-gram's last character after those before it."""
         out, rest, left = np.full(len(fold), np.nan), np.ones(len(fold)), np.arange(len(fold))
         for k in range(ORDER, 0, -1):
-            found = self.get(textscan.mix(sums[k - 1][left] ^ _salt(0, k, fold[left])))
+            found = self.get(textscan.mix(_sum(chars[left], k) ^ _salt(0, k, fold[left])))
             hit = ~np.isnan(found)
             out[left[hit]] = rest[left[hit]] * found[hit]
             left = left[~hit]
             if k > 1 and len(left):
-                more = self.get(textscan.mix(contexts[k - 2][left] ^ _salt(1, k - 1, fold[left])))
+                more = self.get(textscan.mix(_sum(chars[left, :-1], k - 1) ^ _salt(1, k - 1, fold[left])))
                 rest[left] *= np.where(np.isnan(more), 1.0, more)
         out[left] = rest[left] * self.floors[fold[left]]
         return out
@@ -239,27 +242,16 @@ _models: dict[str, Model] = {}
 
 def _perplexities(model: Model, folds: np.ndarray, group: list[textscan.Block]) -> list[np.ndarray]:
     """Of the rows of each block of a group, whose distinct n-grams are looked up together."""
-    keys, folded, sums, contexts, inverse, begins = [], [], [], [], [], []
-    for block in group:
-        grams = Grams(block)
-        fold = folds[block.row0 + grams.row]
-        found, where, back = np.unique(textscan.mix(grams.of(ORDER, grams.at) ^ _salt(0, ORDER, fold)), return_index=True, return_inverse=True)
-        at = grams.at[where]
-        keys.append(found)
-        folded.append(fold[where])
-        sums.append(np.stack([grams.of(k, at) for k in range(1, ORDER + 1)]))
-        contexts.append(np.stack([grams.of(k, at - 1) for k in range(1, ORDER)]))
-        inverse.append(back.astype(np.int32))
-        begins.append(grams.begins)
-    _, where, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-    p = model.probability(np.concatenate(folded)[where], np.concatenate(sums, axis=1)[:, where], np.concatenate(contexts, axis=1)[:, where])
-    logs, out, used = np.log(p), [], 0
-    for found, own, begin in zip(keys, inverse, begins, strict=True):
-        each = logs[back[used : used + len(found)]][own]
-        used += len(found)
+    grams = [Grams(block, folds) for block in group]
+    _, where, back = np.unique(np.concatenate([g.keys for g in grams]), return_index=True, return_inverse=True)
+    logs = np.log(model.probability(np.concatenate([g.folds for g in grams])[where], np.concatenate([g.chars for g in grams])[where]))
+    out, used = [], 0
+    for g in grams:
+        each = logs[back[used : used + len(g.keys)]][g.inverse]
+        used += len(g.keys)
         total = np.concatenate([[0.0], np.cumsum(each)])
         with np.errstate(invalid="ignore", divide="ignore"):
-            out.append(np.exp(-np.diff(total[begin]) / np.diff(begin)))
+            out.append(np.exp(-np.diff(total[g.begins]) / np.diff(g.begins)))
     return out
 
 
@@ -273,7 +265,7 @@ def _score(folder: str, shards: int, floors: dict[int, float]):
             _models[folder] = Model(folder, shards, floors)
         for batch in batches:
             folds, waiting, out = batch.column("fold").to_numpy(), [], []
-            for block in textscan.blocks(batch.column("text")):
+            for block in textscan.blocks(batch.column("text"), BLOCK):
                 waiting.append(block)
                 if len(waiting) == GROUP:
                     out += _perplexities(_models[folder], folds, waiting)
