@@ -263,7 +263,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SI
                 unsettled = scratch.save(spark, unsettled.join(several, "bucket", "left_semi"), "several")
             if unsettled.isEmpty():
                 break
-    scratch.drop(spark, texts)
+    scratch.drop(spark, distinct, texts, met, members)
     docs_of = signed.where(F.size("bands") > 0).select("id", "doc")
     names = docs_of.join(classes, "id").groupBy("component").agg(F.min(F.struct("doc", "id")).alias("least"))
     of = classes.join(names, "component").select("id", F.col("least.doc").alias("class"), F.col("least.id").alias("class_key"))
