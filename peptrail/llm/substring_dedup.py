@@ -177,7 +177,8 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = 50) -> tu
     anchors = originals.select("id", "key", F.explode("anchors").alias("x")).select("id", "key", "x.a", "x.at")
     shared = scratch.save(spark, anchors.groupBy("a").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("a"), "anchors")
     alive = anchors.join(shared, "a", "left_semi").groupBy("id", "key").agg(F.collect_set("at").alias("at"))
-    texts = scratch.save(spark, keyed.join(alive, ["id", "key"]).dropDuplicates(["id", "key"]), "texts")
+    # Merge joins with texts at every size: the other sides grow with the documents.
+    texts = scratch.save(spark, keyed.join(alive.hint("merge"), ["id", "key"]).dropDuplicates(["id", "key"]), "texts")
     scratch.drop(spark, shared)
 
     def repeated(windows: DataFrame, name: str) -> DataFrame:
@@ -187,25 +188,31 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = 50) -> tu
         copies is one row on that side and the join may split the other.
         """
         keys = scratch.save(spark, windows.groupBy("h", "g").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h", "g", "lo"), f"{name}_keys")
+        held.append(keys)
         return windows.join(keys, ["h", "g"]).withColumn("later", F.col("id") > F.col("lo")).drop("h", "g", "lo")
 
-    level, windows = length, scratch.save(spark, texts.mapInArrow(_levels(length), "id long, key long, at int, keys array<struct<h:long,g:long>>"), "windows")
+    level, first = length, scratch.save(spark, texts.mapInArrow(_levels(length), "id long, key long, at int, keys array<struct<h:long,g:long>>"), "windows")
+    windows, held = first, [first]
     spans = windows.select("id", "key", "at", F.lit(0).alias("n"), F.lit(False).alias("later")).limit(0)
     while not windows.isEmpty():
         each = windows.select("id", "key", "at", F.col("keys")[0]["h"].alias("h"), F.col("keys")[0]["g"].alias("g"), F.slice("keys", 2, F.size("keys")).alias("keys"))
         found = scratch.save(spark, repeated(each, f"level{level}"), f"level{level}")
+        held.append(found)
         spans = spans.union(found.select("id", "key", "at", F.lit(level).alias("n"), "later"))
         windows = found.where(F.size("keys") > 0).drop("later")
         level *= 2
     cover = F.collect_list(F.when(F.col("later"), F.struct("at", "n")))
     spans = scratch.save(spark, spans.groupBy("id", "key").agg(cover.alias("covers"), F.max("n").alias("longest")), "spans")
 
-    covered = texts.join(spans.where(F.size("covers") > 0).drop("longest"), ["id", "key"], "left")
+    covered = texts.join(spans.where(F.size("covers") > 0).drop("longest").hint("merge"), ["id", "key"], "left")
     ends = scratch.save(spark, covered.mapInArrow(_open_windows(length), "id long, key long, at int, h long, g long"), "open_windows")
     later = repeated(ends, "ends").where("later").groupBy("id", "key").agg(F.collect_list("at").alias("later"))
     losing = spans.where(F.size("covers") > 0).join(scratch.save(spark, later, "later"), ["id", "key"], "full")
-    edits = texts.drop("at").join(losing.select("id", "key", "covers", "later"), ["id", "key"]).mapInArrow(_cut(length), "id long, key long, n_removed long, kept_sha256 string, kept_text string")
-    return units_of, edits.join(spans.select("id", "key", "longest"), ["id", "key"], "left").withColumn("longest_repeat", F.coalesce("longest", F.lit(length))).drop("longest")
+    cut = texts.drop("at").join(losing.select("id", "key", "covers", "later").hint("merge"), ["id", "key"]).mapInArrow(_cut(length), "id long, key long, n_removed long, kept_sha256 string, kept_text string")
+    edits = cut.join(spans.select("id", "key", "longest"), ["id", "key"], "left").withColumn("longest_repeat", F.coalesce("longest", F.lit(length))).drop("longest")
+    edits = scratch.save(spark, edits, "edits")
+    scratch.drop(spark, texts, ends, *held)
+    return units_of, edits
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, length: int = 50) -> DataFrame:
