@@ -1,22 +1,25 @@
 """Exact embedding near-duplicates by dual traversal of cover trees.
 
-The top of the tree is laid out by Spark: each label's vectors go to their nearest pivot and,
-around it, to the shell whose outer radius is the smallest of 2, 1, 1/2, … that holds them,
-so dense regions and their surroundings become different nodes. Node pairs whose covering
-radii keep them apart are pruned in a join of nodes; large nodes are dealt into parts of
-``PART`` vectors. Each surviving pair of parts is one group of a task, which builds a cover
-tree over either part (nested levels, radii halved from level to level) and walks both trees
-together, dropping pairs of nodes by the same bound and testing the cosine of what is left.
-
-A task returns at most one count and one edge for each of its vectors, never its pairs.
+Equal vectors of a label are one point with a weight. The upper levels of the tree are laid
+out by Spark: a node of more than ``PART`` points gets up to ``FAN`` pivots of its own, and its
+points go to their nearest pivot and, around it, to the shell whose outer radius is the
+smallest of 2, 1, 1/2, … that holds them. From level to level a join meets the children of
+the node pairs left over: pairs that the covering radii keep apart are dropped, pairs in which
+everything links are counted whole, and only nodes of the others are split again. Each
+surviving pair of nodes is one group of a task, which builds a cover tree over either node
+(nested levels, radii halved from level to level) and walks both trees together, dropping
+pairs of nodes by the same bound and testing the cosine of what is left. A node that cannot
+be split (its points differ by rounding only, or ``LEVELS`` is reached) is dealt into parts.
+
+A task returns at most one count and one edge for each of its points, never its pairs.
 Distances are between unit vectors, cos >= t being d <= sqrt(2 - 2t); bounds have a margin
 and the last test is the cosine in double precision, so the links are exact.
 
 Edge cases: a null label, a null, zero, empty or non-finite vector, or one with a null
 component links with nothing and keeps its row; vectors of different lengths do not link; a
-null vec_id counts as the largest id; rows that share a vec_id are counted as different
-vectors but report the id's sum; an empty table gives an empty result; other columns are
-ignored, whatever their names.
+null vec_id counts as the largest id; rows that share a vec_id, or have none, are vectors of
+their own; an empty table gives an empty result; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -32,12 +35,15 @@ from peptrail.llm import scratch
 from peptrail.llm.components import components
 
 THRESHOLD = 0.98
+#: Points of a node that one task holds.
 PART = 2048
-#: Pivots of a label at most; beyond it, nodes are dealt into more parts, without loss.
-PIVOTS = 64
-#: A pivot table up to this many rows is broadcast (a row holds one vector); a larger one is joined by shuffles.
-BROADCAST_PIVOTS = 4096
+#: Pivots of a node at most, and levels laid out by Spark at most (2048 * 16 ** 12 points).
+FAN, LEVELS = 16, 12
 SHELLS = 12
+#: A node of this radius is not split: its points differ by rounding.
+POINT = 1e-6
+#: Rows of equal vectors find their point through so many copies of its name.
+SALTS = 8
 EPS = 1e-9
 LAST = 2**63 - 1
 
@@ -48,35 +54,36 @@ def _unit(raw: list[bytes]) -> np.ndarray:
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every row, with a null ``vec`` where its vector links with nothing."""
     for batch in batches:
-        keep, raw, dims = [], [], []
-        for i, v in enumerate(batch.column("embedding").to_pylist()):
-            if v and None not in v:
+        raw, dims = [], []
+        for label, v in zip(batch.column("label").to_pylist(), batch.column("embedding").to_pylist(), strict=True):
+            raw.append(None)
+            dims.append(None)
+            if label is not None and v and None not in v:
                 a = np.array(v, dtype=np.float64)
                 largest = np.abs(a).max()
                 if np.isfinite(a).all() and largest > 0:
-                    keep.append(i)
-                    raw.append((a / largest).tobytes())  # lengths neither overflow nor vanish
-                    dims.append(len(a))
-        part = batch.take(pa.array(keep, pa.int64()))
-        yield pa.RecordBatch.from_arrays([part.column("id"), part.column("label"), pa.array(dims, pa.int32()), pa.array(raw, pa.binary())], ["id", "label", "dim", "vec"])
+                    raw[-1], dims[-1] = (a / largest).tobytes(), len(a)  # lengths neither overflow nor vanish
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(dims, pa.int32()), pa.array(raw, pa.binary())], ["id", "label", "dim", "vec"])
 
 
 def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The nearest pivot of each vector, its distance and its shell."""
+    """The nearest pivot of each point's node, its distance and its shell."""
+    names = ["key", "label", "dim", "vec", "weight", "path"]
     for batch in batches:
-        vecs, pivots = batch.column("vec").to_pylist(), batch.column("pivots").to_pylist()
+        vecs, pivots = batch.column("vec").to_pylist(), batch.column("pivots")
         best, far = np.zeros(len(vecs), np.int32), np.zeros(len(vecs))
         groups: dict[tuple, list[int]] = {}
-        for i, k in enumerate(zip(batch.column("label").to_pylist(), batch.column("dim").to_pylist(), strict=True)):
+        for i, k in enumerate(zip(*(batch.column(c).to_pylist() for c in ("label", "dim", "path")), strict=True)):
             groups.setdefault(k, []).append(i)
         for rows in groups.values():
-            a, p = _unit([vecs[i] for i in rows]), _unit(pivots[rows[0]])
+            a, p = _unit([vecs[i] for i in rows]), _unit(pivots[rows[0]].as_py())
             d = np.sqrt(np.maximum(0, 2 - 2 * (a @ p.T)))
             best[rows] = d.argmin(axis=1)
             far[rows] = d.min(axis=1)
         shell = np.clip(np.floor(1 - np.log2(np.maximum(far, 1e-12))), 0, SHELLS).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "label", "dim", "vec")), pa.array(best), pa.array(shell), pa.array(far)], ["id", "label", "dim", "vec", "pivot", "shell", "far"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(best), pa.array(shell), pa.array(far)], [*names, "pivot", "shell", "far"])
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,70 +213,145 @@ def _settle(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
 
 def _pair(threshold: float):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        table = table.sort_by([("side", "ascending"), ("id", "ascending")])
-        side, ids, v = table.column("side").to_numpy(), table.column("id").to_numpy(), _unit(table.column("vec").to_pylist())
-        n, k = len(ids), int((side == 0).sum())
+        table = table.sort_by([("side", "ascending"), ("key", "ascending")])
+        side, keys, weight, v = table.column("side").to_numpy(), table.column("key").to_numpy(), table.column("weight").to_numpy(), _unit(table.column("vec").to_pylist())
+        n, k = len(keys), int((side == 0).sum())
         counts, settled, pending, held = np.zeros(n, np.int64), np.arange(n), [], 0
         for i, j in links(v[:k], None if k == n else v[k:], threshold):
             if k < n:
                 j = j + k
-            counts += np.bincount(i, minlength=n) + np.bincount(j, minlength=n)
+            np.add.at(counts, i, weight[j])
+            np.add.at(counts, j, weight[i])
             pending.append((i, j))
             held += len(i)
             if held > 1 << 22:
                 pending = [(np.arange(n), _settle(n, pending))]
                 held = n
         settled = _settle(n, pending)
-        # name each group by its smallest id
+        # name each group by its smallest key
         least = np.full(n, LAST)
-        np.minimum.at(least, settled, ids)
+        np.minimum.at(least, settled, keys)
         on = counts > 0
-        return pa.table({"id": ids[on], "links": counts[on], "least": least[settled][on]})
+        return pa.table({"key": keys[on], "links": counts[on], "least": least[settled][on]})
 
     return run
 
 
-def near_vectors(spark: SparkSession, vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Per row: vec_id, n_links, component_id, kept."""
-    rid = F.coalesce(vectors["vec_id"].cast("long"), F.lit(LAST))
-    rows = vectors.select(rid.alias("id"), vectors["label"].cast("string").alias("label"), vectors["embedding"].cast("array<double>").alias("embedding"))
-    parsed = scratch.save(spark, rows.where("label is not null").mapInArrow(_parse, "id long, label string, dim int, vec binary"), "vectors")
-    sizes = parsed.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n"))
-    nth = F.row_number().over(Window.partitionBy("label", "dim").orderBy(F.xxhash64("id"), "id"))
-    some = parsed.withColumn("nth", nth).where(F.col("nth") <= PIVOTS).join(sizes, ["label", "dim"]).where(F.col("nth") <= F.ceil(F.col("n") / PART))
-    pivots = scratch.save(spark, some.groupBy("label", "dim").agg(F.sort_array(F.collect_list(F.struct("nth", "vec"))).alias("x")).select("label", "dim", F.col("x.vec").alias("pivots")).mapInArrow(_units, "label string, dim int, pivots array<binary>, units array<array<double>>"), "pivots")
-    near = F.broadcast(pivots) if pivots.select(F.coalesce(F.sum(F.size("pivots")), F.lit(0))).first()[0] <= BROADCAST_PIVOTS else pivots
-    placed = scratch.save(spark, parsed.join(near.drop("units"), ["label", "dim"]).mapInArrow(_place, "id long, label string, dim int, vec binary, pivot int, shell int, far double"), "placed")
-
-    nodes = placed.groupBy("label", "dim", "pivot", "shell").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.min("far").alias("lo"), F.max("far").alias("hi"))
-    nodes = scratch.save(spark, nodes.join(pivots, ["label", "dim"]).select("label", "dim", "pivot", "shell", "n", "least", "lo", "hi", F.ceil(F.col("n") / PART).cast("int").alias("parts"), F.element_at("units", F.col("pivot") + 1).alias("center")), "nodes")
-    dealt = placed.join(nodes.select("label", "dim", "pivot", "shell", "parts"), ["label", "dim", "pivot", "shell"]).select("id", "vec", "label", "dim", "pivot", "shell", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"))
-
-    # Node pairs of a label that the covering radii leave together; nodes hold thousands of vectors each.
-    a, b = nodes.alias("a"), nodes.alias("b")
+AT = ["label", "dim", "path"]
+
+
+def _split(spark: SparkSession, moving: DataFrame, sizes: DataFrame, part: int, level: int) -> tuple[DataFrame, DataFrame]:
+    """The points of ``moving`` under the paths of their new nodes, and those nodes with their parents."""
+    nth = F.row_number().over(Window.partitionBy(*AT).orderBy(F.xxhash64("key", F.lit(level)), "key"))
+    some = moving.select(*AT, "key", "vec").withColumn("nth", nth).where(F.col("nth") <= FAN).join(sizes, AT).where(F.col("nth") <= F.ceil(F.col("m") / part))
+    pivots = some.groupBy(*AT).agg(F.sort_array(F.collect_list(F.struct("nth", "vec"))).alias("x")).select(*AT, F.col("x.vec").alias("pivots"))  # FAN at most
+    pivots = scratch.save(spark, pivots.mapInArrow(_units, "label string, dim int, path string, pivots array<binary>, units array<array<double>>"), "pivots")
+    placed = moving.join(pivots.drop("units"), AT).mapInArrow(_place, "key long, label string, dim int, vec binary, weight long, path string, pivot int, shell int, far double")
+    placed = scratch.save(spark, placed.withColumn("parent", F.col("path")).withColumn("path", F.concat_ws("/", "path", F.concat_ws(":", "pivot", "shell"))), "placed")
+    nodes = placed.groupBy("label", "dim", "parent", "path", "pivot").agg(F.count(F.lit(1)).alias("m"), F.sum("weight").alias("weight"), F.min("key").alias("least"), F.min("far").alias("lo"), F.max("far").alias("hi"))
+    centers = pivots.select("label", "dim", F.col("path").alias("parent"), "units")
+    nodes = nodes.join(centers, ["label", "dim", "parent"]).select("label", "dim", "parent", "path", "m", "weight", "least", "lo", "hi", F.element_at("units", F.col("pivot") + 1).alias("center"))
+    return placed.select("key", "label", "dim", "vec", "weight", "path"), scratch.save(spark, nodes, "nodes")
+
+
+def _meet(pairs: DataFrame, cover: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of the children of ``pairs(label, dim, x, y)`` that their covering radii leave together."""
+    a, b = cover.alias("a"), cover.alias("b")
     d = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.aggregate(F.zip_with("a.center", "b.center", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)))
     tau = float(np.sqrt(2 - 2 * threshold)) + 1e-6
-    first, second = F.struct("a.pivot", "a.shell"), F.struct("b.pivot", "b.shell")
     apart = (d - F.col("a.hi") - F.col("b.hi") > tau) | (F.col("a.lo") - d - F.col("b.hi") > tau) | (F.col("b.lo") - d - F.col("a.hi") > tau)
-    within = d + F.col("a.hi") + F.col("b.hi") <= tau - 2e-6  # every vector of one links with every one of the other
-    together = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.dim") == F.col("b.dim")) & (first <= second) & ~apart)
-    together = scratch.save(spark, together.select("a.label", "a.dim", first.alias("x"), second.alias("y"), F.col("a.parts").alias("l"), F.col("b.parts").alias("m"), F.struct("a.n", "a.least").alias("xs"), F.struct("b.n", "b.least").alias("ys"), within.alias("within")), "node_pairs")
-    ours = together.where("within")
-    ours = ours.select("label", "dim", "x", "ys", (F.col("x") == F.col("y")).cast("int").alias("self")).union(ours.where("x <> y").select("label", "dim", F.col("y").alias("x"), F.col("xs").alias("ys"), F.lit(0)))
-    whole = ours.groupBy("label", "dim", F.col("x.pivot").alias("pivot"), F.col("x.shell").alias("shell")).agg((F.sum("ys.n") - F.sum("self")).alias("links"), F.min("ys.least").alias("least"))
-    parts = together.where("not within").select("label", "dim", "x", "y", F.explode(F.sequence(F.lit(0), F.col("l") - 1)).alias("xp"), "m").select("label", "dim", "x", "y", "xp", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("yp")).where("x < y or xp <= yp")
-    pairs = scratch.save(spark, parts.withColumn("pair", F.monotonically_increasing_id()), "pairs")
-    ends = pairs.select("pair", "label", "dim", F.lit(0).alias("side"), F.col("x.pivot").alias("pivot"), F.col("x.shell").alias("shell"), F.col("xp").alias("part"))
-    ends = ends.union(pairs.where("not (x = y and xp = yp)").select("pair", "label", "dim", F.lit(1).alias("side"), F.col("y.pivot").alias("pivot"), F.col("y.shell").alias("shell"), F.col("yp").alias("part")))
-    groups = dealt.join(ends, ["label", "dim", "pivot", "shell", "part"]).select("pair", "side", "id", "vec")
-    walked = groups.groupBy("pair").applyInArrow(_pair(threshold), "id long, links long, least long")
-    bulk = placed.join(whole, ["label", "dim", "pivot", "shell"]).select("id", "links", "least")
-    found = scratch.save(spark, walked.union(bulk), "links")
+    within = d + F.col("a.hi") + F.col("b.hi") <= tau - 2e-6  # every point of one links with every one of the other
+    here = lambda side, end: (F.col(f"p.{end}") == F.col(f"{side}.parent")) & (F.col("p.label") == F.col(f"{side}.label")) & (F.col("p.dim") == F.col(f"{side}.dim"))
+    once = (F.col("p.x") != F.col("p.y")) | (F.col("a.path") <= F.col("b.path"))
+    node = lambda side: F.struct(*(F.col(f"{side}.{c}").alias(c) for c in ("path", "m", "weight", "least", "open")))
+    return pairs.alias("p").join(a, here("a", "x")).join(b, here("b", "y") & once & ~apart).select("p.label", "p.dim", node("a").alias("a"), node("b").alias("b"), within.alias("within"))
 
-    classes = components(spark, found.select(F.col("id").alias("src"), F.col("least").alias("dst")))
-    counts = found.groupBy("id").agg(F.sum("links").alias("links"))
-    out = rows.select("id").join(counts, "id", "left").join(classes, "id", "left")
-    component = F.coalesce("component", "id")
-    named = F.when(F.col("id") != LAST, F.col("id"))
-    return out.select(named.alias("vec_id"), F.coalesce("links", F.lit(0)).alias("n_links"), F.when(component != LAST, component).alias("component_id"), (component == F.col("id")).alias("kept"))
 
+def lay_out(spark: SparkSession, points: DataFrame, threshold: float, part: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Upper levels over ``points(key, label, dim, vec, weight)``.
+
+    Returns the points with the path of their last node, those nodes ``(label, dim, path, m)``,
+    the node pairs ``(label, dim, x, y)`` to walk, and the pairs ``(label, dim, a, b)`` that link whole.
+    """
+    rooted = points.select("key", "label", "dim", "vec", "weight", F.lit("").alias("path"))
+    roots = scratch.save(spark, rooted.groupBy(*AT).agg(F.count(F.lit(1)).alias("m")), "roots")
+    sizes = roots.where(F.col("m") > part)
+    moving, last = rooted.join(sizes.select(*AT), AT, "left_semi"), rooted.join(sizes.select(*AT), AT, "left_anti")
+    ends, walks = roots.where(F.col("m") <= part), roots.where(F.col("m") <= part).select("label", "dim", F.col("path").alias("x"), F.col("path").alias("y"))
+    pairs, still, whole, level = sizes.select("label", "dim", F.col("path").alias("x"), F.col("path").alias("y")), None, None, 0
+    while not pairs.isEmpty():
+        level += 1
+        placed, nodes = _split(spark, moving, sizes, part, level)
+        nodes = nodes.withColumn("open", (F.col("m") > part) & (F.col("hi") > POINT) & F.lit(level < LEVELS))
+        cover = nodes if still is None else nodes.unionByName(still.withColumn("parent", F.col("path")))
+        met = scratch.save(spark, _meet(pairs, cover, threshold), "node_pairs")
+        whole = met.where("within") if whole is None else whole.union(met.where("within"))
+        left = met.where("not within").select("label", "dim", F.col("a.path").alias("x"), F.col("b.path").alias("y"), F.col("a.open").alias("xo"), F.col("b.open").alias("yo"))
+        walks = walks.union(left.where("not xo and not yo").select("label", "dim", "x", "y"))
+        pairs = left.where("xo or yo").select("label", "dim", "x", "y")
+        again = left.where("xo").select("label", "dim", F.col("x").alias("path")).union(left.where("yo").select("label", "dim", F.col("y").alias("path"))).distinct()
+        again = scratch.save(spark, again, "again")
+        sizes = nodes.join(again, AT).select(*AT, "m")
+        moving, last = placed.join(again, AT, "left_semi").select(*moving.columns), last.unionByName(placed.join(again, AT, "left_anti"))
+        rest = nodes.join(again, AT, "left_anti").withColumn("open", F.lit(False)).select(*nodes.columns)
+        still, ends = rest if still is None else still.union(rest), ends.union(rest.select(*AT, "m"))
+    if whole is None:
+        node = "struct<path:string,m:bigint,weight:bigint,least:bigint,open:boolean>"
+        whole = spark.createDataFrame([], f"label string, dim int, a {node}, b {node}, within boolean")
+    return last, ends, walks, whole
+
+
+def node_pairs(walks: DataFrame, ends: DataFrame, part: int) -> DataFrame:
+    """Groups ``(label, dim, x, y, xp, yp)`` to walk: nodes above ``part`` points, which cannot be split, in parts."""
+    parts = ends.select("label", "dim", F.col("path").alias("x"), F.ceil(F.col("m") / part).cast("int").alias("l"))
+    both = walks.join(parts, ["label", "dim", "x"]).join(parts.withColumnsRenamed({"x": "y", "l": "k"}), ["label", "dim", "y"])
+    both = both.withColumn("xp", F.explode(F.sequence(F.lit(0), F.col("l") - 1)))
+    return both.withColumn("yp", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).where("x <> y or xp <= yp").select("label", "dim", "x", "y", "xp", "yp")
+
+
+def _bulk(last: DataFrame, ends: DataFrame, whole: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(key, links, least)`` by the pairs that link whole, and the edges between those nodes' least keys."""
+    same = F.col("a.path") == F.col("b.path")
+    ours = whole.select("label", "dim", F.col("a.path").alias("up"), F.col("b.weight").alias("n"), F.col("b.least").alias("least"), same.cast("int").alias("self"))
+    ours = ours.union(whole.where(~same).select("label", "dim", "b.path", "a.weight", "a.least", F.lit(0)))
+    per = ours.groupBy("label", "dim", "up").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.sum("self").alias("self"))
+    above = F.expr("transform(sequence(1, size(split(path, '/'))), i -> substring_index(path, '/', i))")
+    nodes = ends.where("path <> ''").select(*AT, F.explode(above).alias("up")).join(per, ["label", "dim", "up"])
+    nodes = nodes.groupBy(*AT).agg(F.sum("n").alias("n"), F.min("least").alias("to"), F.sum("self").alias("self"), F.array_distinct(F.collect_list("least")).alias("x"))  # LEVELS at most
+    counted = last.join(nodes, AT).select("key", (F.col("n") - F.col("self") * F.col("weight")).alias("links"), F.explode("x").alias("least"), (F.col("to") == F.col("least")).alias("first"))
+    counted = counted.select("key", F.when(F.col("first"), F.col("links")).otherwise(0).alias("links"), "least")
+    return counted, whole.select(F.col("a.least").alias("src"), F.col("b.least").alias("dst"))
+
+
+def near_vectors(spark: SparkSession, vectors: DataFrame, threshold: float = THRESHOLD, part: int = PART) -> DataFrame:
+    """Per row: vec_id, n_links, component_id, kept."""
+    rid = F.coalesce(vectors["vec_id"].cast("long"), F.lit(LAST))
+    rows = vectors.select(rid.alias("id"), vectors["label"].cast("string").alias("label"), vectors["embedding"].cast("array<double>").alias("embedding"))
+    parsed = scratch.save(spark, rows.mapInArrow(_parse, "id long, label string, dim int, vec binary"), "vectors")
+    valid = parsed.where("vec is not null")
+    points = valid.groupBy("label", "dim", "vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"))
+    points = scratch.save(spark, points.withColumn("key", F.monotonically_increasing_id()), "points")
+
+    last, ends, walks, whole = lay_out(spark, points, threshold, part)
+    pairs = scratch.save(spark, node_pairs(walks, ends, part).withColumn("pair", F.monotonically_increasing_id()), "pairs")
+    dealt = last.join(ends, AT).select("key", "vec", "weight", *AT, F.pmod(F.xxhash64("key"), F.ceil(F.col("m") / part)).cast("int").alias("part"))
+    sides = pairs.select("pair", "label", "dim", F.lit(0).alias("side"), F.col("x").alias("path"), F.col("xp").alias("part"))
+    sides = sides.union(pairs.where("not (x = y and xp = yp)").select("pair", "label", "dim", F.lit(1).alias("side"), F.col("y").alias("path"), F.col("yp").alias("part")))
+    groups = dealt.join(sides, [*AT, "part"]).select("pair", "side", "key", "weight", "vec")
+    walked = groups.groupBy("pair").applyInArrow(_pair(threshold), "key long, links long, least long")
+    bulk, between = _bulk(last, ends, whole)
+    found = scratch.save(spark, walked.union(bulk), "links")
+
+    classes = components(spark, found.select(F.col("key").alias("src"), F.col("least").alias("dst")).union(between)).withColumnRenamed("id", "key")
+    counts = found.groupBy("key").agg(F.sum("links").alias("links"))
+    group = F.coalesce("component", "key")
+    named = points.select("key", "id", "label", "weight", F.sha2("vec", 256).alias("digest")).join(counts, "key", "left").join(classes, "key", "left").withColumn("group", group)
+    named = scratch.save(spark, named.select("id", "label", "digest", "group", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "named")
+    named = named.join(named.groupBy("group").agg(F.min("id").alias("component")), "group")
+    # A vector may have a third of all rows, so they meet its point by salted digests.
+    salted = named.select("label", "digest", "n_links", "component", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    out = valid.select("id", "label", F.sha2("vec", 256).alias("digest"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt"))
+    out = out.join(salted, ["label", "digest", "salt"]).select("id", "n_links", "component")
+    out = out.union(parsed.where("vec is null").select("id", F.lit(0).cast("long"), "id"))
+    known = lambda c: F.when(F.col(c) != LAST, F.col(c))
+    return out.select(known("id").alias("vec_id"), "n_links", known("component").alias("component_id"), (F.col("component") == F.col("id")).alias("kept"))

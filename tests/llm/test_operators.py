@@ -153,6 +153,32 @@ def test_embedding_dedup(spark):
     assert got == {i: (len(links[i]), c, i == c) for i, c in least.items()}
 
 
+def test_embedding_levels(spark):
+    """Nodes of 16 points: several levels, dense clusters, copies, repeated and null ids."""
+    random_ = np.random.default_rng(5)
+    centers = random_.normal(size=(9, 6))
+    scale = [0.001, 0.03, 0.2]
+    v = [(i, (centers[i % 9] + random_.normal(size=6) * scale[i % 3]).tolist(), i % 8 == 0) for i in range(600)]
+    v += [(1000 + i, v[1][1], v[1][2]) for i in range(120)] + [(5, v[40][1], v[40][2]), (None, v[2][1], v[2][2]), (None, v[44][1], v[44][2]), (5, [9.0] * 6, False)]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<double>, label boolean").repartition(3)
+    a = np.array([x for _, x, _ in v])
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    label = np.array([x for *_, x in v])
+    linked = (a @ a.T >= 0.98) & (label[:, None] == label[None, :])
+    np.fill_diagonal(linked, False)
+    ids = np.array([2**63 - 1 if i is None else i for i, *_ in v])
+    least = ids.copy()
+    while True:
+        after = np.array([min(least[n], least[linked[n]].min(initial=least[n])) for n in range(len(v))])
+        if (after == least).all():
+            break
+        least = after
+    named = lambda i: None if i == 2**63 - 1 else int(i)
+    expected = sorted(repr((named(i), int(n), named(c), bool(i == c))) for i, n, c in zip(ids, linked.sum(axis=1), least, strict=True))
+    for part in (16, 2048):
+        assert sorted(repr(tuple(r)) for r in near_vectors(spark, df, part=part).collect()) == expected
+
+
 def test_fingerprints(spark, docs, rows):
     order = sorted(rows, reverse=True)
     got = {r.doc_id: r for r in edit_stability(spark, docs).collect()}
