@@ -14,19 +14,21 @@ from peptrail.functions.peptides import folded
 from peptrail.operators.settle import numbered, running_sum, settle
 
 SEED = 5
+#: Letters that suffixes are first ordered by, rounded up to a multiple of the sparseness.
+HEAD = 32
 
 
-def _doubled(ranked: DataFrame) -> DataFrame:
-    """Ranks of whole texts from each protein on, of ``(protein_idx, r)`` with the ranks of single proteins."""
-    step = 1
+def _doubled(ranked: DataFrame, at: str, step: int = 1) -> DataFrame:
+    """``ranked`` by whole texts from each ``at`` on, given ``r``: ranks, from 1 without gaps, of their first ``step`` places."""
+    others = [c for c in ranked.columns if c != "r"]
     while True:
-        n = ranked.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("r").alias("kinds")).first()
-        if n.rows == n.kinds:
+        n = ranked.agg(F.count(F.lit(1)).alias("rows"), F.max("r").alias("kinds")).first()
+        if n.rows == (n.kinds or 0):
             return ranked
-        ahead = ranked.select((F.col("protein_idx") - step).alias("protein_idx"), F.col("r").alias("r2"))
-        pairs = ranked.join(ahead, "protein_idx", "left").select("protein_idx", "r", F.coalesce("r2", F.lit(0)).alias("r2"))
+        ahead = ranked.select((F.col(at) - step).alias(at), F.col("r").alias("r2"))
+        pairs = ranked.join(ahead, at, "left").select(*others, "r", F.coalesce("r2", F.lit(0)).alias("r2"))
         order = numbered(pairs.select("r", "r2").distinct(), ["r", "r2"], "next", 1)
-        ranked = settle(pairs.join(order, ["r", "r2"]).select("protein_idx", F.col("next").alias("r")))
+        ranked = settle(pairs.join(order, ["r", "r2"]).select(*others, F.col("next").alias("r")))
         step *= 2
 
 
@@ -41,7 +43,7 @@ def prepare(proteins: DataFrame) -> DataFrame:
     started = running_sum(rows.select("protein_idx", (F.octet_length("sequence") + 1).cast("long").alias("size")), ["protein_idx"], F.col("size"), "start_pos").drop("size")
     closed = settle(rows.join(F.broadcast(last)).withColumn("closed", F.concat(folded(F.col("sequence")), F.when(F.col("protein_idx") == F.col("last"), "$").otherwise("-"))).drop("last"))
     order = numbered(closed.select("closed").distinct(), ["closed"], "r", 1)
-    ranks = _doubled(settle(closed.select("protein_idx", "closed").join(order, "closed").select("protein_idx", "r")))
+    ranks = _doubled(settle(closed.select("protein_idx", "closed").join(order, "closed").select("protein_idx", "r")), "protein_idx")
     tails = ranks.select((F.col("protein_idx") - 1).alias("protein_idx"), F.col("r").alias("tail"))
     return settle(closed.join(started, "protein_idx").join(tails, "protein_idx", "left").withColumn("tail", F.coalesce("tail", F.lit(0))))
 
@@ -49,13 +51,24 @@ def prepare(proteins: DataFrame) -> DataFrame:
 def suffix_array(prepared: DataFrame, sparseness: int = 1) -> DataFrame:
     """``(rank, pos, protein_idx)`` of the suffixes at every ``sparseness``-th position, from rank 0.
 
-    ``protein_idx`` is null where the suffix starts on a separator or the end mark.
+    ``protein_idx`` is null where the suffix starts on a separator or the end mark. Suffixes are
+    first ranked by some ``HEAD`` letters, and by ``tail`` where their protein ends in them; ties
+    then look so many letters ahead, twice as many in each round, so a row never holds more text.
     """
     if not 1 <= sparseness <= 255:
         raise ValueError("sparseness must be 1 to 255")
-    body = prepared.select("protein_idx", "start_pos", "tail", "closed", F.explode(F.sequence(F.lit(0), F.length("closed") - 1)).alias("off"))
-    at = body.select((F.col("start_pos") + F.col("off")).alias("pos"), F.when(F.col("off") < F.length("closed") - 1, F.col("protein_idx")).alias("protein_idx"), F.expr("substring(closed, off + 1)").alias("rest"), "tail")
-    return numbered(at.where(F.pmod("pos", F.lit(sparseness)) == 0), ["rest", "tail"], "rank").select("rank", "pos", "protein_idx")
+    head = -(-HEAD // sparseness) * sparseness  # the suffix so far ahead is in the array, too
+    text = prepared.select("protein_idx", "start_pos", "tail", F.col("closed").cast("binary").alias("closed"))
+    body = text.select("*", F.explode(F.sequence(F.lit(0), F.length("closed") - 1)).alias("off"), F.length("closed").alias("size"))
+    at = body.where(F.pmod(F.col("start_pos") + F.col("off"), F.lit(sparseness)) == 0).select(
+        (F.col("start_pos") + F.col("off")).alias("pos"),
+        F.when(F.col("off") < F.col("size") - 1, F.col("protein_idx")).alias("protein_idx"),
+        F.expr(f"substring(closed, off + 1, {head})").alias("head"),
+        F.when(F.col("size") - F.col("off") <= head, F.col("tail")).otherwise(0).alias("after"),
+    )
+    order = numbered(at.select("head", "after").distinct(), ["head", "after"], "r", 1)
+    ranks = _doubled(settle(at.join(order, ["head", "after"]).select("pos", "protein_idx", "r")), "pos", head)
+    return ranks.select((F.col("r") - 1).alias("rank"), "pos", "protein_idx")
 
 
 def protein_at(positions: DataFrame, prepared: DataFrame, block: int = 4096) -> DataFrame:
@@ -63,7 +76,7 @@ def protein_at(positions: DataFrame, prepared: DataFrame, block: int = 4096) ->
 
     The as-of lookup is an equi-join on blocks of the text: a protein is listed under every block it touches.
     """
-    end = F.col("start_pos") + F.length("closed") - 1
+    end = F.col("start_pos") + F.octet_length("closed") - 1
     ranges = prepared.select("protein_idx", "start_pos", end.alias("end_pos")).where("end_pos > start_pos")
     ranges = ranges.withColumn("block", F.explode(F.sequence(F.floor(F.col("start_pos") / block), F.floor((F.col("end_pos") - 1) / block))))
     inside = (F.col("pos") >= F.col("start_pos")) & (F.col("pos") < F.col("end_pos"))

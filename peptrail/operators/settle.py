@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,11 +13,20 @@ BROADCAST_ROWS = 100_000
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder; a temporary one is set only where none is (tests)."""
-    context = df.sparkSession.sparkContext
-    if not (context.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None)):
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="peptrail-"))
-    return df.checkpoint()
+    """``df`` written as Parquet to the shared checkpoint folder and read back, so later plans read only their columns.
+
+    A temporary folder is taken only in local mode, where none is set.
+    """
+    spark = df.sparkSession
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="peptrail-")
+        spark.sparkContext.setCheckpointDir(where)
+    path = f"{where.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def running_sum(df: DataFrame, keys: list[str], value: Column, name: str, first: int = 0) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import copy
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,16 @@ class PeptideEngine:
         rows = numbered(known(proteins, taxonomy), [order], "protein_idx").select("protein_idx", "uniprot_id", "taxon_id", "sequence", "fa")
         return cls(rows, taxonomy, sparseness, seed)
 
+    def at(self, sparseness: int) -> PeptideEngine:
+        """The same prepared proteins, searched as by an index of another sparseness."""
+        if not 1 <= sparseness <= 255:
+            raise ValueError("sparseness must be 1 to 255")
+        if sparseness == self.sparseness:
+            return self
+        other = copy.copy(self)
+        other.sparseness = sparseness
+        return other
+
     @property
     def paths(self) -> DataFrame:
         if self._paths is None:

@@ -24,10 +24,10 @@ _engines: dict[tuple, PeptideEngine] = {}
 
 def engine(spark: SparkSession, sf_dir: str, sparseness: int = 1) -> PeptideEngine:
     """The prepared database of a folder: built once in a session, then searched many times."""
-    key = (spark.sparkContext.applicationId, sf_dir, sparseness)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _engines:
-        _engines[key] = PeptideEngine(tables.proteins(spark, sf_dir), tables.taxonomy(spark, sf_dir), sparseness)
-    return _engines[key]
+        _engines[key] = PeptideEngine(tables.proteins(spark, sf_dir), tables.taxonomy(spark, sf_dir))
+    return _engines[key].at(sparseness)
 
 
 def _flat(df: DataFrame) -> DataFrame:

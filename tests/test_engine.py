@@ -64,6 +64,16 @@ def test_common_ancestors(spark, taxonomy):
         lineage(taxonomy.where("id <> 6")).collect()
 
 
+def test_suffix_order_of_long_repeats(spark):
+    """Ties far beyond the letters that suffixes are first ordered by, in and across proteins."""
+    sequences = ["AB" * 60, "K" * 150, "AB" * 70 + "C", "", "AB" * 60, "K" * 33, "AB" * 60]
+    text = "-".join(sequences) + "$"
+    prepared = index.prepare(database(spark, sequences))
+    for k in (1, 5):
+        got = [r.pos for r in index.suffix_array(prepared, k).orderBy("rank").collect()]
+        assert got == sorted(range(0, len(text), k), key=lambda pos: text[pos:])
+
+
 def test_suffix_order(spark):
     prepared = index.prepare(database(spark, ["AI", "BLACVAA", "AC", "KCRLZ"]))
     order = lambda k: [r.pos for r in index.suffix_array(prepared, k).orderBy("rank").collect()]
