@@ -3,7 +3,8 @@
 A peptide's first letters are its seed. Seeds of all positions meet seeds of peptides in an
 equi-join, and the whole peptide is compared only there. A peptide list of a checked size is
 broadcast, so texts are read once and only hits are shuffled; a longer list is joined by
-shuffling (seed, protein, offset), without texts.
+shuffling (seed, protein, offset), without texts. With a written seed index no text is
+expanded: the seeds of a list of bounded size reach the scan as ranges.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from peptrail.operators.settle import settle
 #: Peptide lists up to so many rows and bytes are broadcast.
 BROADCAST_PEPTIDES, BROADCAST_BYTES = 200_000, 16 << 20
 MARKS = "[-$]"
+#: Up to so many distinct seeds of a search become at most ``RANGES`` ranges that the index scan filters by.
+PUSHED_SEEDS, RANGES = 10_000, 64
 
 
 def _with_neighbours(prepared: DataFrame, marks: int) -> DataFrame:
@@ -51,18 +54,21 @@ def _join(texts: DataFrame, last: Column, peptides: DataFrame, equalize: bool, s
 COLUMNS = ["protein_idx", "uniprot_id", "taxon_id", "fa", "start_pos", "tail", "closed"]
 
 
-def occurrences(prepared: DataFrame, peptides: DataFrame, equalize: bool = False, seed: int = SEED, columns: list[str] | None = None) -> DataFrame:
+def occurrences(prepared: DataFrame, peptides: DataFrame, equalize: bool = False, seed: int = SEED, columns: list[str] | None = None, index: DataFrame | None = None) -> DataFrame:
     """``(pep, off, …)``: every occurrence of the distinct ``peptides(pep)`` in normal form.
 
     A peptide with separators may reach into the next proteins; its hits name the protein of
     their first letter, and none (null) where that is a separator or the end mark. An empty
-    peptide has no occurrence.
+    peptide has no occurrence. Peptides without separators are looked up in ``index``, if given.
     """
     keep = columns or COLUMNS
     some = peptides.select("pep").where(F.length("pep") > 0).distinct()
     plain = some.where(~F.col("pep").rlike(MARKS))
-    texts = prepared.withColumns({"exact": F.col("sequence"), "text": folded(F.col("sequence"))})
-    found = _join(texts, F.octet_length("sequence") - 1, plain, equalize, seed, keep)
+    if index is None:
+        texts = prepared.withColumns({"exact": F.col("sequence"), "text": folded(F.col("sequence"))})
+        found = _join(texts, F.octet_length("sequence") - 1, plain, equalize, seed, keep)
+    else:
+        found = indexed_occurrences(index, prepared, plain, equalize, seed, keep)
     marked = some.where(F.col("pep").rlike(MARKS))
     most = marked.agg(F.max(F.regexp_count("pep", F.lit(MARKS)))).first()[0]
     if most is None:
@@ -73,20 +79,43 @@ def occurrences(prepared: DataFrame, peptides: DataFrame, equalize: bool = False
     return found.union(across.withColumns(nulled).select("pep", "off", *keep))
 
 
-def indexed_occurrences(index: DataFrame, prepared: DataFrame, peptides: DataFrame, equalize: bool = False, seed: int = SEED) -> DataFrame:
-    """``(pep, protein_idx, off)`` by a written seed index, for peptides without separators.
+def _seed_ranges(wanted: DataFrame, seed: int) -> Column | None:
+    """The part of an index that the ``seed``s of a list can meet, as at most ``RANGES`` ranges; of long lists, none.
 
-    A peptide shorter than a seed is first joined with the prefixes of the index's distinct seeds.
+    A seed shorter than the index's stands for all that start with it.
     """
+    firsts = wanted.select("seed").distinct().limit(PUSHED_SEEDS + 1).collect()
+    if len(firsts) > PUSHED_SEEDS:
+        return None
+    spans = sorted((bytes(r.seed), bytes(r.seed).ljust(seed, b"\xff")) for r in firsts)
+    step = -(-len(spans) // RANGES) or 1
+    at = F.col("seed")
+    out = F.lit(False)
+    for i in range(0, len(spans), step):
+        run = spans[i : i + step]
+        out = out | ((at >= F.lit(run[0][0])) & (at <= F.lit(max(high for _, high in run))))
+    return out
+
+
+def indexed_occurrences(index: DataFrame, prepared: DataFrame, peptides: DataFrame, equalize: bool = False, seed: int = SEED, columns: list[str] | None = None) -> DataFrame:
+    """``(pep, off, …)`` by a written seed index, for peptides without separators.
+
+    Peptides shorter than a seed meet the first letters of the index's seeds.
+    """
+    keep = columns or ["protein_idx"]
     wanted = peptides.select("pep").where(F.length("pep") > 0).distinct().withColumns({"pep_il": folded(F.col("pep")).cast("binary"), "letters": F.col("pep").cast("binary")})
-    long = wanted.where(F.length("pep_il") >= seed).withColumn("seed", F.substring("pep_il", 1, seed))
-    kinds = index.select("seed").distinct().select("seed", F.explode(F.expr(f"transform(sequence(1, least(length(seed), {seed - 1})), m -> substring(seed, 1, m))")).alias("pep_il"))
-    short = wanted.where(F.length("pep_il") < seed).join(kinds, "pep_il")
-    columns = ["pep", "pep_il", "letters", "seed"]
-    met = index.join(long.select(*columns).union(short.select(*columns)), "seed")
-    text = prepared.select("protein_idx", F.col("sequence").cast("binary").alias("exact"), folded(F.col("sequence")).cast("binary").alias("text"))
+    wanted = wanted.withColumn("seed", F.substring("pep_il", 1, seed))
+    size = wanted.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("letters")), F.lit(0)).alias("bytes"), F.collect_set(F.length("seed")).alias("lengths")).first()  # at most ``seed`` lengths
+    if not size.n:
+        return prepared.where(F.lit(False)).select(F.lit("").alias("pep"), F.lit(0).alias("off"), *keep)
+    ranges = _seed_ranges(wanted, seed)
+    starts = F.array_distinct(F.array(*(F.expr(f"substring(seed, 1, {n})") for n in sorted(size.lengths))))
+    rows = (index if ranges is None else index.where(ranges)).select("protein_idx", "off", F.explode(starts).alias("seed"))
+    near = size.n <= BROADCAST_PEPTIDES and size.bytes <= BROADCAST_BYTES
+    met = rows.join(F.broadcast(wanted) if near else wanted, "seed").select("protein_idx", "off", "pep", "pep_il", "letters")
+    text = prepared.withColumns({"exact": F.col("sequence").cast("binary"), "text": folded(F.col("sequence")).cast("binary")}).select("exact", "text", *dict.fromkeys(["protein_idx", *keep]))
     same = "substring(text, off + 1, length(pep_il)) = pep_il" if equalize else "substring(exact, off + 1, length(letters)) = letters"
-    return met.join(text, "protein_idx").where(same).select("pep", "protein_idx", "off")
+    return met.join(text, "protein_idx").where(same).select("pep", "off", *keep)
 
 
 def first_hits(hits: DataFrame, most: int, sparseness: int = 1) -> DataFrame:
@@ -101,10 +130,10 @@ def first_hits(hits: DataFrame, most: int, sparseness: int = 1) -> DataFrame:
     return keyed.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= max(most, 1)).drop("_skip", "_rest", "tail")
 
 
-def exists(prepared: DataFrame, peptides: DataFrame, equalize: bool = False) -> DataFrame:
+def exists(prepared: DataFrame, peptides: DataFrame, equalize: bool = False, index: DataFrame | None = None) -> DataFrame:
     """``peptides`` with ``found``; an empty peptide is found everywhere."""
     named = peptides.withColumn("pep", normal(F.col("sequence")))
-    there = occurrences(prepared, named, equalize, columns=["start_pos"]).select("pep").distinct().withColumn("found", F.lit(True))
+    there = occurrences(prepared, named, equalize, columns=["start_pos"], index=index).select("pep").distinct().withColumn("found", F.lit(True))
     return named.join(there, "pep", "left").withColumn("found", F.coalesce("found", F.col("pep") == "")).drop("pep")
 
 

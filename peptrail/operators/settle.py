@@ -5,28 +5,29 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A per-partition table up to this many rows is broadcast; one row is a few dozen bytes.
 BROADCAST_ROWS = 100_000
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the shared checkpoint folder and read back, so later plans read only their columns.
-
-    A temporary folder is taken only in local mode, where none is set.
-    """
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder; a temporary folder is taken only in local mode, where none is set."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="peptrail-")
         spark.sparkContext.setCheckpointDir(where)
-    path = f"{where.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared checkpoint folder and read back, so later plans read only their columns."""
+    path = shared_path(df.sparkSession, "settled")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def running_sum(df: DataFrame, keys: list[str], value: Column, name: str, first: int = 0) -> DataFrame:

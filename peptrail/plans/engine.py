@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import copy
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peptrail.functions.annotations import split
+from peptrail.functions.annotations import split, unpack
 from peptrail.functions.peptides import normal
 from peptrail.operators import search
 from peptrail.operators.functional import functional_summary
-from peptrail.operators.index import SEED, prepare
+from peptrail.operators.index import SEED, prepare, write_index
 from peptrail.operators.settle import settle
 from peptrail.operators.taxonomy import ROOT, clean, known, lineage, lowest_common_ancestor
 
@@ -22,6 +22,7 @@ class PeptideEngine:
     """``proteins(protein_idx, uniprot_id, taxon_id, sequence, fa)`` and ``taxonomy(id, name, rank, parent, valid)``.
 
     Proteins of unknown taxa are left out; ``protein_idx`` must then have no gaps (see ``load``).
+    ``fa`` may be packed bytes, which are unpacked for the hits of a search only, or null.
     """
 
     def __init__(self, proteins: DataFrame, taxonomy: DataFrame, sparseness: int = 1, seed: int = SEED):
@@ -29,16 +30,34 @@ class PeptideEngine:
             raise ValueError("sparseness must be 1 to 255")
         self.taxonomy, self.sparseness, self.seed = taxonomy, sparseness, seed
         self.proteins = prepare(proteins)
+        self.seeds: DataFrame | None = None  # a written seed index
         self._paths: DataFrame | None = None
 
     @classmethod
     def load(cls, proteins: DataFrame, taxonomy: DataFrame, order: str, sparseness: int = 1, seed: int = SEED) -> PeptideEngine:
-        """Rows ``(order, uniprot_id, taxon_id, sequence, fa)`` of known taxa, numbered by ``order``."""
+        """Rows ``(order, uniprot_id, taxon_id, sequence[, fa])`` of known taxa, numbered by ``order``."""
         from peptrail.operators.settle import numbered
 
+        proteins = proteins if "fa" in proteins.columns else proteins.withColumn("fa", F.lit(None).cast("string"))
         rows = numbered(known(proteins, taxonomy), [order], "protein_idx").select("protein_idx", "uniprot_id", "taxon_id", "sequence", "fa")
         return cls(rows, taxonomy, sparseness, seed)
 
+    def save(self, path: str) -> None:
+        """The prepared database and its seed index as Parquet under ``path``; its settings are written last."""
+        self.proteins.write.parquet(f"{path}/proteins")
+        self.taxonomy.write.parquet(f"{path}/taxonomy")
+        self.paths.write.parquet(f"{path}/paths")
+        write_index(self.proteins, f"{path}/seeds", self.seed)
+        self.proteins.sparkSession.createDataFrame([(self.sparseness, self.seed)], "sparseness int, seed int").write.parquet(f"{path}/settings")
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> PeptideEngine:
+        """A saved database: nothing is prepared again, and searches go through its seed index."""
+        engine = cls.__new__(cls)
+        engine.sparseness, engine.seed = spark.read.parquet(f"{path}/settings").first()
+        engine.proteins, engine.taxonomy, engine._paths, engine.seeds = (spark.read.parquet(f"{path}/{name}") for name in ("proteins", "taxonomy", "paths", "seeds"))
+        return engine
+
     def at(self, sparseness: int) -> PeptideEngine:
         """The same prepared proteins, searched as by an index of another sparseness."""
         if not 1 <= sparseness <= 255:
@@ -57,7 +76,7 @@ class PeptideEngine:
 
     def occurrences(self, peptides: DataFrame, equalize: bool = False) -> DataFrame:
         """``(pep, protein_idx, uniprot_id, taxon_id, pos)``, without a cutoff, of ``peptides(pep)`` as they are."""
-        hits = search.occurrences(self.proteins, peptides, equalize, self.seed)
+        hits = search.occurrences(self.proteins, peptides, equalize, self.seed, ["protein_idx", "uniprot_id", "taxon_id", "start_pos"], self.seeds)
         return hits.where("protein_idx is not null").select("pep", "protein_idx", "uniprot_id", "taxon_id", (F.col("start_pos") + F.col("off")).alias("pos"))
 
     def _asked(self, peptides: DataFrame, cutoff: int) -> tuple[DataFrame, int]:
@@ -71,13 +90,16 @@ class PeptideEngine:
     def _answers(self, peptides: DataFrame, cutoff: int, equalize: bool, clean_taxa: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Asked rows, ``(query, cutoff_used)`` of the queries with matches, and their hits in proteins."""
         asked, most = self._asked(peptides, cutoff)
-        hits = search.first_hits(search.occurrences(self.proteins, asked, equalize, self.seed), most, self.sparseness)
+        hits = search.first_hits(search.occurrences(self.proteins, asked, equalize, self.seed, index=self.seeds), most, self.sparseness)
         queries = asked.select("query", "pep", "cutoff").distinct()
         hits = settle(hits.join(queries, "pep").where(F.col("rn") <= F.greatest("cutoff", F.lit(1))))
         found = hits.groupBy("query", "cutoff").agg(F.max("rn").alias("n")).select("query", (F.col("n") >= F.col("cutoff")).alias("cutoff_used"))
-        inside = hits.where("protein_idx is not null")
+        inside = hits.where("protein_idx is not null").withColumn("fa", self._annotations())
         return asked, found, clean(inside, self.taxonomy) if clean_taxa else inside
 
+    def _annotations(self) -> Column:
+        return unpack(F.col("fa")) if self.proteins.schema["fa"].dataType.typeName() == "binary" else F.col("fa")
+
     def search(self, peptides: DataFrame, cutoff: int = CUTOFF, equalize: bool = False, clean_taxa: bool = False) -> DataFrame:
         """``(ord, sequence, proteins, cutoff_used)`` for each of ``peptides(ord, sequence[, cutoff])`` with a match.
 
@@ -114,7 +136,15 @@ class PeptideEngine:
 
     def exists(self, peptides: DataFrame) -> DataFrame:
         """``peptides(ord, sequence)`` with ``found``; leucine and isoleucine differ here."""
-        return search.exists(self.proteins, peptides)
+        return search.exists(self.proteins, peptides, index=self.seeds)
+
+    def matches(self, peptides: DataFrame) -> DataFrame:
+        """``(ord, sequence, sequences)``: the protein of every occurrence, in order of the text; for lists to be read, as an answer holds its matches."""
+        named = peptides.withColumn("pep", normal(F.col("sequence"))).drop("sequence")
+        hits = search.occurrences(self.proteins, named, False, self.seed, ["protein_idx", "sequence"], self.seeds).where("protein_idx is not null")
+        lists = hits.groupBy("pep").agg(F.transform(F.array_sort(F.collect_list(F.struct("protein_idx", "off", "sequence"))), lambda x: x["sequence"]).alias("sequences"))
+        asked = peptides.withColumn("pep", normal(F.col("sequence")))
+        return asked.join(lists, "pep", "left").select("ord", "sequence", F.coalesce("sequences", F.array().cast("array<string>")).alias("sequences"))
 
     def taxon(self, peptides: DataFrame) -> DataFrame:
         """``(ord, sequence, taxon)``: the snapped plain LCA of the peptide's proteins, null without a match.
@@ -122,7 +152,7 @@ class PeptideEngine:
         An occurrence may start on the letter after which a separator follows, but not on the separator.
         """
         named = peptides.withColumn("pep", normal(F.col("sequence")))
-        hits = search.occurrences(self.proteins, named, False, self.seed, ["protein_idx", "taxon_id"]).where("protein_idx is not null")
+        hits = search.occurrences(self.proteins, named, False, self.seed, ["protein_idx", "taxon_id"], self.seeds).where("protein_idx is not null")
         lca = lowest_common_ancestor(hits, self.paths, "pep").select("pep", F.col("lca").alias("taxon"))
         return named.join(lca, "pep", "left").select("ord", "sequence", "taxon")
 
@@ -133,6 +163,23 @@ def as_json(results: DataFrame) -> DataFrame:
     return results.select("ord", F.to_json(fields, {"ignoreNullFields": "false"}).alias("json"))
 
 
+def as_text(found: DataFrame) -> DataFrame:
+    """``(ord, text)`` of ``found`` of ``exists``, ``taxon`` or ``matches``: lines that say ``true`` or ``false``,
+    a taxon (``/``: none), or the number of matches and then one line for the sequence of each."""
+    if "found" in found.columns:
+        return found.select("ord", F.col("found").cast("string").alias("text"))
+    if "taxon" in found.columns:
+        return found.select("ord", F.coalesce(F.col("taxon").cast("string"), F.lit("/")).alias("text"))
+    head = F.concat(F.lit("found "), F.size("sequences").cast("string"), F.lit(" matches"))
+    return found.select("ord", F.array_join(F.concat(F.array(head), F.transform("sequences", lambda x: F.concat(F.lit("* "), x))), "\n").alias("text"))
+
+
+def write_json(results: DataFrame, path: str) -> None:
+    """Result rows as JSON lines in input order: by ranges of ``ord`` over the files, sorted in each."""
+    shards = int(results.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    as_json(results).repartitionByRange(shards, "ord").sortWithinPartitions("ord").select("json").write.text(path)
+
+
 def document(results: DataFrame) -> str:
     """``{"result": […]}`` in input order, for the answer to one request; write larger results with ``as_json``."""
     return '{"result":[' + ",".join(r.json for r in as_json(results).orderBy("ord").toLocalIterator()) + "]}"

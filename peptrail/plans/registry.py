@@ -4,20 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peptrail.functions import annotations
 from peptrail.operators import functional, index, search
-from peptrail.operators.settle import running_sum, settle
+from peptrail.operators.settle import running_sum, settle, shared_path
 from peptrail.operators.taxonomy import lowest_common_ancestor
 from peptrail.plans import tables
-from peptrail.plans.engine import PeptideEngine, as_json
+from peptrail.plans.engine import PeptideEngine, as_json, as_text
+from peptrail.sources import files
 from peptrail.sources.files import requests
+from peptrail.streaming.requests import answer_stream, read_requests
 
 BOUNDS = ("BOLT", "I", "LL", "WIDGET", "S", "ZZZZ")
 MARKED = ("E-S", "L-", "-", "$", "K-B", "T-S")
 REQUESTS = ('{"peptides": ["BOLT", "LL"]}', '{"peptides": ["I"], "cutoff": 7, "equalize_I_and_L": true}', '{"peptides": [], "clean_taxa": true}')
+STREAMED = ('{"peptides": ["BOLT", "ZZZZ", "ANVIL"], "cutoff": 2}', '{"peptides": ["LL"], "cutoff": 2}')
 
 _engines: dict[tuple, PeptideEngine] = {}
 
@@ -50,6 +53,107 @@ def occurrences_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.indexed_occurrences(index.seed_index(prepared), prepared, tables.peptides(spark).select(F.col("sequence").alias("pep")), False)
 
 
+def stored_engine(spark: SparkSession, sf_dir: str) -> PeptideEngine:
+    """The database of a folder as saved once in a session and opened from its files."""
+    key = (spark.sparkContext.applicationId, sf_dir, "stored")
+    if key not in _engines:
+        path = shared_path(spark, "engine")
+        engine(spark, sf_dir).save(path)
+        _engines[key] = PeptideEngine.open(spark, path)
+    return _engines[key]
+
+
+def occurrences_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all proteins, searched through the stored seed index."""
+    peps = tables.cut_peptides(spark, sf_dir).select(F.col("sequence").alias("pep"))
+    return stored_engine(spark, sf_dir).occurrences(peps, True)
+
+
+def analyse_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(stored_engine(spark, sf_dir).analyse(tables.peptides(spark), equalize=True))
+
+
+def _written(df: DataFrame, columns: list[Column], name: str, encoding: str = "UTF-8") -> str:
+    """The path of tab-separated lines of ``df(line, …)`` in order of ``line``; ISO-8859-1 writes each character as one byte."""
+    path = shared_path(df.sparkSession, name)
+    shards = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines = df.repartitionByRange(shards, "line").sortWithinPartitions("line").select(F.concat_ws("\t", *columns).alias("value"))
+    lines.write.csv(path, sep="\x03", quote="\x02", encoding=encoding, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return path
+
+
+def _proteins_path(spark: SparkSession, sf_dir: str) -> str:
+    packed = F.decode(annotations.pack(F.col("fa")), "ISO-8859-1")
+    return _written(tables.varied_proteins(spark, sf_dir), [F.col("uniprot_id"), F.col("taxon_id").cast("string"), F.lower("sequence"), packed], "proteins", "ISO-8859-1")
+
+
+def proteins_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proteins with packed annotations, some with none and some of unknown taxa, written and read back."""
+    return files.read_proteins(spark, _proteins_path(spark, sf_dir), tables.taxonomy(spark, sf_dir))
+
+
+def plain_proteins_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = [F.col("uniprot_id"), F.col("taxon_id").cast("string"), F.lower("sequence")]
+    return files.read_plain_proteins(spark, _written(tables.varied_proteins(spark, sf_dir), columns, "plain"), tables.taxonomy(spark, sf_dir))
+
+
+def taxonomy_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables.taxonomy(spark, sf_dir).withColumn("line", F.col("id"))
+    columns = [F.col("id").cast("string"), F.col("name"), F.col("rank"), F.col("parent").cast("string"), F.when(F.col("valid"), "\x01").otherwise("\x00")]
+    return files.read_taxonomy(spark, _written(rows, columns, "taxonomy"))
+
+
+def peptides_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.read_peptides(spark, _written(tables.cut_peptides(spark, sf_dir), [F.col("sequence")], "peptides"))
+
+
+def suffix_array_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A suffix array written as a folder of parts and read back."""
+    path = shared_path(spark, "array")
+    files.write_suffix_array(suffix_array(spark, sf_dir), path, 7, joined=False)
+    return files.read_suffix_array(spark, path)
+
+
+def _loaded(spark: SparkSession, sf_dir: str, kind: str) -> PeptideEngine:
+    """A database loaded from a file of proteins; annotations are ``packed`` ones or ``none``."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _engines:
+        taxonomy = tables.taxonomy(spark, sf_dir)
+        rows = files.read_proteins(spark, _proteins_path(spark, sf_dir), taxonomy, kind)
+        _engines[key] = PeptideEngine.load(rows, taxonomy, "line")
+    return _engines[key]
+
+
+def analyse_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peptides over a database of a file, whose annotations are unpacked for the hits only."""
+    return _flat(_loaded(spark, sf_dir, "packed").analyse(tables.peptides(spark), equalize=True))
+
+
+def analyse_unannotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, loaded without annotations."""
+    return _flat(_loaded(spark, sf_dir, "none").analyse(tables.peptides(spark), equalize=True))
+
+
+def analysis_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_json(_loaded(spark, sf_dir, "packed").analyse(tables.peptides(spark), equalize=True))
+
+
+def stream_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two requests through the stream; peptides and answers of all batches."""
+    source, out, state = (shared_path(spark, name) for name in ("requests", "answers", "state"))
+    spark.createDataFrame([(x,) for x in STREAMED], "value string").write.text(source)
+    answer_stream(engine(spark, sf_dir), read_requests(spark, source), out, state, "search").awaitTermination()
+    return spark.read.parquet(out).select("json")
+
+
+def tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three forms of a text answer: whether there is a match, its taxon, and the matches."""
+    e, peps = engine(spark, sf_dir), tables.peptides(spark)
+    answers = {"match": e.exists(peps), "taxon": e.taxon(peps), "all": e.matches(peps)}
+    parts = [as_text(found).select(F.lit(mode).alias("mode"), "ord", "text") for mode, found in answers.items()]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 def occurrences_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = search.occurrences(engine(spark, sf_dir).proteins, tables.peptides(spark, MARKED).select(F.col("sequence").alias("pep")), True)
     return hits.groupBy("pep").agg(F.count(F.lit(1)).alias("hits"), F.count("protein_idx").alias("in_protein"), F.min(F.col("start_pos") + F.col("off")).alias("first_pos"))
@@ -90,10 +194,10 @@ def taxonomy_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.select("id", F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"), F.col("depth").cast("long").alias("depth"), "snapped")
 
 
-def _groups(spark: SparkSession, sf_dir: str, parts: str = "p_partkey % 7 < 3") -> DataFrame:
-    """Groups of taxa of all ranks, some of them ancestors of others; genera of some ``parts``."""
+def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of taxa of all ranks, some of them ancestors of others."""
     part = tables.read(spark, sf_dir, "part").select((F.col("p_partkey") % 200).alias("g"), "p_partkey", "p_size")
-    nations = part.where(parts).select("g", (100 + F.col("g") % 25 + F.col("p_size") % 2 * (F.col("g") % 3)).alias("t")).where("t < 125")
+    nations = part.select("g", (100 + F.col("g") % 25 + F.col("p_size") % 2 * (F.col("g") % 3)).alias("t")).where("t < 125")
     regions = part.where("g % 3 = 0").select("g", (10 + F.col("p_size") % 5).alias("t"))
     suppliers = part.where("g % 4 = 1").select("g", (1001 + F.col("g") % 10).alias("t"))
     return nations.union(regions).union(suppliers).select(F.col("g").cast("long"), F.col("t").cast("long").alias("taxon_id"))
@@ -107,14 +211,6 @@ def lca_star_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lowest_common_ancestor(_groups(spark, sf_dir), engine(spark, sf_dir).paths, "g", star=True)
 
 
-def lca_groups_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lowest_common_ancestor(_groups(spark, sf_dir, "true"), engine(spark, sf_dir).paths, "g")
-
-
-def lca_star_groups_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lowest_common_ancestor(_groups(spark, sf_dir, "true"), engine(spark, sf_dir).paths, "g", star=True)
-
-
 def _branded(spark: SparkSession, sf_dir: str) -> DataFrame:
     brand = tables.read(spark, sf_dir, "part").select((F.col("p_partkey") - 1).alias("protein_idx"), "p_brand")
     return tables.proteins(spark, sf_dir).join(brand, "protein_idx")
@@ -211,7 +307,8 @@ _QUERIES = (
     occurrences_folded, occurrences_exact, occurrences_indexed, occurrences_marked, analyse_peptides, analyse_cutoff, analyse_clean,
     search_peptides, search_json, peptide_exists, tree_taxon, taxonomy_lineage, lca_groups, lca_star_groups, category_counts, annotation_counts,
     pack_annotations, code_annotations, suffix_array, suffix_to_protein, search_bounds, seed_index, prefix_lca, protein_starts, request_defaults, benchmark_passages,
-    suffix_array_whole, suffix_to_protein_whole, search_bounds_whole, lca_groups_whole, lca_star_groups_whole, prefix_lca_whole,
+    occurrences_stored, analyse_stored, proteins_file, plain_proteins_file, taxonomy_file, peptides_file, suffix_array_file, analyse_loaded, analyse_unannotated, analysis_json, stream_answers, tree_text,
+    suffix_array_whole, suffix_to_protein_whole, search_bounds_whole, prefix_lca_whole,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _QUERIES}
 
@@ -221,6 +318,13 @@ prot AS (SELECT CAST(p_partkey - 1 AS BIGINT) AS idx, 'P' || lpad(CAST(p_partkey
 txt AS (SELECT string_agg(s, '-' ORDER BY idx) || '$' AS t, translate(string_agg(s, '-' ORDER BY idx) || '$', 'L', 'I') AS ti FROM prot),
 st AS (SELECT *, CAST(sum(length(s) + 1) OVER (ORDER BY idx) - length(s) - 1 AS BIGINT) AS start FROM prot)"""
 
+_VARIED = """
+varied AS (SELECT * FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS line, 'P' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS uniprot_id, CAST(100 + p_partkey % 25 AS BIGINT) AS taxon_id, upper(replace(p_name, ' ', '')) AS s,
+  concat_ws(';', CASE WHEN p_partkey % 3 <> 0 THEN 'EC:1.' || CAST(p_size % 7 AS VARCHAR) || '.1.-' END, CASE WHEN p_partkey % 2 = 0 THEN 'GO:' || lpad(CAST(p_partkey % 50 AS VARCHAR), 7, '0') END,
+    CASE WHEN p_size % 5 <> 0 THEN 'IPR:IPR' || lpad(CAST(p_size AS VARCHAR), 6, '0') END) AS fa FROM part) WHERE p_partkey % 11 <> 0)"""
+_LOADED = _VARIED + ", prot AS (SELECT row_number() OVER (ORDER BY line) - 1 AS idx, uniprot_id, taxon_id, s, fa FROM varied)" + _PROT[_PROT.index(",\ntxt AS") :]
+_CUT = "cut_pep AS (SELECT row_number() OVER (ORDER BY idx) - 1 AS ord, substr(s, CAST(1 + (idx + 1) % 5 AS INT), CAST(3 + (idx + 1) % 10 AS INT)) AS sequence FROM prot)"
+
 _TAX = """
 tax AS (SELECT 1::BIGINT AS id, 'no rank' AS rnk, 1::BIGINT AS parent, true AS valid
   UNION ALL SELECT 10 + r_regionkey, 'superkingdom', 1, true FROM region
@@ -251,19 +355,20 @@ up AS (SELECT g, unnest(path) AS ancestor FROM m), cnt AS (SELECT g, ancestor, c
 lca AS (SELECT g, arg_max(ancestor, depth) AS ancestor, arg_max(snapped, depth) AS lca FROM cnt JOIN lin ON lin.id = ancestor WHERE n = (SELECT count(*) FROM m WHERE m.g = cnt.g) GROUP BY g)"""
 
 
-def _analyse(cutoff: int, equalize: bool, k: int = 1, cleaned: bool = False) -> str:
+def _analyse(cutoff: int, equalize: bool, k: int = 1, cleaned: bool = False, prot: str = "") -> str:
+    kinds = ", ".join(f"count(DISTINCT CASE WHEN contains(fa, '{kind.upper()}:') THEN uniprot_id END) AS n_{kind}" for kind in ("ec", "go", "ipr"))
     keep = "JOIN tax ON tax.id = taxon_id AND valid" if cleaned else ""
-    return f"""WITH RECURSIVE {_PROT}, {_TAX}, {_PEPTIDES}, {_hits(equalize, k)},
+    return f"""WITH RECURSIVE {prot or _PROT}, {_TAX}, {_PEPTIDES}, {_hits(equalize, k)},
 cut AS (SELECT * FROM hit WHERE rn <= {max(cutoff, 1)} AND octet_length(CAST(pep AS BLOB)) >= {k}), fnd AS (SELECT ord, sequence, max(rn) >= {cutoff} AS cutoff_used FROM cut GROUP BY ALL),
 kept AS (SELECT cut.* FROM cut {keep}), {_lca("SELECT ord AS g, taxon_id FROM kept", True)},
-agg AS (SELECT ord, string_agg(CAST(taxon_id AS VARCHAR), ' ' ORDER BY rn) AS taxa, string_agg(uniprot_id, ' ' ORDER BY rn) AS accessions, count(*) AS n_all, count(DISTINCT uniprot_id) AS n FROM kept GROUP BY ord),
-ann AS (SELECT ord, a, count(*) AS n FROM (SELECT ord, unnest(string_split(fa, ';')) AS a FROM kept) GROUP BY ALL),
+agg AS (SELECT ord, string_agg(CAST(taxon_id AS VARCHAR), ' ' ORDER BY rn) AS taxa, string_agg(uniprot_id, ' ' ORDER BY rn) AS accessions, count(*) AS n_all, {kinds} FROM kept GROUP BY ord),
+ann AS (SELECT ord, a, count(*) AS n FROM (SELECT ord, unnest(string_split(fa, ';')) AS a FROM kept) WHERE a <> '' GROUP BY ALL),
 dat AS (SELECT ord, string_agg(a || '=' || CAST(n AS VARCHAR), ' ' ORDER BY a) AS data FROM ann GROUP BY ord)
-SELECT fnd.ord, fnd.sequence, CASE WHEN cutoff_used THEN 1 ELSE lca END AS lca, coalesce(taxa, '') AS taxa, coalesce(accessions, '') AS accessions, coalesce(n_all, 0) AS n_all, coalesce(n, 0) AS n_ec, coalesce(n, 0) AS n_go, coalesce(n, 0) AS n_ipr, coalesce(data, '') AS data, cutoff_used
+SELECT fnd.ord, fnd.sequence, CASE WHEN cutoff_used THEN 1 ELSE lca END AS lca, coalesce(taxa, '') AS taxa, coalesce(accessions, '') AS accessions, coalesce(n_all, 0) AS n_all, coalesce(n_ec, 0) AS n_ec, coalesce(n_go, 0) AS n_go, coalesce(n_ipr, 0) AS n_ipr, coalesce(data, '') AS data, cutoff_used
 FROM fnd LEFT JOIN agg USING (ord) LEFT JOIN dat USING (ord) LEFT JOIN lca ON lca.g = fnd.ord WHERE cutoff_used OR lca IS NOT NULL"""
 
 
-_GROUPS = """SELECT g, 100 + g % 25 + p_size % 2 * (g % 3) AS taxon_id FROM part0 WHERE p_partkey % 7 < 3 AND 100 + g % 25 + p_size % 2 * (g % 3) < 125
+_GROUPS = """SELECT g, 100 + g % 25 + p_size % 2 * (g % 3) AS taxon_id FROM part0 WHERE 100 + g % 25 + p_size % 2 * (g % 3) < 125
   UNION ALL SELECT g, 10 + p_size % 5 FROM part0 WHERE g % 3 = 0 UNION ALL SELECT g, 1001 + g % 10 FROM part0 WHERE g % 4 = 1"""
 _PART0 = "part0 AS (SELECT CAST(p_partkey % 200 AS BIGINT) AS g, p_partkey, p_size FROM part)"
 
@@ -317,9 +422,33 @@ SELECT g AS prefix, count(*) AS n, any_value(lca) AS lca FROM pre JOIN lca USING
     "benchmark_passages": """WITH d AS (SELECT doc_id, coalesce(text, '') AS s FROM documents), i AS (SELECT item_id, text AS p FROM benchmark WHERE length(text) > 0)
 SELECT item_id, doc_id, CAST((strlen(s) - strlen(replace(s, p, ''))) / strlen(p) AS BIGINT) AS hits, CAST(strlen(split_part(s, p, 1)) AS BIGINT) AS first_byte FROM d JOIN i ON contains(s, p)""",
 }
-#: Over every position and part row, beside the sparse queries of the same name.
+ORACLE["occurrences_stored"] = f"""WITH {_PROT}, {_CUT}, pep AS (SELECT DISTINCT sequence AS pep, translate(sequence, 'L', 'I') AS p FROM cut_pep WHERE sequence <> ''),
+spot AS (SELECT *, translate(s, 'L', 'I') AS f, unnest(range(0, length(s))) AS off FROM st)
+SELECT pep, idx AS protein_idx, uniprot_id, taxon_id, start + off AS pos FROM pep JOIN spot ON substr(f, CAST(off AS INT) + 1, 3) = substr(p, 1, 3) AND substr(f, CAST(off AS INT) + 1, length(p)) = p"""
+ORACLE["analyse_stored"] = ORACLE["analyse_peptides"]
+ORACLE["proteins_file"] = f"WITH {_VARIED} SELECT line, uniprot_id, taxon_id, s AS sequence, fa FROM varied"
+ORACLE["plain_proteins_file"] = f"WITH {_VARIED} SELECT line, uniprot_id, taxon_id, s AS sequence FROM varied"
+ORACLE["taxonomy_file"] = """SELECT 1::BIGINT AS id, 'root' AS name, 'no rank' AS rank, 1::BIGINT AS parent, true AS valid
+UNION ALL SELECT 10 + r_regionkey, r_name, 'superkingdom', 1, true FROM region
+UNION ALL SELECT 100 + n_nationkey, n_name, 'genus', 10 + n_regionkey, n_nationkey % 7 <> 0 FROM nation
+UNION ALL SELECT 1000 + s_suppkey, s_name, 'species', 100 + s_nationkey, true FROM supplier"""
+ORACLE["peptides_file"] = f"WITH {_PROT}, {_CUT} SELECT ord, sequence FROM cut_pep"
+ORACLE["suffix_array_file"] = f"""WITH {_PROT}, spot AS (SELECT unnest(range(0, length(ti), 7)) AS pos, ti FROM txt)
+SELECT 7::INTEGER AS sparseness, row_number() OVER (ORDER BY substr(ti, CAST(pos AS INT) + 1)) - 1 AS rank, pos FROM spot"""
+ORACLE["analyse_loaded"] = _analyse(10_000, True, prot=_LOADED)
+ORACLE["analyse_unannotated"] = f"SELECT * REPLACE (0::BIGINT AS n_ec, 0::BIGINT AS n_go, 0::BIGINT AS n_ipr, '' AS data) FROM ({ORACLE['analyse_loaded']})"
+_JSON_DATA = """CASE WHEN data = '' THEN '' ELSE '"' || replace(replace(data, '=', '":'), ' ', ',"') END"""
+ORACLE["analysis_json"] = f"""SELECT ord, '{{"sequence":"' || replace(sequence, chr(10), '\\n') || '","lca":' || lca || ',"taxa":[' || replace(taxa, ' ', ',') || '],"uniprot_accession_numbers":["' || replace(accessions, ' ', '","')
+  || '"],"fa":{{"counts":{{"all":' || n_all || ',"EC":' || n_ec || ',"GO":' || n_go || ',"IPR":' || n_ipr || '}},"data":{{' || {_JSON_DATA} || '}}}},"cutoff_used":' || CAST(cutoff_used AS VARCHAR) || '}}' AS json FROM ({ORACLE["analyse_loaded"]})"""
+ORACLE["stream_answers"] = f"SELECT json FROM ({ORACLE['search_json']}) WHERE ord IN (0, 2, 4)"
+ORACLE["tree_text"] = f"""WITH RECURSIVE {_PROT}, {_TAX}, {_PEPTIDES}, {_lca("SELECT DISTINCT pep AS g, taxon_id FROM pep JOIN prot ON contains(s, pep)")},
+spot AS (SELECT idx, s, unnest(range(0, length(s))) AS off FROM prot),
+hit AS (SELECT ord, count(*) AS n, string_agg(chr(10) || '* ' || s, '' ORDER BY idx, off) AS x FROM pep JOIN spot ON substr(s, CAST(off AS INT) + 1, length(pep)) = pep GROUP BY ord)
+SELECT 'match' AS mode, ord, CAST(EXISTS (SELECT 1 FROM prot WHERE contains(s, pep)) AS VARCHAR) AS text FROM pep
+UNION ALL SELECT 'taxon', ord, coalesce(CAST(lca AS VARCHAR), '/') FROM pep LEFT JOIN lca ON g = pep
+UNION ALL SELECT 'all', ord, 'found ' || coalesce(n, 0) || ' matches' || coalesce(x, '') FROM pep LEFT JOIN hit USING (ord)"""
+#: Over every position, beside the sparse queries of the same name.
 ORACLE |= {f"{name}_whole": ORACLE[name].replace("range(0, length(ti), 7)", "range(0, length(ti))") for name in ("suffix_array", "suffix_to_protein", "search_bounds")}
-ORACLE |= {f"{name}_whole": ORACLE[name].replace("p_partkey % 7 < 3 AND ", "") for name in ("lca_groups", "lca_star_groups")}
 ORACLE["prefix_lca_whole"] = f"""WITH RECURSIVE {_PROT}, {_TAX}, spot AS (SELECT taxon_id, s, unnest(range(1, length(s) + 1)) AS i FROM prot),
 pre AS (SELECT taxon_id, substr(s, CAST(i AS INT), CAST(k AS INT)) AS g FROM spot JOIN range(1, {index.SEED + 1}) AS lengths(k) ON i + k - 1 <= length(s)), {_lca("SELECT DISTINCT g, taxon_id FROM pre")}
 SELECT g AS prefix, count(*) AS n, any_value(lca) AS lca FROM pre JOIN lca USING (g) GROUP BY g"""

@@ -31,3 +31,22 @@ def taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def peptides(spark: SparkSession, sequences=PEPTIDES) -> DataFrame:
     return spark.createDataFrame(list(enumerate(sequences)), "ord long, sequence string")
+
+
+def varied_proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proteins without some kinds of annotations, some without any, and some of no known taxon."""
+    part = read(spark, sf_dir, "part")
+    key, size = F.col("p_partkey"), F.col("p_size")
+    ec = F.when(key % 3 != 0, F.concat(F.lit("EC:1."), (size % 7).cast("string"), F.lit(".1.-")))
+    go = F.when(key % 2 == 0, F.concat(F.lit("GO:"), F.lpad((key % 50).cast("string"), 7, "0")))
+    ipr = F.when(size % 5 != 0, F.concat(F.lit("IPR:IPR"), F.lpad(size.cast("string"), 6, "0")))
+    taxon = F.when(key % 11 == 0, F.lit(999_999_999)).otherwise(100 + key % 25).cast("long")
+    own = part.select((key - 1).cast("long").alias("line"), taxon.alias("taxon_id"), F.concat_ws(";", ec, go, ipr).alias("fa"))
+    texts = proteins(spark, sf_dir).select(F.col("protein_idx").alias("line"), "uniprot_id", "sequence")
+    return texts.join(own, "line").select("line", "uniprot_id", "taxon_id", "sequence", "fa")
+
+
+def cut_peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(line, sequence)``: a piece of 3 to 12 letters of every protein."""
+    key = F.col("protein_idx") + 1
+    return proteins(spark, sf_dir).select(F.col("protein_idx").alias("line"), F.substring("sequence", (1 + key % 5).cast("int"), (3 + key % 10).cast("int")).alias("sequence"))

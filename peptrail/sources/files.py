@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import struct
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from peptrail.functions.annotations import unpack
 from peptrail.operators.settle import ordered_lines
 from peptrail.operators.taxonomy import known
 
+#: Names of a suffix array's parts start so; the first rank follows.
+PART = "part-"
 REQUEST = "peptides array<string>, cutoff bigint, equalize_I_and_L boolean, clean_taxa boolean"
 
 
@@ -24,13 +24,18 @@ def _fields(spark: SparkSession, path: str, n: int, encoding: str = "UTF-8") ->
     return lines.select("line", F.when(F.size(f) == n, f).otherwise(wrong.cast("array<string>")).alias("f"))
 
 
-def read_proteins(spark: SparkSession, path: str, taxonomy: DataFrame) -> DataFrame:
+def read_proteins(spark: SparkSession, path: str, taxonomy: DataFrame, annotations: str = "text") -> DataFrame:
     """``(line, uniprot_id, taxon_id, sequence, fa)`` of known taxa from a file with packed annotations.
 
     The packed bytes are no text; ISO-8859-1 carries them through the line reader unchanged.
+    ``annotations``: ``text``; ``packed``, which an engine unpacks for its hits only; or ``none``.
     """
     f = _fields(spark, path, 4, "ISO-8859-1")
-    rows = f.select("line", f.f[0].alias("uniprot_id"), f.f[1].cast("long").alias("taxon_id"), F.upper(f.f[2]).alias("sequence"), unpack(F.encode(f.f[3], "ISO-8859-1")).alias("fa"))
+    rows = f.select("line", f.f[0].alias("uniprot_id"), f.f[1].cast("long").alias("taxon_id"), F.upper(f.f[2]).alias("sequence"), F.encode(f.f[3], "ISO-8859-1").alias("fa"))
+    if annotations == "none":
+        rows = rows.drop("fa")
+    elif annotations == "text":
+        rows = rows.withColumn("fa", unpack(F.col("fa")))
     return known(rows, taxonomy)
 
 
@@ -61,8 +66,9 @@ class SuffixArrayFile(DataSource):
     """A byte with the sparseness, then little-endian 64-bit positions in rank order.
 
     Files are opened by ``pyarrow.fs``, so a path may be a URI of any store it knows. Reading:
-    ``(sparseness, rank, pos)``, in ranges of ``rows`` positions. Writing: ``(rank, pos)``, each
-    task its part beside the file; the parts are joined in rank order at the end.
+    ``(sparseness, rank, pos)``, in ranges of ``rows`` positions, of a file or of a folder of
+    parts, each such a file named by its first rank. Writing: ``(rank, pos)``, each task its
+    part; the driver names the parts, or joins them to one file if it is asked to.
     """
 
     @classmethod
@@ -76,7 +82,7 @@ class SuffixArrayFile(DataSource):
         return _ArrayReader(self.options["path"], int(self.options.get("rows", 1 << 22)))
 
     def writer(self, schema, overwrite):
-        return _ArrayWriter(self.options["path"], int(self.options.get("sparseness", 1)))
+        return _ArrayWriter(self.options["path"], int(self.options.get("sparseness", 1)), self.options.get("joined", "false") == "true")
 
 
 def _fs(path: str):
@@ -85,26 +91,40 @@ def _fs(path: str):
     return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
 
 
+class _Range(InputPartition):
+    def __init__(self, file: str, at: int, rank: int):
+        self.file, self.at, self.rank = file, at, rank
+
+
 class _ArrayReader(DataSourceReader):
     def __init__(self, path: str, rows: int):
         self.path, self.rows = path, rows
 
     def partitions(self):
+        from pyarrow.fs import FileSelector, FileType
+
         fs, path = _fs(self.path)
-        size = fs.get_file_info(path).size
-        if size < 1 or (size - 1) % 8:
-            raise ValueError(f"{self.path} is not a suffix array file")
-        return [InputPartition(k) for k in range(-(-(size - 1) // 8 // self.rows) or 1)]
+        info = fs.get_file_info(path)
+        files = [(info, 0)]
+        if info.type == FileType.Directory:
+            files = [(f, int(f.base_name.removeprefix(PART))) for f in fs.get_file_info(FileSelector(path)) if f.base_name.startswith(PART)]
+        out = []
+        for f, rank in files:
+            if not f.size or (f.size - 1) % 8:
+                raise ValueError(f"{f.path} is not a suffix array file")
+            n = (f.size - 1) // 8
+            out += [_Range(f.path, at, rank + at) for at in range(0, max(n, 1), self.rows)]
+        return out
 
     def read(self, partition):
         import numpy as np
         import pyarrow as pa
 
-        fs, path = _fs(self.path)
-        with fs.open_input_file(path) as f:
+        fs, _ = _fs(self.path)
+        with fs.open_input_file(partition.file) as f:
             sparseness = f.read(1)[0]
-            first = partition.value * self.rows
-            f.seek(1 + 8 * first)
+            first = partition.rank
+            f.seek(1 + 8 * partition.at)
             left = self.rows
             while left and (raw := f.read(8 * min(left, 1 << 17))):
                 pos = np.frombuffer(raw, "<i8")
@@ -117,31 +137,44 @@ class _Part(WriterCommitMessage):
         self.first, self.file = first, file
 
 
-class _ArrayWriter(DataSourceWriter):
-    def __init__(self, path: str, sparseness: int):
-        self.path, self.sparseness = path, sparseness
+class _ArrayWriter(DataSourceArrowWriter):
+    def __init__(self, path: str, sparseness: int, joined: bool):
+        self.path, self.sparseness, self.joined = path, sparseness, joined
 
-    def write(self, rows):
+    def write(self, batches):
         import uuid
 
         fs, path = _fs(self.path)
-        file, first, held = f"{path}.{uuid.uuid4().hex}", -1, []
+        if not self.joined:
+            fs.create_dir(path)
+        file, first = f"{path}{'.' if self.joined else '/.'}{uuid.uuid4().hex}", -1
         with fs.open_output_stream(file) as out:
-            for r in rows:
-                first = r.rank if first < 0 else first
-                held.append(r.pos)
-                if len(held) == 1 << 16:
-                    out.write(struct.pack(f"<{len(held)}q", *held))
-                    held = []
-            out.write(struct.pack(f"<{len(held)}q", *held))
+            out.write(bytes([self.sparseness]))
+            for batch in batches:
+                if batch.num_rows:
+                    first = batch.column("rank")[0].as_py() if first < 0 else first
+                    out.write(batch.column("pos").to_numpy(zero_copy_only=False).astype("<i8").tobytes())
         return _Part(first, file)
 
     def commit(self, messages):
         fs, path = _fs(self.path)
+        parts = sorted((m for m in messages if m), key=lambda m: m.first)
+        for part in (p for p in parts if p.first < 0):
+            fs.delete_file(part.file)
+        parts = [p for p in parts if p.first >= 0]
+        if not self.joined:
+            for part in parts:
+                fs.move(part.file, f"{path}/{PART}{part.first:020d}")
+            if not parts:
+                fs.create_dir(path)
+                with fs.open_output_stream(f"{path}/{PART}{0:020d}") as out:
+                    out.write(bytes([self.sparseness]))
+            return
         with fs.open_output_stream(path) as out:
             out.write(bytes([self.sparseness]))
-            for part in sorted((m for m in messages if m), key=lambda m: m.first):
+            for part in parts:
                 with fs.open_input_stream(part.file) as f:
+                    f.read(1)
                     while block := f.read(1 << 24):
                         out.write(block)
                 fs.delete_file(part.file)
@@ -153,12 +186,17 @@ class _ArrayWriter(DataSourceWriter):
                 fs.delete_file(part.file)
 
 
-def write_suffix_array(array: DataFrame, path: str, sparseness: int) -> None:
-    """Write ``array(rank, pos)`` as a suffix array file; ranges of ranks are written in parallel."""
+def write_suffix_array(array: DataFrame, path: str, sparseness: int, joined: bool = True) -> None:
+    """Write ``array(rank, pos)`` in parallel by ranges of ranks: as one file, or as a folder of parts.
+
+    The driver copies the parts into the one file, which is for exchange with other programs;
+    of a folder it only names the parts.
+    """
     spark = array.sparkSession
     spark.dataSource.register(SuffixArrayFile)
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    array.select("rank", "pos").repartitionByRange(shards, "rank").sortWithinPartitions("rank").write.format("suffix_array").option("path", path).option("sparseness", sparseness).mode("append").save()
+    dealt = array.select("rank", "pos").repartitionByRange(shards, "rank").sortWithinPartitions("rank")
+    dealt.write.format("suffix_array").option("path", path).option("sparseness", sparseness).option("joined", str(joined).lower()).mode("append").save()
 
 
 def read_suffix_array(spark: SparkSession, path: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from peptrail.functions import annotations
 from peptrail.operators import index, search
 from peptrail.operators.taxonomy import lineage, lowest_common_ancestor
-from peptrail.plans.engine import PeptideEngine, document
+from peptrail.plans.engine import PeptideEngine, document, write_json
 from peptrail.sources import files
 from peptrail.streaming.requests import answer_stream, read_requests
 
@@ -162,6 +162,60 @@ def test_suffix_array_file(spark, tmp_path):
     assert [(r.sparseness, r.pos) for r in files.read_suffix_array(spark, str(tmp_path / "sa.bin")).orderBy("rank").collect()] == [(3, v) for v in values]
 
 
+def test_suffix_array_parts(spark, tmp_path):
+    values = [5, 2165487362, -12315135] + list(range(40))
+    array = spark.createDataFrame(list(enumerate(values)), "rank long, pos long")
+    files.write_suffix_array(array, str(tmp_path / "sa"), 3, joined=False)
+    parts = sorted((tmp_path / "sa").iterdir())
+    assert len(parts) > 1 and all(p.read_bytes()[0] == 3 for p in parts)
+    rows = spark.read.format("suffix_array").option("path", str(tmp_path / "sa")).option("rows", 4).load()
+    assert [(r.sparseness, r.pos) for r in rows.orderBy("rank").collect()] == [(3, v) for v in values]
+    files.write_suffix_array(array.where("false"), str(tmp_path / "none"), 3, joined=False)
+    assert files.read_suffix_array(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_stored_engine(spark, taxonomy, tmp_path):
+    """A saved and opened database answers as the one it was saved from, also peptides with separators."""
+    sequences = ["BOLTANVIL", "WIDGET", "", "LLIL", "IL", "L"]
+    engine = PeptideEngine(database(spark, sequences, {3: 9, 4: 21}), taxonomy)
+    engine.save(str(tmp_path / "db"))
+    opened = PeptideEngine.open(spark, str(tmp_path / "db"))
+    peptides = asked(spark, "BOLT", "BOLTANVIL", "I", "LI", "WIDGET", "L-L", "", "ZZ", "il\n", "ANVILX")
+    for equalize in (False, True):
+        rows = [sorted(e.search(peptides, equalize=equalize).collect()) for e in (engine, opened)]
+        assert rows[0] == rows[1] and len(rows[0]) > 4
+    assert opened.exists(peptides).orderBy("ord").collect() == engine.exists(peptides).orderBy("ord").collect()
+    assert opened.taxon(peptides).orderBy("ord").collect() == engine.taxon(peptides).orderBy("ord").collect()
+    with pytest.raises(Exception, match="(?i)path"):
+        PeptideEngine.open(spark, str(tmp_path / "none"))
+
+
+def test_stored_index_is_pruned(spark, taxonomy, tmp_path):
+    engine = PeptideEngine(database(spark, ["BOLTANVIL", "WIDGET"]), taxonomy)
+    engine.save(str(tmp_path / "db"))
+    hits = PeptideEngine.open(spark, str(tmp_path / "db")).occurrences(spark.createDataFrame([("BOLT",), ("WIDGET",)], "pep string"))
+    plan = hits._jdf.queryExecution().toString()
+    scan = next(x for x in plan.splitlines() if "FileScan" in x and "seeds" in x)
+    assert "GreaterThanOrEqual(seed" in scan.split("PushedFilters")[1]
+    assert all("fa:" not in x.split("ReadSchema")[1] for x in plan.splitlines() if "FileScan" in x)
+
+
+def test_packed_and_missing_annotations(spark, taxonomy):
+    rows = database(spark, ["AAC", "CAAC", "GG"]).withColumn("fa", F.when(F.col("protein_idx") == 2, "").otherwise(F.col("fa"))).withColumnRenamed("protein_idx", "line")
+    plain, packed, none = (PeptideEngine.load(x, taxonomy, "line") for x in (rows, rows.withColumn("fa", annotations.pack(F.col("fa"))), rows.drop("fa")))
+    answers = [{r.sequence: r for r in e.analyse(asked(spark, "AAC", "GG")).collect()} for e in (plain, packed, none)]
+    assert answers[0] == answers[1] and answers[0]["GG"].fa.counts["all"] == 1 and not answers[0]["GG"].fa.data
+    assert answers[2]["AAC"].fa.counts == {"all": 2, "EC": 0, "GO": 0, "IPR": 0} and answers[2]["AAC"].lca == answers[0]["AAC"].lca
+
+
+def test_written_order(spark, taxonomy, tmp_path):
+    engine = PeptideEngine(database(spark, ["AAC", "CAAC", "GG"]), taxonomy)
+    wanted = ["GG", "A", "ZZ", "AAC", "C", "AA"] * 4
+    write_json(engine.search(asked(spark, *wanted)), str(tmp_path / "out"))
+    lines = [json.loads(x)["sequence"] for p in sorted((tmp_path / "out").glob("part-*")) for x in p.read_text().splitlines()]
+    assert lines == [x for x in wanted if x != "ZZ"]
+
+
 def test_request_stream(spark, taxonomy, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.json").write_text('{"peptides": ["GG", "A"]}\n{"peptides": ["AAC"], "cutoff": 1, "equalize_I_and_L": true}\n')
