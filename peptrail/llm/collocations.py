@@ -6,7 +6,8 @@ k + 1 words is the pair of the slots of its first and last k words, so it is a c
 where both are frequent (Apriori), and pairs name phrases exactly. For each length
 
 * tasks gather the distinct pairs of their streams; the candidates get a minimal perfect hash,
-  in shards of about ``SHARD`` keys that keep the keys themselves by slot,
+  in shards of about ``SHARD`` keys that keep the keys themselves by slot. Pairs are counted in bins
+  by hash before, and one in a bin below ``least`` is left out: a superset of the frequent pairs stays,
 * mappers look each pair up, compare it with the stored key, write the stream of slots and
   ``bincount`` them into arrays, a shard at a time,
 * arrays of a shard are summed in a tree of groups of ``FAN``; slots below ``least`` are masked.
@@ -43,8 +44,10 @@ UNKNOWN = "und"
 #: Keys of a shard of a hash, slots of an array that is summed, arrays that are summed at once.
 SHARD, BLOCK, FAN = 1 << 18, 1 << 16, 8
 #: Bytes of text, elements of streams, and elements of a stored row handled at once.
-TEXT, ELEMENTS, ROW = 4 << 20, 1 << 21, 1024
-CACHE = 96 << 20
+TEXT, ELEMENTS, ROW = 2 << 20, 1 << 19, 1024
+CACHE = 48 << 20
+#: Pairs are first counted in 2 ** BINS bins by hash; in a bin below ``least`` no pair is a candidate.
+BINS = 22
 U = np.uint64
 WORD_ENDS, PIECE_ENDS = b" \t", b".,;:!?\n\v\f\r"
 KIND = np.zeros(256, dtype=np.uint8)
@@ -297,25 +300,42 @@ def _pairs(stream: np.ndarray) -> np.ndarray:
     return np.flatnonzero((stream[:-1] >= 0) & (stream[1:] >= 0))
 
 
-GATHERED = pa.schema([("stream", pa.binary()), ("h", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
-
-
-def _gathered(stream: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The stream's rows, and its distinct pairs."""
-    stream = _squeezed(stream)
-    rows = list(_rows(stream))
-    none = pa.nulls(len(rows), pa.int64())
-    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), none, none, none], schema=GATHERED)
-    at = _pairs(stream)
+def _distinct(stream: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """The distinct pairs at the places ``at`` of a stream."""
     a, b = stream[at], stream[at + 1]
     h = pair_hash(a, b).view(np.int64)
     order, first = _runs(h, a, b)
     one = order[first]
-    yield pa.RecordBatch.from_arrays([pa.nulls(len(one), pa.binary()), pa.array(h[one]), pa.array(a[one]), pa.array(b[one])], schema=GATHERED)
+    return pa.RecordBatch.from_arrays([pa.array(h[one]), pa.array(a[one]), pa.array(b[one])], ["h", "a", "b"])
 
 
-def _first_streams(hashes: str, bases: list[int]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bins(h: np.ndarray) -> np.ndarray:
+    return (h >> U(64 - BINS)).astype(np.int64)
+
+
+BINNED = pa.schema([("stream", pa.binary()), ("block", pa.int32()), ("task", pa.int64()), ("counts", pa.binary())])
+
+
+def _binned(streams: Iterator[np.ndarray], cap: int) -> Iterator[pa.RecordBatch]:
+    """The rows of streams, and a task's counts of their pairs in bins, up to ``cap``."""
+    bins = np.zeros(1 << BINS, dtype=np.uint8)
+    context = TaskContext.get()
+    task = context.partitionId() if context else 0
+    for stream in streams:
+        stream = _squeezed(stream)
+        at = _pairs(stream)
+        met, n = np.unique(_bins(pair_hash(stream[at], stream[at + 1])), return_counts=True)
+        bins[met] = np.minimum(bins[met] + n, cap)
+        rows = list(_rows(stream))
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), *(pa.nulls(len(rows), t) for t in BINNED.types[1:])], schema=BINNED)
+    out = [(None, i, task, part.tobytes()) for i in range(-(-len(bins) // BLOCK)) if (part := bins[i * BLOCK : (i + 1) * BLOCK]).any()]
+    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(BINNED.types)], schema=BINNED)
+
+
+def _first_streams(hashes: str, bases: list[int], cap: int):
+    """Streams of the slots of texts' words."""
+
+    def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         words = Shards(hashes, None, bases)
         for batch in batches:
             for data, offsets, langs in _texts(batch):
@@ -323,16 +343,50 @@ def _first_streams(hashes: str, bases: list[int]):
                 slots = words.slots(*(x.view(np.int64) for x in _digests(data, starts, ends, row, langs)))
                 stream = np.full(len(slots) + int(first.sum()), -1, dtype=np.int64)  # -1 before each piece
                 stream[np.arange(len(slots)) + np.cumsum(first)] = slots
-                yield from _gathered(stream)
+                yield stream
 
-    return run
+    return lambda batches: _binned(streams(batches), cap)
 
 
-def _next_streams(hashes: str, masks: str, bases: list[int]):
+def _next_streams(hashes: str, masks: str, bases: list[int], cap: int):
+    """Streams without the slots that are not frequent."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards = Shards(hashes, masks, bases)
+        return _binned((shards.masked(stream) for stream in _joined(batches)), cap)
+
+    return run
+
+
+class Bins:
+    """Whether a pair's bin is full, from the bits of ``path``: 2 ** BINS of them at any size of the input."""
+
+    def __init__(self, path: str):
+        fs, folder = scratch.open_fs(path)
+        self.full = np.zeros(1 << BINS, dtype=bool)
+        for row in pq.read_table(folder, filesystem=fs).to_pylist():
+            bits = np.unpackbits(np.frombuffer(row["bits"], np.uint8), bitorder="little")
+            self.full[row["block"] * BLOCK : row["block"] * BLOCK + BLOCK] = bits[: min(BLOCK, 1 << BINS)]
+
+    def pairs(self, stream: np.ndarray) -> np.ndarray:
+        at = _pairs(stream)
+        return at[self.full[_bins(pair_hash(stream[at], stream[at + 1]))]]
+
+
+def _candidates(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bins = Bins(path)
         for stream in _joined(batches):
-            yield from _gathered(shards.masked(stream))
+            yield _distinct(stream, bins.pairs(stream))
+
+    return run
+
+
+def _full(cap: int):
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            bits = [np.packbits(np.frombuffer(x, np.uint8) >= cap, bitorder="little").tobytes() for x in part["counts"]]
+            yield pd.DataFrame({"block": part["block"], "bits": bits})
 
     return run
 
@@ -340,11 +394,12 @@ def _next_streams(hashes: str, masks: str, bases: list[int]):
 COUNTED = pa.schema([("stream", pa.binary()), ("shard", pa.int32()), ("block", pa.int32()), ("task", pa.int64()), ("counts", pa.binary())])
 
 
-def _counted(hashes: str, bases: list[int]):
+def _counted(hashes: str, bases: list[int], full: str):
     """Streams of the next level's slots, and each task's arrays of their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards, sums = Shards(hashes, None, bases), {}
+        pairs = Bins(full).pairs
         context = TaskContext.get()
         task = context.partitionId() if context else 0
 
@@ -354,7 +409,7 @@ def _counted(hashes: str, bases: list[int]):
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(COUNTED.types)], schema=COUNTED)
 
         for stream in _joined(batches):
-            at = _pairs(stream)
+            at = pairs(stream)
             found = shards.slots(stream[at], stream[at + 1])
             after = np.full(len(stream), -1, dtype=np.int64)
             after[at] = found
@@ -372,16 +427,21 @@ def _counted(hashes: str, bases: list[int]):
     return run
 
 
-def _summed(group: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(x, dtype=np.int64) for x in group["counts"])
-    first = group.iloc[0]
-    return pd.DataFrame({"shard": [first["shard"]], "block": [first["block"]], "task": [first["task"] // FAN], "counts": [total.tobytes()]})
+def _summed(kind: type, cap: int | None):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(x, dtype=kind).astype(np.int64) for x in group["counts"])
+        total = total if cap is None else np.minimum(total, cap)
+        first = group.iloc[0]
+        return pd.DataFrame({"shard": [first["shard"]], "block": [first["block"]], "task": [first["task"] // FAN], "counts": [total.astype(kind).tobytes()]})
+
+    return run
 
 
-def _tree_sum(parts: DataFrame, tasks: int) -> DataFrame:
+def _tree_sum(parts: DataFrame, kind: type = np.int64, cap: int | None = None) -> DataFrame:
     """``(shard, block, task, counts)`` with one array a block: groups of ``FAN`` tasks, then of ``FAN`` groups, and so on."""
+    tasks = (parts.agg(F.max("task")).first()[0] or 0) + 1
     while True:
-        parts = parts.groupBy("shard", "block", F.floor(F.col("task") / FAN)).applyInPandas(_summed, "shard int, block int, task long, counts binary")
+        parts = parts.groupBy("shard", "block", F.floor(F.col("task") / FAN)).applyInPandas(_summed(kind, cap), "shard int, block int, task long, counts binary")
         tasks = -(-tasks // FAN)
         if tasks <= 1:
             return parts
@@ -433,7 +493,7 @@ def phrases(spark: SparkSession, docs: DataFrame, least: int = LEAST, longest: i
     """
     rows = docs.select(docs["text"].alias("text"), F.coalesce(docs["lang"], F.lit(UNKNOWN)).alias("lang"))
     found = rows.mapInArrow(_count_words, "lang string, word string, a long, b long, n long")
-    words = scratch.save(spark, found.groupBy("lang", "a", "b").agg(F.min("word").alias("word"), F.sum("n").alias("n")), "words")
+    words = scratch.save(spark, found.groupBy("lang", "word").agg(F.min("a").alias("a"), F.min("b").alias("b"), F.sum("n").alias("n")), "words")
     sizes = words.groupBy("lang").agg(F.sum("n").alias("n"))
     frequent = words.where(F.col("n") >= least)
     h = lambda df: df.mapInArrow(_with_hash, "h long, a long, b long")
@@ -445,30 +505,32 @@ def phrases(spark: SparkSession, docs: DataFrame, least: int = LEAST, longest: i
     slots = table.join(F.broadcast(firsts), "shard").mapInPandas(_keys_by_slot, "slot long, a long, b long")
     one = frequent.join(slots, ["a", "b"]).select("slot", "a", "b", F.col("n").alias("f"), "lang", F.col("word").alias("phrase"), F.col("word").alias("final"), F.array("n").alias("heads"), F.array("n").alias("tails"))
     levels = [scratch.save(spark, one, "level1")]
-    gathered = scratch.save(spark, rows.mapInArrow(_first_streams(_folder(table), bases), "stream binary, h long, a long, b long"), "streams1")
+    cap, binned_rows = min(least, 255), "stream binary, block int, task long, counts binary"
+    binned = scratch.save(spark, rows.mapInArrow(_first_streams(_folder(table), bases, cap), binned_rows), "streams1")
     for k in range(2, longest + 1):
-        made = _hashed(spark, gathered.where("stream is null").select("h", "a", "b").distinct())
+        arrays = binned.where("stream is null").select(F.lit(0).alias("shard"), "block", "task", "counts")
+        full = scratch.save(spark, _tree_sum(arrays, np.uint8, cap).select("block", "counts").mapInPandas(_full(cap), "block int, bits binary"), "full")
+        streams = binned.where("stream is not null").select("stream")
+        pairs = streams.mapInArrow(_candidates(_folder(full)), "h long, a long, b long")
+        made = _hashed(spark, pairs.distinct())
         if made is None:
             break
         table, bases = made
-        streams = gathered.where("stream is not null").select("stream")
-        counted = scratch.save(spark, streams.mapInArrow(_counted(_folder(table), bases), "stream binary, shard int, block int, task long, counts binary"), f"counted{k}")
-        scratch.drop(spark, gathered)
-        arrays = counted.where("stream is null").drop("stream")
-        tasks = (arrays.agg(F.max("task")).first()[0] or 0) + 1
-        sums = _tree_sum(arrays, tasks)
+        counted = scratch.save(spark, streams.mapInArrow(_counted(_folder(table), bases, _folder(full)), "stream binary, shard int, block int, task long, counts binary"), f"counted{k}")
+        scratch.drop(spark, binned, full)
+        sums = _tree_sum(counted.where("stream is null").drop("stream"))
         kept = sums.groupBy("shard").cogroup(table.groupBy("shard")).applyInPandas(_frequent(least, bases), "shard int, bits binary, slot array<bigint>, a array<bigint>, b array<bigint>, f array<bigint>")
         kept = scratch.save(spark, kept, f"frequent{k}")
-        pairs = kept.select(F.explode(F.arrays_zip("slot", "a", "b", "f")).alias("x")).select("x.*")
+        found = kept.select(F.explode(F.arrays_zip("slot", "a", "b", "f")).alias("x")).select("x.*")
         below = levels[-1]
         left = below.select(F.col("slot").alias("a"), "lang", F.col("phrase").alias("start"), F.col("heads").alias("before"))
         right = below.select(F.col("slot").alias("b"), "final", F.col("tails").alias("behind"))
-        both = pairs.join(left, "a").join(right, "b")
+        both = found.join(left, "a").join(right, "b")
         level = both.select("slot", "a", "b", "f", "lang", F.concat_ws(" ", "start", "final").alias("phrase"), "final", F.concat("before", F.array("f")).alias("heads"), F.concat("behind", F.array("f")).alias("tails"))
         levels.append(scratch.save(spark, level, f"level{k}"))
         if k < longest:
-            streams = counted.where("stream is not null").select("stream")
-            gathered = scratch.save(spark, streams.mapInArrow(_next_streams(_folder(table), _folder(kept), bases), "stream binary, h long, a long, b long"), f"streams{k}")
+            next_ = counted.where("stream is not null").select("stream").mapInArrow(_next_streams(_folder(table), _folder(kept), bases, cap), binned_rows)
+            binned = scratch.save(spark, next_, f"streams{k}")
         scratch.drop(spark, counted)
     return sizes, levels
 

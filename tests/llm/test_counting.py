@@ -223,6 +223,7 @@ def test_phrases(spark, monkeypatch, least, longest, top, share):
 def test_no_phrases(spark):
     assert collocations.collocations(spark, phrase_table(spark, phrase_documents()).where("false")).count() == 0
     assert collocations.collocations(spark, phrase_table(spark, [(1, "a b c", "en")])).count() == 0
+    assert collocations.collocations(spark, phrase_table(spark, [(1, "a, a, b. b", "en")]), 2).count() == 0
     assert [tuple(r) for r in collocations.collocations(spark, phrase_table(spark, [(1, "a b, a b", "en")]), 2).collect()] == [("en", 1, "a b", 2, 2, 2, 4, 2000)]
 
 
