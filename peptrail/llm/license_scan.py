@@ -3,8 +3,9 @@
 Text is lower-cased and split into runs of letters and digits; a shingle is the hash of five
 of them. Windows of ``WINDOW`` shingles, each starting ``STRIDE`` after the last, are sketched
 with ``BANDS`` MinHash functions, one row a band. A template's windows are sketched alike, at
-every start, and a text window that shares a band with one retrieves the template. Retrieved
-templates are verified by the part of their shingles that the text around the window holds.
+every start, and a text window that shares a band with one retrieves the template. The text is cut in
+stretches as long as a retrieved template; a stretch with such a window is verified once, by the
+part of the template's shingles that it and the stretches beside it hold.
 
 A window that lies wholly in a template's text has similarity 1 with one of its windows and
 never misses. A template of so few shingles that all of them are needed has its first one as
@@ -12,8 +13,9 @@ a band of its own, of windows one shingle wide, and never misses either. A longe
 reaches the containment only if runs of its shingles are whole; a window that shares half of
 its shingles with a template's misses all bands with probability 0.5 ** 16.
 
-Built-in functions only; sketches are computed and tested row by row in generated code, so
-only windows that share a band ever leave their task. Edge cases: a null text or one of fewer
+Built-in functions only. Windows meet templates by number; the texts of documents with a hit are
+read once more. Templates of up to ``BROADCAST_SHINGLES`` shingles are broadcast, so only windows
+that share a band ever leave their task; with more, every window's bands are shuffled. Edge cases: a null text or one of fewer
 than five words matches nothing; repeated passages of a document count in ``passages``; rows
 of one doc_id and text are one document, different texts under one doc_id (or none) are
 documents of their own; a null doc_id is kept as such; an empty table gives an empty result;
@@ -27,6 +29,8 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from peptrail.llm import scratch
+
 SHINGLE = 5
 WINDOW, STRIDE, BANDS = 4, 2, 16
 CONTAINMENT = 0.8
@@ -106,25 +110,26 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, containment: float = CON
     ``texts(license, text)`` are the templates, by default those above.
     """
     known = templates(spark, texts)
-    total, longest = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    total = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     near = F.broadcast if total <= BROADCAST_SHINGLES else lambda df: df
-    cut = known.select("license", F.explode(_windows(F.col("sh"), 1)).alias("w"))
-    short = known.where(F.col("n") - 1 < F.col("n") * containment).select("license", _single(F.col("sh")[0]).alias("band"))
-    bands = cut.select("license", F.explode(F.array(*_sketch("w"))).alias("band")).union(short).distinct()
+    cut = known.select("license", "n", F.explode(_windows(F.col("sh"), 1)).alias("w"))
+    short = known.where(F.col("n") - 1 < F.col("n") * containment).select("license", "n", _single(F.col("sh")[0]).alias("band"))
+    bands = cut.select("license", "n", F.explode(F.array(*_sketch("w"))).alias("band")).union(short).distinct()
 
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("text_key"), docs["text"].alias("text"))
     # explode_outer: for explode the optimizer would compute the array once more, to look for empty ones.
-    both = _let(shingles(docs["text"]), lambda x: F.struct(x.alias("sh"), _windows(x, STRIDE).alias("ws")))
-    text_key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    each = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_key.alias("text_key"), both.alias("x")).select("doc_id", "text_key", F.col("x.sh").alias("sh"), F.explode_outer("x.ws").alias("w"))
+    each = rows.select("doc_id", "text_key", F.explode_outer(_let(shingles(F.col("text")), lambda x: _windows(x, STRIDE))).alias("w"))
     singles = [_single(F.coalesce(F.col(f"w.s{k}"), F.lit(0))) for k in range(STRIDE)]
-    sketched = each.select("doc_id", "text_key", "sh", F.col("w.at").alias("at"), F.explode_outer(F.array(*_sketch("w"), *singles)).alias("band"))
-    # Only windows that share a band take the shingles around them along.
-    reach = longest + WINDOW
-    found = sketched.join(near(bands), "band").select("doc_id", "text_key", "at", "license", F.slice("sh", F.greatest(F.col("at") - reach, F.lit(1)), 2 * reach).alias("near"))
-    row = ["doc_id", "text_key", "license"]
-    retrieved = found.dropDuplicates([*row, "at"])  # equal rows and several bands of one window
+    sketched = each.select("doc_id", "text_key", F.col("w.at").alias("at"), F.explode_outer(F.array(*_sketch("w"), *singles)).alias("band"))
+    # Only numbers of windows meet templates; a stretch as long as a template is verified once, however many of its windows do.
+    width = F.col("n") + WINDOW
+    met = sketched.join(near(bands), "band").groupBy("doc_id", "text_key", "license", "n", F.floor(F.col("at") / width).alias("stretch")).agg(F.min("at").alias("at"))
+    lists = met.groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).agg(F.collect_list(F.struct("license", "n", "stretch", "at")).alias("met"))
+    lists = scratch.save(spark, lists, "licenses")  # its size decides whether texts must move to meet it
+    one = rows.join(lists, rows["doc_id"].eqNullSafe(F.col("id")) & (rows["text_key"] == F.col("key"))).select("doc_id", "text_key", shingles(F.col("text")).alias("all"), F.explode("met").alias("x"))
+    around = F.slice("all", F.greatest((F.col("x.stretch") - 1) * (F.col("x.n") + WINDOW), F.lit(1)).cast("int"), (3 * (F.col("x.n") + WINDOW)).cast("int"))
+    stretches = one.select("doc_id", "text_key", "x.license", "x.stretch", "x.at", around.alias("near"))
     part = F.size(F.array_intersect("near", "sh")) / F.col("n")
-    checked = retrieved.join(near(known), "license").withColumn("containment", part).where(F.col("containment") >= containment)
-    passages = F.count_distinct(F.floor(F.col("at") / (F.col("n") + WINDOW)))
-    out = checked.groupBy(*row).agg(F.max("containment").alias("containment"), (F.min("at") - 1).cast("long").alias("at_word"), passages.alias("passages"))
+    checked = stretches.join(near(known), "license").withColumn("containment", part).where(F.col("containment") >= containment)
+    out = checked.groupBy("doc_id", "text_key", "license").agg(F.max("containment").alias("containment"), (F.min("at") - 1).cast("long").alias("at_word"), F.count_distinct("stretch").alias("passages"))
     return out.select("doc_id", "license", "containment", "at_word", "passages", "text_key")

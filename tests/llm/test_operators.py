@@ -133,6 +133,25 @@ def test_license_scan_of_other_templates(spark):
     assert [(r.doc_id, r.license, r.containment, r.passages) for r in found.collect()] == [(1, "own", 1.0, 1)]
 
 
+def test_license_scan_of_long_templates(spark, monkeypatch):
+    """A template of 5,000 words in long texts, broadcast and shuffled: same rows, shuffled bytes in proportion to text."""
+    long = prose(5000)
+    words_ = long.split()
+    broken = " ".join(w if i % 100 else "other" for i, w in enumerate(words_))  # 95 % of its shingles
+    texts = [prose(3000) + " " + long + " " + prose(3000), broken, " ".join(words_[:3900]), " ".join(words_[500:]), long + " " + prose(20_000) + " " + long]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known = spark.createDataFrame([("long", long), ("five", "all of this is ours")], "license string, text string")
+    answers = []
+    for limit in (50_000, 0):
+        monkeypatch.setattr("peptrail.llm.license_scan.BROADCAST_SHINGLES", limit)
+        answers.append(sorted((r.doc_id, r.license, round(r.containment, 9)) for r in scan_licenses(spark, docs, texts=known).collect()))
+    sh = license_shingles(long)
+    want = [(i, "long", round(len(license_shingles(t) & sh) / len(sh), 9)) for i, t in enumerate(texts) if len(license_shingles(t) & sh) >= 0.8 * len(sh)]
+    assert answers[0] == answers[1] == want and [x[0] for x in want] == [0, 1, 3, 4]
+    plan = scan_licenses(spark, docs, texts=known)._jdf.queryExecution().toString()
+    assert not any("array" in x and "Exchange" in x for x in plan.splitlines())
+
+
 def test_embedding_dedup(spark):
     random_ = np.random.default_rng(3)
     centers = random_.normal(size=(6, 8))
