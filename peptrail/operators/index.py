@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 from peptrail.functions.peptides import folded
 from peptrail.operators.settle import numbered, running_sum, settle
+from peptrail.operators.stored import write_ordered
 
 SEED = 5
+#: Letters that a row of the seed index holds: peptides of up to so many are told by it alone.
+LETTERS = 16
 #: Letters that suffixes are first ordered by, rounded up to a multiple of the sparseness.
 HEAD = 32
 
@@ -71,12 +74,14 @@ def suffix_array(prepared: DataFrame, sparseness: int = 1) -> DataFrame:
     return ranks.select((F.col("r") - 1).alias("rank"), "pos", "protein_idx")
 
 
-def protein_at(positions: DataFrame, prepared: DataFrame, block: int = 4096) -> DataFrame:
+def protein_at(positions: DataFrame, prepared: DataFrame, block: int = 4096, marks: bool = False) -> DataFrame:
     """``positions(pos)`` with ``protein_idx``; null on separators, the end mark and outside the text.
 
+    With ``marks``, the mark behind a protein belongs to it.
+
     The as-of lookup is an equi-join on blocks of the text: a protein is listed under every block it touches.
     """
-    end = F.col("start_pos") + F.octet_length("closed") - 1
+    end = F.col("start_pos") + F.octet_length("closed") - (0 if marks else 1)
     ranges = prepared.select("protein_idx", "start_pos", end.alias("end_pos")).where("end_pos > start_pos")
     ranges = ranges.withColumn("block", F.explode(F.sequence(F.floor(F.col("start_pos") / block), F.floor((F.col("end_pos") - 1) / block))))
     inside = (F.col("pos") >= F.col("start_pos")) & (F.col("pos") < F.col("end_pos"))
@@ -84,17 +89,18 @@ def protein_at(positions: DataFrame, prepared: DataFrame, block: int = 4096) ->
     return left.join(ranges.alias("r"), (F.col("l.block") == F.col("r.block")) & inside, "left").select("l.*", "r.protein_idx").drop("block")
 
 
-def seed_index(prepared: DataFrame, size: int = SEED) -> DataFrame:
-    """``(seed, protein_idx, off)``: the folded letters from every position on, fewer at a protein's end."""
-    text = prepared.select("protein_idx", folded(F.col("sequence")).cast("binary").alias("text")).where(F.length("text") > 0)
-    each = text.select("protein_idx", "text", F.explode(F.sequence(F.lit(0), F.length("text") - 1)).alias("off"))
-    return each.select(F.expr(f"substring(text, off + 1, {size})").alias("seed"), "protein_idx", "off")
+def seed_index(prepared: DataFrame, size: int = SEED, letters: int = LETTERS) -> DataFrame:
+    """``(seed, protein_idx, off, letters)``: the folded letters from every position on, and more of them as they are; fewer at a protein's end."""
+    text = prepared.select("protein_idx", folded(F.col("sequence")).cast("binary").alias("text"), F.col("sequence").cast("binary").alias("exact")).where(F.length("text") > 0)
+    each = text.select("protein_idx", "text", "exact", F.explode(F.sequence(F.lit(0), F.length("text") - 1)).alias("off"))
+    plain = F.expr("length(exact) = char_length(cast(exact as string))")  # others are left to a comparison of texts
+    return each.select(F.expr(f"substring(text, off + 1, {size})").alias("seed"), "protein_idx", "off", F.when(plain, F.expr(f"substring(exact, off + 1, {letters})")).alias("letters"))
 
 
 def write_index(prepared: DataFrame, path: str, size: int = SEED) -> None:
-    """The seed index as Parquet, sorted by seed in files by ranges of seeds, so a search reads few row groups."""
-    shards = int(prepared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    seed_index(prepared, size).repartitionByRange(shards, "seed", "protein_idx").sortWithinPartitions("seed", "protein_idx", "off").write.mode("errorifexists").parquet(path)
+    """The seed index in the order of seeds; see ``stored``."""
+    rows = prepared.agg(F.coalesce(F.sum(F.octet_length("sequence")), F.lit(0))).first()[0]
+    write_ordered(seed_index(prepared, size), path, "seed", ["seed", "protein_idx", "off"], rows)
 
 
 def prefix_lca(prepared: DataFrame, paths: DataFrame, most: int = 3) -> DataFrame:

@@ -3,24 +3,28 @@
 A peptide's first letters are its seed. Seeds of all positions meet seeds of peptides in an
 equi-join, and the whole peptide is compared only there. A peptide list of a checked size is
 broadcast, so texts are read once and only hits are shuffled; a longer list is joined by
-shuffling (seed, protein, offset), without texts. With a written seed index no text is
-expanded: the seeds of a list of bounded size reach the scan as ranges.
+shuffling (seed, protein, offset), without texts, where seeds of very many positions are split.
+With a written seed index no text is expanded: only the files that hold a seed of the list are
+read, and then those with a protein that was met.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from peptrail.functions.peptides import folded, normal
-from peptrail.operators.index import SEED
+from peptrail.operators.index import HEAD, LETTERS, SEED, protein_at
 from peptrail.operators.settle import settle
+from peptrail.operators.stored import Ordered
 
 #: Peptide lists up to so many rows and bytes are broadcast.
 BROADCAST_PEPTIDES, BROADCAST_BYTES = 200_000, 16 << 20
 MARKS = "[-$]"
 #: Up to so many distinct seeds of a search become at most ``RANGES`` ranges that the index scan filters by.
 PUSHED_SEEDS, RANGES = 10_000, 64
+#: A seed of one in so many positions is split; there are at most so many such seeds.
+HOT = 1000
 
 
 def _with_neighbours(prepared: DataFrame, marks: int) -> DataFrame:
@@ -33,33 +37,63 @@ def _with_neighbours(prepared: DataFrame, marks: int) -> DataFrame:
     return out
 
 
-def _join(texts: DataFrame, last: Column, peptides: DataFrame, equalize: bool, seed: int, keep: list[str]) -> DataFrame:
-    """Rows ``pep, off, keep`` of ``texts(protein_idx, exact, text, keep)``; offsets run to ``last``."""
+def _wanted(peptides: DataFrame, seed: int) -> tuple[DataFrame, Row]:
+    """``(pep, pep_il, letters, seed)`` of distinct ``peptides(pep)``, and their number, bytes and lengths."""
     wanted = peptides.select("pep", folded(F.col("pep")).cast("binary").alias("pep_il"), F.col("pep").cast("binary").alias("letters"))
     wanted = wanted.withColumn("seed", F.substring("pep_il", 1, seed))
-    size = wanted.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("letters")), F.lit(0)).alias("bytes"), F.collect_set(F.length("seed")).alias("lengths")).first()  # at most ``seed`` lengths
+    length = F.length("letters")
+    size = wanted.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(length), F.lit(0)).alias("bytes"), F.collect_set(F.length("seed")).alias("lengths"), F.max(length).alias("longest")).first()  # at most ``seed`` lengths
+    return wanted, size
+
+
+def split_seeds(rows: DataFrame, shards: int) -> DataFrame:
+    """``(seed, parts)`` of the seeds that one in ``HOT`` of ``rows(seed)`` has: a part is not more than one in ``shards`` rows."""
+    counts = settle(rows.groupBy("seed").agg(F.count(F.lit(1)).alias("n")))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))  # one row
+    often = counts.join(F.broadcast(total)).where(F.col("n") * HOT >= F.col("total"))
+    return often.select("seed", F.ceil(F.col("n") * shards / F.col("total")).cast("int").alias("parts")).where("parts > 1")
+
+
+def _meet(rows: DataFrame, wanted: DataFrame, size: Row) -> DataFrame:
+    """``rows(seed, protein_idx, off, …)`` with the peptides of the same seed."""
+    if size.n <= BROADCAST_PEPTIDES and size.bytes <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(wanted), "seed")
+    hot = F.broadcast(split_seeds(rows, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))  # at most HOT rows
+    parts = F.coalesce("parts", F.lit(1))
+    left = rows.join(hot, "seed", "left").withColumn("part", F.pmod(F.xxhash64("protein_idx", "off"), parts).cast("int")).drop("parts")
+    right = wanted.join(hot, "seed", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return left.join(right, ["seed", "part"]).drop("part")
+
+
+def _same(equalize: bool) -> str:
+    return "substring(text, off + 1, length(pep_il)) = pep_il" if equalize else "substring(exact, off + 1, length(letters)) = letters"
+
+
+def _join(texts: DataFrame, last: Column, peptides: DataFrame, equalize: bool, seed: int, keep: list[str]) -> DataFrame:
+    """Rows ``pep, off, keep`` of ``texts(protein_idx, exact, text, keep)``; offsets run to ``last``."""
+    wanted, size = _wanted(peptides, seed)
     if not size.n:
         return texts.where(F.lit(False)).select(F.lit("").alias("pep"), F.lit(0).alias("off"), *keep)
     bytes_ = texts.withColumns({"text": F.col("text").cast("binary"), "exact": F.col("exact").cast("binary"), "_last": last}).where("_last >= 0")
-    same = "substring(text, off + 1, length(pep_il)) = pep_il" if equalize else "substring(exact, off + 1, length(letters)) = letters"
     seeds = F.array(*(F.expr(f"substring(text, off + 1, {n})") for n in sorted(size.lengths)))
     seeds = F.explode(F.array_distinct(seeds)) if len(size.lengths) > 1 else seeds[0]
     each = lambda *columns: bytes_.select("*", F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("off")).select(*columns, "off", seeds.alias("seed"))
     if size.n <= BROADCAST_PEPTIDES and size.bytes <= BROADCAST_BYTES:
-        return each("text", "exact", *keep).join(F.broadcast(wanted), "seed").where(same).select("pep", "off", *keep)
-    met = each("protein_idx").join(wanted, "seed").select("protein_idx", "off", "pep", "pep_il", "letters")
-    return met.join(bytes_, "protein_idx").where(same).select("pep", "off", *(F.col(c) for c in keep))
+        return _meet(each("text", "exact", *keep), wanted, size).where(_same(equalize)).select("pep", "off", *keep)
+    met = _meet(each("protein_idx"), wanted, size).select("protein_idx", "off", "pep", "pep_il", "letters")
+    return met.join(bytes_, "protein_idx").where(_same(equalize)).select("pep", "off", *(F.col(c) for c in keep))
 
 
 COLUMNS = ["protein_idx", "uniprot_id", "taxon_id", "fa", "start_pos", "tail", "closed"]
 
 
-def occurrences(prepared: DataFrame, peptides: DataFrame, equalize: bool = False, seed: int = SEED, columns: list[str] | None = None, index: DataFrame | None = None) -> DataFrame:
+def occurrences(prepared: DataFrame, peptides: DataFrame, equalize: bool = False, seed: int = SEED, columns: list[str] | None = None, index: Ordered | DataFrame | None = None, stored: Ordered | None = None) -> DataFrame:
     """``(pep, off, …)``: every occurrence of the distinct ``peptides(pep)`` in normal form.
 
     A peptide with separators may reach into the next proteins; its hits name the protein of
     their first letter, and none (null) where that is a separator or the end mark. An empty
-    peptide has no occurrence. Peptides without separators are looked up in ``index``, if given.
+    peptide has no occurrence. Peptides without separators are looked up in ``index``, if given, and
+    their proteins in ``stored``.
     """
     keep = columns or COLUMNS
     some = peptides.select("pep").where(F.length("pep") > 0).distinct()
@@ -68,7 +102,7 @@ def occurrences(prepared: DataFrame, peptides: DataFrame, equalize: bool = False
         texts = prepared.withColumns({"exact": F.col("sequence"), "text": folded(F.col("sequence"))})
         found = _join(texts, F.octet_length("sequence") - 1, plain, equalize, seed, keep)
     else:
-        found = indexed_occurrences(index, prepared, plain, equalize, seed, keep)
+        found = indexed_occurrences(index, stored or prepared, plain, equalize, seed, keep)
     marked = some.where(F.col("pep").rlike(MARKS))
     most = marked.agg(F.max(F.regexp_count("pep", F.lit(MARKS)))).first()[0]
     if most is None:
@@ -97,43 +131,86 @@ def _seed_ranges(wanted: DataFrame, seed: int) -> Column | None:
     return out
 
 
-def indexed_occurrences(index: DataFrame, prepared: DataFrame, peptides: DataFrame, equalize: bool = False, seed: int = SEED, columns: list[str] | None = None) -> DataFrame:
-    """``(pep, off, …)`` by a written seed index, for peptides without separators.
+def indexed_occurrences(index: Ordered | DataFrame, prepared: Ordered | DataFrame, peptides: DataFrame, equalize: bool = False, seed: int = SEED, columns: list[str] | None = None) -> DataFrame:
+    """``(pep, off, …)`` by a seed index, for peptides without separators.
 
-    Peptides shorter than a seed meet the first letters of the index's seeds.
+    Peptides shorter than a seed meet the first letters of the index's seeds. The index's own letters
+    decide for peptides of up to ``LETTERS`` of them, so only longer ones need the proteins' texts. Of a
+    written index, and of written proteins, only files with something to be met are read.
     """
     keep = columns or ["protein_idx"]
-    wanted = peptides.select("pep").where(F.length("pep") > 0).distinct().withColumns({"pep_il": folded(F.col("pep")).cast("binary"), "letters": F.col("pep").cast("binary")})
-    wanted = wanted.withColumn("seed", F.substring("pep_il", 1, seed))
-    size = wanted.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("letters")), F.lit(0)).alias("bytes"), F.collect_set(F.length("seed")).alias("lengths")).first()  # at most ``seed`` lengths
+    wanted, size = _wanted(peptides.select("pep").where(F.length("pep") > 0).distinct(), seed)
+    table = prepared.rows if isinstance(prepared, Ordered) else prepared
     if not size.n:
-        return prepared.where(F.lit(False)).select(F.lit("").alias("pep"), F.lit(0).alias("off"), *keep)
-    ranges = _seed_ranges(wanted, seed)
+        return table.where(F.lit(False)).select(F.lit("").alias("pep"), F.lit(0).alias("off"), *keep)
+    rows = index
+    if isinstance(index, Ordered):
+        high = F.when(F.length("seed") < seed, F.concat("seed", F.unhex(F.lit("FF" * seed)))).otherwise(F.col("seed"))
+        rows = index.meeting(wanted.select(F.col("seed").alias("low"), high.alias("high")))
+        ranges = _seed_ranges(wanted, seed)
+        rows = rows if ranges is None else rows.where(ranges)
     starts = F.array_distinct(F.array(*(F.expr(f"substring(seed, 1, {n})") for n in sorted(size.lengths))))
-    rows = (index if ranges is None else index.where(ranges)).select("protein_idx", "off", F.explode(starts).alias("seed"))
-    near = size.n <= BROADCAST_PEPTIDES and size.bytes <= BROADCAST_BYTES
-    met = rows.join(F.broadcast(wanted) if near else wanted, "seed").select("protein_idx", "off", "pep", "pep_il", "letters")
-    text = prepared.withColumns({"exact": F.col("sequence").cast("binary"), "text": folded(F.col("sequence")).cast("binary")}).select("exact", "text", *dict.fromkeys(["protein_idx", *keep]))
-    same = "substring(text, off + 1, length(pep_il)) = pep_il" if equalize else "substring(exact, off + 1, length(letters)) = letters"
-    return met.join(text, "protein_idx").where(same).select("pep", "off", *keep)
-
-
-def first_hits(hits: DataFrame, most: int, sparseness: int = 1) -> DataFrame:
+    each = rows.select("protein_idx", "off", F.col("letters").alias("near"), F.explode(starts).alias("seed"))
+    near = folded(F.col("near").cast("string")).cast("binary") if equalize else F.col("near")
+    likely = F.col("near").isNull() | F.startswith(near, F.substring("pep_il" if equalize else "letters", 1, LETTERS))
+    met = _meet(each, wanted, size).where(likely).withColumn("sure", F.col("near").isNotNull() & (F.length("letters") <= LETTERS)).drop("near", "seed")
+    table = table.withColumns({"exact": F.col("sequence").cast("binary"), "text": folded(F.col("sequence")).cast("binary")})
+    if isinstance(prepared, Ordered):
+        met = settle(met)
+        table = prepared.meeting(met.select(F.col("protein_idx").alias("low"), F.col("protein_idx").alias("high")))
+        table = table.withColumns({"exact": F.col("sequence").cast("binary"), "text": folded(F.col("sequence")).cast("binary")})
+        if met.where("not sure").isEmpty():
+            return met.join(table.select(*dict.fromkeys(["protein_idx", *keep])), "protein_idx").select("pep", "off", *keep)
+    return met.join(table.select("exact", "text", *dict.fromkeys(["protein_idx", *keep])), "protein_idx").where("sure or " + _same(equalize)).select("pep", "off", *keep)
+
+
+def first_hits(hits: DataFrame, prepared: DataFrame, most: int, sparseness: int = 1) -> DataFrame:
     """The first ``most`` hits (at least one) of each peptide with their place ``rn``, from 1.
 
     The order is that of a search in a suffix array with every ``sparseness``-th suffix: first
-    by how far behind the match the next indexed suffix starts, then by that suffix.
+    by how far behind the match the next indexed suffix starts, then by that suffix. A hit
+    carries ``HEAD`` letters of it, and where its protein ends in them the rank of what follows.
+    Only hits that stay, and share these letters with another one, look up the rest of their text.
     """
+    n = F.octet_length("closed")
     skip = F.pmod(-(F.col("start_pos") + F.col("off")), F.lit(sparseness)).cast("int")
-    keyed = hits.withColumn("_skip", skip).withColumn("_rest", F.expr("substring(closed, off + _skip + 1)")).drop("closed")
-    order = Window.partitionBy("pep").orderBy("_skip", "_rest", "tail", "start_pos", "off")
-    return keyed.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= max(most, 1)).drop("_skip", "_rest", "tail")
-
-
-def exists(prepared: DataFrame, peptides: DataFrame, equalize: bool = False, index: DataFrame | None = None) -> DataFrame:
+    head = F.expr(f"substring(closed, _at + 1, {HEAD})")
+    ends = n - F.col("_at") <= HEAD  # the head reaches the mark behind the protein
+    keyed = hits.withColumn("_skip", skip).withColumn("_at", F.col("off") + F.col("_skip"))
+    keyed = keyed.withColumns({"_owner": F.col("start_pos"), "_head": head, "_after": F.when(ends, F.col("tail")).otherwise(0), "_far": F.col("_at") >= n}).drop("closed", "tail")
+    if sparseness > 1:  # only behind peptides with separators the indexed suffix is in a later protein
+        keyed = _across(keyed, prepared)
+    order = Window.partitionBy("pep").orderBy("_skip", "_head", "_after")
+    some = settle(keyed.withColumn("_rank", F.rank().over(order)).where(F.col("_rank") <= max(most, 1)).drop("_rank", "_far"))
+    alike = some.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("pep", "_skip", "_head", "_after"))).where("_n > 1 and _after = 0").drop("_n")
+    some = some.withColumn("_rest", F.lit(None).cast("string")).withColumn("_last", F.lit(None).cast("long"))
+    if not alike.isEmpty():
+        texts = prepared.select(F.col("start_pos").alias("_owner"), F.col("tail").alias("_last"), "closed")
+        tied = alike.join(texts, "_owner").withColumn("_rest", F.expr(f"substring(closed, _at + 1 + {HEAD})")).select(*some.columns)
+        keys = [F.col(c) for c in ("pep", "start_pos", "off")]
+        some = some.join(tied.select(*keys), ["pep", "start_pos", "off"], "left_anti").select(*tied.columns).union(tied)
+    place = F.row_number().over(Window.partitionBy("pep").orderBy("_skip", "_head", "_after", "_rest", "_last", "start_pos", "off"))
+    return some.withColumn("rn", place).where(F.col("rn") <= max(most, 1)).drop("_skip", "_at", "_owner", "_head", "_after", "_rest", "_last")
+
+
+def _across(keyed: DataFrame, prepared: DataFrame) -> DataFrame:
+    """Hits whose next indexed suffix starts in a later protein, with that one's head."""
+    far = settle(keyed.where("_far").withColumn("pos", F.col("start_pos") + F.col("_at")))
+    if far.isEmpty():
+        return keyed
+    own = ["_at", "_owner", "_head", "_after", "_far"]
+    homes = protein_at(far.select("pos").distinct(), prepared, marks=True)
+    texts = prepared.select("protein_idx", F.col("start_pos").alias("_owner"), "tail", "closed")
+    found = homes.join(texts, "protein_idx").drop("protein_idx").withColumn("_at", (F.col("pos") - F.col("_owner")).cast("int"))
+    ends = F.octet_length("closed") - F.col("_at") <= HEAD
+    found = found.select("pos", "_at", "_owner", F.expr(f"substring(closed, _at + 1, {HEAD})").alias("_head"), F.when(ends, F.col("tail")).otherwise(0).alias("_after"), F.lit(True).alias("_far"))
+    return keyed.where("not _far").union(far.drop(*own).join(found, "pos").drop("pos").select(*keyed.columns))
+
+
+def exists(prepared: DataFrame, peptides: DataFrame, equalize: bool = False, index: Ordered | None = None, stored: Ordered | None = None) -> DataFrame:
     """``peptides`` with ``found``; an empty peptide is found everywhere."""
     named = peptides.withColumn("pep", normal(F.col("sequence")))
-    there = occurrences(prepared, named, equalize, columns=["start_pos"], index=index).select("pep").distinct().withColumn("found", F.lit(True))
+    there = occurrences(prepared, named, equalize, columns=["start_pos"], index=index, stored=stored).select("pep").distinct().withColumn("found", F.lit(True))
     return named.join(there, "pep", "left").withColumn("found", F.coalesce("found", F.col("pep") == "")).drop("pep")
 
 

@@ -13,6 +13,7 @@ from peptrail.operators import search
 from peptrail.operators.functional import functional_summary
 from peptrail.operators.index import SEED, prepare, write_index
 from peptrail.operators.settle import settle
+from peptrail.operators.stored import Ordered, write_ordered
 from peptrail.operators.taxonomy import ROOT, clean, known, lineage, lowest_common_ancestor
 
 CUTOFF = 10_000
@@ -30,7 +31,8 @@ class PeptideEngine:
             raise ValueError("sparseness must be 1 to 255")
         self.taxonomy, self.sparseness, self.seed = taxonomy, sparseness, seed
         self.proteins = prepare(proteins)
-        self.seeds: DataFrame | None = None  # a written seed index
+        self.seeds: Ordered | None = None  # a written seed index
+        self.stored: Ordered | None = None  # the written proteins
         self._paths: DataFrame | None = None
 
     @classmethod
@@ -44,7 +46,7 @@ class PeptideEngine:
 
     def save(self, path: str) -> None:
         """The prepared database and its seed index as Parquet under ``path``; its settings are written last."""
-        self.proteins.write.parquet(f"{path}/proteins")
+        write_ordered(self.proteins, f"{path}/proteins", "protein_idx", ["protein_idx"])
         self.taxonomy.write.parquet(f"{path}/taxonomy")
         self.paths.write.parquet(f"{path}/paths")
         write_index(self.proteins, f"{path}/seeds", self.seed)
@@ -55,7 +57,9 @@ class PeptideEngine:
         """A saved database: nothing is prepared again, and searches go through its seed index."""
         engine = cls.__new__(cls)
         engine.sparseness, engine.seed = spark.read.parquet(f"{path}/settings").first()
-        engine.proteins, engine.taxonomy, engine._paths, engine.seeds = (spark.read.parquet(f"{path}/{name}") for name in ("proteins", "taxonomy", "paths", "seeds"))
+        engine.taxonomy, engine._paths = (spark.read.parquet(f"{path}/{name}") for name in ("taxonomy", "paths"))
+        engine.stored, engine.seeds = Ordered(spark, f"{path}/proteins", "protein_idx"), Ordered(spark, f"{path}/seeds", "seed")
+        engine.proteins = engine.stored.rows
         return engine
 
     def at(self, sparseness: int) -> PeptideEngine:
@@ -76,7 +80,7 @@ class PeptideEngine:
 
     def occurrences(self, peptides: DataFrame, equalize: bool = False) -> DataFrame:
         """``(pep, protein_idx, uniprot_id, taxon_id, pos)``, without a cutoff, of ``peptides(pep)`` as they are."""
-        hits = search.occurrences(self.proteins, peptides, equalize, self.seed, ["protein_idx", "uniprot_id", "taxon_id", "start_pos"], self.seeds)
+        hits = search.occurrences(self.proteins, peptides, equalize, self.seed, ["protein_idx", "uniprot_id", "taxon_id", "start_pos"], self.seeds, self.stored)
         return hits.where("protein_idx is not null").select("pep", "protein_idx", "uniprot_id", "taxon_id", (F.col("start_pos") + F.col("off")).alias("pos"))
 
     def _asked(self, peptides: DataFrame, cutoff: int) -> tuple[DataFrame, int]:
@@ -90,7 +94,7 @@ class PeptideEngine:
     def _answers(self, peptides: DataFrame, cutoff: int, equalize: bool, clean_taxa: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Asked rows, ``(query, cutoff_used)`` of the queries with matches, and their hits in proteins."""
         asked, most = self._asked(peptides, cutoff)
-        hits = search.first_hits(search.occurrences(self.proteins, asked, equalize, self.seed, index=self.seeds), most, self.sparseness)
+        hits = search.first_hits(search.occurrences(self.proteins, asked, equalize, self.seed, index=self.seeds, stored=self.stored), self.proteins, most, self.sparseness)
         queries = asked.select("query", "pep", "cutoff").distinct()
         hits = settle(hits.join(queries, "pep").where(F.col("rn") <= F.greatest("cutoff", F.lit(1))))
         found = hits.groupBy("query", "cutoff").agg(F.max("rn").alias("n")).select("query", (F.col("n") >= F.col("cutoff")).alias("cutoff_used"))
@@ -136,12 +140,12 @@ class PeptideEngine:
 
     def exists(self, peptides: DataFrame) -> DataFrame:
         """``peptides(ord, sequence)`` with ``found``; leucine and isoleucine differ here."""
-        return search.exists(self.proteins, peptides, index=self.seeds)
+        return search.exists(self.proteins, peptides, index=self.seeds, stored=self.stored)
 
     def matches(self, peptides: DataFrame) -> DataFrame:
         """``(ord, sequence, sequences)``: the protein of every occurrence, in order of the text; for lists to be read, as an answer holds its matches."""
         named = peptides.withColumn("pep", normal(F.col("sequence"))).drop("sequence")
-        hits = search.occurrences(self.proteins, named, False, self.seed, ["protein_idx", "sequence"], self.seeds).where("protein_idx is not null")
+        hits = search.occurrences(self.proteins, named, False, self.seed, ["protein_idx", "sequence"], self.seeds, self.stored).where("protein_idx is not null")
         lists = hits.groupBy("pep").agg(F.transform(F.array_sort(F.collect_list(F.struct("protein_idx", "off", "sequence"))), lambda x: x["sequence"]).alias("sequences"))
         asked = peptides.withColumn("pep", normal(F.col("sequence")))
         return asked.join(lists, "pep", "left").select("ord", "sequence", F.coalesce("sequences", F.array().cast("array<string>")).alias("sequences"))
@@ -152,7 +156,7 @@ class PeptideEngine:
         An occurrence may start on the letter after which a separator follows, but not on the separator.
         """
         named = peptides.withColumn("pep", normal(F.col("sequence")))
-        hits = search.occurrences(self.proteins, named, False, self.seed, ["protein_idx", "taxon_id"], self.seeds).where("protein_idx is not null")
+        hits = search.occurrences(self.proteins, named, False, self.seed, ["protein_idx", "taxon_id"], self.seeds, self.stored).where("protein_idx is not null")
         lca = lowest_common_ancestor(hits, self.paths, "pep").select("pep", F.col("lca").alias("taxon"))
         return named.join(lca, "pep", "left").select("ord", "sequence", "taxon")
 
