@@ -67,7 +67,8 @@ class SuffixArrayFile(DataSource):
 
     Files are opened by ``pyarrow.fs``, so a path may be a URI of any store it knows. Reading:
     ``(sparseness, rank, pos)``, in ranges of ``rows`` positions, of a file or of a folder of
-    parts, each such a file named by its first rank. Writing: ``(rank, pos)``, each task its
+    parts, each such a file named by its first rank; with ``spans`` (``first-last,…``, ascending) only
+    those ranks. Writing: ``(rank, pos)``, each task its
     part; the driver names the parts, or joins them to one file if it is asked to.
     """
 
@@ -79,7 +80,9 @@ class SuffixArrayFile(DataSource):
         return "sparseness int, rank long, pos long"
 
     def reader(self, schema):
-        return _ArrayReader(self.options["path"], int(self.options.get("rows", 1 << 22)))
+        spans = self.options.get("spans")
+        wanted = None if spans is None else [tuple(map(int, x.split("-"))) for x in spans.split(",") if x]
+        return _ArrayReader(self.options["path"], int(self.options.get("rows", 1 << 22)), wanted)
 
     def writer(self, schema, overwrite):
         return _ArrayWriter(self.options["path"], int(self.options.get("sparseness", 1)), self.options.get("joined", "false") == "true")
@@ -91,14 +94,16 @@ def _fs(path: str):
     return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
 
 
-class _Range(InputPartition):
-    def __init__(self, file: str, at: int, rank: int):
-        self.file, self.at, self.rank = file, at, rank
+class _Runs(InputPartition):
+    """Runs ``(first position in the file, positions, first rank)`` of a file."""
+
+    def __init__(self, file: str, runs: list[tuple[int, int, int]]):
+        self.file, self.runs = file, runs
 
 
 class _ArrayReader(DataSourceReader):
-    def __init__(self, path: str, rows: int):
-        self.path, self.rows = path, rows
+    def __init__(self, path: str, rows: int, spans: list[tuple[int, int]] | None):
+        self.path, self.rows, self.spans = path, rows, spans
 
     def partitions(self):
         from pyarrow.fs import FileSelector, FileType
@@ -113,8 +118,22 @@ class _ArrayReader(DataSourceReader):
             if not f.size or (f.size - 1) % 8:
                 raise ValueError(f"{f.path} is not a suffix array file")
             n = (f.size - 1) // 8
-            out += [_Range(f.path, at, rank + at) for at in range(0, max(n, 1), self.rows)]
-        return out
+            spans = [(rank, rank + n - 1)] if self.spans is None else self._inside(rank, n)
+            cut = [(at - rank, min(self.rows, last + 1 - at), at) for first, last in spans for at in range(first, last + 1, self.rows)]
+            runs, held = [], 0
+            for run in cut:  # short runs share a task
+                if runs and held + run[1] > self.rows:
+                    out.append(_Runs(f.path, runs))
+                    runs, held = [], 0
+                runs.append(run)
+                held += run[1]
+            if runs:
+                out.append(_Runs(f.path, runs))
+        return out or [_Runs(files[0][0].path, [])]
+
+    def _inside(self, rank: int, n: int) -> list[tuple[int, int]]:
+        cut = ((max(first, rank), min(last, rank + n - 1)) for first, last in self.spans)
+        return [(first, last) for first, last in cut if first <= last]
 
     def read(self, partition):
         import numpy as np
@@ -122,14 +141,13 @@ class _ArrayReader(DataSourceReader):
 
         fs, _ = _fs(self.path)
         with fs.open_input_file(partition.file) as f:
-            sparseness = f.read(1)[0]
-            first = partition.rank
-            f.seek(1 + 8 * partition.at)
-            left = self.rows
-            while left and (raw := f.read(8 * min(left, 1 << 17))):
-                pos = np.frombuffer(raw, "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pos), sparseness, np.int32)), pa.array(np.arange(first, first + len(pos))), pa.array(pos)], ["sparseness", "rank", "pos"])
-                first, left = first + len(pos), left - len(pos)
+            sparseness = f.read(1)[0] if partition.runs else 0
+            for at, left, first in partition.runs:
+                f.seek(1 + 8 * at)
+                while left and (raw := f.read(8 * min(left, 1 << 17))):
+                    pos = np.frombuffer(raw, "<i8")
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pos), sparseness, np.int32)), pa.array(np.arange(first, first + len(pos))), pa.array(pos)], ["sparseness", "rank", "pos"])
+                    first, left = first + len(pos), left - len(pos)
 
 
 class _Part(WriterCommitMessage):
@@ -186,11 +204,12 @@ class _ArrayWriter(DataSourceArrowWriter):
                 fs.delete_file(part.file)
 
 
-def write_suffix_array(array: DataFrame, path: str, sparseness: int, joined: bool = True) -> None:
-    """Write ``array(rank, pos)`` in parallel by ranges of ranks: as one file, or as a folder of parts.
+def write_suffix_array(array: DataFrame, path: str, sparseness: int, joined: bool = False) -> None:
+    """Write ``array(rank, pos)`` in parallel by ranges of ranks: as a folder of parts, or joined to one file.
 
-    The driver copies the parts into the one file, which is for exchange with other programs;
-    of a folder it only names the parts.
+    Of a folder the driver only names the parts. It copies them into the one file, which is for
+    exchange with other programs; parts after the first, without their first byte, can be
+    put together by a store's own means as well.
     """
     spark = array.sparkSession
     spark.dataSource.register(SuffixArrayFile)
@@ -199,6 +218,10 @@ def write_suffix_array(array: DataFrame, path: str, sparseness: int, joined: boo
     dealt.write.format("suffix_array").option("path", path).option("sparseness", sparseness).option("joined", str(joined).lower()).mode("append").save()
 
 
-def read_suffix_array(spark: SparkSession, path: str) -> DataFrame:
+def read_suffix_array(spark: SparkSession, path: str, spans: list | None = None) -> DataFrame:
+    """``(sparseness, rank, pos)``; with ``spans``, ascending pairs of a first and a last rank, only those are read."""
     spark.dataSource.register(SuffixArrayFile)
-    return spark.read.format("suffix_array").option("path", path).load()
+    reader = spark.read.format("suffix_array").option("path", path)
+    if spans is not None:
+        reader = reader.option("spans", ",".join(f"{first}-{last}" for first, last in spans))
+    return reader.load()

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from peptrail.functions import annotations
-from peptrail.operators import index, search, stored
+from peptrail.operators import array_search, index, search, stored
 from peptrail.operators.taxonomy import lineage, lowest_common_ancestor
 from peptrail.plans.engine import PeptideEngine, document, write_json
 from peptrail.sources import files
@@ -157,7 +157,7 @@ def test_files(spark, taxonomy, tmp_path):
 def test_suffix_array_file(spark, tmp_path):
     values = [5, 2165487362, -12315135] + list(range(40))
     array = spark.createDataFrame(list(enumerate(values)), "rank long, pos long")
-    files.write_suffix_array(array, str(tmp_path / "sa.bin"), 3)
+    files.write_suffix_array(array, str(tmp_path / "sa.bin"), 3, joined=True)
     assert (tmp_path / "sa.bin").read_bytes()[:9] == b"\x03" + (5).to_bytes(8, "little") and [p.name for p in tmp_path.iterdir()] == ["sa.bin"]
     assert [(r.sparseness, r.pos) for r in files.read_suffix_array(spark, str(tmp_path / "sa.bin")).orderBy("rank").collect()] == [(3, v) for v in values]
 
@@ -174,6 +174,40 @@ def test_suffix_array_parts(spark, tmp_path):
     assert files.read_suffix_array(spark, str(tmp_path / "none")).count() == 0
 
 
+@pytest.mark.parametrize("sparseness", [1, 3])
+def test_stored_array(spark, tmp_path, monkeypatch, sparseness):
+    """Bounds and hits of a stored array against a walk over the text; only ranks around bounds are read."""
+    draw = random.Random(sparseness + 10)
+    sequences = ["".join(draw.choices("AILKC", k=draw.randrange(0, 40))) for _ in range(120)] + ["K" * 150, "IL" * 60, "IL" * 60, "", "A"]
+    prepared = index.prepare(database(spark, sequences))
+    array_search.write_array(index.suffix_array(prepared, sparseness), prepared, str(tmp_path / "sa"), sparseness, step=16)
+    array = array_search.StoredArray(spark, str(tmp_path / "sa"), prepared)
+    text = "-".join(sequences) + "$"
+    same = lambda x: x.replace("L", "I")
+    order = sorted(range(0, len(text), sparseness), key=lambda p: same(text[p:]))
+    peptides = ["A", "I", "C", "K", "AIA", "KK", "K" * 100, "IL" * 50, "IL" * 50 + "A", "ZZ", "AAAA", sequences[3], sequences[5][2:9], "Y", "", "I-"]
+    read, real = [], files.read_suffix_array
+    monkeypatch.setattr(array_search, "read_suffix_array", lambda spark, path, spans: read.append(spans) or real(spark, path, spans))
+    folded_ = spark.createDataFrame([(same(p).encode(),) for p in peptides if "-" not in p], "pep_il binary")
+    got = {bytes(r.pep_il).decode(): (r.lo, r.hi) for r in array.bounds(folded_).collect()}
+    starts = {same(p): [r for r, at in enumerate(order) if same(text[at : at + len(p)]) == same(p)] for p in peptides if p and "-" not in p}
+    assert got == {p: (at[0], at[-1] + 1) for p, at in starts.items() if at}
+    read.clear()
+    array.bounds(folded_.where(F.col("pep_il") == b"A")).collect()
+    assert 0 < sum(last - first + 1 for first, last in read[0]) <= 2 * 16 < got["A"][1] - got["A"][0] + 200
+    for equalize in (False, True):
+        fold = same if equalize else (lambda x: x)
+        owner = [(i, at) for i, s in enumerate(sequences) for at in range(len(s) + 1)]
+        rank = {p: r for r, p in enumerate(order)}
+        want = set()
+        for p in {*peptides}:
+            for at in range(len(text)):
+                if p and "-" not in p and len(p) >= sparseness and fold(text[at : at + len(p)]) == fold(p):
+                    want.add((p, *owner[at], -at % sparseness, rank[at + -at % sparseness]))
+        hits = array.occurrences(spark.createDataFrame([(p,) for p in peptides], "pep string"), equalize).collect()
+        assert sorted(map(tuple, hits)) == sorted(want)
+
+
 def test_stored_engine(spark, taxonomy, tmp_path):
     """A saved and opened database answers as the one it was saved from, also peptides with separators."""
     sequences = ["BOLTANVIL", "WIDGET", "", "LLIL", "IL", "L"]
