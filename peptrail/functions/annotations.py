@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from peptrail.operators.settle import numbered
+
 # The packed alphabet, in the order of its codes, and the prefixes packing leaves out.
 ALPHABET = "$0123456789-.,;"
 PREFIXES = ("EC:", "GO:", "IPR:IPR")
@@ -53,6 +55,17 @@ def unpack(packed: Column) -> Column:
     return F.when(packed.isNotNull(), F.array_join(F.concat(*named), ";"))
 
 
+def extend_dictionary(dictionary: DataFrame, rows: DataFrame, text: str) -> DataFrame:
+    """``dictionary(code, annotation)`` with the annotations of ``rows`` that it lacks, in their order, behind its largest code.
+
+    Codes that are there stay as they are, so what was encoded before can be decoded ever after.
+    """
+    new = rows.select(F.explode(split(F.col(text))).alias("annotation")).distinct().join(dictionary, "annotation", "left_anti")
+    last = dictionary.agg(F.max("code")).first()[0]
+    added = numbered(new, ["annotation"], "code", 0 if last is None else last + 1)
+    return dictionary.select("code", "annotation").union(added.select(F.col("code").cast(dictionary.schema["code"].dataType), "annotation"))
+
+
 def encode_codes(rows: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:
     """``(key, codes)``: three little-endian bytes for each annotation of ``dictionary(code, annotation)``.
 

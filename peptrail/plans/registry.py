@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peptrail.functions import annotations
-from peptrail.operators import functional, index, search
+from peptrail.operators import array_search, functional, index, search
 from peptrail.operators.settle import running_sum, settle, shared_path
 from peptrail.operators.taxonomy import lowest_common_ancestor
-from peptrail.plans import tables
+from peptrail.plans import sql, tables
 from peptrail.plans.engine import PeptideEngine, as_json, as_text
 from peptrail.sources import files
 from peptrail.sources.files import requests
@@ -237,6 +237,57 @@ def code_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.select("uniprot_id", F.hex("codes").alias("codes")).join(annotations.decode_codes(codes, "uniprot_id", "codes", dictionary), "uniprot_id")
 
 
+def extend_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotations coded in two batches: the second adds to the first one's stored dictionary, and one dictionary decodes both."""
+    rows = tables.proteins(spark, sf_dir).join(tables.read(spark, sf_dir, "part").select((F.col("p_partkey") - 1).alias("protein_idx"), "p_size"), "protein_idx")
+    small, large = rows.where("p_size <= 25"), rows.where("p_size > 25 or p_size is null")
+    dictionary = spark.createDataFrame([], "code int, annotation string")
+    parts = []
+    for batch, part in enumerate((small, large)):
+        path = shared_path(spark, "dictionary")
+        annotations.extend_dictionary(dictionary, part, "fa").write.parquet(path)
+        dictionary = spark.read.parquet(path)
+        parts.append(settle(annotations.encode_codes(part, "uniprot_id", "fa", dictionary).withColumn("batch", F.lit(batch))))
+    codes = parts[0].union(parts[1])
+    return codes.select("uniprot_id", "batch", F.hex("codes").alias("codes")).join(annotations.decode_codes(codes, "uniprot_id", "codes", dictionary), "uniprot_id")
+
+
+def sql_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packing codec in SQL text."""
+    sql.functions(spark)
+    return spark.sql("SELECT uniprot_id, hex(pack_annotations(fa)) AS packed, unpack_annotations(pack_annotations(fa)) AS unpacked FROM {rows}", rows=tables.proteins(spark, sf_dir))
+
+
+def sql_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every occurrence in SQL text, through the seed index."""
+    sql.register(engine(spark, sf_dir))
+    one = """SELECT q.ord, q.sequence, p.protein_idx, p.uniprot_id, p.taxon_id, p.start_pos + m.off AS pos
+        FROM {peptides} q, LATERAL %s(q.sequence, true) m JOIN proteins p ON p.protein_idx = m.protein_idx AND matches_at(p.sequence, m.off, q.sequence, true)"""
+    return spark.sql(f"{one % 'matches'} UNION ALL {one % 'short_matches'}", peptides=tables.peptides(spark))
+
+
+def stored_array(spark: SparkSession, sf_dir: str) -> array_search.StoredArray:
+    """An array of every third suffix, written once in a session with its fences."""
+    key = (spark.sparkContext.applicationId, sf_dir, "array")
+    if key not in _engines:
+        prepared, path = engine(spark, sf_dir).proteins, shared_path(spark, "array")
+        array_search.write_array(index.suffix_array(prepared, 3), prepared, path, 3)
+        _engines[key] = array_search.StoredArray(spark, path, prepared)
+    return _engines[key]
+
+
+def bounds_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds in the index file, by its fences."""
+    asked = tables.peptides(spark, BOUNDS).select("sequence", F.translate("sequence", "L", "I").cast("binary").alias("pep_il"))
+    return stored_array(spark, sf_dir).bounds(asked).join(asked, "pep_il").select(F.col("sequence").alias("pep"), "lo", "hi")
+
+
+def occurrences_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all proteins, searched in the index file, with the rank that orders them."""
+    peps = tables.cut_peptides(spark, sf_dir).select(F.col("sequence").alias("pep"))
+    return stored_array(spark, sf_dir).occurrences(peps, True)
+
+
 def suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.suffix_array(engine(spark, sf_dir).proteins, 7)
 
@@ -308,6 +359,7 @@ _QUERIES = (
     search_peptides, search_json, peptide_exists, tree_taxon, taxonomy_lineage, lca_groups, lca_star_groups, category_counts, annotation_counts,
     pack_annotations, code_annotations, suffix_array, suffix_to_protein, search_bounds, seed_index, prefix_lca, protein_starts, request_defaults, benchmark_passages,
     occurrences_stored, analyse_stored, proteins_file, plain_proteins_file, taxonomy_file, peptides_file, suffix_array_file, analyse_loaded, analyse_unannotated, analysis_json, stream_answers, tree_text,
+    extend_codes, sql_pack, sql_search, bounds_stored, occurrences_array,
     suffix_array_whole, suffix_to_protein_whole, search_bounds_whole, prefix_lca_whole,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _QUERIES}
@@ -452,3 +504,15 @@ ORACLE |= {f"{name}_whole": ORACLE[name].replace("range(0, length(ti), 7)", "ran
 ORACLE["prefix_lca_whole"] = f"""WITH RECURSIVE {_PROT}, {_TAX}, spot AS (SELECT taxon_id, s, unnest(range(1, length(s) + 1)) AS i FROM prot),
 pre AS (SELECT taxon_id, substr(s, CAST(i AS INT), CAST(k AS INT)) AS g FROM spot JOIN range(1, {index.SEED + 1}) AS lengths(k) ON i + k - 1 <= length(s)), {_lca("SELECT DISTINCT g, taxon_id FROM pre")}
 SELECT g AS prefix, count(*) AS n, any_value(lca) AS lca FROM pre JOIN lca USING (g) GROUP BY g"""
+ORACLE["sql_pack"] = ORACLE["pack_annotations"]
+ORACLE["sql_search"] = f"WITH {_PROT}, {_PEPTIDES}, {_hits(True)} SELECT ord, sequence, idx AS protein_idx, uniprot_id, taxon_id, pos FROM hit"
+ORACLE["extend_codes"] = f"""WITH {_PROT}, two AS (SELECT uniprot_id, fa, CASE WHEN p_size <= 25 THEN 0 ELSE 1 END AS batch FROM prot JOIN part ON p_partkey = idx + 1),
+names AS (SELECT a, min(batch) AS b FROM (SELECT batch, unnest(string_split(fa, ';')) AS a FROM two) GROUP BY a), dict AS (SELECT a, row_number() OVER (ORDER BY b, a) - 1 AS code FROM names),
+e AS (SELECT uniprot_id, batch, fa, unnest(string_split(fa, ';')) AS a, unnest(range(0, len(string_split(fa, ';')))) AS i FROM two)
+SELECT uniprot_id, batch, string_agg(printf('%02X%02X%02X', code % 256, code // 256 % 256, code // 65536), '' ORDER BY i) AS codes, any_value(fa) AS text FROM e JOIN dict USING (a) GROUP BY uniprot_id, batch"""
+ORACLE["bounds_stored"] = ORACLE["search_bounds"].replace("length(ti), 7)", "length(ti), 3)")
+ORACLE["occurrences_array"] = f"""WITH {_PROT}, {_CUT}, pep AS (SELECT DISTINCT sequence AS pep, translate(sequence, 'L', 'I') AS p FROM cut_pep WHERE length(sequence) >= 3),
+ranked AS (SELECT pos, row_number() OVER (ORDER BY substr(ti, CAST(pos AS INT) + 1)) - 1 AS rank FROM (SELECT unnest(range(0, length(ti), 3)) AS pos, ti FROM txt)),
+spot AS (SELECT *, translate(s, 'L', 'I') AS f, unnest(range(0, length(s))) AS off FROM st),
+hit AS (SELECT pep, idx, off, start + off AS pos, CAST((3 - (start + off) % 3) % 3 AS INT) AS skip FROM pep JOIN spot ON substr(f, CAST(off AS INT) + 1, 3) = substr(p, 1, 3) AND substr(f, CAST(off AS INT) + 1, length(p)) = p)
+SELECT pep, idx AS protein_idx, CAST(off AS INT) AS off, skip, rank FROM hit JOIN ranked ON ranked.pos = hit.pos + skip"""
