@@ -65,35 +65,43 @@ def _meet(rows: DataFrame, wanted: DataFrame, size: Row) -> DataFrame:
     return left.join(right, ["seed", "part"]).drop("part")
 
 
-def _same(equalize: bool) -> str:
+def _same(equalize: bool | None) -> str:
+    """The comparison at ``off``; ``equalize`` None is as True, and the letters as they are make a column ``alike``."""
+    equalize = equalize is not False
     return "substring(text, off + 1, length(pep_il)) = pep_il" if equalize else "substring(exact, off + 1, length(letters)) = letters"
 
 
-def _join(texts: DataFrame, last: Column, peptides: DataFrame, equalize: bool, seed: int, keep: list[str]) -> DataFrame:
+def _alike(equalize: bool | None, alike: Column | str) -> list[Column]:
+    return [(F.expr(alike) if isinstance(alike, str) else alike).alias("alike")] if equalize is None else []
+
+
+def _join(texts: DataFrame, last: Column, peptides: DataFrame, equalize: bool | None, seed: int, keep: list[str]) -> DataFrame:
     """Rows ``pep, off, keep`` of ``texts(protein_idx, exact, text, keep)``; offsets run to ``last``."""
     wanted, size = _wanted(peptides, seed)
     if not size.n:
-        return texts.where(F.lit(False)).select(F.lit("").alias("pep"), F.lit(0).alias("off"), *keep)
+        return texts.where(F.lit(False)).select(F.lit("").alias("pep"), F.lit(0).alias("off"), *keep, *_alike(equalize, "true"))
+    out = ["pep", "off", *(F.col(c) for c in keep), *_alike(equalize, _same(False))]
     bytes_ = texts.withColumns({"text": F.col("text").cast("binary"), "exact": F.col("exact").cast("binary"), "_last": last}).where("_last >= 0")
     seeds = F.array(*(F.expr(f"substring(text, off + 1, {n})") for n in sorted(size.lengths)))
     seeds = F.explode(F.array_distinct(seeds)) if len(size.lengths) > 1 else seeds[0]
     each = lambda *columns: bytes_.select("*", F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("off")).select(*columns, "off", seeds.alias("seed"))
     if size.n <= BROADCAST_PEPTIDES and size.bytes <= BROADCAST_BYTES:
-        return _meet(each("text", "exact", *keep), wanted, size).where(_same(equalize)).select("pep", "off", *keep)
+        return _meet(each("text", "exact", *keep), wanted, size).where(_same(equalize)).select(*out)
     met = _meet(each("protein_idx"), wanted, size).select("protein_idx", "off", "pep", "pep_il", "letters")
-    return met.join(bytes_, "protein_idx").where(_same(equalize)).select("pep", "off", *(F.col(c) for c in keep))
+    return met.join(bytes_, "protein_idx").where(_same(equalize)).select(*out)
 
 
 COLUMNS = ["protein_idx", "uniprot_id", "taxon_id", "fa", "start_pos", "tail", "closed"]
 
 
-def occurrences(prepared: DataFrame, peptides: DataFrame, equalize: bool = False, seed: int = SEED, columns: list[str] | None = None, index: Ordered | DataFrame | None = None, stored: Ordered | None = None) -> DataFrame:
+def occurrences(prepared: DataFrame, peptides: DataFrame, equalize: bool | None = False, seed: int = SEED, columns: list[str] | None = None, index: Ordered | DataFrame | None = None, stored: Ordered | None = None) -> DataFrame:
     """``(pep, off, …)``: every occurrence of the distinct ``peptides(pep)`` in normal form.
 
     A peptide with separators may reach into the next proteins; its hits name the protein of
     their first letter, and none (null) where that is a separator or the end mark. An empty
     peptide has no occurrence. Peptides without separators are looked up in ``index``, if given, and
-    their proteins in ``stored``.
+    their proteins in ``stored``. With ``equalize`` None, folded letters are compared and ``alike`` says
+    whether they are the same as they are.
     """
     keep = columns or COLUMNS
     some = peptides.select("pep").where(F.length("pep") > 0).distinct()
@@ -110,7 +118,7 @@ def occurrences(prepared: DataFrame, peptides: DataFrame, equalize: bool = False
     across = _join(_with_neighbours(prepared, most), F.octet_length("sequence"), marked, equalize, seed, [*keep, *({"sequence", "closed"} - {*keep})])
     on_mark = F.col("off") >= F.octet_length("sequence")
     nulled = {c: F.when(~on_mark, F.col(c)) for c in ("protein_idx", "uniprot_id", "taxon_id", "fa") if c in keep}
-    return found.union(across.withColumns(nulled).select("pep", "off", *keep))
+    return found.union(across.withColumns(nulled).select(*found.columns))
 
 
 def _seed_ranges(wanted: DataFrame, seed: int) -> Column | None:
@@ -131,7 +139,7 @@ def _seed_ranges(wanted: DataFrame, seed: int) -> Column | None:
     return out
 
 
-def indexed_occurrences(index: Ordered | DataFrame, prepared: Ordered | DataFrame, peptides: DataFrame, equalize: bool = False, seed: int = SEED, columns: list[str] | None = None) -> DataFrame:
+def indexed_occurrences(index: Ordered | DataFrame, prepared: Ordered | DataFrame, peptides: DataFrame, equalize: bool | None = False, seed: int = SEED, columns: list[str] | None = None) -> DataFrame:
     """``(pep, off, …)`` by a seed index, for peptides without separators.
 
     Peptides shorter than a seed meet the first letters of the index's seeds. The index's own letters
@@ -142,7 +150,7 @@ def indexed_occurrences(index: Ordered | DataFrame, prepared: Ordered | DataFram
     wanted, size = _wanted(peptides.select("pep").where(F.length("pep") > 0).distinct(), seed)
     table = prepared.rows if isinstance(prepared, Ordered) else prepared
     if not size.n:
-        return table.where(F.lit(False)).select(F.lit("").alias("pep"), F.lit(0).alias("off"), *keep)
+        return table.where(F.lit(False)).select(F.lit("").alias("pep"), F.lit(0).alias("off"), *keep, *_alike(equalize, "true"))
     rows = index
     if isinstance(index, Ordered):
         high = F.when(F.length("seed") < seed, F.concat("seed", F.unhex(F.lit("FF" * seed)))).otherwise(F.col("seed"))
@@ -151,21 +159,24 @@ def indexed_occurrences(index: Ordered | DataFrame, prepared: Ordered | DataFram
         rows = rows if ranges is None else rows.where(ranges)
     starts = F.array_distinct(F.array(*(F.expr(f"substring(seed, 1, {n})") for n in sorted(size.lengths))))
     each = rows.select("protein_idx", "off", F.col("letters").alias("near"), F.explode(starts).alias("seed"))
-    near = folded(F.col("near").cast("string")).cast("binary") if equalize else F.col("near")
-    likely = F.col("near").isNull() | F.startswith(near, F.substring("pep_il" if equalize else "letters", 1, LETTERS))
-    met = _meet(each, wanted, size).where(likely).withColumn("sure", F.col("near").isNotNull() & (F.length("letters") <= LETTERS)).drop("near", "seed")
+    exact = F.startswith("near", F.substring("letters", 1, LETTERS))
+    near = exact if equalize is False else F.startswith(folded(F.col("near").cast("string")).cast("binary"), F.substring("pep_il", 1, LETTERS))
+    met = _meet(each, wanted, size).where(F.col("near").isNull() | near)
+    met = met.withColumns({"sure": F.col("near").isNotNull() & (F.length("letters") <= LETTERS), "alike": exact}).drop("near", "seed")
+    out = ["pep", "off", *keep]
     table = table.withColumns({"exact": F.col("sequence").cast("binary"), "text": folded(F.col("sequence")).cast("binary")})
     if isinstance(prepared, Ordered):
         met = settle(met)
         table = prepared.meeting(met.select(F.col("protein_idx").alias("low"), F.col("protein_idx").alias("high")))
         table = table.withColumns({"exact": F.col("sequence").cast("binary"), "text": folded(F.col("sequence")).cast("binary")})
         if met.where("not sure").isEmpty():
-            return met.join(table.select(*dict.fromkeys(["protein_idx", *keep])), "protein_idx").select("pep", "off", *keep)
-    return met.join(table.select("exact", "text", *dict.fromkeys(["protein_idx", *keep])), "protein_idx").where("sure or " + _same(equalize)).select("pep", "off", *keep)
+            return met.join(table.select(*dict.fromkeys(["protein_idx", *keep])), "protein_idx").select(*out, *_alike(equalize, "alike"))
+    met = met.join(table.select("exact", "text", *dict.fromkeys(["protein_idx", *keep])), "protein_idx").where("sure or " + _same(equalize))
+    return met.select(*out, *_alike(equalize, F.when(F.col("sure"), F.col("alike")).otherwise(F.expr(_same(False)))))
 
 
-def first_hits(hits: DataFrame, prepared: DataFrame, most: int, sparseness: int = 1) -> DataFrame:
-    """The first ``most`` hits (at least one) of each peptide with their place ``rn``, from 1.
+def first_hits(hits: DataFrame, prepared: DataFrame, most: int, sparseness: int = 1, by: tuple[str, ...] = ("pep",)) -> DataFrame:
+    """The first ``most`` hits (at least one) of each peptide, or of each ``by``, with their place ``rn``, from 1.
 
     The order is that of a search in a suffix array with every ``sparseness``-th suffix: first
     by how far behind the match the next indexed suffix starts, then by that suffix. A hit
@@ -180,16 +191,16 @@ def first_hits(hits: DataFrame, prepared: DataFrame, most: int, sparseness: int
     keyed = keyed.withColumns({"_owner": F.col("start_pos"), "_head": head, "_after": F.when(ends, F.col("tail")).otherwise(0), "_far": F.col("_at") >= n}).drop("closed", "tail")
     if sparseness > 1:  # only behind peptides with separators the indexed suffix is in a later protein
         keyed = _across(keyed, prepared)
-    order = Window.partitionBy("pep").orderBy("_skip", "_head", "_after")
+    order = Window.partitionBy(*by).orderBy("_skip", "_head", "_after")
     some = settle(keyed.withColumn("_rank", F.rank().over(order)).where(F.col("_rank") <= max(most, 1)).drop("_rank", "_far"))
-    alike = some.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("pep", "_skip", "_head", "_after"))).where("_n > 1 and _after = 0").drop("_n")
+    alike = some.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by, "_skip", "_head", "_after"))).where("_n > 1 and _after = 0").drop("_n")
     some = some.withColumn("_rest", F.lit(None).cast("string")).withColumn("_last", F.lit(None).cast("long"))
     if not alike.isEmpty():
         texts = prepared.select(F.col("start_pos").alias("_owner"), F.col("tail").alias("_last"), "closed")
         tied = alike.join(texts, "_owner").withColumn("_rest", F.expr(f"substring(closed, _at + 1 + {HEAD})")).select(*some.columns)
-        keys = [F.col(c) for c in ("pep", "start_pos", "off")]
-        some = some.join(tied.select(*keys), ["pep", "start_pos", "off"], "left_anti").select(*tied.columns).union(tied)
-    place = F.row_number().over(Window.partitionBy("pep").orderBy("_skip", "_head", "_after", "_rest", "_last", "start_pos", "off"))
+        keys = [*by, "start_pos", "off"]
+        some = some.join(tied.select(*keys), keys, "left_anti").select(*tied.columns).union(tied)
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("_skip", "_head", "_after", "_rest", "_last", "start_pos", "off"))
     return some.withColumn("rn", place).where(F.col("rn") <= max(most, 1)).drop("_skip", "_at", "_owner", "_head", "_after", "_rest", "_last")
 
 

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,20 +19,39 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared checkpoint folder; a temporary folder is taken only in local mode, where none is set."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="peptrail-")
         spark.sparkContext.setCheckpointDir(where)
     return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Settled tables since the last ``dropped_after`` began, of each thread that is inside one.
+_inside = threading.local()
+
+
 def settle(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared checkpoint folder and read back, so later plans read only their columns."""
     path = shared_path(df.sparkSession, "settled")
     df.write.parquet(path)
+    if getattr(_inside, "paths", None) is not None:
+        _inside.paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def dropped_after(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that this thread settles inside the block; results must be written in it."""
+    _inside.paths = []
+    try:
+        yield
+    finally:
+        paths, _inside.paths = _inside.paths, None
+        for path in paths:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def running_sum(df: DataFrame, keys: list[str], value: Column, name: str, first: int = 0) -> DataFrame:
     """``df``, whose ``keys`` are distinct, with the sum of ``value`` over the rows before each as ``name``.
 

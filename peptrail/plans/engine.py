@@ -83,31 +83,41 @@ class PeptideEngine:
         hits = search.occurrences(self.proteins, peptides, equalize, self.seed, ["protein_idx", "uniprot_id", "taxon_id", "start_pos"], self.seeds, self.stored)
         return hits.where("protein_idx is not null").select("pep", "protein_idx", "uniprot_id", "taxon_id", (F.col("start_pos") + F.col("off")).alias("pos"))
 
-    def _asked(self, peptides: DataFrame, cutoff: int) -> tuple[DataFrame, int]:
-        """Peptides in normal form that are long enough, with the query that they share and its cutoff."""
-        rows = peptides if "cutoff" in peptides.columns else peptides.withColumn("cutoff", F.lit(cutoff))
-        rows = rows.select("ord", "sequence", F.greatest(F.col("cutoff").cast("long"), F.lit(0)).alias("cutoff"), normal(F.col("sequence")).alias("pep"))
-        rows = rows.where(F.octet_length("pep") >= self.sparseness).withColumn("query", F.concat_ws(" ", "cutoff", "pep"))
+    def _asked(self, peptides: DataFrame, cutoff: int, equalize: bool, clean_taxa: bool) -> tuple[DataFrame, int]:
+        """Peptides in normal form that are long enough, with the query that they share and its options."""
+        rows = peptides
+        for name, value in (("cutoff", cutoff), ("equalize", equalize), ("clean", clean_taxa)):
+            rows = rows if name in rows.columns else rows.withColumn(name, F.lit(value))
+        rows = rows.select("ord", "sequence", F.greatest(F.col("cutoff").cast("long"), F.lit(0)).alias("cutoff"), "equalize", "clean", normal(F.col("sequence")).alias("pep"))
+        rows = rows.where(F.octet_length("pep") >= self.sparseness).withColumn("query", F.concat_ws(" ", "cutoff", F.col("equalize").cast("string"), F.col("clean").cast("string"), "pep"))
         most = cutoff if "cutoff" not in peptides.columns else rows.agg(F.max("cutoff")).first()[0] or 0
         return rows, most
 
     def _answers(self, peptides: DataFrame, cutoff: int, equalize: bool, clean_taxa: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Asked rows, ``(query, cutoff_used)`` of the queries with matches, and their hits in proteins."""
-        asked, most = self._asked(peptides, cutoff)
-        hits = search.first_hits(search.occurrences(self.proteins, asked, equalize, self.seed, index=self.seeds, stored=self.stored), self.proteins, most, self.sparseness)
-        queries = asked.select("query", "pep", "cutoff").distinct()
-        hits = settle(hits.join(queries, "pep").where(F.col("rn") <= F.greatest("cutoff", F.lit(1))))
+        asked, most = self._asked(peptides, cutoff, equalize, clean_taxa)
+        mixed = "equalize" in peptides.columns
+        hits = search.occurrences(self.proteins, asked, None if mixed else equalize, self.seed, index=self.seeds, stored=self.stored)
+        by = ("pep", "equalize") if mixed else ("pep",)
+        if mixed:  # folded hits are found once, and are hits of the ways they were asked for
+            hits = hits.join(asked.select(*by).distinct(), "pep").where("equalize or alike").drop("alike")
+        hits = search.first_hits(hits, self.proteins, most, self.sparseness, by)
+        queries = asked.select("query", *by, "cutoff", "clean").distinct()
+        hits = settle(hits.join(queries, [*by]).where(F.col("rn") <= F.greatest("cutoff", F.lit(1))))
         found = hits.groupBy("query", "cutoff").agg(F.max("rn").alias("n")).select("query", (F.col("n") >= F.col("cutoff")).alias("cutoff_used"))
         inside = hits.where("protein_idx is not null").withColumn("fa", self._annotations())
-        return asked, found, clean(inside, self.taxonomy) if clean_taxa else inside
+        if "clean" not in peptides.columns:
+            return asked, found, clean(inside, self.taxonomy) if clean_taxa else inside
+        valid = self.taxonomy.where("valid").select(F.col("id").alias("taxon_id"), F.lit(True).alias("_valid"))
+        return asked, found, inside.join(valid, "taxon_id", "left").where("_valid or not clean").drop("_valid")
 
     def _annotations(self) -> Column:
         return unpack(F.col("fa")) if self.proteins.schema["fa"].dataType.typeName() == "binary" else F.col("fa")
 
     def search(self, peptides: DataFrame, cutoff: int = CUTOFF, equalize: bool = False, clean_taxa: bool = False) -> DataFrame:
-        """``(ord, sequence, proteins, cutoff_used)`` for each of ``peptides(ord, sequence[, cutoff])`` with a match.
+        """``(ord, sequence, proteins, cutoff_used)`` for each of ``peptides(ord, sequence[, cutoff, equalize, clean])`` with a match.
 
-        At most ``cutoff`` proteins are listed, in suffix order; a protein is listed once per occurrence.
+        Options may be columns, so requests with different ones are one search. At most ``cutoff`` proteins are listed, in suffix order; a protein is listed once per occurrence.
         """
         asked, found, hits = self._answers(peptides, cutoff, equalize, clean_taxa)
         info = F.struct(F.col("taxon_id").alias("taxon"), F.col("uniprot_id").alias("uniprot_accession"), split(F.col("fa")).alias("functional_annotations"))

@@ -15,13 +15,10 @@ from peptrail.plans import sql, tables
 from peptrail.plans.engine import PeptideEngine, as_json, as_text
 from peptrail.sources import files
 from peptrail.sources.files import requests
-from peptrail.streaming.requests import answer_stream, read_requests
+from peptrail.streaming.requests import answer_stream, hit_stream, read_requests
 
 BOUNDS = ("BOLT", "I", "LL", "WIDGET", "S", "ZZZZ")
 MARKED = ("E-S", "L-", "-", "$", "K-B", "T-S")
-REQUESTS = ('{"peptides": ["BOLT", "LL"]}', '{"peptides": ["I"], "cutoff": 7, "equalize_I_and_L": true}', '{"peptides": [], "clean_taxa": true}')
-STREAMED = ('{"peptides": ["BOLT", "ZZZZ", "ANVIL"], "cutoff": 2}', '{"peptides": ["LL"], "cutoff": 2}')
-
 _engines: dict[tuple, PeptideEngine] = {}
 
 
@@ -138,12 +135,25 @@ def analysis_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_json(_loaded(spark, sf_dir, "packed").analyse(tables.peptides(spark), equalize=True))
 
 
+def _request_path(spark: SparkSession, sf_dir: str) -> str:
+    path = shared_path(spark, "requests")
+    tables.request_lines(spark, sf_dir).write.text(path)
+    return path
+
+
 def stream_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two requests through the stream; peptides and answers of all batches."""
-    source, out, state = (shared_path(spark, name) for name in ("requests", "answers", "state"))
-    spark.createDataFrame([(x,) for x in STREAMED], "value string").write.text(source)
+    """Requests of all kinds through the stream, with the answer that belongs to each."""
+    source, out, state = _request_path(spark, sf_dir), shared_path(spark, "answers"), shared_path(spark, "state")
     answer_stream(engine(spark, sf_dir), read_requests(spark, source), out, state, "search").awaitTermination()
-    return spark.read.parquet(out).select("json")
+    return spark.read.parquet(out).select("request", F.col("nth").cast("long").alias("nth"), "json")
+
+
+def stream_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every occurrence of the requests' peptides by a stream joined with the stored index."""
+    out, state = shared_path(spark, "hits"), shared_path(spark, "state")
+    hits = hit_stream(stored_engine(spark, sf_dir), read_requests(spark, _request_path(spark, sf_dir)))
+    hits.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(hits.schema).parquet(out)
 
 
 def tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -342,8 +352,8 @@ def protein_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def request_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.createDataFrame([(x,) for x in REQUESTS], "value string")
-    return requests(lines).select(F.array_join("peptides", " ").alias("peptides"), "cutoff", "equalize", "clean")
+    """Requests of which many leave out options."""
+    return requests(tables.request_lines(spark, sf_dir)).select("request", F.array_join("peptides", " ").alias("peptides"), "cutoff", "equalize", "clean")
 
 
 def benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -358,7 +368,7 @@ _QUERIES = (
     occurrences_folded, occurrences_exact, occurrences_indexed, occurrences_marked, analyse_peptides, analyse_cutoff, analyse_clean,
     search_peptides, search_json, peptide_exists, tree_taxon, taxonomy_lineage, lca_groups, lca_star_groups, category_counts, annotation_counts,
     pack_annotations, code_annotations, suffix_array, suffix_to_protein, search_bounds, seed_index, prefix_lca, protein_starts, request_defaults, benchmark_passages,
-    occurrences_stored, analyse_stored, proteins_file, plain_proteins_file, taxonomy_file, peptides_file, suffix_array_file, analyse_loaded, analyse_unannotated, analysis_json, stream_answers, tree_text,
+    occurrences_stored, analyse_stored, proteins_file, plain_proteins_file, taxonomy_file, peptides_file, suffix_array_file, analyse_loaded, analyse_unannotated, analysis_json, stream_answers, stream_hits, tree_text,
     extend_codes, sql_pack, sql_search, bounds_stored, occurrences_array,
     suffix_array_whole, suffix_to_protein_whole, search_bounds_whole, prefix_lca_whole,
 )
@@ -470,7 +480,6 @@ SELECT pep, min(rank) AS lo, max(rank) + 1 AS hi FROM r JOIN (SELECT unnest([{",
 pre AS (SELECT taxon_id, substr(s, CAST(i AS INT), 1) AS g FROM spot UNION ALL SELECT taxon_id, substr(s, CAST(i AS INT), 2) FROM spot WHERE i < length(s)), {_lca("SELECT DISTINCT g, taxon_id FROM pre")}
 SELECT g AS prefix, count(*) AS n, any_value(lca) AS lca FROM pre JOIN lca USING (g) GROUP BY g""",
     "protein_starts": f"WITH {_PROT} SELECT idx AS protein_idx, uniprot_id, start AS begin, length(s) AS size FROM st",
-    "request_defaults": "SELECT * FROM (VALUES ('BOLT LL', 10000::BIGINT, false, false), ('I', 7, true, false), ('', 10000, false, true)) AS t(peptides, cutoff, equalize, clean)",
     "benchmark_passages": """WITH d AS (SELECT doc_id, coalesce(text, '') AS s FROM documents), i AS (SELECT item_id, text AS p FROM benchmark WHERE length(text) > 0)
 SELECT item_id, doc_id, CAST((strlen(s) - strlen(replace(s, p, ''))) / strlen(p) AS BIGINT) AS hits, CAST(strlen(split_part(s, p, 1)) AS BIGINT) AS first_byte FROM d JOIN i ON contains(s, p)""",
 }
@@ -492,7 +501,22 @@ ORACLE["analyse_unannotated"] = f"SELECT * REPLACE (0::BIGINT AS n_ec, 0::BIGINT
 _JSON_DATA = """CASE WHEN data = '' THEN '' ELSE '"' || replace(replace(data, '=', '":'), ' ', ',"') END"""
 ORACLE["analysis_json"] = f"""SELECT ord, '{{"sequence":"' || replace(sequence, chr(10), '\\n') || '","lca":' || lca || ',"taxa":[' || replace(taxa, ' ', ',') || '],"uniprot_accession_numbers":["' || replace(accessions, ' ', '","')
   || '"],"fa":{{"counts":{{"all":' || n_all || ',"EC":' || n_ec || ',"GO":' || n_go || ',"IPR":' || n_ipr || '}},"data":{{' || {_JSON_DATA} || '}}}},"cutoff_used":' || CAST(cutoff_used AS VARCHAR) || '}}' AS json FROM ({ORACLE["analyse_loaded"]})"""
-ORACLE["stream_answers"] = f"SELECT json FROM ({ORACLE['search_json']}) WHERE ord IN (0, 2, 4)"
+_ASKED = """sized AS (SELECT idx AS ord, substr(s, CAST(1 + (idx + 1) % 5 AS INT), CAST(3 + (idx + 1) % 10 AS INT)) AS sequence, CAST(p_size AS BIGINT) AS z FROM prot JOIN part ON p_partkey = idx + 1),
+ask AS (SELECT 'r' || z AS request, row_number() OVER (PARTITION BY z ORDER BY ord) - 1 AS nr, sequence AS p, translate(sequence, 'L', 'I') AS i FROM sized WHERE length(sequence) >= 6 AND z % 7 <> 0),
+req AS (SELECT 'r' || z AS request, CASE WHEN z % 5 = 0 THEN 10000 ELSE 1 + z % 3 END AS cutoff, z % 2 = 0 AS equalize, z % 3 = 0 AS clean FROM (SELECT DISTINCT z FROM sized))"""
+ORACLE["request_defaults"] = f"WITH {_PROT}, {_ASKED} SELECT request, coalesce((SELECT string_agg(p, ' ' ORDER BY nr) FROM ask WHERE ask.request = req.request), '') AS peptides, cutoff, equalize, clean FROM req"
+_ASKED_HITS = """spot AS (SELECT *, translate(s, 'L', 'I') AS f, unnest(range(0, length(s))) AS off FROM st),
+raw AS (SELECT request, cutoff, clean, nr, p, idx, uniprot_id, taxon_id, fa, start + off AS pos FROM ask JOIN req USING (request) JOIN spot ON substr(f, CAST(off AS INT) + 1, 6) = substr(i, 1, 6)
+  AND CASE WHEN equalize THEN substr(f, CAST(off AS INT) + 1, length(p)) = i ELSE substr(s, CAST(off AS INT) + 1, length(p)) = p END)"""
+ORACLE["stream_hits"] = f"WITH {_PROT}, {_ASKED}, {_ASKED_HITS} SELECT request, CAST(nr AS INTEGER) AS \"at\", p AS sequence, idx AS protein_idx, uniprot_id, taxon_id, pos FROM raw"
+# The first 400 letters tell all suffixes of these tables apart.
+ORACLE["stream_answers"] = f"""WITH RECURSIVE {_PROT}, {_TAX}, {_ASKED}, {_ASKED_HITS},
+hit AS (SELECT *, row_number() OVER (PARTITION BY request, nr ORDER BY substr(ti, CAST(pos AS INT) + 1, 400)) AS rn FROM raw, txt),
+cut AS (SELECT * FROM hit WHERE rn <= greatest(cutoff, 1)), fnd AS (SELECT request, nr, p, max(rn) >= any_value(cutoff) AS used FROM cut GROUP BY ALL),
+agg AS (SELECT request, nr, string_agg('{{"taxon":' || taxon_id || ',"uniprot_accession":"' || uniprot_id || '","functional_annotations":["' || replace(fa, ';', '","') || '"]}}', ',' ORDER BY rn) AS x
+  FROM cut JOIN tax ON tax.id = taxon_id WHERE valid OR NOT clean GROUP BY request, nr),
+one AS (SELECT request, nr, '{{"sequence":"' || p || '","proteins":[' || coalesce(x, '') || '],"cutoff_used":' || CAST(used AS VARCHAR) || '}}' AS json FROM fnd LEFT JOIN agg USING (request, nr))
+SELECT request, 0::BIGINT AS nth, '{{"result":[' || coalesce((SELECT string_agg(json, ',' ORDER BY nr) FROM one WHERE one.request = req.request), '') || ']}}' AS json FROM req"""
 ORACLE["tree_text"] = f"""WITH RECURSIVE {_PROT}, {_TAX}, {_PEPTIDES}, {_lca("SELECT DISTINCT pep AS g, taxon_id FROM pep JOIN prot ON contains(s, pep)")},
 spot AS (SELECT idx, s, unnest(range(0, length(s))) AS off FROM prot),
 hit AS (SELECT ord, count(*) AS n, string_agg(chr(10) || '* ' || s, '' ORDER BY idx, off) AS x FROM pep JOIN spot ON substr(s, CAST(off AS INT) + 1, length(pep)) = pep GROUP BY ord)

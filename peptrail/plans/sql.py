@@ -30,7 +30,7 @@ def _kinds(form: str) -> str:
 
 #: Bodies of the scalar functions; each is the SQL of the column function of the same name.
 _STRIPPED = "array_join(transform(filter(split(fa, ';'), x -> startswith(x, '{kind}')), x -> substring(x, {after})), ';')"
-_NAMED = "transform(filter(split(get(kinds, {place}), ';'), x -> x <> ''), x -> concat('{prefix}', x))"
+_NAMED = "transform(filter(split(coalesce(get(kinds, {place}), ''), ';'), x -> x <> ''), x -> concat('{prefix}', x))"
 _SCALARS = {
     "annotation_symbols(fa STRING) RETURNS STRING": f"concat_ws(',', {_kinds(_STRIPPED)})",
     "packed_symbols(symbols STRING) RETURNS BINARY": f"""CASE WHEN symbols RLIKE '^[$0-9\\\\-.,;]*$' THEN unhex(translate(rpad(symbols, length(symbols) + length(symbols) % 2, '$'), '{ALPHABET}', '{CODES}'))
@@ -38,7 +38,7 @@ _SCALARS = {
     "pack_annotations(fa STRING) RETURNS BINARY": "CASE WHEN fa = '' THEN X'' WHEN fa IS NOT NULL THEN packed_symbols(annotation_symbols(fa)) END",
     "named_annotations(kinds ARRAY<STRING>) RETURNS STRING": f"array_join(concat({_kinds(_NAMED)}), ';')",
     "unpack_annotations(packed BINARY) RETURNS STRING": f"""CASE WHEN contains(translate(hex(packed), '{CODES}F', '{ALPHABET}?'), '?') THEN raise_error(concat('cannot unpack: ', hex(packed)))
-        WHEN packed IS NOT NULL THEN named_annotations(split(rtrim('$', translate(hex(packed), '{CODES}', '{ALPHABET}')), ',')) END""",
+        WHEN packed IS NOT NULL THEN named_annotations(split(trim(TRAILING '$' FROM translate(hex(packed), '{CODES}', '{ALPHABET}')), ',')) END""",
     "normal_peptide(peptide STRING) RETURNS STRING": r"upper(regexp_replace(peptide, '\\n\\z', ''))",
     "folded(letters STRING) RETURNS STRING": "translate(letters, 'L', 'I')",
     "matches_at(text STRING, off INT, peptide STRING, equalize BOOLEAN) RETURNS BOOLEAN": """CASE WHEN equalize THEN substring(CAST(folded(text) AS BINARY), off + 1, octet_length(normal_peptide(peptide))) = CAST(folded(normal_peptide(peptide)) AS BINARY)

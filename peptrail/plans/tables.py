@@ -50,3 +50,14 @@ def cut_peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(line, sequence)``: a piece of 3 to 12 letters of every protein."""
     key = F.col("protein_idx") + 1
     return proteins(spark, sf_dir).select(F.col("protein_idx").alias("line"), F.substring("sequence", (1 + key % 5).cast("int"), (3 + key % 10).cast("int")).alias("sequence"))
+
+
+def request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(value)``: a JSON request for every size of part, with pieces of its proteins; some leave out options, some ask for nothing."""
+    size = F.col("p_size")
+    parts = read(spark, sf_dir, "part").select((F.col("p_partkey") - 1).cast("long").alias("line"), "p_size")
+    pieces = cut_peptides(spark, sf_dir).join(parts, "line").where("p_size is not null")
+    wanted = F.transform(F.array_sort(F.collect_list(F.when((F.length("sequence") >= 6) & (size % 7 != 0), F.struct("line", "sequence")))), lambda x: x["sequence"])
+    options = [F.when(size % 5 != 0, 1 + size % 3).alias("cutoff"), F.when(size % 2 == 0, True).alias("equalize_I_and_L"), F.when(size % 3 == 0, True).alias("clean_taxa")]
+    grouped = pieces.groupBy("p_size").agg(wanted.alias("peptides"))
+    return grouped.select(F.to_json(F.struct(F.concat(F.lit("r"), size.cast("string")).alias("id"), "peptides", *options)).alias("value"))

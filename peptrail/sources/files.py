@@ -12,7 +12,7 @@ from peptrail.operators.taxonomy import known
 
 #: Names of a suffix array's parts start so; the first rank follows.
 PART = "part-"
-REQUEST = "peptides array<string>, cutoff bigint, equalize_I_and_L boolean, clean_taxa boolean"
+REQUEST = "id string, peptides array<string>, cutoff bigint, equalize_I_and_L boolean, clean_taxa boolean"
 
 
 def _fields(spark: SparkSession, path: str, n: int, encoding: str = "UTF-8") -> DataFrame:
@@ -57,9 +57,13 @@ def read_peptides(spark: SparkSession, path: str) -> DataFrame:
 
 
 def requests(lines: DataFrame, cutoff: int = 10_000) -> DataFrame:
-    """``(peptides, cutoff, equalize, clean)`` of JSON ``lines(value)``, with the defaults of fields left out."""
+    """``(request, peptides, cutoff, equalize, clean)`` of JSON ``lines(value[, source])``, with the defaults of fields left out.
+
+    ``request`` is the field ``id``; where that is left out, a hash of the line and its source.
+    """
     x = F.from_json("value", REQUEST, {"mode": "FAILFAST"})
-    return lines.select(x.alias("x")).select("x.peptides", F.coalesce("x.cutoff", F.lit(cutoff)).alias("cutoff"), F.coalesce("x.equalize_I_and_L", F.lit(False)).alias("equalize"), F.coalesce("x.clean_taxa", F.lit(False)).alias("clean"))
+    key = F.sha2(F.concat_ws("\n", *(c for c in ("source", "value") if c in lines.columns)), 256)
+    return lines.select(x.alias("x"), key.alias("key")).select(F.coalesce("x.id", "key").alias("request"), F.coalesce("x.peptides", F.array().cast("array<string>")).alias("peptides"), F.coalesce("x.cutoff", F.lit(cutoff)).alias("cutoff"), F.coalesce("x.equalize_I_and_L", F.lit(False)).alias("equalize"), F.coalesce("x.clean_taxa", F.lit(False)).alias("clean"))
 
 
 class SuffixArrayFile(DataSource):

@@ -1,17 +1,19 @@
 """Fixed vectors of annotation packing, taxonomy and search, a random model, files and requests."""
 
 import json
+import pathlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from peptrail.functions import annotations
-from peptrail.operators import array_search, index, search, stored
+from peptrail.operators import array_search, index, search, settle, stored
 from peptrail.operators.taxonomy import lineage, lowest_common_ancestor
+from peptrail.plans import sql
 from peptrail.plans.engine import PeptideEngine, document, write_json
 from peptrail.sources import files
-from peptrail.streaming.requests import answer_stream, read_requests
+from peptrail.streaming.requests import answer_batch, answer_stream, hit_stream, read_requests
 
 real_meeting = stored.Ordered.meeting
 # A small taxonomy and packed forms of annotations.
@@ -298,12 +300,70 @@ def test_written_order(spark, taxonomy, tmp_path):
 
 
 def test_request_stream(spark, taxonomy, tmp_path):
+    """Every request has one answer, also those without peptides or matches; a batch run again gives the same."""
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.json").write_text('{"peptides": ["GG", "A"]}\n{"peptides": ["AAC"], "cutoff": 1, "equalize_I_and_L": true}\n')
-    engine = PeptideEngine(database(spark, ["AAC", "CAAC", "GG"]), taxonomy)
-    answer_stream(engine, read_requests(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state"), "search").awaitTermination()
-    rows = [json.loads(r.json) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
-    assert {(r["sequence"], len(r["proteins"]), r["cutoff_used"]) for r in rows} == {("GG", 1, False), ("A", 4, False), ("AAC", 1, True)}
+    lines = ['{"id": "a", "peptides": ["GG", "A", "ZZ", "A"]}', '{"peptides": ["AAC"], "cutoff": 1, "equalize_I_and_L": true}', '{"id": "none", "peptides": []}', '{"id": "zz", "peptides": ["ZZ"]}', '{"id": "a", "peptides": ["GG", "A", "ZZ", "A"]}']
+    lines += ['{"id": "il", "peptides": ["AIC"], "equalize_I_and_L": true}', '{"id": "exact", "peptides": ["AIC"]}', '{"id": "clean", "peptides": ["GG"], "clean_taxa": true}', '{"id": "null"}']
+    (tmp_path / "in" / "a.json").write_text("\n".join(lines) + "\n")
+    engine = PeptideEngine(database(spark, ["AAC", "CAAC", "GG", "ALC"], {2: 21}), taxonomy)
+    engine.save(str(tmp_path / "db"))
+    for number, e in enumerate((engine, PeptideEngine.open(spark, str(tmp_path / "db")))):
+        out = str(tmp_path / f"out{number}")
+        before = len(list(pathlib.Path(settle.shared_path(spark, "x").removeprefix("file:")).parent.iterdir()))
+        answer_stream(e, read_requests(spark, str(tmp_path / "in")), out, str(tmp_path / f"state{number}"), "search").awaitTermination()
+        rows = spark.read.parquet(out).collect()
+        assert len(rows) == len(lines)
+        answers = {(r.request, r.nth): [(x["sequence"], len(x["proteins"]), x["cutoff_used"]) for x in json.loads(r.json)["result"]] for r in rows}
+        named = {k: v for k, v in answers.items() if len(k[0]) < 10}
+        assert named == {("a", 0): [("GG", 1, False), ("A", 5, False), ("A", 5, False)], ("a", 1): named["a", 0], ("none", 0): [], ("zz", 0): [], ("il", 0): [("AIC", 1, False)], ("exact", 0): [], ("clean", 0): [("GG", 0, False)], ("null", 0): []}
+        assert [v for k, v in answers.items() if len(k[0]) == 64] == [[("AAC", 1, True)]]
+        after = len(list(pathlib.Path(settle.shared_path(spark, "x").removeprefix("file:")).parent.iterdir()))
+        assert after - before <= (12 if number == 0 else 0)  # nothing stays but, at first, the taxonomy's paths
+    batch = files.requests(spark.read.text(str(tmp_path / "in")))
+    assert sorted(answer_batch(engine, batch, "analyse").collect()) == sorted(answer_batch(engine, batch, "analyse").collect())
+
+
+def test_hit_stream(spark, taxonomy, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"id": "x", "peptides": ["WIDGET", "I", "BOITANVII"], "equalize_I_and_L": true}\n{"id": "y", "peptides": ["BOITANVII", "widget"]}\n')
+    engine = PeptideEngine(database(spark, ["BOLTANVIL", "AWIDGETWIDGET"]), taxonomy)
+    hits = hit_stream(engine, read_requests(spark, str(tmp_path / "in")))
+    assert hits.isStreaming
+    hits.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r.request, r.at, r.protein_idx, r.pos) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("x", 0, 1, 11), ("x", 0, 1, 17), ("x", 2, 0, 0), ("y", 1, 1, 11), ("y", 1, 1, 17)]
+
+
+def test_sql_text(spark, taxonomy):
+    """Functions in SQL text agree with those of columns; a search becomes an equi-join."""
+    sql.functions(spark)
+    rows = spark.createDataFrame(PACKED + [(None, None), ("NO:1;GO:0000001", None)], "fa string, hex string")
+    got = spark.sql("SELECT fa, hex(pack_annotations(fa)) AS packed, unpack_annotations(pack_annotations(fa)) AS back FROM {rows}", rows=rows)
+    want = rows.select("fa", F.hex(annotations.pack(F.col("fa"))).alias("packed"), annotations.unpack(annotations.pack(F.col("fa"))).alias("back"))
+    assert got.collect() == want.collect()
+    for wrong in ("pack_annotations('EC:x')", "unpack_annotations(X'FF')"):
+        with pytest.raises(Exception, match="cannot"):
+            spark.sql(f"SELECT {wrong}").collect()
+    sql.register(PeptideEngine(database(spark, ["BOLTANVILWIDGETSLONG", "WIDGET", "LLIL"]), taxonomy))
+    asked_ = asked(spark, "BOLTANVILWIDGETSLONG", "widget\n", "BOLTANVILWIDGETSLOX", "LI", "LL")
+    query = "SELECT q.ord, m.protein_idx, m.off FROM {q} q, LATERAL %s(q.sequence, %s) m JOIN proteins p ON p.protein_idx = m.protein_idx AND matches_at(p.sequence, m.off, q.sequence, %s)"
+    hits = lambda f, e: spark.sql(query % (f, e, e), q=asked_)
+    assert sorted(map(tuple, hits("matches", "false").collect())) == [(0, 0, 0), (1, 0, 9), (1, 1, 0)]
+    assert sorted(map(tuple, hits("short_matches", "false").collect())) == [(3, 2, 1), (4, 2, 0)]
+    assert sorted(map(tuple, hits("short_matches", "true").collect())) == sorted((ord_, *at) for ord_ in (3, 4) for at in ((0, 7), (2, 0), (2, 1), (2, 2)))
+    plan = hits("matches", "true")._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_dictionary_grows_at_its_end(spark):
+    first = spark.createDataFrame([(1, "GO:5;GO:3"), (2, None)], "k int, fa string")
+    second = spark.createDataFrame([(3, "GO:1;GO:3;GO:4;"), (4, "")], "k int, fa string")
+    one = annotations.extend_dictionary(spark.createDataFrame([], "code int, annotation string"), first, "fa")
+    two = annotations.extend_dictionary(one, second, "fa")
+    assert sorted(map(tuple, two.collect())) == [(0, "GO:3"), (1, "GO:5"), (2, "GO:1"), (3, "GO:4")]
+    codes = annotations.encode_codes(first, "k", "fa", one).union(annotations.encode_codes(second, "k", "fa", two))
+    assert {r.k: r.text for r in annotations.decode_codes(codes, "k", "codes", two).collect()} == {1: "GO:5;GO:3", 2: "", 3: "GO:1;GO:3;GO:4", 4: ""}
+    assert annotations.extend_dictionary(two, second, "fa").count() == 4
 
 
 def test_plans(spark, monkeypatch):
