@@ -25,6 +25,8 @@ other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import random
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -119,6 +121,10 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, containment: float = CON
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("text_key"), docs["text"].alias("text"))
     # explode_outer: for explode the optimizer would compute the array once more, to look for empty ones.
     each = rows.select("doc_id", "text_key", F.explode_outer(_let(shingles(F.col("text")), lambda x: _windows(x, STRIDE))).alias("w"))
+    if total <= BROADCAST_SHINGLES:  # a band is only shared by a window that holds a shingle of a template
+        low = [r.x for r in known.select(F.explode("sh").alias("x")).select(F.col("x").bitwiseAND(MASK).alias("x")).distinct().collect()]
+        held = [F.coalesce(F.col(f"w.s{k}").bitwiseAND(MASK).isin(low), F.lit(False)) for k in range(WINDOW)]
+        each = each.where(reduce(or_, held))
     singles = [_single(F.coalesce(F.col(f"w.s{k}"), F.lit(0))) for k in range(STRIDE)]
     sketched = each.select("doc_id", "text_key", F.col("w.at").alias("at"), F.explode_outer(F.array(*_sketch("w"), *singles)).alias("band"))
     # Only numbers of windows meet templates; a stretch as long as a template is verified once, however many of its windows do.
