@@ -47,7 +47,9 @@ SHARD, BLOCK, FAN = 1 << 18, 1 << 16, 8
 TEXT, ELEMENTS, ROW = 2 << 20, 1 << 19, 1024
 CACHE = 48 << 20
 #: Pairs are first counted in 2 ** BINS bins by hash; in a bin below ``least`` no pair is a candidate.
-BINS = 22
+BINS = 24
+#: A task tells again of a pair only after so many others.
+TOLD = 1 << 21
 U = np.uint64
 WORD_ENDS, PIECE_ENDS = b" \t", b".,;:!?\n\v\f\r"
 KIND = np.zeros(256, dtype=np.uint8)
@@ -300,13 +302,19 @@ def _pairs(stream: np.ndarray) -> np.ndarray:
     return np.flatnonzero((stream[:-1] >= 0) & (stream[1:] >= 0))
 
 
-def _distinct(stream: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    """The distinct pairs at the places ``at`` of a stream."""
+def _distinct(stream: np.ndarray, at: np.ndarray, told: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
+    """The distinct pairs at the places ``at`` of a stream whose hashes are not ``told``, and what is told then."""
     a, b = stream[at], stream[at + 1]
     h = pair_hash(a, b).view(np.int64)
     order, first = _runs(h, a, b)
     one = order[first]
-    return pa.RecordBatch.from_arrays([pa.array(h[one]), pa.array(a[one]), pa.array(b[one])], ["h", "a", "b"])
+    pairs = np.stack([h[one], a[one], b[one]])
+    place = np.minimum(np.searchsorted(told[0], pairs[0]), max(len(told[0]) - 1, 0))
+    known = (told[:, place] == pairs).all(axis=0) if told.size else np.zeros(len(one), bool)
+    pairs = pairs[:, ~known]
+    told = np.concatenate([told, pairs], axis=1) if told.shape[1] < TOLD else pairs
+    told = told[:, np.argsort(told[0], kind="stable")]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], ["h", "a", "b"]), told
 
 
 def _bins(h: np.ndarray) -> np.ndarray:
@@ -375,9 +383,10 @@ class Bins:
 
 def _candidates(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bins = Bins(path)
+        bins, told = Bins(path), np.empty((3, 0), dtype=np.int64)
         for stream in _joined(batches):
-            yield _distinct(stream, bins.pairs(stream))
+            found, told = _distinct(stream, bins.pairs(stream), told)
+            yield found
 
     return run
 
