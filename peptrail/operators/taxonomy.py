@@ -1,22 +1,25 @@
-"""Ancestor paths, snapping and lowest common ancestors as joins and counts."""
+"""Ancestor paths, snapping, and lowest common ancestors by intervals of taxon numbers."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peptrail.operators.settle import settle
+from peptrail.operators.settle import numbered, settle
 
 ROOT = 1
 DOUBLINGS = 40
+#: Taxa whose numbers are broadcast, some 32 bytes each.
+BROADCAST_TAXA = 2_000_000
 
 
 def lineage(taxonomy: DataFrame) -> DataFrame:
-    """``(id, rank, valid, path, depth, snapped)`` of ``taxonomy(id, name, rank, parent, valid)``.
+    """``(id, rank, valid, path, depth, snapped, first, last, line)`` of ``taxonomy(id, name, rank, parent, valid)``.
 
     Paths run from the root to the taxon. Each round joins paths end to end, so rounds grow
     with the logarithm of the depth. ``snapped`` is the nearest acceptable taxon on the path:
     the root, or one that is valid and has a rank. A taxon whose parents lead to no root is an error.
+    The rest is for intervals: see ``_with_intervals``.
     """
     rows = taxonomy.select("id", "rank", "parent", F.coalesce("valid", F.lit(False)).alias("valid"))
     own = F.struct("id", (F.col("valid") & (F.col("rank") != "no rank") | (F.col("id") == F.col("parent"))).alias("ok"))
@@ -30,8 +33,28 @@ def lineage(taxonomy: DataFrame) -> DataFrame:
         paths = settle(joined.select("id", F.when(F.col("above").isNotNull() & F.col("there").isNull(), lost.cast("long")).otherwise(F.col("next")).alias("above"), F.concat(F.coalesce("upper", F.array().cast(paths.schema["steps"].dataType)), "steps").alias("steps")))
     else:
         raise ValueError("the taxonomy has a cycle")
-    snapped = F.element_at(F.filter("steps", lambda x: x["ok"]), -1)["id"]
-    return rows.drop("parent").join(paths.select("id", "steps"), "id").select("id", "rank", "valid", F.transform("steps", lambda x: x["id"]).alias("path"), (F.size("steps") - 1).alias("depth"), snapped.alias("snapped"))
+    snapped = lambda steps: F.element_at(F.filter(steps, lambda x: x["ok"]), -1)["id"]
+    whole = rows.drop("parent").join(paths.select("id", "steps"), "id").select("id", "rank", "valid", F.transform("steps", lambda x: x["id"]).alias("path"), (F.size("steps") - 1).alias("depth"), snapped(F.col("steps")).alias("snapped"))
+    return _with_intervals(settle(whole))
+
+
+def _with_intervals(paths: DataFrame) -> DataFrame:
+    """``paths`` with ``first`` and ``last``, the numbers of each taxon and of the last one below it, and ``line``: ``(id, last, snapped)`` of each step of its path.
+
+    Taxa are numbered in the order of their paths, so those below a taxon follow it without gaps.
+    """
+    below = paths.select(F.explode("path").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("_size"))
+    order = numbered(paths.select("id", "path"), ["path"], "first").select("id", "first")
+    placed = settle(paths.join(order, "id").join(below, "id").withColumn("last", F.col("first") + F.col("_size") - 1).drop("_size"))
+    steps = placed.select(F.col("id").alias("taxon"), F.posexplode("path").alias("at", "id"))
+    ends = _near(placed.select("id", "last", "snapped"))
+    lines = steps.join(ends, "id").groupBy("taxon").agg(F.sort_array(F.collect_list(F.struct("at", "id", "last", "snapped"))).alias("line"))  # as long as the taxonomy is deep
+    return settle(placed.join(lines.select(F.col("taxon").alias("id"), F.transform("line", lambda x: F.struct(x["id"].alias("id"), x["last"].alias("last"), x["snapped"].alias("snapped"))).alias("line")), "id"))
+
+
+def _near(taxa: DataFrame) -> DataFrame:
+    """A few numbers a taxon, broadcast where they are few enough; a larger table is joined as it is."""
+    return F.broadcast(taxa) if taxa.count() <= BROADCAST_TAXA else taxa
 
 
 def known(rows: DataFrame, taxonomy: DataFrame, taxon: str = "taxon_id") -> DataFrame:
@@ -44,23 +67,22 @@ def clean(rows: DataFrame, taxonomy: DataFrame, taxon: str = "taxon_id") -> Data
     return known(rows, taxonomy.where("valid"), taxon)
 
 
-def _above(members: DataFrame, paths: DataFrame, group: str) -> DataFrame:
-    """Per group and ancestor (members included): depth and the number of members below or at it."""
-    each = members.join(paths.select(F.col("id").alias("taxon"), "path"), "taxon").select(group, F.posexplode("path").alias("depth", "ancestor"))
-    return each.groupBy(group, "ancestor", "depth").agg(F.count(F.lit(1)).alias("n"))
-
-
 def lowest_common_ancestor(rows: DataFrame, paths: DataFrame, group: str, taxon: str = "taxon_id", star: bool = False) -> DataFrame:
-    """``(group, ancestor, lca)``: the lowest common ancestor of each group's taxa, and it snapped.
+    """``(group, ancestor, lca)``: the lowest common ancestor of each group's taxa, and it snapped; unknown taxa do not count.
 
-    Taxa are counted under each of their ancestors; the deepest ancestor with all of them is
-    the answer, so no group is ever collected. With ``star``, taxa that are ancestors of
-    other taxa of the group are left out first.
+    The first and the last taxon of a group, by number, have the ancestor that all have. So a group
+    is one row of two numbers, put together before it is shuffled, whatever its size and the depth of the taxonomy.
+    With ``star``, taxa that are ancestors of other taxa of the group are left out: the first one left
+    is the one whose own interval ends first (the deepest of these), and the last one is the same.
     """
-    members = rows.select(group, F.col(taxon).alias("taxon")).distinct()
-    counted = _above(members, paths, group)
-    if star:
-        inner = counted.where("n > 1").select(group, F.col("ancestor").alias("taxon"))
-        counted = _above(members.join(inner, [group, "taxon"], "left_anti"), paths, group)
-    deepest = counted.groupBy(group).agg(F.max(F.struct("n", "depth", "ancestor")).alias("x")).select(group, F.col("x.ancestor").alias("ancestor"))
-    return deepest.join(paths.select(F.col("id").alias("ancestor"), F.col("snapped").alias("lca")), "ancestor").select(group, "ancestor", "lca")
+    numbers = _near(paths.select(F.col("id").alias("_taxon"), F.col("first").alias("_first"), F.col("last").alias("_last")))
+    members = rows.select(group, F.col(taxon).alias("_taxon")).join(numbers, "_taxon")
+    start = F.struct(F.col("_last") if star else F.col("_first"), -F.col("_first"), "_taxon")
+    return ancestor_of_interval(members.groupBy(group).agg(F.min(start)["_taxon"].alias("_least"), F.max("_first").alias("_greatest")), paths).select(group, "ancestor", "lca")
+
+
+def ancestor_of_interval(rows: DataFrame, paths: DataFrame) -> DataFrame:
+    """``rows`` with ``ancestor`` and ``lca``: the lowest ancestor of taxon ``_least`` whose interval holds the number ``_greatest``, and it snapped."""
+    steps = paths.select(F.col("id").alias("_least"), F.col("line").alias("_line"))
+    found = F.element_at(F.filter("_line", lambda x: x["last"] >= F.col("_greatest")), -1)
+    return rows.join(steps, "_least").withColumn("_found", found).where("_found is not null").select(*(c for c in rows.columns if not c.startswith("_")), F.col("_found.id").alias("ancestor"), F.col("_found.snapped").alias("lca"))

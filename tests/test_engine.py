@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from peptrail.functions import annotations
 from peptrail.operators import array_search, index, search, settle, stored
+from peptrail.operators import taxonomy as taxonomy_
 from peptrail.operators.taxonomy import lineage, lowest_common_ancestor
 from peptrail.plans import sql
 from peptrail.plans.engine import PeptideEngine, document, write_json
@@ -68,6 +69,31 @@ def test_common_ancestors(spark, taxonomy):
         lineage(taxonomy.where("id <> 6")).collect()
 
 
+def test_ancestors_of_random_groups(spark, monkeypatch):
+    """Groups of one taxon to all of them, chains among them, against paths compared one by one; joined either way."""
+    draw = random.Random(5)
+    parent = {1: 1}
+    for i in range(2, 61):  # numbers that do not follow the tree, and one long chain
+        parent[(i * 37) % 61 + 1] = draw.choice([*parent]) if i % 3 else [*parent][-1]
+    rows = [(i, f"t{i}", draw.choice(["no rank", "genus"]), p, draw.random() < 0.7) for i, p in parent.items()]
+    up = lambda t: up(parent[t]) + [t] if parent[t] != t else [t]
+    paths = lineage(spark.createDataFrame(rows, "id long, name string, rank string, parent long, valid boolean"))
+    snapped = {r.id: r.snapped for r in paths.collect()}
+    groups = {g: draw.choices([*parent], k=draw.choice([1, 2, 3, 5, 200])) for g in range(80)} | {80: up(draw.choice([*parent])), 81: [*parent]}
+    members = spark.createDataFrame([(g, t) for g, ts in groups.items() for t in [*ts, 10_000]], "g int, taxon_id long")
+    for star in (False, True):
+        want = set()
+        for g, ts in groups.items():
+            left = {t for t in ts if not star or not any(t in up(x)[:-1] for x in ts)}
+            ancestor = [a for a in up(min(left)) if all(a in up(t) for t in left)][-1]
+            want.add((g, ancestor, snapped[ancestor]))
+        for most in (100, 10):
+            monkeypatch.setattr(taxonomy_, "BROADCAST_TAXA", most)
+            assert {tuple(r) for r in lowest_common_ancestor(members, paths, "g", star=star).collect()} == want
+    plan = lowest_common_ancestor(members, paths, "g")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("Aggregate") == 1  # a group is two numbers, at any depth
+
+
 def test_suffix_order_of_long_repeats(spark):
     """Ties far beyond the letters that suffixes are first ordered by, in and across proteins."""
     sequences = ["AB" * 60, "K" * 150, "AB" * 70 + "C", "", "AB" * 60, "K" * 33, "AB" * 60]
