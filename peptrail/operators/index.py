@@ -21,13 +21,18 @@ LETTERS = 16
 HEAD = 32
 
 
-def _doubled(ranked: DataFrame, at: str, step: int = 1) -> DataFrame:
-    """``ranked`` by whole texts from each ``at`` on, given ``r``: ranks, from 1 without gaps, of their first ``step`` places."""
+def _doubled(ranked: DataFrame, at: str, step: int = 1, rounds: list[tuple[int, DataFrame]] | None = None) -> DataFrame:
+    """``ranked`` by whole texts from each ``at`` on, given ``r``: ranks, from 1 without gaps, of their first ``step`` places.
+
+    ``rounds`` is told of the ranks that do not tell all texts apart, with their ``step``.
+    """
     others = [c for c in ranked.columns if c != "r"]
     while True:
         n = ranked.agg(F.count(F.lit(1)).alias("rows"), F.max("r").alias("kinds")).first()
         if n.rows == (n.kinds or 0):
             return ranked
+        if rounds is not None:
+            rounds.append((step, ranked))
         ahead = ranked.select((F.col(at) - step).alias(at), F.col("r").alias("r2"))
         pairs = ranked.join(ahead, at, "left").select(*others, "r", F.coalesce("r2", F.lit(0)).alias("r2"))
         order = numbered(pairs.select("r", "r2").distinct(), ["r", "r2"], "next", 1)
@@ -60,18 +65,31 @@ def suffix_array(prepared: DataFrame, sparseness: int = 1) -> DataFrame:
     """
     if not 1 <= sparseness <= 255:
         raise ValueError("sparseness must be 1 to 255")
-    head = -(-HEAD // sparseness) * sparseness  # the suffix so far ahead is in the array, too
+    step = -(-HEAD // sparseness) * sparseness  # the suffix so far ahead is in the array, too
+    ranks = _doubled(settle(_by_heads(prepared, sparseness, step).select("pos", "protein_idx", "r")), "pos", step)
+    return ranks.select((F.col("r") - 1).alias("rank"), "pos", "protein_idx")
+
+
+def _by_heads(prepared: DataFrame, sparseness: int, head: int) -> DataFrame:
+    """``(pos, protein_idx, head, rest, r)``: rank of each suffix by ``head`` letters, and by ``tail`` where its protein ends in them; ``rest`` counts the letters up to that end."""
     text = prepared.select("protein_idx", "start_pos", "tail", F.col("closed").cast("binary").alias("closed"))
     body = text.select("*", F.explode(F.sequence(F.lit(0), F.length("closed") - 1)).alias("off"), F.length("closed").alias("size"))
     at = body.where(F.pmod(F.col("start_pos") + F.col("off"), F.lit(sparseness)) == 0).select(
         (F.col("start_pos") + F.col("off")).alias("pos"),
         F.when(F.col("off") < F.col("size") - 1, F.col("protein_idx")).alias("protein_idx"),
         F.expr(f"substring(closed, off + 1, {head})").alias("head"),
+        (F.col("size") - 1 - F.col("off")).alias("rest"),
         F.when(F.col("size") - F.col("off") <= head, F.col("tail")).otherwise(0).alias("after"),
     )
     order = numbered(at.select("head", "after").distinct(), ["head", "after"], "r", 1)
-    ranks = _doubled(settle(at.join(order, ["head", "after"]).select("pos", "protein_idx", "r")), "pos", head)
-    return ranks.select((F.col("r") - 1).alias("rank"), "pos", "protein_idx")
+    return at.join(order, ["head", "after"]).drop("after")
+
+
+def ranked_suffixes(prepared: DataFrame) -> tuple[DataFrame, DataFrame, list[tuple[int, DataFrame]]]:
+    """The suffix array, its suffixes by their first ``HEAD`` letters (see ``_by_heads``), and the ranks that came before: ``(letters, (pos, r))``."""
+    heads, rounds = settle(_by_heads(prepared, 1, HEAD)), []
+    ranks = _doubled(heads.select("pos", "protein_idx", "r"), "pos", HEAD, rounds)
+    return ranks.select((F.col("r") - 1).alias("rank"), "pos", "protein_idx"), heads, [(step, r.select("pos", "r")) for step, r in rounds]
 
 
 def protein_at(positions: DataFrame, prepared: DataFrame, block: int = 4096, marks: bool = False) -> DataFrame:

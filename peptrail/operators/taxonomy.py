@@ -77,12 +77,16 @@ def lowest_common_ancestor(rows: DataFrame, paths: DataFrame, group: str, taxon:
     """
     numbers = _near(paths.select(F.col("id").alias("_taxon"), F.col("first").alias("_first"), F.col("last").alias("_last")))
     members = rows.select(group, F.col(taxon).alias("_taxon")).join(numbers, "_taxon")
-    start = F.struct(F.col("_last") if star else F.col("_first"), -F.col("_first"), "_taxon")
-    return ancestor_of_interval(members.groupBy(group).agg(F.min(start)["_taxon"].alias("_least"), F.max("_first").alias("_greatest")), paths).select(group, "ancestor", "lca")
+    start = -F.min(F.struct("_last", (-F.col("_first")).alias("x")))["x"] if star else F.min("_first")
+    ends = members.groupBy(group).agg(start.alias("least"), F.max("_first").alias("greatest"))
+    return ancestor_of_interval(ends, paths).where("ancestor is not null").select(group, "ancestor", "lca")
 
 
 def ancestor_of_interval(rows: DataFrame, paths: DataFrame) -> DataFrame:
-    """``rows`` with ``ancestor`` and ``lca``: the lowest ancestor of taxon ``_least`` whose interval holds the number ``_greatest``, and it snapped."""
-    steps = paths.select(F.col("id").alias("_least"), F.col("line").alias("_line"))
-    found = F.element_at(F.filter("_line", lambda x: x["last"] >= F.col("_greatest")), -1)
-    return rows.join(steps, "_least").withColumn("_found", found).where("_found is not null").select(*(c for c in rows.columns if not c.startswith("_")), F.col("_found.id").alias("ancestor"), F.col("_found.snapped").alias("lca"))
+    """``rows(least, greatest, …)`` of taxon numbers with their lowest common ``ancestor`` and it snapped, ``lca``, instead; null where there is none.
+
+    It is the lowest one of ``least`` whose interval holds ``greatest``.
+    """
+    steps = paths.select(F.col("first").alias("least"), F.col("line").alias("_line"))
+    found = F.element_at(F.filter("_line", lambda x: x["last"] >= F.col("greatest")), -1)
+    return rows.join(steps, "least", "left").withColumn("_found", found).select(*(c for c in rows.columns if c not in ("least", "greatest")), F.col("_found.id").alias("ancestor"), F.col("_found.snapped").alias("lca"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peptrail.functions import annotations
-from peptrail.operators import array_search, functional, index, search
+from peptrail.operators import array_search, functional, index, prefixes, search
 from peptrail.operators.settle import running_sum, settle, shared_path
 from peptrail.operators.taxonomy import lowest_common_ancestor
 from peptrail.plans import sql, tables
@@ -19,7 +19,7 @@ from peptrail.streaming.requests import answer_stream, hit_stream, read_requests
 
 BOUNDS = ("BOLT", "I", "LL", "WIDGET", "S", "ZZZZ")
 MARKED = ("E-S", "L-", "-", "$", "K-B", "T-S")
-_engines: dict[tuple, PeptideEngine] = {}
+_engines: dict[tuple, PeptideEngine | array_search.StoredArray | DataFrame] = {}
 
 
 def engine(spark: SparkSession, sf_dir: str, sparseness: int = 1) -> PeptideEngine:
@@ -276,12 +276,12 @@ def sql_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"{one % 'matches'} UNION ALL {one % 'short_matches'}", peptides=tables.peptides(spark))
 
 
-def stored_array(spark: SparkSession, sf_dir: str) -> array_search.StoredArray:
-    """An array of every third suffix, written once in a session with its fences."""
-    key = (spark.sparkContext.applicationId, sf_dir, "array")
+def stored_array(spark: SparkSession, sf_dir: str, sparseness: int = 3) -> array_search.StoredArray:
+    """An array of every ``sparseness``-th suffix, written once in a session with its fences."""
+    key = (spark.sparkContext.applicationId, sf_dir, "array", sparseness)
     if key not in _engines:
         prepared, path = engine(spark, sf_dir).proteins, shared_path(spark, "array")
-        array_search.write_array(index.suffix_array(prepared, 3), prepared, path, 3)
+        array_search.write_array(index.suffix_array(prepared, sparseness), prepared, path, sparseness)
         _engines[key] = array_search.StoredArray(spark, path, prepared)
     return _engines[key]
 
@@ -346,6 +346,27 @@ def prefix_lca_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.prefix_lca(e.proteins, e.paths, index.SEED)
 
 
+def _intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir, "intervals")
+    if key not in _engines:
+        e = engine(spark, sf_dir)
+        _engines[key] = settle(prefixes.prefix_intervals(e.proteins, e.paths))
+    return _engines[key]
+
+
+def prefix_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated prefixes of every length, as intervals of the suffix array."""
+    return _intervals(spark, sf_dir)
+
+
+def taxon_by_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The common ancestor of pieces of all proteins by their bounds in the stored array, without a list of their occurrences."""
+    array, asked = stored_array(spark, sf_dir, 1), tables.cut_peptides(spark, sf_dir).select(F.translate("sequence", "L", "I").alias("pep")).where("pep <> ''").distinct()
+    bounds = array.bounds(asked.select(F.col("pep").cast("binary").alias("pep_il")))
+    found = prefixes.taxa_of_bounds(bounds, _intervals(spark, sf_dir), array, engine(spark, sf_dir).paths)
+    return found.select(F.col("pep_il").cast("string").alias("pep"), (F.col("hi") - F.col("lo")).alias("n"), F.col("lca").alias("taxon"))
+
+
 def protein_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The slice ``(begin, size)`` of each protein in the text."""
     return engine(spark, sf_dir).proteins.select("protein_idx", "uniprot_id", F.col("start_pos").alias("begin"), F.length("sequence").cast("long").alias("size"))
@@ -370,7 +391,7 @@ _QUERIES = (
     pack_annotations, code_annotations, suffix_array, suffix_to_protein, search_bounds, seed_index, prefix_lca, protein_starts, request_defaults, benchmark_passages,
     occurrences_stored, analyse_stored, proteins_file, plain_proteins_file, taxonomy_file, peptides_file, suffix_array_file, analyse_loaded, analyse_unannotated, analysis_json, stream_answers, stream_hits, tree_text,
     extend_codes, sql_pack, sql_search, bounds_stored, occurrences_array,
-    suffix_array_whole, suffix_to_protein_whole, search_bounds_whole, prefix_lca_whole,
+    suffix_array_whole, suffix_to_protein_whole, search_bounds_whole, prefix_lca_whole, prefix_intervals, taxon_by_interval,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _QUERIES}
 
@@ -540,3 +561,14 @@ ranked AS (SELECT pos, row_number() OVER (ORDER BY substr(ti, CAST(pos AS INT) +
 spot AS (SELECT *, translate(s, 'L', 'I') AS f, unnest(range(0, length(s))) AS off FROM st),
 hit AS (SELECT pep, idx, off, start + off AS pos, CAST((3 - (start + off) % 3) % 3 AS INT) AS skip FROM pep JOIN spot ON substr(f, CAST(off AS INT) + 1, 3) = substr(p, 1, 3) AND substr(f, CAST(off AS INT) + 1, length(p)) = p)
 SELECT pep, idx AS protein_idx, CAST(off AS INT) AS off, skip, rank FROM hit JOIN ranked ON ranked.pos = hit.pos + skip"""
+# The first 400 letters tell all suffixes of these tables apart. A prefix is listed if no letter follows all its occurrences.
+ORACLE["prefix_intervals"] = f"""WITH RECURSIVE {_PROT}, {_TAX}, spot AS (SELECT taxon_id, translate(s, 'L', 'I') AS f, start, unnest(range(0, length(s))) AS off FROM st),
+ranked AS (SELECT taxon_id, substr(f, CAST(off AS INT) + 1) AS f, row_number() OVER (ORDER BY substr(ti, CAST(start + off AS INT) + 1, 400)) + (SELECT count(*) FROM st) - 1 AS rank FROM spot, txt),
+pre AS (SELECT taxon_id, rank, substr(f, 1, CAST(k AS INT)) AS g FROM (SELECT *, unnest(range(1, length(f) + 1)) AS k FROM ranked)),
+tally AS (SELECT g, count(*) AS n, min(rank) AS first_rank FROM pre GROUP BY g), more AS (SELECT substr(g, 1, length(g) - 1) AS g, max(n) AS most FROM tally GROUP BY 1),
+node AS (SELECT tally.* FROM tally LEFT JOIN more USING (g) WHERE n > 1 AND n > coalesce(most, 0)), {_lca("SELECT DISTINCT g, taxon_id FROM pre JOIN node USING (g)")}
+SELECT length(g) AS length, first_rank, n, lca FROM node JOIN lca USING (g)"""
+ORACLE["taxon_by_interval"] = f"""WITH RECURSIVE {_PROT}, {_TAX}, {_CUT}, pep AS (SELECT DISTINCT translate(sequence, 'L', 'I') AS p FROM cut_pep WHERE sequence <> ''),
+spot AS (SELECT taxon_id, translate(s, 'L', 'I') AS f, unnest(range(0, length(s))) AS off FROM st),
+hit AS (SELECT p AS g, taxon_id FROM pep JOIN spot ON substr(f, CAST(off AS INT) + 1, 3) = substr(p, 1, 3) AND substr(f, CAST(off AS INT) + 1, length(p)) = p), {_lca("SELECT DISTINCT g, taxon_id FROM hit")}
+SELECT g AS pep, count(*) AS n, any_value(lca) AS taxon FROM hit JOIN lca USING (g) GROUP BY g"""

@@ -1,14 +1,16 @@
 """Fixed vectors of annotation packing, taxonomy and search, a random model, files and requests."""
 
 import json
+import os
 import pathlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from peptrail.functions import annotations
-from peptrail.operators import array_search, index, search, settle, stored
+from peptrail.operators import array_search, index, prefixes, search, settle, stored
 from peptrail.operators import taxonomy as taxonomy_
 from peptrail.operators.taxonomy import lineage, lowest_common_ancestor
 from peptrail.plans import sql
@@ -115,6 +117,45 @@ def test_suffix_order(spark):
     assert [r.protein_idx for r in at.orderBy("pos").collect()] == [0, 0, 0, None, 1, 1, None, 2, 2, 2, None]
 
 
+@pytest.mark.parametrize(("size", "fan"), [(1 << 18, 16), (7, 2)])
+def test_prefix_intervals(spark, taxonomy, tmp_path, size, fan):
+    """Every repeated prefix against a count of all prefixes, with repeats far beyond the first letters; folded in one range and in many."""
+    draw = random.Random(9)
+    sequences = ["".join(draw.choices("AILKC", k=draw.randrange(0, 12))) for _ in range(25)] + ["K" * 140, "IL" * 50 + "C", "LI" * 50, "IL" * 50, "", "A"]
+    taxa = {i: draw.choice([7, 9, 11, 13, 19, 21, 999]) for i in range(len(sequences))}
+    prepared, paths = index.prepare(database(spark, sequences, taxa)), lineage(taxonomy)
+    text, up = "-".join(sequences).replace("L", "I") + "$", {r.id: r.path for r in paths.collect()}
+    order = sorted(range(len(text)), key=lambda p: text[p:])
+    owner = [i for i, s in enumerate(sequences) for _ in range(len(s) + 1)]
+    ends = [re.search("[-$]", text[p:]).start() for p in range(len(text))]
+    got = {r.rank: r.shared for r in prefixes.shared_letters(prepared).collect()}
+    share = lambda p, q: len(os.path.commonprefix([text[p : p + ends[p]], text[q : q + ends[q]]]))
+    assert got == {r: share(order[r - 1], p) if r else 0 for r, p in enumerate(order)}
+    at = {}
+    for rank, p in enumerate(order):
+        for k in range(1, ends[p] + 1):
+            at.setdefault(text[p : p + k], []).append(rank)
+    longer = {x[:-1] for x in at if len(at[x]) == len(at.get(x[:-1], ""))}
+    snapped = {r.id: r.snapped for r in paths.collect()}
+
+    def lca(ranks):
+        lines = [up[taxa[owner[order[r]]]] for r in ranks if taxa[owner[order[r]]] in up]
+        common = os.path.commonprefix(lines)
+        return snapped[common[-1]] if common else None
+
+    want = {(len(x), ranks[0], len(ranks), lca(ranks)) for x, ranks in at.items() if len(ranks) > 1 and x not in longer}
+    table = prefixes.prefix_intervals(prepared, paths, size, fan).cache()
+    rows = table.collect()
+    assert {tuple(r) for r in rows} == want and len(rows) == len(want)
+    if fan > 2:
+        array_search.write_array(index.suffix_array(prepared), prepared, str(tmp_path / "sa"), 1, step=16)
+        array = array_search.StoredArray(spark, str(tmp_path / "sa"), prepared)
+        asked_ = [*draw.sample([*at], 40), "K" * 140, "ZZ"]
+        bounds = array.bounds(spark.createDataFrame([(p.encode(),) for p in asked_], "pep_il binary"))
+        answers = {bytes(r.pep_il).decode(): r.lca for r in prefixes.taxa_of_bounds(bounds, table, array, paths).collect()}
+        assert answers == {p: lca(at[p]) for p in asked_ if p in at}
+
+
 @pytest.mark.parametrize("sparseness", [1, 3])
 def test_random_model(spark, taxonomy, sparseness):
     """Order, cutoff and repeated proteins, against a walk over the whole text."""
