@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from peptrail.llm import scratch, textscan
 from peptrail.llm.embedding_dedup import near_vectors
-from peptrail.llm.fingerprints import canonical, edit_stability, fingerprints
+from peptrail.llm.fingerprints import canonical, digest, edit_stability, fingerprints
 from peptrail.llm.license_scan import TEMPLATES, scan_licenses
 from peptrail.llm.mixing import mix_sources, mixed
 from peptrail.llm.near_dedup import near_duplicates
@@ -209,11 +209,33 @@ def test_fingerprints(spark, docs, rows):
         g = got[r[0]]
         assert (g.n_chars, g.edited_sha256) == (len(a), hashlib.sha256(edited.encode()).hexdigest())
         assert g.near_next == float(canonical(a) == canonical(b)) and g.near_edited == float(canonical(a) == canonical(edited))
+        assert g.fingerprint.isalnum() and g.edited_fingerprint.isalnum()
     copies = {r.doc_id: r.first for r in fingerprints(spark, docs).collect()}
     plain = [canonical(r[1]) for r in rows]
     assert copies == {i: plain.index(p) for i, p in enumerate(plain)}
 
 
+@pytest.mark.parametrize("width", [1, 2])
+def test_fingerprints_of_crowded_buckets(spark, docs, rows, width):
+    """Sixteen, or 256, hashes for all texts: every bucket holds several, of documents and edited ones."""
+    order = sorted(rows, reverse=True)
+    got = {r.doc_id: r for r in edit_stability(spark, docs, width).collect()}
+    names, plains = collections.defaultdict(set), collections.defaultdict(set)
+    for r, following in zip(order, [*order[1:], order[0]], strict=True):
+        a, b = r[1] or "", following[1] or ""
+        half, g = len(a) // 2, got[r[0]]
+        edited = a[: len(a) - half] + b[:half]
+        for text, name in ((a, g.fingerprint), (edited, g.edited_fingerprint)):
+            names[canonical(text)].add(name)
+            plains[name].add(canonical(text))
+            assert name.split("-")[0] == digest(canonical(text), width)[0]
+        assert g.near_next == float(canonical(a) == canonical(b)) and g.near_edited == float(canonical(a) == canonical(edited))
+    assert all(len(x) == 1 for x in [*names.values(), *plains.values()]) and any("-2" in x for x in plains)
+    plain = [canonical(r[1]) for r in rows]
+    found = fingerprints(spark, docs, width).collect()
+    assert {r.doc_id: (r.first, r.copies) for r in found} == {i: (plain.index(p), plain.count(p)) for i, p in enumerate(plain)}
+
+
 def test_packing(spark, docs, rows):
     lengths, counts = np.array([3, 5, 8, 13, 40]), np.array([4, 1, 9, 2, 3])
 
