@@ -153,12 +153,12 @@ class PeptideEngine:
         return search.exists(self.proteins, peptides, index=self.seeds, stored=self.stored)
 
     def matches(self, peptides: DataFrame) -> DataFrame:
-        """``(ord, sequence, sequences)``: the protein of every occurrence, in order of the text; for lists to be read, as an answer holds its matches."""
-        named = peptides.withColumn("pep", normal(F.col("sequence"))).drop("sequence")
-        hits = search.occurrences(self.proteins, named, False, self.seed, ["protein_idx", "sequence"], self.seeds, self.stored).where("protein_idx is not null")
-        lists = hits.groupBy("pep").agg(F.transform(F.array_sort(F.collect_list(F.struct("protein_idx", "off", "sequence"))), lambda x: x["sequence"]).alias("sequences"))
+        """``(ord, sequence, protein_idx, off, match)``: a row with the protein's letters for every occurrence; one with nulls without any."""
         asked = peptides.withColumn("pep", normal(F.col("sequence")))
-        return asked.join(lists, "pep", "left").select("ord", "sequence", F.coalesce("sequences", F.array().cast("array<string>")).alias("sequences"))
+        hits = search.occurrences(self.proteins, asked.select("pep").distinct(), False, self.seed, ["protein_idx"], self.seeds, self.stored)
+        hits = settle(hits.where("protein_idx is not null").select("pep", "protein_idx", "off"))
+        texts = self.proteins.select("protein_idx", F.col("sequence").alias("match"))
+        return asked.join(hits.join(texts, "protein_idx"), "pep", "left").select("ord", "sequence", "protein_idx", "off", "match")
 
     def taxon(self, peptides: DataFrame) -> DataFrame:
         """``(ord, sequence, taxon)``: the snapped plain LCA of the peptide's proteins, null without a match.
@@ -177,15 +177,29 @@ def as_json(results: DataFrame) -> DataFrame:
     return results.select("ord", F.to_json(fields, {"ignoreNullFields": "false"}).alias("json"))
 
 
-def as_text(found: DataFrame) -> DataFrame:
-    """``(ord, text)`` of ``found`` of ``exists``, ``taxon`` or ``matches``: lines that say ``true`` or ``false``,
-    a taxon (``/``: none), or the number of matches and then one line for the sequence of each."""
+def as_lines(found: DataFrame) -> DataFrame:
+    """``(ord, protein_idx, off, text)`` of ``found`` of ``exists``, ``taxon`` or ``matches``: a line that says ``true`` or
+    ``false``, a taxon (``/``: none), or the number of matches and then a line for each; in this order of columns, nulls first."""
+    nowhere = [F.lit(None).cast("long").alias("protein_idx"), F.lit(None).cast("int").alias("off")]
     if "found" in found.columns:
-        return found.select("ord", F.col("found").cast("string").alias("text"))
+        return found.select("ord", *nowhere, F.col("found").cast("string").alias("text"))
     if "taxon" in found.columns:
-        return found.select("ord", F.coalesce(F.col("taxon").cast("string"), F.lit("/")).alias("text"))
-    head = F.concat(F.lit("found "), F.size("sequences").cast("string"), F.lit(" matches"))
-    return found.select("ord", F.array_join(F.concat(F.array(head), F.transform("sequences", lambda x: F.concat(F.lit("* "), x))), "\n").alias("text"))
+        return found.select("ord", *nowhere, F.coalesce(F.col("taxon").cast("string"), F.lit("/")).alias("text"))
+    heads = found.groupBy("ord").agg(F.count("protein_idx").alias("n")).select("ord", *nowhere, F.concat(F.lit("found "), F.col("n").cast("string"), F.lit(" matches")).alias("text"))
+    return heads.union(found.where("protein_idx is not null").select("ord", "protein_idx", F.col("off").cast("int").alias("off"), F.concat(F.lit("* "), "match").alias("text")))
+
+
+def as_text(found: DataFrame) -> DataFrame:
+    """``(ord, text)``: the lines of each answer as one text, for lists to be read; write longer ones with ``write_text``."""
+    lists = as_lines(found).groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("protein_idx", "off", "text"))).alias("all"))
+    return lists.select("ord", F.array_join(F.transform("all", lambda x: x["text"]), "\n").alias("text"))
+
+
+def write_text(found: DataFrame, path: str) -> None:
+    """The lines of all answers as text in input order; an answer with many matches is spread over files."""
+    order = ["ord", "protein_idx", "off"]
+    shards = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    as_lines(found).repartitionByRange(shards, *order).sortWithinPartitions(*order).select("text").write.text(path)
 
 
 def write_json(results: DataFrame, path: str) -> None:

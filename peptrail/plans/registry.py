@@ -12,7 +12,7 @@ from peptrail.operators import array_search, functional, index, prefixes, search
 from peptrail.operators.settle import running_sum, settle, shared_path
 from peptrail.operators.taxonomy import lowest_common_ancestor
 from peptrail.plans import sql, tables
-from peptrail.plans.engine import PeptideEngine, as_json, as_text
+from peptrail.plans.engine import PeptideEngine, as_json, as_lines, as_text
 from peptrail.sources import files
 from peptrail.sources.files import requests
 from peptrail.streaming.requests import answer_stream, hit_stream, read_requests
@@ -164,6 +164,12 @@ def tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].union(parts[1]).union(parts[2])
 
 
+def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text answers for pieces of all proteins, a row a line; each piece is asked for once."""
+    pieces = tables.cut_peptides(spark, sf_dir).where("sequence <> ''").groupBy("sequence").agg(F.min("line").alias("ord"))
+    return as_lines(stored_engine(spark, sf_dir).matches(pieces))
+
+
 def occurrences_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = search.occurrences(engine(spark, sf_dir).proteins, tables.peptides(spark, MARKED).select(F.col("sequence").alias("pep")), True)
     return hits.groupBy("pep").agg(F.count(F.lit(1)).alias("hits"), F.count("protein_idx").alias("in_protein"), F.min(F.col("start_pos") + F.col("off")).alias("first_pos"))
@@ -389,7 +395,7 @@ _QUERIES = (
     occurrences_folded, occurrences_exact, occurrences_indexed, occurrences_marked, analyse_peptides, analyse_cutoff, analyse_clean,
     search_peptides, search_json, peptide_exists, tree_taxon, taxonomy_lineage, lca_groups, lca_star_groups, category_counts, annotation_counts,
     pack_annotations, code_annotations, suffix_array, suffix_to_protein, search_bounds, seed_index, prefix_lca, protein_starts, request_defaults, benchmark_passages,
-    occurrences_stored, analyse_stored, proteins_file, plain_proteins_file, taxonomy_file, peptides_file, suffix_array_file, analyse_loaded, analyse_unannotated, analysis_json, stream_answers, stream_hits, tree_text,
+    occurrences_stored, analyse_stored, proteins_file, plain_proteins_file, taxonomy_file, peptides_file, suffix_array_file, analyse_loaded, analyse_unannotated, analysis_json, stream_answers, stream_hits, tree_text, text_lines,
     extend_codes, sql_pack, sql_search, bounds_stored, occurrences_array,
     suffix_array_whole, suffix_to_protein_whole, search_bounds_whole, prefix_lca_whole, prefix_intervals, taxon_by_interval,
 )
@@ -544,6 +550,11 @@ hit AS (SELECT ord, count(*) AS n, string_agg(chr(10) || '* ' || s, '' ORDER BY
 SELECT 'match' AS mode, ord, CAST(EXISTS (SELECT 1 FROM prot WHERE contains(s, pep)) AS VARCHAR) AS text FROM pep
 UNION ALL SELECT 'taxon', ord, coalesce(CAST(lca AS VARCHAR), '/') FROM pep LEFT JOIN lca ON g = pep
 UNION ALL SELECT 'all', ord, 'found ' || coalesce(n, 0) || ' matches' || coalesce(x, '') FROM pep LEFT JOIN hit USING (ord)"""
+ORACLE["text_lines"] = f"""WITH {_PROT}, cut AS (SELECT idx, substr(s, CAST(1 + (idx + 1) % 5 AS INT), CAST(3 + (idx + 1) % 10 AS INT)) AS p FROM prot), pep AS (SELECT p, min(idx) AS ord FROM cut WHERE p <> '' GROUP BY p),
+spot AS (SELECT idx, s, unnest(range(0, length(s))) AS off FROM prot),
+hit AS (SELECT ord, idx, off, s FROM pep JOIN spot ON substr(s, CAST(off AS INT) + 1, 3) = substr(p, 1, 3) AND substr(s, CAST(off AS INT) + 1, length(p)) = p)
+SELECT ord, NULL::BIGINT AS protein_idx, NULL::INT AS off, 'found ' || count(idx) || ' matches' AS text FROM pep LEFT JOIN hit USING (ord) GROUP BY ord
+UNION ALL SELECT ord, idx, CAST(off AS INT), '* ' || s FROM hit"""
 #: Over every position, beside the sparse queries of the same name.
 ORACLE |= {f"{name}_whole": ORACLE[name].replace("range(0, length(ti), 7)", "range(0, length(ti))") for name in ("suffix_array", "suffix_to_protein", "search_bounds")}
 ORACLE["prefix_lca_whole"] = f"""WITH RECURSIVE {_PROT}, {_TAX}, spot AS (SELECT taxon_id, s, unnest(range(1, length(s) + 1)) AS i FROM prot),

@@ -14,7 +14,7 @@ from peptrail.operators import array_search, index, prefixes, search, settle, st
 from peptrail.operators import taxonomy as taxonomy_
 from peptrail.operators.taxonomy import lineage, lowest_common_ancestor
 from peptrail.plans import sql
-from peptrail.plans.engine import PeptideEngine, document, write_json
+from peptrail.plans.engine import PeptideEngine, document, write_json, write_text
 from peptrail.sources import files
 from peptrail.streaming.requests import answer_batch, answer_stream, hit_stream, read_requests
 
@@ -366,6 +366,22 @@ def test_written_order(spark, taxonomy, tmp_path):
     assert lines == [x for x in wanted if x != "ZZ"]
 
 
+def test_written_text(spark, taxonomy, tmp_path):
+    """Lines in the order of the list and of the text, also where one answer is spread over files."""
+    engine = PeptideEngine(database(spark, ["AACAA", "CAAC", "GG"] * 9), taxonomy)
+    wanted = ["GG", "aa", "ZZ", "AA"]
+    proteins = [s for s in ["AACAA", "CAAC", "GG"] * 9 for i in range(len(s)) if s.startswith("AA", i)]
+    expected = {
+        "matches": ["found 9 matches", *["* GG"] * 9, *["found 27 matches", *(f"* {s}" for s in proteins)], "found 0 matches", *["found 27 matches", *(f"* {s}" for s in proteins)]],
+        "exists": ["true", "true", "false", "true"],
+        "taxon": [str(r.taxon) if r.taxon else "/" for r in engine.taxon(asked(spark, *wanted)).orderBy("ord").collect()],
+    }
+    for mode, lines in expected.items():
+        write_text(getattr(engine, mode)(asked(spark, *wanted)), str(tmp_path / mode))
+        assert [x for p in sorted((tmp_path / mode).glob("part-*")) for x in p.read_text().splitlines()] == lines
+    assert len(list((tmp_path / "matches").glob("part-*"))) > 1
+
+
 def test_request_stream(spark, taxonomy, tmp_path):
     """Every request has one answer, also those without peptides or matches; a batch run again gives the same."""
     (tmp_path / "in").mkdir()
