@@ -18,7 +18,7 @@ from peptrail.llm.fingerprints import canonical, digest, edit_stability, fingerp
 from peptrail.llm.license_scan import TEMPLATES, scan_licenses
 from peptrail.llm.mixing import mix_sources, mixed
 from peptrail.llm.near_dedup import near_duplicates
-from peptrail.llm.packing import boundaries, pack
+from peptrail.llm.packing import boundaries, pack, padded_batches, tokenized
 from peptrail.llm.quality import classify
 from peptrail.llm.substring_dedup import substring_dedup
 from peptrail.llm.token_output import read_tokens, sequence_at, write_tokens
@@ -259,6 +259,46 @@ def test_packing(spark, docs, rows):
         assert len(batch) == 1 or len(batch) * batch[0].bucket_len <= 300
 
 
+def test_padding_of_long_documents_is_bounded(spark):
+    """Lengths above 511 are rounded in the histogram: at most 1/256 of the best boundaries' cost is lost."""
+    lengths = [draw.randrange(1, 4000) for _ in range(300)] + [3000] * 40
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "doc_id long, n int").withColumn("text", F.lit(None).cast("string"))
+    got = pack(spark, rows, buckets=5, length=F.col("n")).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == dict(enumerate(lengths))
+
+    def padding(values, cuts):
+        return sum(min(c for c in cuts if c >= x) - x for x in values)
+
+    raised = [n if n < 512 else math.ceil(n / 256 + n) for n in lengths]
+    counts = collections.Counter(raised)
+    cuts = boundaries(np.array(sorted(counts), dtype=float), np.array([counts[x] for x in sorted(counts)]), 5)
+    assert sum(r.padding for r in got) == padding(lengths, {r.bucket_len for r in got}) <= sum(min(c for c in cuts if c >= y) - x for x, y in zip(lengths, raised, strict=True))
+
+
+def test_padded_batches(spark, docs, rows):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, long = Tokenizer.from_file(path), prose(30_000)
+    more = docs.select("doc_id", "text", "key").union(spark.createDataFrame([(None, "a b", "x"), (4, "again", "x"), (900, long, "x")], "doc_id long, text string, key string"))
+    want = sorted(((i, [*encoder.encode(t or "", add_special_tokens=False).ids, 1]) for i, t in [*((r[0], r[1]) for r in rows), (None, "a b"), (4, "again"), (900, long)]), key=repr)
+    tokens = tokenized(spark, more, path)
+    assert sorted(((r.doc_id, list(r.ids)) for r in tokens.collect()), key=repr) == want
+    placed = {(r.batch, r.slot): r for r in pack(spark, tokens, buckets=4, budget=300, shard=8, length=F.size("ids")).collect()}
+    found = []
+    for b in padded_batches(tokens, buckets=4, budget=300, shard=8, pad=7).collect():
+        assert len(b.ids) == 1 or len(b.ids) * b.bucket_len <= 300
+        for slot, (doc_id, ids, mask) in enumerate(zip(b.doc_ids, b.ids, b.mask, strict=True)):
+            n = sum(mask)
+            assert len(ids) == len(mask) == b.bucket_len and mask == [True] * n + [False] * (b.bucket_len - n) and set(ids[n:]) <= {7}
+            p = placed.pop((b.batch, slot))
+            assert (p.doc_id, p.n_tokens, p.bucket_len) == (doc_id, n, b.bucket_len)
+            found.append((doc_id, ids[:n]))
+    assert not placed and sorted(found, key=repr) == want
+    assert padded_batches(tokenized(spark, docs.where("false"), path)).count() == 0
+
+
 def near_pairs(texts):
     """The pairs of texts with a weighted Jaccard similarity of 0.8 or more, TF-IDF over distinct texts."""
     shingles = [collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := words(t)) else collections.Counter() for t in texts]

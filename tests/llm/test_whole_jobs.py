@@ -13,11 +13,6 @@ import corpus_pipeline
 from peptrail.llm import quality
 from peptrail.llm.near_dedup import near_duplicates
 from peptrail.llm.quality import FOLDS, ORDER, classify, keep_good
-from peptrail.operators import search
-from peptrail.operators.index import SEED
-from peptrail.plans import registry
-
-FOLDER = "/root/testdata/sf0.001"
 
 draw = random.Random(11)
 VOCABULARY = ["".join(draw.choices("abcdefghijklmnop", k=draw.randrange(2, 9))) for _ in range(60)]
@@ -104,24 +99,6 @@ def test_near_dedup_tells_texts_under_one_id_apart(spark):
     assert kept == sorted([base, clean, more, "a b c d e f", next(t for t in (other, other + " end") if one[t][2])])
 
 
-@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the test tables")
-def test_registered_suffixes_are_every_position(spark):
-    starts = registry.QUERIES["protein_starts"](spark, FOLDER).collect()
-    size = max(r.begin + r.size for r in starts) + 1
-    for name in ("suffix_array_whole", "suffix_to_protein_whole"):
-        assert sorted(r.pos for r in registry.QUERIES[name](spark, FOLDER).collect()) == list(range(size))
-    hits = collections.Counter(r.pep for r in search.occurrences(registry.engine(spark, FOLDER).proteins, spark.createDataFrame([(x,) for x in registry.BOUNDS], "pep string"), True).collect())
-    assert {r.pep: r.hi - r.lo for r in registry.QUERIES["search_bounds_whole"](spark, FOLDER).collect()} == dict(hits)
-
-
-@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the test tables")
-def test_registered_prefixes_reach_the_seed_length(spark):
-    want = collections.Counter()
-    for r in registry.engine(spark, FOLDER).proteins.select("sequence").collect():
-        want.update(r.sequence[i : i + k] for i in range(len(r.sequence)) for k in range(1, SEED + 1) if i + k <= len(r.sequence))
-    assert {r.prefix: r.n for r in registry.QUERIES["prefix_lca_whole"](spark, FOLDER).collect()} == dict(want)
-
-
 def test_words_have_the_ids_of_whole_texts():
     """Random texts of capitals, combining marks, special tokens and Unicode spaces against the library."""
     import public_tokenizers
