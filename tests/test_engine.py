@@ -461,3 +461,21 @@ def test_plans(spark, monkeypatch):
     assert "WindowGroupLimit" in plan
     carried = next(x for x in plan.splitlines() if "Project" in x and "_head" in x)
     assert "closed#" not in carried.split("substring(closed")[0]
+
+
+def test_tables_of_small_files_are_not_broadcast(spark):
+    # A million rows of one value are a few kB of Parquet, and would all go through the driver.
+    rows = settle.settle(spark.range(1_000_000).select((F.col("id") % 10).alias("k"), F.lit("SAME").alias("text")))
+    other = settle.settle(spark.range(1_000_000).select((F.col("id") % 1000).alias("k")))
+    for how in ("inner", "left", "left_semi"):
+        assert "Broadcast" not in rows.join(other, "k", how)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" in rows.join(F.broadcast(other.distinct()), "k")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_occurrences_of_a_stored_index_are_not_broadcast(spark, taxonomy, tmp_path):
+    PeptideEngine(database(spark, ["MLPGLALLLLAAW", "PTDGNAGLLAE", "MLPGLALLLLAAW"] * 20), taxonomy).save(f"{tmp_path}/db")
+    engine = PeptideEngine.open(spark, f"{tmp_path}/db")
+    hits = engine.occurrences(spark.createDataFrame([("GLALL",), ("GNAG",)], "pep string"))
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert hits.count() == 60
