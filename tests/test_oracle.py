@@ -48,3 +48,23 @@ def test_registered_prefixes_reach_the_seed_length(spark):
     for r in registry.engine(spark, FOLDER).proteins.select("sequence").collect():
         want.update(r.sequence[i : i + k] for i in range(len(r.sequence)) for k in range(1, SEED + 1) if i + k <= len(r.sequence))
     assert {r.prefix: r.n for r in registry.QUERIES["prefix_lca_whole"](spark, FOLDER).collect()} == dict(want)
+
+
+@pytest.mark.parametrize("name", ["code_annotations", "extend_codes"])
+def test_proteins_that_share_a_cut_name(spark, tmp_path, name):
+    # Keys from a million on are cut to six digits: key 100000 shares its name with 1000003, in the other batch, and 1000005, in the same one.
+    keys = [(100000, 3), (1000003, 40), (1000005, 3), (7, 30)]
+    columns = "p_partkey long, p_size int, p_name string, p_brand string"
+    spark.createDataFrame([(k, z, "hot bolt", "b") for k, z in keys], columns).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    result = con.execute(registry.ORACLE[name])
+    columns = [d[0] for d in result.description]
+    want = [dict(zip(columns, r, strict=True)) for r in result.fetchall()]
+    got = [r.asDict() for r in registry.QUERIES[name](spark, str(tmp_path)).collect()]
+    # The SQL leaves open which protein's text is any_value, and the order of codes that share a place.
+    three = lambda r: sorted(r["codes"][i : i + 6] for i in range(0, len(r["codes"]), 6))
+    by = lambda r: (r["uniprot_id"], r.get("batch", 0))
+    assert sorted((by(r), three(r)) for r in got) == sorted((by(r), three(r)) for r in want)
+    texts = {f"EC:1.{z % 7}.1.-;GO:{k % 50:07d};IPR:IPR{z:06d}" for k, z in keys}
+    assert all(r["text"] in texts for r in got)
