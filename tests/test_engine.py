@@ -479,3 +479,16 @@ def test_occurrences_of_a_stored_index_are_not_broadcast(spark, taxonomy, tmp_pa
     plan = hits._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert hits.count() == 60
+
+
+def test_rounds_of_ranks_grow_with_few_of_them(spark, monkeypatch):
+    sequences = ["AC", "KR", "AC", "AC", "LM"] * 40  # the whole text repeats, so most places are told apart by its end only
+    calls = []
+    numbered = index.numbered
+    monkeypatch.setattr(index, "numbered", lambda *a: calls.append(a) or numbered(*a))
+    rows = index.prepare(database(spark, sequences)).collect()
+    text = ["-".join(s.replace("L", "I") for s in sequences[i:]) + "$" for i in range(len(sequences))]
+    want = sorted(range(len(text)), key=lambda i: text[i])
+    got = sorted((r for r in rows if r.tail), key=lambda r: r.tail)
+    assert [r.protein_idx + 1 for r in got] == [i for i in want if i]
+    assert len(calls) <= 1 + 3  # 200 places: eight in each round, not two
