@@ -44,7 +44,11 @@ SHELLS = 12
 POINT = 1e-6
 #: Rows of equal vectors find their point through so many copies of its name.
 SALTS = 8
-EPS = 1e-9
+#: Candidates for centers that a node's members are compared with at once, and children of a pair of nodes from which on
+#: and by how many at a time their distances are a product of matrices.
+BATCH, DENSE, BLOCK = 64, 256, 1 << 20
+#: More than a distance between unit vectors errs by rounding.
+EPS = 1e-7
 LAST = 2**63 - 1
 
 
@@ -106,8 +110,8 @@ class CoverTree:
         members = [np.arange(len(v))]
         centers, radius = [0], 2.0
         while True:
-            reach = [self.far(c, m) for c, m in zip(centers, members, strict=True)]
-            level = {"center": np.array(centers), "radius": np.array([x.max() for x in reach]), "members": members}
+            reach = [self.far(c, m) if len(m) > 1 else None for c, m in zip(centers, members, strict=True)]
+            level = {"center": np.array(centers), "radius": np.array([0.0 if x is None else x.max() for x in reach]), "members": members}
             self.levels.append(level)
             if radius < finest or level["radius"].max() <= finest:
                 level["size"] = np.array([len(m) for m in members])
@@ -115,22 +119,30 @@ class CoverTree:
             radius /= 2
             next_centers, next_members, child = [], [], [0]
             for c, m, d in zip(centers, members, reach, strict=True):
-                left = m
-                while len(left):
-                    near = d <= radius
-                    next_centers.append(c)
-                    next_members.append(left[near])
-                    left = left[~near]
-                    if len(left):
-                        c = left[0]
-                        d = self.far(c, left)
+                next_centers.append(c)
+                if d is None:
+                    next_members.append(m)
+                    child.append(len(next_centers))
+                    continue
+                near = d <= radius
+                next_members.append(m[near])
+                left = m[~near]
+                while len(left):  # the first that is left is a center, until all are within the radius of one
+                    within = 2 - 2 * (self.v[left] @ self.v[left[:BATCH]].T) <= radius * radius
+                    free = np.ones(len(left), bool)
+                    for k in range(within.shape[1]):
+                        if free[k]:
+                            own = within[:, k] & free
+                            own[k] = True
+                            next_centers.append(left[k])
+                            next_members.append(left[own])
+                            free &= ~own
+                    left = left[free]
                 child.append(len(next_centers))
             level["child"], level["members"] = np.array(child), None
             centers, members = next_centers, next_members
 
     def far(self, c: int, m: np.ndarray) -> np.ndarray:
-        if len(m) == 1 and m[0] == c:
-            return np.zeros(1)
         d = np.sqrt(np.maximum(0, 2 - 2 * (self.v[m] @ self.v[c])))
         d[m == c] = 0
         return d
@@ -142,6 +154,17 @@ def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (total - counts), counts) + np.arange(total[-1] if len(total) else 0)
 
 
+def _near(a: np.ndarray, x: dict, i: slice, b: np.ndarray, y: dict, j: slice, tau: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of the nodes ``i`` of one level and ``j`` of another, the pairs that their radii do not keep apart."""
+    rows = max(1, BLOCK // (j.stop - j.start))
+    centers, reach = b[y["center"][j]].T, y["radius"][j] + tau + EPS
+    for at in range(i.start, i.stop, rows):
+        part = slice(at, min(at + rows, i.stop))
+        g, h = np.nonzero(2 - 2 * (a[x["center"][part]] @ centers) <= np.square(x["radius"][part][:, None] + reach))
+        if len(g):
+            yield g + at, h + j.start
+
+
 def links(a: np.ndarray, b: np.ndarray | None, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs ``(i, j)`` with cosine >= threshold, of rows of ``a`` and ``b``, or i < j within ``a``."""
     tau = np.sqrt(2 - 2 * threshold)
@@ -162,24 +185,37 @@ def links(a: np.ndarray, b: np.ndarray | None, threshold: float) -> Iterator[tup
             if not len(p):
                 continue
             if out_a and out_b:
-                for m, n in zip(p, q, strict=True):
+                alone = (x["size"][p] == 1) & (y["size"][q] == 1)
+                r, s = (z[alone & (p != q)] if same else z[alone] for z in (p, q))
+                r, s = x["center"][r], y["center"][s]
+                good = np.einsum("ij,ij->i", a[r], b[s]) >= threshold
+                if good.any():
+                    yield r[good], s[good]
+                for m, n in zip(p[~alone], q[~alone], strict=True):
                     r, s = x["members"][m], y["members"][n]
-                    if len(r) == 1 and len(s) == 1:
-                        if not (same and m == n) and a[r[0]] @ b[s[0]] >= threshold:
-                            yield r, s
-                        continue
                     g, h = np.nonzero(a[r] @ b[s].T >= threshold)
                     if same and m == n:
                         g, h = g[g < h], h[g < h]
                     yield r[g], s[h]
                 continue
             # Both sides go one level down together where they can.
+            down = (la + (not out_a), lb + (not out_b))
             ca = x["child"] if not out_a else None
             cb = y["child"] if not out_b else None
             na = ca[p + 1] - ca[p] if ca is not None else np.ones(len(p), np.int64)
             nb = cb[q + 1] - cb[q] if cb is not None else np.ones(len(q), np.int64)
             pa_, qa_ = ca[p] if ca is not None else p, cb[q] if cb is not None else q
             size = na * nb
+            many = size >= DENSE
+            for k in np.flatnonzero(many):
+                for left, right in _near(a, one.levels[down[0]], slice(pa_[k], pa_[k] + na[k]), b, two.levels[down[1]], slice(qa_[k], qa_[k] + nb[k]), tau):
+                    if same:
+                        half = left <= right
+                        left, right = left[half], right[half]
+                    work.append((*down, left, right))
+            if many.all():
+                continue
+            na, nb, pa_, qa_, size = (n[~many] for n in (na, nb, pa_, qa_, size))
             cuts = np.searchsorted(np.cumsum(size), np.arange(1 << 20, size.sum() + (1 << 20), 1 << 20)) + 1
             for f, t in zip(np.concatenate([[0], cuts[:-1]]), cuts, strict=True):
                 if f >= min(t, len(size)):
@@ -193,7 +229,7 @@ def links(a: np.ndarray, b: np.ndarray | None, threshold: float) -> Iterator[tup
                     half = left <= right
                     left, right = left[half], right[half]
                 if len(left):
-                    work.append((la + (not out_a), lb + (not out_b), left, right))
+                    work.append((*down, left, right))
 
 
 def _settle(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
