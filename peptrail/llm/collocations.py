@@ -7,7 +7,8 @@ where both are frequent (Apriori), and pairs name phrases exactly. For each leng
 
 * tasks gather the distinct pairs of their streams; the candidates get a minimal perfect hash,
   in shards of about ``SHARD`` keys that keep the keys themselves by slot. Pairs are counted in bins
-  by hash before, and one in a bin below ``least`` is left out: a superset of the frequent pairs stays,
+  by hash before, and one in a bin below ``least`` is left out: a superset of the frequent pairs stays.
+  A few tasks tell of theirs first, the others only of pairs that those did not tell of,
 * mappers look each pair up, compare it with the stored key, write the stream of slots and
   ``bincount`` them into arrays, a shard at a time,
 * arrays of a shard are summed in a tree of groups of ``FAN``; slots below ``least`` are masked.
@@ -50,6 +51,8 @@ CACHE = 48 << 20
 BINS = 24
 #: A task tells again of a pair only after so many others.
 TOLD = 1 << 21
+#: One in so many files of streams tells of its pairs before the others.
+AHEAD = 16
 U = np.uint64
 WORD_ENDS, PIECE_ENDS = b" \t", b".,;:!?\n\v\f\r"
 KIND = np.zeros(256, dtype=np.uint8)
@@ -321,6 +324,16 @@ def _bins(h: np.ndarray) -> np.ndarray:
     return (h >> U(64 - BINS)).astype(np.int64)
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts as they travel: most are zero where a task has few pairs."""
+    raw = counts.tobytes()
+    return len(raw).to_bytes(4, "little") + pa.compress(raw, codec="lz4", asbytes=True)
+
+
+def _unpacked(counts: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(pa.decompress(counts[4:], int.from_bytes(counts[:4], "little"), codec="lz4", asbytes=True), dtype=kind)
+
+
 BINNED = pa.schema([("stream", pa.binary()), ("block", pa.int32()), ("task", pa.int64()), ("counts", pa.binary())])
 
 
@@ -336,7 +349,7 @@ def _binned(streams: Iterator[np.ndarray], cap: int) -> Iterator[pa.RecordBatch]
         bins[met] = np.minimum(bins[met] + n, cap)
         rows = list(_rows(stream))
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), *(pa.nulls(len(rows), t) for t in BINNED.types[1:])], schema=BINNED)
-    out = [(None, i, task, part.tobytes()) for i in range(-(-len(bins) // BLOCK)) if (part := bins[i * BLOCK : (i + 1) * BLOCK]).any()]
+    out = [(None, i, task, _packed(part)) for i in range(-(-len(bins) // BLOCK)) if (part := bins[i * BLOCK : (i + 1) * BLOCK]).any()]
     yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(BINNED.types)], schema=BINNED)
 
 
@@ -381,11 +394,17 @@ class Bins:
         return at[self.full[_bins(pair_hash(stream[at], stream[at + 1]))]]
 
 
-def _candidates(path: str):
+def _candidates(path: str, known: list[tuple[str, list[int]]]):
+    """Pairs of full bins that are in none of the hashes ``known``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, told = Bins(path), np.empty((3, 0), dtype=np.int64)
+        before = [Shards(hashes, None, bases) for hashes, bases in known]
         for stream in _joined(batches):
-            found, told = _distinct(stream, bins.pairs(stream), told)
+            at = bins.pairs(stream)
+            for shards in before:
+                at = at[shards.slots(stream[at], stream[at + 1]) < 0]
+            found, told = _distinct(stream, at, told)
             yield found
 
     return run
@@ -394,7 +413,7 @@ def _candidates(path: str):
 def _full(cap: int):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            bits = [np.packbits(np.frombuffer(x, np.uint8) >= cap, bitorder="little").tobytes() for x in part["counts"]]
+            bits = [np.packbits(_unpacked(x, np.uint8) >= cap, bitorder="little").tobytes() for x in part["counts"]]
             yield pd.DataFrame({"block": part["block"], "bits": bits})
 
     return run
@@ -413,7 +432,7 @@ def _counted(hashes: str, bases: list[int], full: str):
         task = context.partitionId() if context else 0
 
         def flushed() -> pa.RecordBatch:
-            out = [(None, s, i, task, part.tobytes()) for s, n in sums.items() for i in range(-(-len(n) // BLOCK)) if (part := n[i * BLOCK : (i + 1) * BLOCK]).any()]
+            out = [(None, s, i, task, _packed(part)) for s, n in sums.items() for i in range(-(-len(n) // BLOCK)) if (part := n[i * BLOCK : (i + 1) * BLOCK]).any()]
             sums.clear()
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(COUNTED.types)], schema=COUNTED)
 
@@ -438,10 +457,10 @@ def _counted(hashes: str, bases: list[int], full: str):
 
 def _summed(kind: type, cap: int | None):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, dtype=kind).astype(np.int64) for x in group["counts"])
+        total = sum(_unpacked(x, kind).astype(np.int64) for x in group["counts"])
         total = total if cap is None else np.minimum(total, cap)
         first = group.iloc[0]
-        return pd.DataFrame({"shard": [first["shard"]], "block": [first["block"]], "task": [first["task"] // FAN], "counts": [total.astype(kind).tobytes()]})
+        return pd.DataFrame({"shard": [first["shard"]], "block": [first["block"]], "task": [first["task"] // FAN], "counts": [_packed(total.astype(kind))]})
 
     return run
 
@@ -461,7 +480,7 @@ def _frequent(least: int, bases: list[int]):
         row = table.iloc[0]
         f = np.zeros(row["n"], dtype=np.int64)
         for block, part in zip(counts["block"], counts["counts"], strict=True):
-            f[block * BLOCK : (block + 1) * BLOCK] += np.frombuffer(part, dtype=np.int64)
+            f[block * BLOCK : (block + 1) * BLOCK] += _unpacked(part, np.int64)
         good = f >= least
         at = np.flatnonzero(good)
         keys = [np.frombuffer(row[x], dtype=np.int64)[at] for x in ("a", "b")]
@@ -480,13 +499,19 @@ def _folder(df: DataFrame) -> str:
 def _hashed(spark: SparkSession, keys: DataFrame) -> tuple[DataFrame, list[int]] | None:
     """A minimal perfect hash of ``keys(h, a, b)``, a row a shard, and the first slot of every shard and one past the last."""
     keys = scratch.save(spark, keys, "keys")
+    made = _hash(spark, keys)
+    scratch.drop(spark, keys)
+    return made
+
+
+def _hash(spark: SparkSession, keys: DataFrame) -> tuple[DataFrame, list[int]] | None:
+    """``_hashed`` of saved keys, which stay."""
     n = keys.count()
     if not n:
         return None
     shards = -(-n // SHARD)
     dealt = keys.select(F.pmod("h", F.lit(shards)).cast("int").alias("shard"), "a", "b")
     table = scratch.save(spark, dealt.groupBy("shard").applyInPandas(_build, HASHES), "hash")
-    scratch.drop(spark, keys)
     sizes = {r.shard: r.n for r in table.select("shard", "n").collect()}  # one number a shard
     bases = [0]
     for shard in range(shards):
@@ -494,6 +519,36 @@ def _hashed(spark: SparkSession, keys: DataFrame) -> tuple[DataFrame, list[int]]
     return table, bases
 
 
+def _keys(spark: SparkSession, binned: DataFrame, full: str) -> tuple[DataFrame, list[int]] | None:
+    """``_hashed`` of the distinct pairs of full bins in the streams of ``binned``.
+
+    A pair that is frequent is in most tasks' streams. So one file in ``AHEAD`` (and one in its square before, and so on)
+    is read first, and tasks over other files tell only of pairs that those did not tell of. Every file is read once.
+    """
+    files = sorted(binned.inputFiles())
+    step = AHEAD
+    while step * AHEAD <= len(files):
+        step *= AHEAD
+    left, told, known = set(files), [], []
+    if not files:
+        return None
+    while left:
+        some = [f for f in files[::step] if f in left]
+        left.difference_update(some)
+        streams = spark.read.schema(binned.schema).parquet(*some).where("stream is not null").select("stream")
+        found = streams.mapInArrow(_candidates(full, [(_folder(table), bases) for table, bases in known]), "h long, a long, b long").distinct()
+        if left:
+            told.append(scratch.save(spark, found, "told"))
+            if made := _hash(spark, told[-1]):
+                known.append(made)
+            step //= AHEAD
+    for before in told:
+        found = found.union(before)  # of other pairs
+    made = _hashed(spark, found)
+    scratch.drop(spark, *told, *(table for table, _ in known))
+    return made
+
+
 def phrases(spark: SparkSession, docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, list[DataFrame]]:
     """Words per language ``(lang, n)``, and for 1 to ``longest`` words (or fewer, if none are left) the frequent
 
@@ -520,8 +575,7 @@ def phrases(spark: SparkSession, docs: DataFrame, least: int = LEAST, longest: i
         arrays = binned.where("stream is null").select(F.lit(0).alias("shard"), "block", "task", "counts")
         full = scratch.save(spark, _tree_sum(arrays, np.uint8, cap).select("block", "counts").mapInPandas(_full(cap), "block int, bits binary"), "full")
         streams = binned.where("stream is not null").select("stream")
-        pairs = streams.mapInArrow(_candidates(_folder(full)), "h long, a long, b long")
-        made = _hashed(spark, pairs.distinct())
+        made = _keys(spark, binned, _folder(full))
         if made is None:
             break
         table, bases = made
