@@ -8,6 +8,7 @@ where both are frequent (Apriori), and pairs name phrases exactly. For each leng
 * tasks gather the distinct pairs of their streams; the candidates get a minimal perfect hash,
   in shards of about ``SHARD`` keys that keep the keys themselves by slot. Pairs are counted in bins
   by hash before, and one in a bin below ``least`` is left out: a superset of the frequent pairs stays.
+  There are more bins with more pairs, so that pairs which are not frequent do not fill them together,
   A few tasks tell of theirs first, the others only of pairs that those did not tell of,
 * mappers look each pair up, compare it with the stored key, write the stream of slots and
   ``bincount`` them into arrays, a shard at a time,
@@ -47,8 +48,10 @@ SHARD, BLOCK, FAN = 1 << 18, 1 << 16, 8
 #: Bytes of text, elements of streams, and elements of a stored row handled at once.
 TEXT, ELEMENTS, ROW = 2 << 20, 1 << 19, 1024
 CACHE = 48 << 20
-#: Pairs are first counted in 2 ** BINS bins by hash; in a bin below ``least`` no pair is a candidate.
-BINS = 24
+#: Pairs are first counted in bins by hash, ``SPARE`` times as many as they could fill; in a bin below ``least`` no pair is a candidate.
+SPARE = 12
+#: Bins of a row of counts, as powers of two; bins whose bits a task holds; pairs that a task counts at once.
+RANGE, BITS, PAIRS = 16, 28, 1 << 22
 #: A task tells again of a pair only after so many others.
 TOLD = 1 << 21
 #: One in so many files of streams tells of its pairs before the others.
@@ -131,10 +134,12 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h1, h2 = _digests(data, starts, ends, row, langs)
             order, first = _runs(h1, h2)
             one = order[first]
-            words = [data[s:e].tobytes().decode() for s, e in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]
-            names = [langs[r] for r in row[one].tolist()]
+            to = np.concatenate([[0], np.cumsum(ends[one] - starts[one])])
+            letters = data[np.repeat(starts[one] - to[:-1], np.diff(to)) + np.arange(to[-1])]
+            words = pa.StringArray.from_buffers(len(one), pa.py_buffer(to.astype(np.int32)), pa.py_buffer(letters))
+            names = pa.array(langs, pa.string()).take(pa.array(row[one]))
             n = np.diff(np.append(first, len(order)))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(words, pa.string()), *(pa.array(x.view(np.int64)) for x in (h1[one], h2[one])), pa.array(n)], ["lang", "word", "a", "b", "n"])
+            yield pa.RecordBatch.from_arrays([names, words, *(pa.array(x.view(np.int64)) for x in (h1[one], h2[one])), pa.array(n)], ["lang", "word", "a", "b", "n"])
 
 
 # -- minimal perfect hashes --------------------------------------------------------------------
@@ -206,9 +211,18 @@ class Hash:
 HASHES = "shard int, n long, sizes array<int>, words binary, ranks binary, a binary, b binary"
 
 
+def _narrow(keys: np.ndarray) -> np.ndarray:
+    """Slots fit four bytes, the hashes of words do not."""
+    return keys.astype(np.int32) if not len(keys) or np.abs(keys).max() < 1 << 31 and keys.min() >= 0 else keys
+
+
+def _keys_of(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, dtype=np.int32 if len(raw) == 4 * n else np.int64)
+
+
 def _build(keys: pd.DataFrame) -> pd.DataFrame:
     made = Hash.of(keys["a"].to_numpy(), keys["b"].to_numpy())
-    return pd.DataFrame({"shard": [keys["shard"].iloc[0]], "n": [len(keys)], "sizes": [made.sizes], "words": [made.words.tobytes()], "ranks": [made.ranks.tobytes()], "a": [made.a.tobytes()], "b": [made.b.tobytes()]})
+    return pd.DataFrame({"shard": [keys["shard"].iloc[0]], "n": [len(keys)], "sizes": [made.sizes], "words": [made.words.tobytes()], "ranks": [made.ranks.tobytes()], "a": [_narrow(made.a).tobytes()], "b": [_narrow(made.b).tobytes()]})
 
 
 class Shards:
@@ -226,7 +240,7 @@ class Shards:
                 value = np.unpackbits(np.frombuffer(row["bits"], np.uint8), bitorder="little").astype(bool)
             else:
                 read = lambda name, kind: np.frombuffer(row[name], dtype=kind)
-                value = Hash(row["sizes"], read("words", U), read("ranks", np.int64), read("a", np.int64), read("b", np.int64))
+                value = Hash(row["sizes"], read("words", U), read("ranks", np.int64), *(_keys_of(row[x], row["n"]) for x in ("a", "b")))
             while self.held and sum(v.nbytes for v in self.held.values()) + value.nbytes > CACHE:
                 self.held.popitem(last=False)
             self.held[what, shard] = value
@@ -320,8 +334,13 @@ def _distinct(stream: np.ndarray, at: np.ndarray, told: np.ndarray) -> tuple[pa.
     return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], ["h", "a", "b"]), told
 
 
-def _bins(h: np.ndarray) -> np.ndarray:
-    return (h >> U(64 - BINS)).astype(np.int64)
+def _bits(pairs: int, least: int) -> int:
+    """The bins for so many pairs are numbered by so many bits of a hash."""
+    return max(RANGE, (SPARE * pairs // least).bit_length())
+
+
+def _bins(h: np.ndarray, bits: int) -> np.ndarray:
+    return h >> U(64 - bits)
 
 
 def _packed(counts: np.ndarray) -> bytes:
@@ -334,26 +353,40 @@ def _unpacked(counts: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(pa.decompress(counts[4:], int.from_bytes(counts[:4], "little"), codec="lz4", asbytes=True), dtype=kind)
 
 
-BINNED = pa.schema([("stream", pa.binary()), ("block", pa.int32()), ("task", pa.int64()), ("counts", pa.binary())])
+BINNED = pa.schema([("stream", pa.binary()), ("range", pa.int64()), ("bins", pa.binary()), ("counts", pa.binary())])
+
 
+def _ranges(bins: np.ndarray, cap: int) -> pa.RecordBatch:
+    """A row for each range with bins that are met: their places in it, and how often, up to ``cap``."""
+    bins = np.sort(bins)
+    first = np.flatnonzero(np.diff(bins, prepend=~bins[:1]))
+    n = np.minimum(np.diff(np.append(first, len(bins))), cap).astype(np.uint8)
+    met = bins[first]
+    own, at = (met >> U(RANGE)).astype(np.int64), (met & U((1 << RANGE) - 1)).astype(np.uint16)
+    starts = np.flatnonzero(np.diff(own, prepend=-1))
+    ends = np.append(starts[1:], len(own))
+    parts = [[x[i:j].tobytes() for i, j in zip(starts.tolist(), ends.tolist(), strict=True)] for x in (at, n)]
+    return pa.RecordBatch.from_arrays([pa.nulls(len(starts), pa.binary()), pa.array(own[starts]), *(pa.array(x, pa.binary()) for x in parts)], schema=BINNED)
 
-def _binned(streams: Iterator[np.ndarray], cap: int) -> Iterator[pa.RecordBatch]:
-    """The rows of streams, and a task's counts of their pairs in bins, up to ``cap``."""
-    bins = np.zeros(1 << BINS, dtype=np.uint8)
-    context = TaskContext.get()
-    task = context.partitionId() if context else 0
+
+def _binned(streams: Iterator[np.ndarray], cap: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """The rows of streams, and counts of their pairs in bins, up to ``cap``, for each ``PAIRS`` pairs."""
+    held, n = [], 0
     for stream in streams:
         stream = _squeezed(stream)
         at = _pairs(stream)
-        met, n = np.unique(_bins(pair_hash(stream[at], stream[at + 1])), return_counts=True)
-        bins[met] = np.minimum(bins[met] + n, cap)
+        held.append(_bins(pair_hash(stream[at], stream[at + 1]), bits))
+        n += len(at)
+        if n >= PAIRS:
+            yield _ranges(np.concatenate(held), cap)
+            held, n = [], 0
         rows = list(_rows(stream))
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), *(pa.nulls(len(rows), t) for t in BINNED.types[1:])], schema=BINNED)
-    out = [(None, i, task, _packed(part)) for i in range(-(-len(bins) // BLOCK)) if (part := bins[i * BLOCK : (i + 1) * BLOCK]).any()]
-    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(BINNED.types)], schema=BINNED)
+    if n:
+        yield _ranges(np.concatenate(held), cap)
 
 
-def _first_streams(hashes: str, bases: list[int], cap: int):
+def _first_streams(hashes: str, bases: list[int], cap: int, bits: int):
     """Streams of the slots of texts' words."""
 
     def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -366,39 +399,50 @@ def _first_streams(hashes: str, bases: list[int], cap: int):
                 stream[np.arange(len(slots)) + np.cumsum(first)] = slots
                 yield stream
 
-    return lambda batches: _binned(streams(batches), cap)
+    return lambda batches: _binned(streams(batches), cap, bits)
 
 
-def _next_streams(hashes: str, masks: str, bases: list[int], cap: int):
+def _next_streams(hashes: str, masks: str, bases: list[int], cap: int, bits: int):
     """Streams without the slots that are not frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards = Shards(hashes, masks, bases)
-        return _binned((shards.masked(stream) for stream in _joined(batches)), cap)
+        return _binned((shards.masked(stream) for stream in _joined(batches)), cap, bits)
 
     return run
 
 
 class Bins:
-    """Whether a pair's bin is full, from the bits of ``path``: 2 ** BINS of them at any size of the input."""
+    """Whether a pair's bin is full. Full bins are few, as bins grow with the pairs; beyond 2 ** BITS bins a bit stands for several, and their numbers decide."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, bits: int):
         fs, folder = scratch.open_fs(path)
-        self.full = np.zeros(1 << BINS, dtype=bool)
-        for row in pq.read_table(folder, filesystem=fs).to_pylist():
-            bits = np.unpackbits(np.frombuffer(row["bits"], np.uint8), bitorder="little")
-            self.full[row["block"] * BLOCK : row["block"] * BLOCK + BLOCK] = bits[: min(BLOCK, 1 << BINS)]
+        rows = sorted(pq.read_table(folder, filesystem=fs).to_pylist(), key=lambda r: r["range"])
+        parts = [np.frombuffer(r["bins"], np.uint16) for r in rows]
+        bases = np.repeat(np.array([r["range"] for r in rows], dtype=U) << U(RANGE), [len(x) for x in parts])
+        self.full, self.bits, self.shift = bases + np.concatenate([np.empty(0, np.uint16), *parts]), bits, U(max(0, bits - BITS))
+        marks = self.full >> self.shift
+        new = np.flatnonzero(np.diff(marks >> U(3), prepend=~U(0)))
+        self.marks = np.zeros(1 << (min(bits, BITS) - 3), dtype=np.uint8)
+        if len(new):
+            self.marks[marks[new] >> U(3)] = np.bitwise_or.reduceat(np.uint8(1) << (marks & U(7)).astype(np.uint8), new)
 
     def pairs(self, stream: np.ndarray) -> np.ndarray:
         at = _pairs(stream)
-        return at[self.full[_bins(pair_hash(stream[at], stream[at + 1]))]]
+        bins = _bins(pair_hash(stream[at], stream[at + 1]), self.bits)
+        marks = bins >> self.shift
+        good = (self.marks[marks >> U(3)] >> (marks & U(7)).astype(np.uint8) & 1).astype(bool)
+        if self.shift:
+            bins = bins[good]
+            good[good] = self.full[np.minimum(np.searchsorted(self.full, bins), len(self.full) - 1)] == bins
+        return at[good]
 
 
-def _candidates(path: str, known: list[tuple[str, list[int]]]):
+def _candidates(path: str, bits: int, known: list[tuple[str, list[int]]]):
     """Pairs of full bins that are in none of the hashes ``known``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bins, told = Bins(path), np.empty((3, 0), dtype=np.int64)
+        bins, told = Bins(path, bits), np.empty((3, 0), dtype=np.int64)
         before = [Shards(hashes, None, bases) for hashes, bases in known]
         for stream in _joined(batches):
             at = bins.pairs(stream)
@@ -411,10 +455,10 @@ def _candidates(path: str, known: list[tuple[str, list[int]]]):
 
 
 def _full(cap: int):
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            bits = [np.packbits(_unpacked(x, np.uint8) >= cap, bitorder="little").tobytes() for x in part["counts"]]
-            yield pd.DataFrame({"block": part["block"], "bits": bits})
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        at, n = (np.frombuffer(b"".join(group[x]), dtype=kind) for x, kind in (("bins", np.uint16), ("counts", np.uint8)))
+        full = np.flatnonzero(np.bincount(at, weights=n) >= cap).astype(np.uint16)
+        return pd.DataFrame({"range": group["range"].iloc[:1], "bins": [full.tobytes()]}).iloc[: len(full)]
 
     return run
 
@@ -422,12 +466,12 @@ def _full(cap: int):
 COUNTED = pa.schema([("stream", pa.binary()), ("shard", pa.int32()), ("block", pa.int32()), ("task", pa.int64()), ("counts", pa.binary())])
 
 
-def _counted(hashes: str, bases: list[int], full: str):
+def _counted(hashes: str, bases: list[int], full: str, bits: int):
     """Streams of the next level's slots, and each task's arrays of their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards, sums = Shards(hashes, None, bases), {}
-        pairs = Bins(full).pairs
+        pairs = Bins(full, bits).pairs
         context = TaskContext.get()
         task = context.partitionId() if context else 0
 
@@ -455,21 +499,17 @@ def _counted(hashes: str, bases: list[int], full: str):
     return run
 
 
-def _summed(kind: type, cap: int | None):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        total = sum(_unpacked(x, kind).astype(np.int64) for x in group["counts"])
-        total = total if cap is None else np.minimum(total, cap)
-        first = group.iloc[0]
-        return pd.DataFrame({"shard": [first["shard"]], "block": [first["block"]], "task": [first["task"] // FAN], "counts": [_packed(total.astype(kind))]})
+def _summed(group: pd.DataFrame) -> pd.DataFrame:
+    total = sum(_unpacked(x, np.int64) for x in group["counts"])
+    first = group.iloc[0]
+    return pd.DataFrame({"shard": [first["shard"]], "block": [first["block"]], "task": [first["task"] // FAN], "counts": [_packed(total)]})
 
-    return run
 
-
-def _tree_sum(parts: DataFrame, kind: type = np.int64, cap: int | None = None) -> DataFrame:
+def _tree_sum(parts: DataFrame) -> DataFrame:
     """``(shard, block, task, counts)`` with one array a block: groups of ``FAN`` tasks, then of ``FAN`` groups, and so on."""
     tasks = (parts.agg(F.max("task")).first()[0] or 0) + 1
     while True:
-        parts = parts.groupBy("shard", "block", F.floor(F.col("task") / FAN)).applyInPandas(_summed(kind, cap), "shard int, block int, task long, counts binary")
+        parts = parts.groupBy("shard", "block", F.floor(F.col("task") / FAN)).applyInPandas(_summed, "shard int, block int, task long, counts binary")
         tasks = -(-tasks // FAN)
         if tasks <= 1:
             return parts
@@ -483,7 +523,7 @@ def _frequent(least: int, bases: list[int]):
             f[block * BLOCK : (block + 1) * BLOCK] += _unpacked(part, np.int64)
         good = f >= least
         at = np.flatnonzero(good)
-        keys = [np.frombuffer(row[x], dtype=np.int64)[at] for x in ("a", "b")]
+        keys = [_keys_of(row[x], row["n"])[at].astype(np.int64) for x in ("a", "b")]
         return pd.DataFrame({"shard": [row["shard"]], "bits": [np.packbits(good, bitorder="little").tobytes()], "slot": [at + bases[row["shard"]]], "a": [keys[0]], "b": [keys[1]], "f": [f[at]]})
 
     return run
@@ -519,7 +559,7 @@ def _hash(spark: SparkSession, keys: DataFrame) -> tuple[DataFrame, list[int]] |
     return table, bases
 
 
-def _keys(spark: SparkSession, binned: DataFrame, full: str) -> tuple[DataFrame, list[int]] | None:
+def _keys(spark: SparkSession, binned: DataFrame, full: str, bits: int) -> tuple[DataFrame, list[int]] | None:
     """``_hashed`` of the distinct pairs of full bins in the streams of ``binned``.
 
     A pair that is frequent is in most tasks' streams. So one file in ``AHEAD`` (and one in its square before, and so on)
@@ -536,7 +576,7 @@ def _keys(spark: SparkSession, binned: DataFrame, full: str) -> tuple[DataFrame,
         some = [f for f in files[::step] if f in left]
         left.difference_update(some)
         streams = spark.read.schema(binned.schema).parquet(*some).where("stream is not null").select("stream")
-        found = streams.mapInArrow(_candidates(full, [(_folder(table), bases) for table, bases in known]), "h long, a long, b long").distinct()
+        found = streams.mapInArrow(_candidates(full, bits, [(_folder(table), bases) for table, bases in known]), "h long, a long, b long").distinct()
         if left:
             told.append(scratch.save(spark, found, "told"))
             if made := _hash(spark, told[-1]):
@@ -549,6 +589,11 @@ def _keys(spark: SparkSession, binned: DataFrame, full: str) -> tuple[DataFrame,
     return made
 
 
+def _bits_behind(level: DataFrame, least: int) -> int:
+    """``_bits`` for the pairs of the next level: one at most begins where a phrase of this one occurs."""
+    return _bits(level.agg(F.sum("f")).first()[0] or 0, least)
+
+
 def phrases(spark: SparkSession, docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, list[DataFrame]]:
     """Words per language ``(lang, n)``, and for 1 to ``longest`` words (or fewer, if none are left) the frequent
 
@@ -569,17 +614,17 @@ def phrases(spark: SparkSession, docs: DataFrame, least: int = LEAST, longest: i
     slots = table.join(F.broadcast(firsts), "shard").mapInPandas(_keys_by_slot, "slot long, a long, b long")
     one = frequent.join(slots, ["a", "b"]).select("slot", "a", "b", F.col("n").alias("f"), "lang", F.col("word").alias("phrase"), F.col("word").alias("final"), F.array("n").alias("heads"), F.array("n").alias("tails"))
     levels = [scratch.save(spark, one, "level1")]
-    cap, binned_rows = min(least, 255), "stream binary, block int, task long, counts binary"
-    binned = scratch.save(spark, rows.mapInArrow(_first_streams(_folder(table), bases, cap), binned_rows), "streams1")
+    cap, binned_rows = min(least, 255), "stream binary, range long, bins binary, counts binary"
+    bits = _bits_behind(levels[-1], least)
+    binned = scratch.save(spark, rows.mapInArrow(_first_streams(_folder(table), bases, cap, bits), binned_rows), "streams1")
     for k in range(2, longest + 1):
-        arrays = binned.where("stream is null").select(F.lit(0).alias("shard"), "block", "task", "counts")
-        full = scratch.save(spark, _tree_sum(arrays, np.uint8, cap).select("block", "counts").mapInPandas(_full(cap), "block int, bits binary"), "full")
+        full = scratch.save(spark, binned.where("stream is null").drop("stream").groupBy("range").applyInPandas(_full(cap), "range long, bins binary"), "full")
         streams = binned.where("stream is not null").select("stream")
-        made = _keys(spark, binned, _folder(full))
+        made = _keys(spark, binned, _folder(full), bits)
         if made is None:
             break
         table, bases = made
-        counted = scratch.save(spark, streams.mapInArrow(_counted(_folder(table), bases, _folder(full)), "stream binary, shard int, block int, task long, counts binary"), f"counted{k}")
+        counted = scratch.save(spark, streams.mapInArrow(_counted(_folder(table), bases, _folder(full), bits), "stream binary, shard int, block int, task long, counts binary"), f"counted{k}")
         scratch.drop(spark, binned, full)
         sums = _tree_sum(counted.where("stream is null").drop("stream"))
         kept = sums.groupBy("shard").cogroup(table.groupBy("shard")).applyInPandas(_frequent(least, bases), "shard int, bits binary, slot array<bigint>, a array<bigint>, b array<bigint>, f array<bigint>")
@@ -592,7 +637,8 @@ def phrases(spark: SparkSession, docs: DataFrame, least: int = LEAST, longest: i
         level = both.select("slot", "a", "b", "f", "lang", F.concat_ws(" ", "start", "final").alias("phrase"), "final", F.concat("before", F.array("f")).alias("heads"), F.concat("behind", F.array("f")).alias("tails"))
         levels.append(scratch.save(spark, level, f"level{k}"))
         if k < longest:
-            next_ = counted.where("stream is not null").select("stream").mapInArrow(_next_streams(_folder(table), _folder(kept), bases, cap), binned_rows)
+            bits = _bits_behind(levels[-1], least)
+            next_ = counted.where("stream is not null").select("stream").mapInArrow(_next_streams(_folder(table), _folder(kept), bases, cap, bits), binned_rows)
             binned = scratch.save(spark, next_, f"streams{k}")
         scratch.drop(spark, counted)
     return sizes, levels
@@ -607,7 +653,7 @@ def _with_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _keys_by_slot(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in parts:
         for r in part.itertuples():
-            yield pd.DataFrame({"slot": np.arange(r.n) + r.base, "a": np.frombuffer(r.a, dtype=np.int64), "b": np.frombuffer(r.b, dtype=np.int64)})
+            yield pd.DataFrame({"slot": np.arange(r.n) + r.base, "a": _keys_of(r.a, r.n).astype(np.int64), "b": _keys_of(r.b, r.n).astype(np.int64)})
 
 
 def collocations(spark: SparkSession, docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, share: int = SHARE) -> DataFrame:
